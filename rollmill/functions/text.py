@@ -34,7 +34,7 @@ PROMPT_TEMPLATES = {
 
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for use in ``body``; keeps long chains linear in size."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
 
 
 def strip(text: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollmill.operators.keyed import hash_positions, positions, scalars
+from rollmill.operators.keyed import hash_order, hash_positions, positions, scalars
 
 
 def batch_from_dict(spark: SparkSession, data: dict[str, Sequence], schema: str) -> DataFrame:
@@ -129,8 +129,7 @@ def fold(df: DataFrame, key: str, value: Sequence[str], size: int, keys: Sequenc
     numbered = positions(df, key, "_pos", keys).withColumn("chunk", F.floor(F.col("_pos") / size))
     packed = F.array_sort(F.collect_list(F.struct("_pos", key, *value)))
     grouped = numbered.groupBy(*keys, "chunk").agg(packed.alias("_rows"))
-    cols = [F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in (key, *value)]
-    return grouped.select(*keys, "chunk", *cols)
+    return grouped.select(*keys, "chunk", *[F.col("_rows")[c].alias(c) for c in (key, *value)])
 
 
 def unfold(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -174,14 +173,10 @@ def split_fixed_count(df: DataFrame, key: str, n_train: int, seed: int) -> DataF
 
 def sample_by_hash(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """The first ``n`` rows of a seeded order, as a top-k that every task pre-trims."""
-    from rollmill.operators.keyed import hash_order
-
     return df.orderBy(hash_order(F.col(key), str(seed)), key).limit(n)
 
 
 def sample_first_n(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
     """The first ``n`` rows per key. Spark trims each task to ``n`` rows per key before the shuffle."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
