@@ -157,3 +157,32 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return found.select(*keys, *out)
+
+
+def neighbours(df: DataFrame, keys: Sequence[str], order: str, point: Column) -> DataFrame:
+    """For each row the nearest non-null ``point`` at or before it, and at or after it, in ``order``.
+
+    Columns ``_before`` and ``_after``. Windows run inside quantile buckets; the last and first points of each
+    bucket are carried over the buckets in between.
+    """
+    keys = list(keys)
+    b = order_bucket(df, order).withColumn("_point", point)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    b = b.withColumn(
+        "_l", F.last("_point", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ).withColumn(
+        "_f", F.first("_point", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    )
+    known = F.when(F.col("_point").isNotNull(), F.col(order))
+    ends = b.groupBy(*keys, "_bucket").agg(
+        F.max_by("_point", known).alias("_last"), F.min_by("_point", known).alias("_first")
+    )
+    over = Window.partitionBy(*keys).orderBy("_bucket")
+    carried = ends.select(
+        *keys, "_bucket",
+        F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_cl"),
+        F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_cf"),
+    )
+    return _join_buckets(b, carried, [*keys, "_bucket"]).select(
+        *df.columns, F.coalesce("_l", "_cl").alias("_before"), F.coalesce("_f", "_cf").alias("_after")
+    )

@@ -10,6 +10,7 @@ from rollmill.functions import grading as G
 from rollmill.functions import normalize as N
 from rollmill.functions import registry as R
 from rollmill.functions import text as X
+from rollmill.operators.prep import HASH_INSTRUCTION
 from rollmill.plans.catalog import query
 from rollmill.views import boxed, docs, ev, qa, table
 
@@ -109,7 +110,7 @@ def _(spark, sf):
 
 @query("grade_curriculum", views="boxed", oracle=BOX + EQUIV + r"""
 , c AS (SELECT sample_id, b.ans, e.p, e.t FROM b JOIN e USING (sample_id))
-SELECT sample_id, CASE WHEN ans IS NOT NULL AND (p = t OR regexp_replace(regexp_replace(ans, '\\?%', ''), '[{} ]', '', 'g') = '3') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM c""")
+SELECT sample_id, CASE WHEN ans IS NOT NULL AND (p = t OR p = '3' OR regexp_replace(regexp_replace(ans, '\\?%', ''), '[{} ]', '', 'g') = '3') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM c""")
 def _(spark, sf):
     truths = F.array(F.col("truth"), F.lit("\\boxed{3}"))
     return boxed(spark, sf).select("sample_id", G.grade_curriculum(F.col("response"), truths).alias("score"))
@@ -326,8 +327,6 @@ def _(spark, sf):
 
 @query("strip_instruction", views="qa", oracle="SELECT item_id, trim(question) AS question FROM qa")
 def _(spark, sf):
-    from rollmill.operators.prep import HASH_INSTRUCTION
-
     return qa(spark, sf).select(
         "item_id", X.strip_instruction(F.concat_ws(" ", "question", F.lit(HASH_INSTRUCTION)), HASH_INSTRUCTION).alias("question")
     )
