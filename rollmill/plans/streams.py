@@ -1 +1,90 @@
-"""Queries."""
+"""Streaming queries, run over all available input; the oracle is the batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rollmill.plans.catalog import query
+from rollmill.plans.scans import ROLLOUTS, rollout_records
+from rollmill.schemas import ROLLOUT_RECORD, TABLES
+from rollmill.session import scratch_dir
+from rollmill.sources.sinks import sink_rollouts
+from rollmill.streaming import rollouts as R
+
+
+def _stream(spark, sf, name):
+    return R.stream_parquet(spark, sf, TABLES[name], f"{name}.parquet")
+
+
+def _events(spark, sf):
+    return _stream(spark, sf, "events").withColumn("time", F.col("ts").cast("timestamp"))
+
+
+def _text(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+@query("stream_rollout_files", views="ev", oracle="SELECT track, step, count(*) AS n, sum(score) AS correct FROM (" + ROLLOUTS + ") GROUP BY ALL")
+def _(spark, sf):
+    folder = sink_rollouts(rollout_records(spark, sf), scratch_dir(spark, "landing"))
+    s = R.stream_rollout_files(spark, folder, f"{ROLLOUT_RECORD}, track string, step int")
+    agg = s.groupBy("track", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("correct"))
+    return R.run_available(agg, ["track", "step"])
+
+
+@query("stream_step_metrics", """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
+def _(spark, sf):
+    out = R.run_available(R.step_metrics(_events(spark, sf), "time", "value", ["event_type"], "1 hour"), ["window", "event_type"])
+    return out.select(_text(F.col("window.start")).alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("stream_step_metrics_sliding", """
+SELECT strftime(date_trunc('hour', ts) - to_hours(CAST(b AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean
+FROM events, range(3) u(b) GROUP BY ALL""")
+def _(spark, sf):
+    agg = R.step_metrics(_events(spark, sf), "time", "value", ["event_type"], "3 hours", "1 hour")
+    out = R.run_available(agg, ["window", "event_type"])
+    return out.select(_text(F.col("window.start")).alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("stream_replay_dedup", views="hist", oracle="""
+SELECT run_id, metric, step, row_id, value FROM hist QUALIFY row_number() OVER (PARTITION BY run_id, metric, step ORDER BY created_at DESC, row_id DESC) = 1""")
+def _(spark, sf):
+    h = _stream(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("run_id"), (F.col("o_custkey") % 400).cast("int").alias("step"),
+        F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("metric"), F.col("o_totalprice").alias("value"),
+    )
+    keys = ["run_id", "metric", "step"]
+    return R.run_available(R.replay_keep_last(h, keys, ["created_at", "row_id"], ["row_id", "value"]), keys)
+
+
+@query("stream_replay_keep_first", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
+def _(spark, sf):
+    first = R.replay_keep_first(_events(spark, sf).select("time", "user_id", "event_type"), "time", ["user_id", "event_type"], "365 days")
+    return R.run_available(first, [], "append").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_group_complete", """
+SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY ALL HAVING count(*) >= 8""")
+def _(spark, sf):
+    groups = R.complete_groups(_stream(spark, sf, "events"), ["user_id", "event_type"], "value", 8)
+    out = R.run_available(groups, ["user_id", "event_type"])
+    return out.select("user_id", "event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("stream_adaptive_kl", """
+SELECT event_type, round(0.2 * exp(sum(ln(1 + least(greatest(value / 250.0 - 1, -0.2), 0.2) * 8 / 10000.0))), 6) AS kl_coef, count(*) AS updates FROM events GROUP BY event_type""")
+def _(spark, sf):
+    agg = R.adaptive_kl(_stream(spark, sf, "events"), ["event_type"], "value", F.lit(8), init=0.2, target=250.0, horizon=10000.0)
+    return R.run_available(agg, ["event_type"]).select("event_type", F.round("kl_coef", 6).alias("kl_coef"), "updates")
+
+
+@query("stream_session_activity", """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, s""")
+def _(spark, sf):
+    agg = R.session_activity(_events(spark, sf), "time", ["user_id"], "12 hours")
+    out = R.run_available(agg, ["session", "user_id"], "complete")
+    return out.select("user_id", _text(F.col("session.start")).alias("start"), "n")
