@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollmill.functions.text import let, strip
+from rollmill.functions.sqltext import apply, bind, raw, trim
 
 # Phrases around which a free-form answer is cut.
 ANSWER_FOLLOWS = ["answer:", "answer is", "answers are"]
@@ -26,22 +26,38 @@ def extract_last_number(text: Column) -> Column:
     return F.coalesce(F.try_element_at(usable, F.lit(-1)), F.get(tokens, F.lit(0)))
 
 
-def _balanced_end(text: Column) -> Column:
+def _balanced_end(text: str) -> str:
     """One-based position of the brace that closes the first opened one; 0 if it never closes.
 
     A fold over the characters with a fixed-size state, so its cost is linear in the text.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+    return f"""aggregate(split({text}, ''), named_struct('at', 0, 'depth', 0, 'end', 0),
+        (st, ch) -> named_struct(
+            'at', st.at + 1,
+            'depth', st.depth + CASE ch WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END,
+            'end', CASE WHEN st.end = 0 AND ch = '}}' AND st.depth = 1 THEN st.at + 1 ELSE st.end END),
+        st -> st.end)"""
 
-    def step(state, char):
-        depth = state["depth"] + F.when(char == "{", 1).when(char == "}", -1).otherwise(0)
-        closes = (state["end"] == 0) & (char == "}") & (depth == 0)
-        return F.struct(
-            (state["at"] + 1).alias("at"), depth.alias("depth"),
-            F.when(closes, state["at"] + 1).otherwise(state["end"]).alias("end"),
-        )
 
-    return F.aggregate(F.split(text, ""), start, step, lambda state: state["end"])
+def last_boxed_sql(text: str, space_form: bool = False) -> str:
+    def after(command):
+        tail = f"substring_index({text}, {raw(command)}, -1)"
+        both = f"named_struct('tail', {tail}, 'end', {_balanced_end(tail)})"
+        return bind(both, "bx", f"CASE WHEN bx.end > 0 THEN {raw(command)} || substring(bx.tail, 1, bx.end) END")
+
+    space = raw("\\boxed ")
+    spaced = f"WHEN contains({text}, {space}) THEN {space} || substring_index(substring_index({text}, {space}, -1), '$', 1)"
+    box, fbox = "\\boxed", "\\fbox"
+    return f"""CASE {spaced if space_form else ''}
+        WHEN contains({text}, {raw(box)}) THEN {after(box)}
+        WHEN contains({text}, {raw(fbox)}) THEN {after(fbox)} END"""
+
+
+def extract_boxed_sql(text: str, space_form: bool = False) -> str:
+    opening, spaced = raw("\\boxed{"), raw("\\boxed ")
+    inner = f"WHEN startswith(b, {opening}) AND endswith(b, '}}') THEN substring(b, 8, length(b) - 8)"
+    space = f"WHEN startswith(b, {spaced}) THEN substr(b, 8) WHEN contains(b, {spaced}) THEN NULL" if space_form else ""
+    return bind(last_boxed_sql(text, space_form), "b", f"CASE {space} {inner} END")
 
 
 def last_boxed(text: Column, space_form: bool = False) -> Column:
@@ -49,38 +65,12 @@ def last_boxed(text: Column, space_form: bool = False) -> Column:
 
     With ``space_form``, a text holding ``\boxed `` yields that command and everything up to the next ``$``.
     """
-
-    def after(command):
-        tail = F.substring_index(text, command, -1)
-        return let(
-            F.struct(tail.alias("tail"), _balanced_end(tail).alias("end")),
-            lambda s: F.when(s["end"] > 0, F.concat(F.lit(command), F.substring(s["tail"], F.lit(1), s["end"]))),
-        )
-
-    found = F.when(text.contains("\\boxed"), after("\\boxed")).when(text.contains("\\fbox"), after("\\fbox"))
-    if not space_form:
-        return found
-    spaced = F.concat(F.lit("\\boxed "), F.substring_index(F.substring_index(text, "\\boxed ", -1), "$", 1))
-    return F.when(text.contains("\\boxed "), spaced).otherwise(found)
-
-
-def unbox(boxed: Column, space_form: bool = False) -> Column:
-    r"""Content of a boxed string; null when it is not of the form ``\boxed{...}``."""
-    inner = F.when(
-        boxed.startswith("\\boxed{") & boxed.endswith("}"),
-        F.substring(boxed, F.lit(8), F.length(boxed) - 8),
-    )
-    if not space_form:
-        return inner
-    return (
-        F.when(boxed.startswith("\\boxed "), F.substr(boxed, F.lit(8)))
-        .when(boxed.contains("\\boxed "), F.lit(None).cast("string"))
-        .otherwise(inner)
-    )
+    return apply(last_boxed_sql("arg.t", space_form), t=text)
 
 
 def extract_boxed(text: Column, space_form: bool = False) -> Column:
-    return let(last_boxed(text, space_form), lambda b: unbox(b, space_form))
+    r"""Content of the last boxed expression; null when it is not of the form ``\boxed{...}``."""
+    return apply(extract_boxed_sql("arg.t", space_form), t=text)
 
 
 def extract_answer_line(text: Column) -> Column:
@@ -93,50 +83,35 @@ def _quoted(marker: str) -> str:
     return "".join("\\n" if c == "\n" else ("\\" + c if not c.isalnum() and c != " " else c) for c in marker)
 
 
-def match_answer_phrase(text: Column) -> Column:
-    """Struct (matched, answer): the free-form answer left after cutting at the usual phrases.
+def match_answer_phrase_sql(text: str) -> str:
+    """Each cut is one greedy replacement, so the last occurrence of a phrase decides."""
 
-    Each cut is one greedy replacement, so the last occurrence of a phrase decides.
-    """
+    def state(hit, value):
+        return f"named_struct('hit', {hit}, 'text', {value})"
+
+    def cut_after(m):
+        return f"regexp_replace(s.text, {raw(rf'(?is)^.*{_quoted(m)}\s*(.*?)\s*$')}, '$1')"
+
+    def cut_before(m):
+        return f"regexp_replace(s.text, {raw(rf'(?is)^\s*(.*?)\s*{_quoted(m)}((?!{_quoted(m)}).)*$')}, '$1')"
+
+    def found(m):
+        return f"s.hit OR contains(lower(s.text), {raw(m)})"
 
-    def cut_after(t, marker):
-        return F.regexp_replace(t, rf"(?is)^.*{_quoted(marker)}\s*(.*?)\s*$", "$1")
-
-    def cut_before(t, marker):
-        return F.regexp_replace(t, rf"(?is)^\s*(.*?)\s*{_quoted(marker)}((?!{_quoted(marker)}).)*$", "$1")
-
-    def state(hit, t):
-        return F.struct(hit.alias("hit"), t.alias("text"))
-
-    now = state(F.lit(False), text)
-    for marker, cut in (
-        *[(m, cut_after) for m in ANSWER_FOLLOWS],
-        *[(m, cut_before) for m in ANSWER_PRECEDES],
-    ):
-        now = let(
-            now, lambda s, m=marker, c=cut: state(s["hit"] | F.lower(s["text"]).contains(m), c(s["text"], m))
-        )
-    now = let(
-        let(now, lambda s: F.struct(s["hit"].alias("hit"), s["text"].alias("text"), last_boxed(s["text"]).alias("box"))),
-        lambda s: state(s["hit"] | s["box"].isNotNull(), F.coalesce(s["box"], s["text"])),
-    )
-    now = let(
-        now,
-        lambda s: state(
-            s["hit"],
-            F.when(
-                s["text"].contains(". "),
-                strip(F.substring(s["text"], F.lit(1),
-                                  F.length(s["text"]) - F.length(F.substring_index(s["text"], ". ", -1)) - 2)),
-            ).otherwise(s["text"]),
-        ),
-    )
-    for marker in LAST_CUTS:
-        now = let(
-            now,
-            lambda s, m=marker: state(s["hit"] | F.lower(s["text"]).contains(m), cut_after(s["text"], m)),
-        )
-    return let(
-        now,
-        lambda s: F.struct((s["hit"] & s["text"].rlike("[0-9]")).alias("matched"), s["text"].alias("answer")),
-    )
+    now = state("false", text)
+    for m in ANSWER_FOLLOWS:
+        now = bind(now, "s", state(found(m), cut_after(m)))
+    for m in ANSWER_PRECEDES:
+        now = bind(now, "s", state(found(m), cut_before(m)))
+    boxed = bind(now, "s", f"named_struct('hit', s.hit, 'text', s.text, 'box', {last_boxed_sql('s.text')})")
+    now = bind(boxed, "s", state("s.hit OR s.box IS NOT NULL", "coalesce(s.box, s.text)"))
+    head = "substring(s.text, 1, length(s.text) - length(substring_index(s.text, '. ', -1)) - 2)"
+    now = bind(now, "s", state("s.hit", f"CASE WHEN contains(s.text, '. ') THEN {trim(head)} ELSE s.text END"))
+    for m in LAST_CUTS:
+        now = bind(now, "s", state(found(m), cut_after(m)))
+    return bind(now, "s", "named_struct('matched', s.hit AND s.text RLIKE '[0-9]', 'answer', s.text)")
+
+
+def match_answer_phrase(text: Column) -> Column:
+    """Struct (matched, answer): the free-form answer left after cutting at the usual phrases."""
+    return apply(match_answer_phrase_sql("arg.t"), t=text)

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from rollmill.functions.answers import (
     extract_answer_line,
-    extract_boxed,
+    extract_boxed_sql,
     extract_hash_answer,
     extract_last_number,
-    match_answer_phrase,
+    match_answer_phrase_sql,
 )
 from rollmill.functions.normalize import (
-    is_whole,
-    math_strings_equal,
-    normalize_final_answer,
-    normalize_symbolic,
-    strip_number_commas,
-    to_number,
+    final_answer_sql,
+    math_equal_sql,
+    number_commas_sql,
+    number_sql,
+    symbolic_sql,
+    whole_sql,
 )
-from rollmill.functions.text import let, strip
+from rollmill.functions.sqltext import apply, bind, raw, regex, swap, trim
 
 # Which data sources each grading rule serves.
 HASH_SOURCES = ["openai/gsm8k"]
@@ -47,73 +47,50 @@ def grade_exact(
 
 
 def grade_boxed_equiv(response: Column, truth: Column) -> Column:
-    answer = extract_boxed(response, space_form=True)
-    return F.when(answer.isNull(), 0.0).when(math_strings_equal(answer, truth), 1.0).otherwise(0.0)
+    """1 when the boxed answer equals the truth in canonical form."""
+    right = f"a IS NOT NULL AND {math_equal_sql('a', 'arg.t')}"
+    return apply(bind(extract_boxed_sql("arg.r", space_form=True), "a", f"CASE WHEN {right} THEN 1D ELSE 0D END"), r=response, t=truth)
 
 
 def grade_minerva(response: Column, truth: Column, window: int = 300) -> Column:
     """Struct (score, acc, pred); the rule looks for the answer line in the closing ``window`` characters."""
-    pred = normalize_final_answer(extract_answer_line(F.right(response, F.lit(window))))
-    return let(
-        F.struct(pred.alias("pred"), normalize_final_answer(truth).alias("truth")),
-        lambda s: F.struct(
-            F.when(s["pred"] == s["truth"], 1.0).otherwise(-1.0).alias("score"),
-            (s["pred"] == s["truth"]).alias("acc"),
-            s["pred"].alias("pred"),
-        ),
-    )
+    both = f"named_struct('pred', {final_answer_sql('arg.line')}, 'truth', {final_answer_sql('arg.t')})"
+    graded = """named_struct('score', CASE WHEN n.pred = n.truth THEN 1D ELSE -1D END, 'acc', n.pred = n.truth, 'pred', n.pred)"""
+    return apply(bind(both, "n", graded), line=extract_answer_line(F.right(response, F.lit(window))), t=truth)
 
 
 def grade_strict_box(response: Column, truth: Column, window: int = 100) -> Column:
     """Struct (score, pred): the boxed answer of the closing ``window`` characters must equal the truth exactly."""
-    return let(
-        extract_boxed(F.right(response, F.lit(window))),
-        lambda p: F.struct(F.when(p.eqNullSafe(truth), 1.0).otherwise(-1.0).alias("score"), p.alias("pred")),
-    )
+    graded = "named_struct('score', CASE WHEN a <=> arg.t THEN 1D ELSE -1D END, 'pred', a)"
+    return apply(bind(extract_boxed_sql("arg.r"), "a", graded), r=F.right(response, F.lit(window)), t=truth)
 
 
-def _elements(text: Column) -> Column:
+def _elements(t: str) -> str:
     """Members of a tuple or interval, or the text alone."""
-    t = strip_number_commas(text)
-    inside = F.substring(t, F.lit(2), F.length(t) - 2)
-    bracketed = (F.length(t) > 2) & t.rlike(r"(?s)^[()\[\]].*[()\[\]]$") & ~inside.rlike(r"[()\[\]]")
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(
-        bracketed, F.transform(F.split(inside, ","), strip)
-    ).otherwise(F.array(t))
-
-
-def _same_element(truth: Column, given: Column) -> Column:
-    whole_t, whole_g = is_whole(to_number(strip_number_commas(truth))), is_whole(to_number(strip_number_commas(given)))
-    return (
-        F.when(truth.rlike(FRACTION) & given.rlike(FRACTION), truth == given)
-        .when(whole_t != whole_g, False)
-        .otherwise((truth == given) | F.coalesce(to_number(truth) == to_number(given), F.lit(False)))
-    )
+    return bind(number_commas_sql(t), "el", f"""CASE WHEN length(el) = 0 THEN cast(array() AS array<string>)
+        WHEN length(el) > 2 AND el RLIKE {raw(r'(?s)^[()\[\]].*[()\[\]]$')} AND NOT substring(el, 2, length(el) - 2) RLIKE {raw(r'[()\[\]]')}
+        THEN transform(split(substring(el, 2, length(el) - 2), ','), x -> {trim('x')}) ELSE array(el) END""")
+
+
+def tuple_sql(given: str, truth: str) -> str:
+    fraction = raw(FRACTION)
+    whole = {x: whole_sql(number_commas_sql(x)) for x in ("tm", "gm")}
+    same = f"""CASE WHEN tm RLIKE {fraction} AND gm RLIKE {fraction} THEN tm = gm
+        WHEN {whole['tm']} <> {whole['gm']} THEN false
+        ELSE tm = gm OR coalesce({number_sql('tm')} = {number_sql('gm')}, false) END"""
+    members = f"named_struct('g', n.g, 't', n.t, 'gs', {_elements('n.g')}, 'ts', {_elements('n.t')})"
+    decide = f"""CASE WHEN m.t IS NULL OR m.g IS NULL OR length(m.g) = 0 THEN false
+        WHEN size(m.ts) > 1 AND (left(m.g, 1) <> left(m.t, 1) OR right(m.g, 1) <> right(m.t, 1)) THEN false
+        WHEN size(m.ts) <> size(m.gs) THEN false
+        ELSE forall(zip_with(m.ts, m.gs, (tm, gm) -> {same}), ok -> ok) END"""
+    normal = f"named_struct('g', {symbolic_sql(given)}, 't', {symbolic_sql(truth)})"
+    differing = bind(normal, "n", f"CASE WHEN n.g = n.t THEN true ELSE {bind(members, 'm', decide)} END")
+    return f"CASE WHEN {given} = {truth} THEN true ELSE {differing} END"
 
 
 def grade_tuple(given: Column, truth: Column) -> Column:
     """Normalised equality, member by member for tuples and intervals; brackets and member count must agree."""
-
-    def members(s):
-        return F.struct(
-            s["g"].alias("g"), s["t"].alias("t"), _elements(s["g"]).alias("gs"), _elements(s["t"]).alias("ts")
-        )
-
-    def decide(s):
-        ends_differ = (F.left(s["g"], F.lit(1)) != F.left(s["t"], F.lit(1))) | (
-            F.right(s["g"], F.lit(1)) != F.right(s["t"], F.lit(1))
-        )
-        pairwise = F.forall(F.zip_with(s["ts"], s["gs"], _same_element), lambda same: same)
-        return (
-            F.when(s["t"].isNull(), False).when(s["t"].eqNullSafe(s["g"]), True)
-            .when(s["g"].isNull() | (F.length(s["g"]) == 0), False)
-            .when((F.size(s["ts"]) > 1) & ends_differ, False)
-            .when(F.size(s["ts"]) != F.size(s["gs"]), False)
-            .otherwise(pairwise)
-        )
-
-    normal = F.struct(normalize_symbolic(given).alias("g"), normalize_symbolic(truth).alias("t"))
-    return let(let(normal, members), decide)
+    return apply(tuple_sql("arg.g", "arg.t"), g=given, t=truth)
 
 
 def grade_curriculum(
@@ -124,104 +101,61 @@ def grade_curriculum(
     By default the whole response is searched for the answer; ``only_after_think`` restricts it to the part
     behind the first closing tag.
     """
-    searched = F.get(F.split(response, think_end), F.lit(1)) if only_after_think else response
-    usable = F.filter(
-        F.transform(truths, lambda t: F.when(t.contains("\\boxed"), extract_boxed(t)).otherwise(t)),
-        lambda t: t.isNotNull(),
-    )
-    graded = let(
-        extract_boxed(searched),
-        lambda a: F.when(a.isNull(), False).otherwise(
-            F.exists(usable, lambda t: math_strings_equal(a, t) | grade_tuple(a, t))
-        ),
-    )
-    return F.when(response.contains(think_end) & graded, 1.0).otherwise(0.0)
-
-
-def _plain_number(text: Column) -> Column:
-    return to_number(F.replace(F.replace(text, F.lit("{,}"), F.lit("")), F.lit(","), F.lit("")))
-
-
-def _bare(text: Column) -> Column:
-    """Without a leading dollar sign on a number, or a trailing percent sign after one."""
-    return F.regexp_replace(
-        F.regexp_replace(text, r"^\$(?=[0-9])", ""), r"^([0-9]+(\.[0-9]+)?)\\?%$", "$1"
-    )
-
-
-def _scalar_equal(pred: Column, truth: Column, tolerance: float) -> Column:
-    """String tier, then number tier: within relative ``tolerance`` of the truth, its hundredth or its hundredfold."""
-    text = (F.lower(strip(pred)) == F.lower(strip(truth))) | (
-        F.replace(pred, F.lit(" "), F.lit("")) == F.replace(truth, F.lit(" "), F.lit(""))
-    )
-    p, t = _plain_number(pred), _plain_number(truth)
-    close = F.exists(
-        F.array(t / 100, t, t * 100),
-        lambda x: F.abs(p - x) <= tolerance * F.greatest(F.abs(p), F.abs(x)),
-    )
-    loose = lambda x: F.regexp_replace(strip(x), r"[{}()]", "")
-    return (
-        F.when(text, True).when(p.isNotNull() & t.isNotNull(), close).when(F.length(pred) == 0, False)
-        .otherwise(loose(pred) == loose(truth))
-    )
+    box = raw("\\boxed")
+    usable = f"filter(transform(arg.ts, y -> CASE WHEN contains(y, {box}) THEN {extract_boxed_sql('y')} ELSE y END), y -> y IS NOT NULL)"
+    any_equal = f"exists({usable}, y -> {math_equal_sql('a', 'y')} OR {tuple_sql('a', 'y')})"
+    searched = f"get(split(arg.r, {raw(think_end)}), 1)" if only_after_think else "arg.r"
+    graded = bind(extract_boxed_sql(searched), "a", f"CASE WHEN a IS NOT NULL AND {any_equal} THEN 1D ELSE 0D END")
+    return apply(f"CASE WHEN contains(arg.r, {raw(think_end)}) THEN {graded} ELSE 0D END", r=response, ts=truths)
+
+
+def numeric_sql(pred: str, truth: str, tolerance: float) -> str:
+    def bare(x):
+        """Without a leading dollar sign on a number, or a trailing percent sign after one."""
+        return regex(x, (r"^\$(?=[0-9])", ""), (r"^([0-9]+(\.[0-9]+)?)\\?%$", "$1"))
+
+    def scalar(p, t):
+        """String tier, then number tier: within tolerance of the truth, its hundredth or its hundredfold."""
+        numbers = f"named_struct('p', {number_sql(swap(p, [('{,}', ''), (',', '')]))}, 't', {number_sql(swap(t, [('{,}', ''), (',', '')]))})"
+        close = f"exists(array(nm.t / 100, nm.t, nm.t * 100), c -> abs(nm.p - c) <= {tolerance}D * greatest(abs(nm.p), abs(c)))"
+        loose = lambda x: regex(trim(x), (r"[{}()]", ""))
+        return f"""CASE WHEN lower({trim(p)}) = lower({trim(t)}) OR replace({p}, ' ', '') = replace({t}, ' ', '') THEN true
+            ELSE {bind(numbers, 'nm', f"CASE WHEN nm.p IS NOT NULL AND nm.t IS NOT NULL THEN {close} WHEN length({p}) = 0 THEN false ELSE {loose(p)} = {loose(t)} END")} END"""
+
+    def pairwise(a, b):
+        each = bind(f"named_struct('p', {bare(trim('pa'))}, 't', {bare(trim('pb'))})", "pr", scalar("pr.p", "pr.t"))
+        return f"""(size(split({a}, ',')) = size(split({b}, ',')) AND
+            forall(zip_with(split({a}, ','), split({b}, ','), (pa, pb) -> {each}), ok -> coalesce(ok, false)))"""
+
+    ends = lambda x: regex(x, (r"^[\[\]()]+|[\[\]()]+$", ""), (r"[{}()]", ""))
+    inner = lambda x: f"substring({x}, 2, length({x}) - 2)"
+    square = rf"k.p RLIKE {raw(r'(?s)^\[.*\]$')} AND NOT startswith(k.t, '(')"
+    rounded = rf"k.p RLIKE {raw(r'(?s)^\(.*\)$')} AND NOT startswith(k.t, '[')"
+    bracketed = rf"k.p RLIKE {raw(r'(?s)^[(\[].*[)\]]$')} AND left(k.p, 1) = left(k.t, 1) AND right(k.p, 1) = right(k.t, 1)"
+    decide = f"""{scalar('k.p', 'k.t')} OR (({square} OR {rounded}) AND {ends('k.p')} = {ends('k.t')})
+        OR ({bracketed} AND {pairwise(inner('k.p'), inner('k.t'))})
+        OR (contains(k.p, ',') AND contains(k.t, ',') AND {pairwise('k.p', 'k.t')})"""
+    both = f"named_struct('p', {bare(trim(pred))}, 't', {bare(trim(truth))})"
+    return f"coalesce({bind(both, 'k', decide)}, false)"
 
 
 def grade_numeric_tolerance(pred: Column, truth: Column, tolerance: float = 1e-4) -> Column:
     """Equal as text, as numbers within ``tolerance``, or member by member for intervals and comma lists."""
-
-    def decide(s):
-        p, t = s["p"], s["t"]
-        same_brackets = (
-            p.rlike(r"(?s)^[(\[].*[)\]]$")
-            & (F.left(p, F.lit(1)) == F.left(t, F.lit(1))) & (F.right(p, F.lit(1)) == F.right(t, F.lit(1)))
-        )
-        strip_ends = lambda x: F.regexp_replace(x, r"^[\[\]()]+|[\[\]()]+$", "")
-        square = p.rlike(r"(?s)^\[.*\]$") & ~t.startswith("(")
-        round_ = p.rlike(r"(?s)^\(.*\)$") & ~t.startswith("[")
-        mixed = (square | round_) & (
-            F.regexp_replace(strip_ends(p), r"[{}()]", "") == F.regexp_replace(strip_ends(t), r"[{}()]", "")
-        )
-        inner = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
-
-        def pairwise(a, b):
-            left, right = F.split(a, ","), F.split(b, ",")
-            return (F.size(left) == F.size(right)) & F.forall(
-                F.zip_with(left, right, lambda x, y: _scalar_equal(_bare(strip(x)), _bare(strip(y)), tolerance)),
-                lambda ok: F.coalesce(ok, F.lit(False)),
-            )
-
-        return (
-            _scalar_equal(p, t, tolerance) | mixed | (same_brackets & pairwise(inner(p), inner(t)))
-            | (p.contains(",") & t.contains(",") & pairwise(p, t))
-        )
-
-    return F.coalesce(
-        let(F.struct(_bare(strip(pred)).alias("p"), _bare(strip(truth)).alias("t")), decide), F.lit(False)
-    )
+    return apply(numeric_sql("arg.p", "arg.t", tolerance), p=pred, t=truth)
 
 
-def grade_answer_phrase(response: Column, truth: Column) -> Column:
+def grade_answer_phrase(response: Column, truth: Column, tolerance: float = 1e-4) -> Column:
     """1 when the phrase-cut answer equals the truth within tolerance or as a tuple."""
-    return let(
-        match_answer_phrase(response),
-        lambda m: F.when(
-            m["matched"]
-            & let(
-                F.coalesce(extract_boxed(m["answer"]), m["answer"]),
-                lambda a: grade_tuple(a, truth) | grade_numeric_tolerance(a, truth),
-            ),
-            1.0,
-        ).otherwise(0.0),
-    )
+    answer = bind(match_answer_phrase_sql("arg.r"), "mt", f"CASE WHEN mt.matched THEN coalesce({extract_boxed_sql('mt.answer')}, mt.answer) END")
+    right = f"a IS NOT NULL AND ({tuple_sql('a', 'arg.t')} OR {numeric_sql('a', 'arg.t', tolerance)})"
+    return apply(bind(answer, "a", f"CASE WHEN {right} THEN 1D ELSE 0D END"), r=response, t=truth)
 
 
 def grade_format_think_boxed(response: Column, truth: Column) -> Column:
     """0.9 for a right boxed answer plus 0.1 for the think-then-boxed format."""
     fmt = F.when(response.rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*\z"), 1.0).otherwise(0.0)
-    acc = let(
-        extract_boxed(response),
-        lambda a: F.when(a.isNotNull() & (math_strings_equal(a, truth) | grade_tuple(a, truth)), 1.0).otherwise(0.0),
-    )
+    right = f"a IS NOT NULL AND ({math_equal_sql('a', 'arg.t')} OR {tuple_sql('a', 'arg.t')})"
+    acc = apply(bind(extract_boxed_sql("arg.r"), "a", f"CASE WHEN {right} THEN 1D ELSE 0D END"), r=response, t=truth)
     return 0.9 * acc + 0.1 * fmt
 
 

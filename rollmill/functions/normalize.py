@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from rollmill.functions.text import let, strip
+from rollmill.functions.sqltext import apply, bind, raw, regex, swap, trim
 
 # Replacements applied, in this order, to a final answer.
 ANSWER_SUBSTITUTIONS = [
@@ -36,136 +33,121 @@ UNITS = [
 ]
 MAGNITUDES = [("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")]
 
-FLOAT = r"^\s*[+-]?([0-9]+(_[0-9]+)*\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-
+# Forms that normalisation would leave as they are.
+PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
+PLAIN_WHOLE = r"^(0|-?[1-9][0-9]{0,14})$"
 
-def replace_all(text: Column, pairs) -> Column:
-    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
+FLOAT = r"^\s*[+-]?([0-9]+(_[0-9]+)*\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def to_number(text: Column) -> Column:
+def number_sql(t: str) -> str:
     """Double where the text is a plain number, else null."""
-    return F.when(text.rlike(FLOAT), F.replace(strip(text), F.lit("_"), F.lit("")).try_cast("double"))
+    return f"CASE WHEN {t} RLIKE {raw(FLOAT)} THEN try_cast(replace({trim(t)}, '_', '') AS double) END"
 
 
-def is_whole(number: Column) -> Column:
-    return F.coalesce(F.abs(number - F.rint(number)) <= 1e-7, F.lit(False))
+def whole_sql(t: str) -> str:
+    """Whether the text is a number within 1e-7 of a whole one."""
+    return bind(number_sql(t), "n", "coalesce(abs(n - rint(n)) <= 1e-7, false)")
 
 
-def whole_text(number: Column) -> Column:
-    return F.rint(number).try_cast("decimal(38,0)").cast("string")
+def _whole_text(t: str) -> str:
+    return f"coalesce(cast(try_cast(rint({number_sql(t)}) AS decimal(38, 0)) AS string), {t})"
 
 
-def strip_number_commas(text: Column) -> Column:
-    """Drop thousands separators. Three passes reach the fixed point: a pass may only skip neighbours."""
-    for _ in range(3):
-        text = F.regexp_replace(text, r"([0-9]),([0-9]{3})($|[^0-9])", "$1$2$3")
-    return text
+def number_commas_sql(t: str) -> str:
+    """Without thousands separators. Three passes reach the fixed point: a pass may only skip neighbours."""
+    return regex(t, *[(r"([0-9]),([0-9]{3})($|[^0-9])", "$1$2$3")] * 3)
 
 
-def _fix_fractions(text: Column) -> Column:
+def _fix_fractions(t: str) -> str:
     r"""``\frac12`` to ``\frac{1}{2}``. Null if a ``\frac`` has nothing after it; unchanged if it has one character."""
-
-    def brace(piece):
-        a, b = F.substring(piece, 1, 1), F.substring(piece, 2, 1)
-        second = F.when(b == "{", b).otherwise(F.concat(F.lit("{"), b, F.lit("}")))
-        return F.when(a == "{", piece).otherwise(
-            F.concat(F.lit("{"), a, F.lit("}"), second, F.substr(piece, F.lit(3)))
-        )
-
-    def rebuild(pieces):
-        tail = F.slice(pieces, F.lit(2), F.size(pieces))
-        empty = F.array_position(tail, "")
-        short = F.array_position(F.transform(tail, lambda p: (F.length(p) == 1) & (p != "{")), True)
-        fixed = F.array_join(F.concat(F.slice(pieces, 1, 1), F.transform(tail, brace)), "\\frac")
-        return (
-            F.when((empty > 0) & ((short == 0) | (empty < short)), F.lit(None).cast("string"))
-            .when(short > 0, F.array_join(pieces, "\\frac"))
-            .otherwise(fixed)
-        )
-
-    return F.when(text.contains("\\frac"), let(F.split(text, r"\\frac"), rebuild)).otherwise(text)
-
-
-def _fix_slash(text: Column) -> Column:
+    command = raw("\\frac")
+    brace = """CASE WHEN left(p, 1) = '{' THEN p
+        WHEN substring(p, 2, 1) = '{' THEN '{' || left(p, 1) || '}' || substr(p, 2)
+        ELSE '{' || left(p, 1) || '}{' || substring(p, 2, 1) || '}' || substr(p, 3) END"""
+    parts = f"split({t}, {raw('[' + chr(92) * 2 + ']frac')})"
+    found = f"""named_struct('all', ps, 'tail', slice(ps, 2, size(ps)),
+        'empty', array_position(slice(ps, 2, size(ps)), ''),
+        'short', array_position(transform(slice(ps, 2, size(ps)), p -> length(p) = 1 AND p <> '{{'), true))"""
+    fixed = f"array_join(concat(slice(f.all, 1, 1), transform(f.tail, p -> {brace})), {command})"
+    rebuilt = bind(parts, "ps", bind(found, "f", f"""CASE
+        WHEN f.empty > 0 AND (f.short = 0 OR f.empty < f.short) THEN NULL
+        WHEN f.short > 0 THEN array_join(f.all, {command}) ELSE {fixed} END"""))
+    return f"CASE WHEN contains({t}, {command}) THEN {rebuilt} ELSE {t} END"
+
+
+def _fix_slash(t: str) -> str:
     r"""``a/b`` of whole numbers to ``\frac{a}{b}``; null if a single slash joins something else."""
-    one = F.length(text) - F.length(F.replace(text, F.lit("/"), F.lit(""))) == 1
     number, plain = r"[+-]?[0-9]+(_[0-9]+)*", r"(0|-?[1-9][0-9]*)"
-    return (
-        F.when(~one, text)
-        .when(text.rlike(f"^{plain}/{plain}$"), F.regexp_replace(text, f"^{plain}/{plain}$", r"\\frac{$1}{$2}"))
-        .when(text.rlike(f"^{number}/{number}$"), text)
-    )
+    return f"""CASE WHEN length({t}) - length(replace({t}, '/', '')) <> 1 THEN {t}
+        WHEN {t} RLIKE {raw(f'^{plain}/{plain}$')} THEN {regex(t, (f'^{plain}/{plain}$', r'\\frac{$1}{$2}'))}
+        WHEN {t} RLIKE {raw(f'^{number}/{number}$')} THEN {t} END"""
 
 
-def normalize_math_string(text: Column) -> Column:
+def math_string_sql(t: str) -> str:
     """LaTeX answer in canonical form; null where the rules do not apply to the text."""
-    t = replace_all(text, LATEX_REPLACEMENTS)
+    unit = raw("\\text{ ")
+    t = swap(t, LATEX_REPLACEMENTS)
+    t = bind(t, "u", f"""CASE WHEN NOT contains(u, {unit}) THEN u
+        WHEN length(u) - length(replace(u, {unit}, '')) = 7 THEN substring_index(u, {unit}, 1) END""")
+    t = regex(swap(t, [("\\%", ""), (" .", " 0."), ("{.", "{0.")]), (r"^\.", "0."))
+    t = bind(t, "e", """CASE WHEN length(e) - length(replace(e, '=', '')) = 1 AND length(substring_index(e, '=', 1)) <= 2
+        THEN substring_index(e, '=', -1) ELSE e END""")
+    t = bind(t, "r", f"CASE WHEN r RLIKE {raw(r'\\sqrt(\\sqrt|$)')} THEN NULL ELSE {regex('r', (r'\\sqrt([^{])', r'\\sqrt{$1}'))} END")
+    t = bind(swap(t, [(" ", "")]), "q", _fix_fractions("q"))
+    t = bind(t, "h", f"CASE WHEN h = '0.5' THEN {raw(chr(92) + 'frac{1}{2}')} ELSE h END")
+    return bind(t, "d", _fix_slash("d"))
+
+
+def math_equal_sql(a: str, b: str) -> str:
+    """Both null: equal. One null: not. Otherwise the canonical forms decide, or the raw texts where one has none.
+
+    Equal raw texts are equal either way, so only differing ones are normalised.
+    """
+    return f"""CASE WHEN {a} <=> {b} THEN true WHEN {a} IS NULL OR {b} IS NULL THEN false
+        ELSE coalesce({math_string_sql(a)} = {math_string_sql(b)}, false) END"""
+
+
+def final_answer_sql(t: str) -> str:
+    """Quantitative answer without units, wrappers, shorthand LaTeX and separators; plain numbers are left alone."""
+    c = swap(f"substring_index({t}, '=', -1)", ANSWER_SUBSTITUTIONS)
+    c = swap(c, [(e, "") for e in ANSWER_REMOVALS])
+    c = regex(
+        c, (r"(?d)(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"),
+        *[(rf"(?d)\\{w}\{{(.*?)\}}", "$1") for w in ("text", "textbf", "overline")],
+        (r"(?d)\\boxed\{(.*)\}", "$1"), (r"(?d)frac([^{])(.)", "frac{$1}{$2}"), (r"sqrt([^{])", "sqrt{$1}"),
+    )
+    c = bind(swap(c, [("$", "")]), "z", "CASE WHEN z RLIKE '^[0-9,]*[0-9][0-9,]*$' THEN replace(z, ',', '') ELSE z END")
+    return f"CASE WHEN {t} RLIKE {raw(PLAIN_NUMBER)} THEN {t} ELSE {trim(c)} END"
 
-    def units(s):
-        n = F.size(F.split(s, r"\\text\{ "))
-        return F.when(n == 2, F.substring_index(s, "\\text{ ", 1)).when(n == 1, s)
 
-    def prefix(s):
-        sides = F.split(s, "=")
-        return F.when((F.size(sides) == 2) & (F.length(F.get(sides, F.lit(0))) <= 2), F.get(sides, F.lit(1))).otherwise(s)
+def symbolic_sql(t: str) -> str:
+    """String form of a symbolic answer: units, separators, magnitudes, braces and case removed."""
+    c = regex(t, (r"^\\text\{(.+?)\}$", "$1"))
+    c = swap(c, [("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), *MAGNITUDES])
+    c = regex(
+        c, *[(rf"{unit}(es)?(s)? *(\^[0-9]+)?", "") for unit in UNITS], (r"\^ *\\circ", ""), (r"(?s)^\{(.*)\}$", "$1"),
+        (r",\\! *", ""),
+    )
+    c = bind(c, "w", f"CASE WHEN {whole_sql('w')} THEN {_whole_text('w')} ELSE w END")
+    c = regex(c, ("- *", "-"), ("([0-9]) +([0-9])", "$1+$2"))
+    c = f"lower({swap(c, [(' ', ''), ('{', ''), ('}', '')])})"
+    bare = "coalesce(cast(try_cast(rint(try_cast(replace(v, ',', '') AS double)) AS decimal(38, 0)) AS string), v)"
+    c = bind(c, "v", f"CASE WHEN {whole_sql(number_commas_sql('v'))} THEN {bare} ELSE v END")
+    return f"CASE WHEN {t} RLIKE {raw(PLAIN_WHOLE)} THEN {t} ELSE {c} END"
 
-    def roots(s):
-        return F.when(s.rlike(r"\\sqrt(\\sqrt|$)"), F.lit(None).cast("string")).otherwise(
-            F.regexp_replace(s, r"\\sqrt([^{])", r"\\sqrt{$1}")
-        )
 
-    t = let(t, units)
-    t = replace_all(t, [("\\%", ""), (" .", " 0."), ("{.", "{0.")])
-    t = F.regexp_replace(t, r"^\.", "0.")
-    t = let(let(t, prefix), roots)
-    t = let(F.replace(t, F.lit(" "), F.lit("")), _fix_fractions)
-    return let(let(t, lambda s: F.when(s == "0.5", "\\frac{1}{2}").otherwise(s)), _fix_slash)
+def normalize_math_string(text: Column) -> Column:
+    return apply(math_string_sql("arg.t"), t=text)
 
 
 def math_strings_equal(a: Column, b: Column) -> Column:
-    """Both null: equal. One null: not. Otherwise the canonical forms decide, or the raw texts where one has none."""
-    na, nb = normalize_math_string(a), normalize_math_string(b)
-    both = let(
-        F.struct(na.alias("a"), nb.alias("b")),
-        lambda s: F.when(s["a"].isNull() | s["b"].isNull(), a == b).otherwise(s["a"] == s["b"]),
-    )
-    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(both)
+    return apply(math_equal_sql("arg.a", "arg.b"), a=a, b=b)
 
 
 def normalize_final_answer(text: Column) -> Column:
-    """Quantitative answer without units, wrappers, shorthand LaTeX and separators."""
-    t = F.substring_index(text, "=", -1)
-    t = replace_all(t, ANSWER_SUBSTITUTIONS)
-    t = replace_all(t, [(e, "") for e in ANSWER_REMOVALS])
-    t = F.regexp_replace(t, r"(?d)(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$")
-    for wrapper in ("text", "textbf", "overline"):
-        t = F.regexp_replace(t, rf"(?d)\\{wrapper}\{{(.*?)\}}", "$1")
-    t = F.regexp_replace(t, r"(?d)\\boxed\{(.*)\}", "$1")
-    t = F.regexp_replace(t, r"(?d)frac([^{])(.)", "frac{$1}{$2}")
-    t = F.regexp_replace(t, r"sqrt([^{])", "sqrt{$1}")
-    t = F.replace(t, F.lit("$"), F.lit(""))
-    return strip(let(t, lambda s: F.when(s.rlike(r"^[0-9,]*[0-9][0-9,]*$"), F.replace(s, F.lit(","), F.lit(""))).otherwise(s)))
+    return apply(final_answer_sql("arg.t"), t=text)
 
 
 def normalize_symbolic(text: Column) -> Column:
-    """String form of a symbolic answer: units, separators, magnitudes, braces and case removed."""
-    t = F.regexp_replace(text, r"^\\text\{(.+?)\}$", "$1")
-    t = replace_all(t, [("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , ")])
-    t = replace_all(t, MAGNITUDES)
-    for unit in UNITS:
-        t = F.regexp_replace(t, rf"{unit}(es)?(s)? *(\^[0-9]+)?", "")
-    t = F.regexp_replace(t, r"\^ *\\circ", "")
-    t = F.regexp_replace(t, r"(?s)^\{(.*)\}$", "$1")
-    t = F.regexp_replace(t, r",\\! *", "")
-    t = let(t, lambda s: F.when(is_whole(to_number(s)), F.coalesce(whole_text(to_number(s)), s)).otherwise(s))
-    t = F.regexp_replace(t, "- *", "-")
-    t = F.regexp_replace(t, "([0-9]) +([0-9])", "$1+$2")
-    t = F.lower(replace_all(t, [(" ", ""), ("{", ""), ("}", "")]))
-    return let(
-        t,
-        lambda s: F.when(
-            is_whole(to_number(strip_number_commas(s))),
-            F.coalesce(whole_text(to_number(F.replace(s, F.lit(","), F.lit("")))), s),
-        ).otherwise(s),
-    )
+    return apply(symbolic_sql("arg.t"), t=text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollmill.functions.grading import overlong_penalty
@@ -102,3 +102,13 @@ def reward_manager(
     return df.withColumn("_penalty", penalty).withColumn("score", score + F.col("_penalty")).withColumn(
         "overlong", F.col("_penalty") < 0
     ).drop("_penalty")
+
+
+class DatasetRegistry(_Registry):
+    """Dataset builders ``(spark, **options) -> DataFrame`` under a name."""
+
+    def load(self, name: str, spark: SparkSession, **options) -> DataFrame:
+        out = self[name](spark, **options)
+        if not isinstance(out, DataFrame):
+            raise TypeError(f"dataset {name!r} did not give a DataFrame")
+        return out

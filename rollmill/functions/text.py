@@ -69,8 +69,7 @@ def render_prompt_template(question: Column, template: str | None) -> Column:
 
 def token_length(text: Column) -> Column:
     """White-space token count; used where no tokenizer vocabulary is supplied."""
-    trimmed = strip(text)
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def word_ids(text: Column, modulus: int = 50_000) -> Column:

@@ -11,7 +11,7 @@ from rollmill.functions.text import let
 
 
 def array_sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)  # float and integer items widen to double
 
 
 def masked_sum(values: Column, mask: Column) -> Column:
@@ -54,9 +54,11 @@ def kl_penalty(logprob: Column, ref_logprob: Column, kind: str = "kl") -> Column
     return F.zip_with(logprob, ref_logprob, rules[kind])
 
 
-def reward_with_kl(scores: Column, kl: Column, mask: Column, beta: float) -> Column:
-    penalty = F.zip_with(kl, mask, lambda k, m: k * m * F.lit(beta))
-    return F.zip_with(scores, penalty, lambda s, p: s - p)
+def reward_with_kl(scores: Column, kl: Column, beta: float, mask: Column | None = None) -> Column:
+    """Token reward less ``beta`` times the divergence; unpadded arrays need no mask."""
+    if mask is not None:
+        kl = F.zip_with(kl, mask, lambda k, m: k * m)
+    return F.zip_with(scores, kl, lambda s, k: s - k * F.lit(beta))
 
 
 def entropy_from_logits(logits: Column) -> Column:

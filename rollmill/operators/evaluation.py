@@ -16,6 +16,7 @@ from rollmill.operators.keyed import (
     running_sum,
     scalars,
 )
+from rollmill.session import staged
 
 KS = (1, 2, 4, 8, 16, 32)
 
@@ -61,9 +62,13 @@ def best_worst_of_n(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ordered = running_sum(counts, keys, [value], F.col("_c"), "_upto")
-    sized = attach_group_stats(ordered, keys, F.sum("_c").alias("_m"), salt=[value])
-    powers = F.filter(F.array(*[F.lit(2**j).cast("bigint") for j in range(1, 62)]), lambda p: p < F.col("_m"))
+    ordered = staged(running_sum(staged(counts, "value-counts"), keys, [value], F.col("_c"), "_upto"), "ordered")
+    sized = attach_group_stats(ordered, keys, F.max("_upto").alias("_m"), salt=[value])
+    # Powers of two from 2 up to below the size: one fewer than the binary digits of size - 1.
+    n_powers = F.length(F.bin(F.col("_m") - 1)) - 1
+    powers = F.when(
+        n_powers > 0, F.transform(F.sequence(F.lit(1), n_powers), lambda j: F.pow(F.lit(2), j).cast("bigint"))
+    ).otherwise(F.array().cast("array<bigint>"))
     drawn = sized.withColumn("n", F.explode(F.concat(powers, F.array("_m"))))
     upto, before = F.col("_upto") / F.col("_m"), (F.col("_upto") - F.col("_c")) / F.col("_m")
     x, n = F.col(value), F.col("n")
@@ -104,7 +109,8 @@ def bootstrap_draws(
     evenly however large a group is.
     """
     keys = list(keys)
-    numbered = positions(df.select(*keys, order, *columns), order, "_at", keys)
+    df = staged(df.select(*keys, order, *columns), "bootstrap")
+    numbered = positions(df, order, "_at", keys)
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     draws = groups.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn(
         "draw", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
@@ -208,6 +214,7 @@ def length_by_reward_level(df: DataFrame, reward: str, length: str, levels: int
 
 def text_stats(df: DataFrame, keys: Sequence[str], chars: str, words: str) -> DataFrame:
     """Rows, and mean, median, minimum and maximum of two length columns, rounded to one digit."""
+    df = staged(df.select(*keys, chars, words), "text-lengths")
     base = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         *[f(c).cast("double").alias(f"{c}_{s}") for c in (chars, words)

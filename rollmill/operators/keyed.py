@@ -12,7 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollmill.session import shuffle_width
+from rollmill.session import shuffle_width, staged
 
 HOT_ROWS = 1_000_000
 
@@ -74,15 +74,24 @@ def order_bucket(df: DataFrame, column: str, buckets: int | None = None, out: st
     return cut.transform(keyed).drop("_order_value").withColumn(out, F.col(out).cast("int"))
 
 
+def fits_one_task(df: DataFrame, hot_rows: int | None = None) -> bool:
+    """Whether the whole table is so small that even one task could order it; counts no further than that."""
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    return df.limit(hot_rows + 1).count() <= hot_rows
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: Column, out: str, buckets: int | None = None
 ) -> DataFrame:
     """Inclusive running sum of ``measure`` within ``keys``, in the order of the ``order`` columns.
 
     The first order column must be numeric. Each task sums one (group, bucket); bucket totals, at most one row
-    per group and bucket, give the offsets.
+    per group and bucket, give the offsets. A table of at most ``HOT_ROWS`` rows needs no buckets.
     """
     keys = list(keys)
+    if fits_one_task(df):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.sum(measure).over(w))
     bucketed = order_bucket(df, order[0], buckets).withColumn("_measure", measure)
     totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_measure").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,9 +148,10 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = staged(counts, "value-counts")
     cumulative = running_sum(counts, keys, [value], F.col("_c"), "_cum")
     if keys:
-        ranked = attach_group_stats(cumulative, keys, F.sum("_c").alias("_n"), salt=[value])
+        ranked = attach_group_stats(cumulative, keys, F.max("_cum").alias("_n"), salt=[value])
     else:
         ranked = cumulative.withColumn("_n", scalars(counts, F.sum("_c").alias("n"))["n"])
     picks = []
@@ -166,6 +176,13 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, point: Column) ->
     bucket are carried over the buckets in between.
     """
     keys = list(keys)
+    if fits_one_task(df):
+        w = Window.partitionBy(*keys).orderBy(order)
+        before = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        after = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+        return df.withColumn("_point", point).withColumn(
+            "_before", F.last("_point", ignorenulls=True).over(before)
+        ).withColumn("_after", F.first("_point", ignorenulls=True).over(after)).drop("_point")
     b = order_bucket(df, order).withColumn("_point", point)
     w = Window.partitionBy(*keys, "_bucket").orderBy(order)
     b = b.withColumn(

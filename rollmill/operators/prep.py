@@ -11,6 +11,7 @@ from rollmill.functions.answers import extract_hash_answer
 from rollmill.functions.text import capitalize, clean_wikihow_text, contains_ci, let
 from rollmill.functions.tokens import pad_truncate
 from rollmill.operators.keyed import HOT_ROWS, attach_group_stats, hash_pick, positions, running_sum, scalars
+from rollmill.session import staged
 
 # Instructions appended to questions.
 HASH_INSTRUCTION = "Let's think step by step and output the final answer after \"####\"."
@@ -260,7 +261,7 @@ def multiturn_masks(
     if truncation not in ("left", "right"):
         raise ValueError(f"unknown truncation {truncation!r}")
     spoken = df.where(F.col(n_tokens) > 0).select(conv, turn, role, F.col(n_tokens).alias("_n"))
-    placed = running_sum(spoken, [conv], [turn], F.col("_n"), "_end")
+    placed = running_sum(staged(spoken, "turns"), [conv], [turn], F.col("_n"), "_end")
     if truncation == "right":
         reached = placed.where(F.col("_end") - F.col("_n") < max_length)
     else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollmill.operators.keyed import neighbours, positions, running_sum
+from rollmill.session import staged
 
 
 def flatten_columns(df: DataFrame, separator: str = "/") -> DataFrame:
@@ -57,7 +58,7 @@ def final_and_peak(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def cumulative_tokens(lengths: DataFrame, keys: Sequence[str], samples_per_step: int) -> DataFrame:
     """Running total, in millions, of samples per step times mean length."""
-    return running_sum(lengths, keys, ["step"], F.col("value") * samples_per_step / 1e6, "tokens_m")
+    return running_sum(staged(lengths, "lengths"), keys, ["step"], F.col("value") * samples_per_step / 1e6, "tokens_m")
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, window: int = 7) -> DataFrame:
@@ -67,7 +68,7 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, win
     be read in order by one task.
     """
     half = window // 2
-    placed = positions(df.select(*keys, order, value), order, "_pos", keys)
+    placed = positions(staged(df.select(*keys, order, value), "series"), order, "_pos", keys)
     spread = placed.withColumn("_d", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn(
         "_pos", F.col("_pos") + F.col("_d")
     )
@@ -84,7 +85,7 @@ def interpolate(
     rest = [c for c in targets.columns if c not in (*keys, x)]
     known = series.select(*keys, F.col(x).cast("double").alias(x), F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y")).alias("_p"))
     asked = targets.select(*keys, F.col(x).cast("double").alias(x), F.struct(F.lit(True).alias("_asked"), *rest).alias("_t"))
-    both = known.unionByName(asked, allowMissingColumns=True)
+    both = staged(known.unionByName(asked, allowMissingColumns=True), "series")
     placed = neighbours(both, keys, x, F.col("_p")).where("_t is not null")
     a, b = F.col("_before"), F.col("_after")
     share = F.try_divide(F.col(x) - a["x"], b["x"] - a["x"])

@@ -237,7 +237,13 @@ def _(spark, sf):
     return L.seqlen_balance_kk(_batched_docs(spark, sf), ["batch"], "rank", "n_chars", 4, equal_size=True)
 
 
-@query("seqlen_balance_greedy")
+# Each item goes to the first lightest part; the recursion walks the items of all batches in step.
+@query("seqlen_balance_greedy", BATCHED_DOCS.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + """
+, w AS (SELECT batch, -1::BIGINT AS i, [0, 0, 0, 0]::BIGINT[] AS sums, 0 AS part, 0::BIGINT AS doc_id, 0::BIGINT AS n_chars, 0::BIGINT AS rank FROM b GROUP BY batch
+  UNION ALL
+  SELECT w.batch, w.i + 1, list_transform(range(1, 5), lambda j: w.sums[j] + CASE WHEN j = list_position(w.sums, list_min(w.sums)) THEN b.n_chars ELSE 0 END),
+    CAST(list_position(w.sums, list_min(w.sums)) - 1 AS INTEGER), b.doc_id, b.n_chars, b.rank FROM w JOIN b ON b.batch = w.batch AND b.rank = w.batch * 32 + w.i + 1)
+SELECT doc_id, n_chars, rank, batch, part FROM w WHERE i >= 0""")
 def _(spark, sf):
     return L.seqlen_balance_greedy(_batched_docs(spark, sf), ["batch"], "rank", "n_chars", 4)
 

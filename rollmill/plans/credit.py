@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollmill.functions import tokens as T
+from rollmill.functions.grading import grade_exact
 from rollmill.operators import credit as C
+from rollmill.operators.keyed import attach_group_stats
 from rollmill.plans.catalog import query
+from rollmill.session import spread, staged
 from rollmill.views import ev, tok
 
 GROUP = ["track", "question_idx"]
@@ -149,7 +152,7 @@ def _(spark, sf):
     df = _tokens(spark, sf).withColumn("ref", F.reverse("vals"))
     kl = T.kl_penalty(F.col("vals"), F.col("ref"), "kl")
     mean = T.array_sum(T.kl_penalty(F.col("vals"), F.col("ref"), "abs")) / F.col("n")
-    out = df.select("uid", "n", T.reward_with_kl(F.col("rewards"), kl, F.col("mask"), 0.01).alias("reward"), mean.alias("m"))
+    out = df.select("uid", "n", T.reward_with_kl(F.col("rewards"), kl, 0.01, F.col("mask")).alias("reward"), mean.alias("m"))
     out = out.withColumn("seq_abs_kl", F.transform("reward", lambda _: F.col("m")))
     return _long(out, "reward", "seq_abs_kl")
 
@@ -243,3 +246,43 @@ FROM ev GROUP BY track, step""")
 def _(spark, sf):
     out = C.kl_controller(ev(spark, sf), ["track", "step"], "value", F.lit(8), init=0.2, target=250.0, horizon=10000.0)
     return out.select("track", "step", _r("kl_coef"), "updates")
+
+
+def _logprobs(a, b):
+    return F.transform(
+        F.sequence(F.lit(1), F.col("response_length")),
+        lambda i: -F.pmod(F.col("sample_id") * a + i * b, F.lit(100)) / 100.0,
+    )
+
+
+@query("score_kl_advantage", views="ev", oracle=r"""
+, s AS (SELECT sample_id, track, question_idx, response_length AS n,
+    CASE WHEN replace(nullif(regexp_extract(output, '#### (-?[0-9.,]+)', 1), ''), ',', '') = ground_truth::VARCHAR THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM ev),
+k AS (SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: (sample_id * 17 + i * 5) % 100 / 100.0::DOUBLE - (sample_id * 31 + i * 7) % 100 / 100.0::DOUBLE)) AS kl FROM s),
+r AS (SELECT *, score - 0.001 * coalesce(kl, 0) AS reward, kl / n AS mean_kl FROM k WHERE n > 0),
+g AS (SELECT track, question_idx, count(*) AS n, avg(reward) AS m, stddev_samp(reward) AS sd FROM r GROUP BY ALL)
+SELECT sample_id, round(reward, 6) AS reward, round(mean_kl, 6) AS mean_kl,
+  round((reward - CASE WHEN g.n = 1 THEN 0 ELSE m END) / (CASE WHEN g.n = 1 THEN 1 ELSE sd END + 1e-6), 5) AS advantage FROM r JOIN g USING (track, question_idx)""")
+def _(spark, sf):
+    """The reference's timed stage in one job: grade, token rewards with divergence, group advantage."""
+    e = spread(ev(spark, sf), "sample_id").where("response_length > 0").select(
+        "sample_id", *GROUP, "response_length", grade_exact(F.col("output"), F.col("ground_truth")).alias("score")
+    )
+    kl = T.kl_penalty(_logprobs(31, 7), _logprobs(17, 5))
+    tokens = e.select("sample_id", *GROUP, T.place_terminal_reward(F.col("response_length"), F.col("score")).alias("scores"), kl.alias("kl"))
+    rewards = tokens.select(
+        "sample_id", *GROUP, T.array_sum(T.reward_with_kl(F.col("scores"), F.col("kl"), 0.001)).alias("reward"),
+        (T.array_sum(F.col("kl")) / F.size("kl")).alias("mean_kl"),
+    )
+    out = C.adv_grpo(staged(rewards, "rewards"), GROUP, "reward")
+    return out.select("sample_id", _r("reward"), _r("mean_kl"), _r("advantage", digits=5))
+
+
+@query("join_group_stats", views="ev", oracle=GROUP_MEAN + """
+SELECT sample_id, round(m, 6) AS group_mean, round(s, 6) AS group_std, n AS group_size FROM ev JOIN g USING (track, question_idx)""")
+def _(spark, sf):
+    df = ev(spark, sf).select("sample_id", *GROUP, "value")
+    out = attach_group_stats(
+        df, GROUP, F.avg("value").alias("group_mean"), F.stddev_samp("value").alias("group_std"), F.count("value").alias("group_size")
+    )
+    return out.select("sample_id", _r("group_mean"), _r("group_std"), "group_size")

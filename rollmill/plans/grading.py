@@ -355,3 +355,13 @@ def _(spark, sf):
     line = F.format_string("step:%d - critic/score/mean:%s - k:%d", "step", F.col("value").cast("string"), "k")
     m = ev(spark, sf).select("sample_id", X.parse_log_line(line).alias("m"))
     return m.select("sample_id", F.col("m")["step"].cast("int").alias("step"), F.round(F.col("m")["critic/score/mean"].cast("double"), 6).alias("score"))
+
+
+@query("register_dataset_cls", "SELECT doc_id, upper(lang) AS prompt, text AS response FROM documents")
+def _(spark, sf):
+    datasets = R.DatasetRegistry()
+    datasets.register(
+        "documents",
+        lambda spark, folder: table(spark, folder, "documents").select("doc_id", F.upper("lang").alias("prompt"), F.col("text").alias("response")),
+    )
+    return datasets.load("documents", spark, folder=sf)

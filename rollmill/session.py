@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the call site of every Column operation costs several JVM round trips each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -43,3 +45,23 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 def shuffle_width(spark: SparkSession) -> int:
     """How many buckets an ordered or salted pass should aim for."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and continue from it.
+
+    For narrow results of costly work that several passes read: the work is done once, lineage is cut, and a
+    lost executor costs a re-read only.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share costly per-row work evenly when the input has fewer partitions than there are cores.
+
+    A small file of one row group is read by a single task. Large inputs have partitions enough and pass through.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollmill.schemas import TABLES
+from rollmill.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,7 +103,7 @@ def pref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollouts whose answers are written in the LaTeX forms the graders must tell apart."""
-    e = ev(spark, sf_dir)
+    e = spread(ev(spark, sf_dir), "sample_id")
     answer = F.col("k") % 10
     forms = [
         F.concat(F.lit("\\boxed{"), answer, F.lit("}")),
