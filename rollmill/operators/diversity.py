@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollmill.functions.tokens import array_sum
+from rollmill.operators.keyed import attach_group_stats
 
 CHUNK_ROWS = 4096
 
@@ -37,12 +38,11 @@ def group_similarity(
     chunk leave their task as scalars, so only large groups shuffle matrices, one per chunk.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    chunks = F.ceil(F.col("_n") / chunk_rows).cast("int")
-    large = sizes.where(F.col("_n") > chunk_rows).select(*keys, chunks.alias("_chunks"))
-    cut = df.select(*keys, key, F.col(embedding).alias("_v")).join(F.broadcast(large), keys, "left").withColumn(
-        "_chunk", F.when(F.col("_chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.col("_chunks")).cast("int"))
-    ).withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+    rows = df.select(*keys, key, F.col(embedding).alias("_v"))
+    sized = attach_group_stats(rows, keys, F.count(F.lit(1)).alias("_n"), salt=[key])
+    cut = sized.withColumn("_chunks", F.ceil(F.col("_n") / chunk_rows).cast("int")).withColumn(
+        "_chunk", F.pmod(F.xxhash64(key), F.col("_chunks")).cast("int")
+    )
 
     key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 

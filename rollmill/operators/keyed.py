@@ -86,10 +86,10 @@ def running_sum(
     """Inclusive running sum of ``measure`` within ``keys``, in the order of the ``order`` columns.
 
     The first order column must be numeric. Each task sums one (group, bucket); bucket totals, at most one row
-    per group and bucket, give the offsets. A table of at most ``HOT_ROWS`` rows needs no buckets.
+    per group and bucket, give the offsets. Within groups, a table of at most ``HOT_ROWS`` rows needs no buckets.
     """
     keys = list(keys)
-    if fits_one_task(df):
+    if keys and fits_one_task(df):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out, F.sum(measure).over(w))
     bucketed = order_bucket(df, order[0], buckets).withColumn("_measure", measure)
@@ -127,11 +127,13 @@ def hash_pick(key: Column, seed: str | Column, n: int) -> Column:
 def hash_positions(df: DataFrame, key: str, seed: str | Column, out: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
     """Zero-based position in seeded random order.
 
-    The leading three hexadecimal digits of the hash cut the table, or each group, into 4096 even buckets, so
-    the sort is spread over tasks even when there is a single group.
+    The leading hexadecimal digits of the hash cut the table, or each group, into even buckets, several per
+    shuffle partition, so the sort is spread over tasks even when there is a single group.
     """
     keys = list(keys)
-    hashed = df.withColumn("_hash", hash_order(F.col(key), seed)).withColumn("_bucket", F.substring("_hash", 1, 3))
+    width = shuffle_width(df.sparkSession)
+    digits = next(d for d in range(2, 9) if 16**d >= 8 * width)
+    hashed = df.withColumn("_hash", hash_order(F.col(key), seed)).withColumn("_bucket", F.substring("_hash", 1, digits))
     totals = hashed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))

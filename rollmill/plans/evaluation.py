@@ -483,7 +483,7 @@ SELECT source, count(*) AS rows, round(avg(chars), 1) AS chars_mean, round(min(c
   round(quantile_cont(chars, 0.5), 1) AS chars_median, round(avg(words), 1) AS words_mean, round(min(words)::DOUBLE, 1) AS words_min, round(max(words)::DOUBLE, 1) AS words_max,
   round(quantile_cont(words, 0.5), 1) AS words_median FROM d GROUP BY source""")
 def _(spark, sf):
-    d = spread(docs(spark, sf).select("doc_id", "source", "n_chars", "text"), "doc_id")
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "n_chars", "text"), "doc_id")
     d = d.select("source", F.col("n_chars").alias("chars"), X.token_length(F.col("text")).alias("words"))
     return E.text_stats(d, ["source"], "chars", "words")
 

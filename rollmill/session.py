@@ -61,7 +61,8 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Share costly per-row work evenly when the input has fewer partitions than there are cores.
 
-    A small file of one row group is read by a single task. Large inputs have partitions enough and pass through.
+    For scans and what follows them without a shuffle: a small file of one row group is read by a single task.
+    Large inputs have partitions enough and pass through.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
