@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+try:
+    from tokenizers import Tokenizer
+except ImportError:  # counting by white space needs no package
+    Tokenizer = None
+
 # Line openings that count as a verification step.
 VERIFICATION_WORDS = ["approximation", "wait"]
 VERIFICATION_OPENINGS = [
@@ -115,3 +123,18 @@ def contains_ci(column: Column, needle: str) -> Column:
 def parse_log_line(line: Column) -> Column:
     """``step:3 - critic/score/mean:0.5`` to a map of names and values."""
     return F.str_to_map(line, F.lit(" - "), F.lit(":"))
+
+
+def tokenizer_length(text: Column, tokenizer_json: str) -> Column:
+    """Token count by a serialised tokenizer; each Python worker loads it once and encodes whole Arrow batches."""
+    if Tokenizer is None:
+        raise ImportError("the tokenizers package is needed to count tokens by vocabulary")
+
+    @F.pandas_udf("int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = Tokenizer.from_str(tokenizer_json)
+        for texts in batches:
+            known = texts.fillna("").tolist()
+            yield pd.Series([len(e.ids) for e in tokenizer.encode_batch(known)], dtype="int32")
+
+    return run(text)

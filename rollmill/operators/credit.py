@@ -17,7 +17,7 @@ from rollmill.functions.tokens import (
     masked_sum,
     squares,
 )
-from rollmill.operators.keyed import HOT_ROWS, attach_group_stats, scalars
+from rollmill.operators.keyed import HOT_ROWS, attach_group_stats, running_sum, scalars
 
 
 def adv_grpo(
@@ -229,3 +229,12 @@ def kl_controller(
         (F.lit(init) * F.exp(F.sum(F.ln(1 + error * n_steps / horizon)))).alias("kl_coef"),
         F.count(F.lit(1)).alias("updates"),
     )
+
+
+def kl_trajectory(
+    df: DataFrame, keys: list[str], order: str, kl: str, n_steps: Column, *, init: float, target: float, horizon: float
+) -> DataFrame:
+    """Value of the adaptive coefficient after each update: a running sum of the logarithms of its factors."""
+    error = F.greatest(F.least(F.col(kl) / target - 1, F.lit(0.2)), F.lit(-0.2))
+    logs = running_sum(df, keys, [order], F.ln(1 + error * n_steps / horizon), "_log")
+    return logs.withColumn("kl_coef", F.lit(init) * F.exp("_log")).drop("_log")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from rollmill.operators import balance as L
 from rollmill.operators import batch as B
-from rollmill.operators.keyed import hash_positions, scalars
+from rollmill.operators.keyed import hash_positions
+from rollmill.operators.prep import build_conversation_messages
+from rollmill.operators.runlog import flatten_columns
 from rollmill.plans.catalog import query
-from rollmill.views import conv, docs, ev, table
+from rollmill.views import ev, table
 
 NUMBERED = "SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events"
 
@@ -120,7 +122,8 @@ def _(spark, sf):
 
 @query("list_of_dict_to_columns", "SELECT conv_id, turn, role, text FROM conversations")
 def _(spark, sf):
-    return conv(spark, sf).select("conv_id", F.inline("messages"))
+    messages = build_conversation_messages(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    return messages.select("conv_id", F.inline("messages"))
 
 
 @query("flatten_dict_columns", """
@@ -130,8 +133,6 @@ def _(spark, sf):
         "event_id", F.struct(F.col("event_type").alias("type"), F.struct(F.col("user_id").alias("id")).alias("user")).alias("meta"),
         F.col("value").alias("score"),
     )
-    from rollmill.operators.runlog import flatten_columns
-
     return flatten_columns(nested, ".")
 
 

@@ -286,3 +286,11 @@ def _(spark, sf):
         df, GROUP, F.avg("value").alias("group_mean"), F.stddev_samp("value").alias("group_std"), F.count("value").alias("group_size")
     )
     return out.select("sample_id", _r("group_mean"), _r("group_std"), "group_size")
+
+
+@query("adaptive_kl_trajectory", views="ev", oracle="""
+SELECT track, sample_id, round(0.2 * exp(sum(ln(1 + least(greatest(value / 250.0 - 1, -0.2), 0.2) * 8 / 10000.0)) OVER (PARTITION BY track ORDER BY sample_id)), 6) AS kl_coef FROM ev""")
+def _(spark, sf):
+    e = ev(spark, sf).select("track", "sample_id", "value")
+    out = C.kl_trajectory(e, ["track"], "sample_id", "value", F.lit(8), init=0.2, target=250.0, horizon=10000.0)
+    return out.select("track", "sample_id", _r("kl_coef"))

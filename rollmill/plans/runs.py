@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollmill.functions import tokens as T
 from rollmill.functions.answers import extract_hash_answer
 from rollmill.functions.grading import grade_exact
 from rollmill.operators import prep as P

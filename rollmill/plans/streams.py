@@ -73,6 +73,17 @@ def _(spark, sf):
     return out.select("user_id", "event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+@query("stream_group_timer", """
+WITH g AS (SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(ts) AS newest FROM events GROUP BY ALL)
+SELECT user_id, event_type, n, mean, n >= 12 AS complete FROM g
+WHERE n >= 12 OR epoch_ms(newest) + 3 * 86400000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
+def _(spark, sf):
+    groups = R.complete_groups_with_timer(
+        _events(spark, sf), ["user_id", "event_type"], "time", "value", 12, patience_ms=3 * 86_400_000, late="1 hour"
+    )
+    return R.run_available(groups, [], "append").withColumn("mean", F.round("mean", 6))
+
+
 @query("stream_adaptive_kl", """
 SELECT event_type, round(0.2 * exp(sum(ln(1 + least(greatest(value / 250.0 - 1, -0.2), 0.2) * 8 / 10000.0))), 6) AS kl_coef, count(*) AS updates FROM events GROUP BY event_type""")
 def _(spark, sf):

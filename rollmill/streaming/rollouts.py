@@ -1,15 +1,17 @@
 """Streaming forms of the incremental behaviours. Each transformation also runs on a static DataFrame.
 
-State is kept as aggregates, never as buffered rows, so it stays small per key and is combined before shuffling.
+State is kept as aggregates, never as buffered rows, so it stays small per key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from rollmill.operators.credit import kl_controller
 from rollmill.session import scratch_dir
@@ -53,6 +55,49 @@ def complete_groups(df: DataFrame, keys: Sequence[str], score: str, expected: in
     ).where(F.col("n") >= expected)
 
 
+def complete_groups_with_timer(
+    df: DataFrame, keys: Sequence[str], time: str, score: str, expected: int, *, patience_ms: int, late: str
+) -> DataFrame:
+    """One row per prompt group: when its responses are complete, or, flagged, once it was silent for too long.
+
+    State per group is a count, two sums and the newest time; it is dropped when the row is emitted.
+    """
+    key_fields = [df.schema[k] for k in keys]
+    out = T.StructType([
+        *key_fields, T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()),
+        T.StructField("complete", T.BooleanType()),
+    ])
+    state_type = "n bigint, total double, newest bigint"
+
+    def row(key, n, total, complete):
+        values = dict(zip(keys, key)) | {"n": n, "mean": total / n, "complete": complete}
+        return pd.DataFrame([values])[[f.name for f in out.fields]]
+
+    def update(key, frames, state):
+        n, total, newest = state.get if state.exists else (0, 0.0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield row(key, n, total, False)
+            return
+        for pdf in frames:
+            n, total = n + len(pdf), total + float(pdf["_score"].sum())
+            newest = max(newest, int(pdf["_ms"].max()))
+        if n >= expected:
+            if state.exists:
+                state.remove()
+            yield row(key, n, total, True)
+        else:
+            state.update((n, total, newest))
+            state.setTimeoutTimestamp(newest + patience_ms)
+
+    narrow = df.withWatermark(time, late).select(
+        *keys, time, F.col(score).alias("_score"), F.unix_millis(time).alias("_ms")
+    )
+    return narrow.groupBy(*keys).applyInPandasWithState(
+        update, out, state_type, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def adaptive_kl(df: DataFrame, keys: Sequence[str], kl: str, n_steps: Column, *, init: float, target: float, horizon: float) -> DataFrame:
     return kl_controller(df, list(keys), kl, n_steps, init=init, target=target, horizon=horizon)
 

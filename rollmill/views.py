@@ -55,11 +55,6 @@ def tok(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
-
-
 def hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric log in long form; the same (run, metric, step) occurs more than once."""
     return table(spark, sf_dir, "orders").select(
@@ -148,9 +143,6 @@ SELECT vec_id AS uid, label, 8 + 6 * label AS n,
        list_transform(range(1, 9 + 6 * label),
          lambda i: CASE WHEN i = 8 + 6 * label AND vec_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rewards
 FROM embeddings""",
-    "conv": """
-SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn) AS messages
-FROM conversations GROUP BY conv_id""",
     "hist": """
 SELECT o_orderkey AS row_id, o_orderstatus AS run_id, CAST(o_custkey % 400 AS INTEGER) AS step,
        o_orderdate AS created_at, o_orderpriority AS metric, o_totalprice AS value

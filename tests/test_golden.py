@@ -264,3 +264,27 @@ def test_student_t(spark):
     # Tabulated two-sided 5% points.
     for df, t in [(1, 12.706), (5, 2.571), (30, 2.042)]:
         assert one(spark, E.student_t_two_sided(F.lit(float(t)), F.lit(float(df)))) == pytest.approx(0.05, abs=2e-4)
+
+
+def test_tokenizer_length(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    vocabulary = {"[UNK]": 0, "a": 1, "b": 2}
+    tok = tokenizers.Tokenizer(tokenizers.models.WordLevel(vocabulary, unk_token="[UNK]"))
+    tok.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    df = spark.createDataFrame([("a b c",), ("",), (None,)], "t string")
+    assert [r["n"] for r in df.select(X.tokenizer_length(F.col("t"), tok.to_str()).alias("n")).collect()] == [3, 0, 0]
+
+
+def test_adaptive_coefficient_follows_the_controller(spark):
+    from rollmill.operators import credit as C
+
+    values = [0.1, 0.5, 0.02, 0.2, 0.3]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "run int, step int, kl double")
+    options = {"init": 0.2, "target": 0.15, "horizon": 100.0}
+    got = C.kl_trajectory(df, ["run"], "step", "kl", F.lit(8), **options).orderBy("step").collect()
+    coef, want = 0.2, []
+    for v in values:
+        coef *= 1 + min(max(v / 0.15 - 1, -0.2), 0.2) * 8 / 100
+        want.append(coef)
+    assert [r["kl_coef"] for r in got] == pytest.approx(want)
+    assert C.kl_controller(df, ["run"], "kl", F.lit(8), **options).first()["kl_coef"] == pytest.approx(coef)
