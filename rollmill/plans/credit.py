@@ -264,7 +264,7 @@ g AS (SELECT track, question_idx, count(*) AS n, avg(reward) AS m, stddev_samp(r
 SELECT sample_id, round(reward, 6) AS reward, round(mean_kl, 6) AS mean_kl,
   round((reward - CASE WHEN g.n = 1 THEN 0 ELSE m END) / (CASE WHEN g.n = 1 THEN 1 ELSE sd END + 1e-6), 5) AS advantage FROM r JOIN g USING (track, question_idx)""")
 def _(spark, sf):
-    """The reference's timed stage in one job: grade, token rewards with divergence, group advantage."""
+    """The timed stage in one job: grade, token rewards with divergence, group advantage."""
     e = spread(ev(spark, sf), "sample_id").where("response_length > 0").select(
         "sample_id", *GROUP, "response_length", grade_exact(F.col("output"), F.col("ground_truth")).alias("score")
     )
