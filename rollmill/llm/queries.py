@@ -13,6 +13,7 @@ from rollmill.llm.license_scan import scan_notices
 from rollmill.llm.packing import pack_documents
 from rollmill.llm.quality import judge_quality
 from rollmill.llm.simhash import near_duplicates
+from rollmill.llm.substring import remove_repeats
 from rollmill.llm.token_counts import count_tokens
 from rollmill.llm.toxicity import held_out, score_toxicity, train
 from rollmill.llm.url_filter import HostRule, judge_urls, with_canonical
@@ -98,6 +99,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items")
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
 }
