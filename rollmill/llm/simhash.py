@@ -132,9 +132,10 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, duplicates: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs (unique ids) that name their component."""
+    """One row of docs per component: that of the least id, once if its row is repeated. Rows without an id stay."""
     kept = duplicates.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 __all__ = ["components", "covering_masks", "fingerprint", "fingerprint_links", "fingerprints", "keep_one", "near_duplicates"]
