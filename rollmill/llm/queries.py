@@ -14,6 +14,7 @@ from rollmill.llm.packing import pack_documents
 from rollmill.llm.quality import judge_quality
 from rollmill.llm.simhash import near_duplicates
 from rollmill.llm.substring import remove_repeats
+from rollmill.llm.suffix_dedup import remove_held_before
 from rollmill.llm.token_counts import count_tokens
 from rollmill.llm.toxicity import held_out, score_toxicity, train
 from rollmill.llm.url_filter import HostRule, judge_urls, with_canonical
@@ -114,6 +115,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "flagged")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_held_before(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
@@ -124,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
