@@ -78,13 +78,21 @@ class Powers:
 _POWERS = Powers(0x27BB2EE687B0B0FD)
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+class Spans:
     """64-bit hashes of the spans of a sequence of codes: equal spans hash alike wherever they stand."""
-    up, down = _POWERS.to(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * up[: len(codes)], dtype=np.uint64, out=total[1:])
-    value = (total[ends] - total[starts]) * down[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * _STEP)
+
+    def __init__(self, codes: np.ndarray) -> None:
+        up, self.down = _POWERS.to(len(codes) + 1)
+        self.total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * up[: len(codes)], dtype=np.uint64, out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        value = (self.total[ends] - self.total[starts]) * self.down[starts]
+        return mix(value + (ends - starts).astype(np.uint64) * _STEP)
+
+
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return Spans(codes).hashes(starts, ends)
 
 
 def words_of(offsets: np.ndarray, data: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,16 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.llm.arrays import covered, mix, span_hashes
+from rollmill.llm.arrays import Spans, covered, mix
 from rollmill.llm.packs import SENT, _dealt, answered, each_pack, pack, parts_for, per_pack, sent, shared_keys, with_answers
 from rollmill.llm.staging import shuffle_parts, written
 from rollmill.llm.substring import difference_cover
 
 _CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 NO_ID = np.iinfo(np.int64).max
-BLOCK = 128  # bytes between content-defined cuts, on average
-GRAM = 12  # bytes that decide on a cut
-BYTES_PER_PART = 8 << 20
+BLOCK_BITS = 7  # a content-defined cut every 128 bytes, on average
+CUT_RULE = np.uint64(0x9E3779B97F4A7C15)
+#: Suffixes that are sorted together, about.
+SORT_SIZE = 1 << 20
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -74,12 +75,11 @@ class Texts:
     def __init__(self, ids: pa.Array, offsets: np.ndarray, data: np.ndarray, length: int) -> None:
         self.data, self.offsets, self.length = data, offsets, length
         self.ids = np.array([NO_ID if x is None else x for x in ids.to_pylist()], np.int64)
-        self.total = np.zeros(len(data) + 1, np.uint64)
         n = len(data)
         cut = np.zeros(n + 1, bool)
-        if n >= GRAM:
-            at = np.arange(n - GRAM + 1)
-            cut[: n - GRAM + 1] = span_hashes(_CODE[data], at, at + GRAM) % np.uint64(BLOCK) == 0
+        if n >= 8:
+            words = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view(np.uint64).ravel()
+            cut[: n - 7] = (words * CUT_RULE) >> np.uint64(64 - BLOCK_BITS) == 0
         cut[offsets] = True
         self.blocks = np.flatnonzero(cut[:n])
         self.doc = np.searchsorted(offsets, self.blocks, "right") - 1
@@ -88,7 +88,8 @@ class Texts:
         #: The strings that start in a block lie in it and the length - 1 bytes behind it.
         self.stops = np.minimum(ends + length - 1, stop)
         self.ends = np.minimum(ends, stop - length + 1)  # behind the last string that starts in the block
-        self.keys = span_hashes(_CODE[data], self.blocks, self.stops) if n else np.zeros(0, np.uint64)
+        self.spans = Spans(_CODE[data])
+        self.keys = self.spans.hashes(self.blocks, self.stops)
 
     def least(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct block keys, the least id that holds each, and which of them each block is."""
@@ -102,16 +103,49 @@ class Texts:
         distinct, least, back = self.least()
         return answered(distinct, n_parts, answers)[back] | (self.ids[self.doc] > least[back])
 
-    def anchors(self, gone: np.ndarray, period: int, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and keys of the cover positions in blocks that are not gone; counted from the text's first byte."""
-        size = self.length - period + 1
+    def starts(self, blocks: np.ndarray) -> np.ndarray:
+        """Where strings start in the given blocks."""
+        use = blocks & (self.ends > self.blocks)
         depth = np.zeros(len(self.data) + 1, np.int32)
+        np.add.at(depth, self.blocks[use], 1)
+        np.add.at(depth, self.ends[use], -1)
+        return np.cumsum(depth[:-1]) > 0
+
+    def anchors(self, gone: np.ndarray, period: int, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, documents and keys of the cover positions in blocks that are not gone; counted from the text's first byte."""
+        size = self.length - period + 1
         live = ~gone & (self.ends > self.blocks)
+        depth = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(depth, self.blocks[live], 1)
-        np.add.at(depth, np.maximum(self.stops[live] - size + 1, self.blocks[live]), -1)
+        np.add.at(depth, self.stops[live] - size + 1, -1)
         at = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
-        at = at[cover[(at - self.offsets[np.searchsorted(self.offsets, at, "right") - 1]) % period]]
-        return at, span_hashes(_CODE[self.data], at, at + size)
+        doc = np.searchsorted(self.offsets, at, "right") - 1
+        use = cover[(at - self.offsets[doc]) % period]
+        return at[use], doc[use], self.spans.hashes(at[use], at[use] + size)
+
+    def minimizers(self, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For strings that start at the given places: each one's least gram, so that equal strings share it at the same shift.
+
+        Of every such gram, the place, and how far the strings that chose it reach to either side.
+        """
+        size = self.length - span + 1
+        grams = np.flatnonzero(covered(starts, span, len(self.data)))
+        hashed = self.spans.hashes(grams, grams + size)
+        # Grams of a run of starts are consecutive, so a string's grams stand together in this list.
+        best = np.arange(len(grams))
+        reach = 1
+        while reach < span:
+            step = min(reach, span - reach)
+            ahead = np.minimum(np.arange(len(grams)) + step, len(grams) - 1)
+            other = best[ahead]
+            best = np.where(hashed[other] < hashed[best], other, best)
+            reach += step
+        at = grams[best[np.searchsorted(grams, starts)]]
+        place, back = np.unique(at, return_inverse=True)
+        low, high = np.full(len(place), NO_ID), np.zeros(len(place), np.int64)
+        np.minimum.at(low, back, starts)
+        np.maximum.at(high, back, starts)
+        return place, place - low, high + self.length - place - size
 
 
 def _with_ids(pack_no: int, keys: np.ndarray, ids: np.ndarray, n_parts: int) -> pa.RecordBatch | None:
@@ -147,12 +181,9 @@ def smaller_elsewhere(rows: DataFrame, n_parts: int) -> DataFrame:
     return rows.repartitionById(n_parts, F.col("part")).mapInArrow(compare, "pack long, part int, bits binary")
 
 
-def _contexts(texts: Texts, at: np.ndarray, period: int) -> np.ndarray:
-    """Around each anchor: all strings that hold it, preceded by how many bytes before and behind belong to its text."""
-    reach, size = period - 1, texts.length - period + 1
-    doc = np.searchsorted(texts.offsets, at, "right") - 1
-    left = np.minimum(at - texts.offsets[doc], reach)
-    right = np.minimum(texts.offsets[doc + 1] - at - size, reach)
+def _contexts(texts: Texts, at: np.ndarray, left: np.ndarray, right: np.ndarray, span: int) -> np.ndarray:
+    """Around each gram the bytes of the strings that chose it, preceded by how many of them stand before and behind it."""
+    reach, size = span - 1, texts.length - span + 1
     padded = np.concatenate([np.zeros(reach, np.uint8), texts.data, np.zeros(reach, np.uint8)])
     wide = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + size)[at].copy()
     column = np.arange(2 * reach + size)
@@ -160,9 +191,9 @@ def _contexts(texts: Texts, at: np.ndarray, period: int) -> np.ndarray:
     return np.concatenate([left[:, None].astype(np.uint8), right[:, None].astype(np.uint8), wide], axis=1)
 
 
-def _sorted_strings(contexts: np.ndarray, ids: np.ndarray, length: int, period: int) -> np.ndarray:
+def _sorted_strings(contexts: np.ndarray, ids: np.ndarray, length: int, span: int) -> np.ndarray:
     """Which strings (context, start) also start in a context of a smaller id: suffix array, then adjacent prefixes."""
-    reach = period - 1
+    reach = span - 1
     n, width = len(contexts), contexts.shape[1] - 2
     left, right, body = contexts[:, 0].astype(int), contexts[:, 1].astype(int), contexts[:, 2:]
     flat = np.zeros((n, width + 1), np.int64)
@@ -177,7 +208,7 @@ def _sorted_strings(contexts: np.ndarray, ids: np.ndarray, length: int, period:
     same = np.ones(max(len(begin) - 1, 0), bool)
     for k in sorted({*range(0, length - 7, 8), length - 8}):
         same &= words[begin[1:] + k] == words[begin[:-1] + k]
-    out = np.zeros((n, period), bool)
+    out = np.zeros((n, span), bool)
     if len(begin):
         group = np.concatenate([[0], np.cumsum(~same)])
         firsts = np.flatnonzero(np.concatenate([[True], ~same]))
@@ -187,9 +218,14 @@ def _sorted_strings(contexts: np.ndarray, ids: np.ndarray, length: int, period:
     return out
 
 
-def sorted_shards(rows: DataFrame, n_parts: int, length: int, period: int) -> DataFrame:
-    """For rows (pack, part, keys (contexts), ids): per pack, the answers (part, bits): for each context, ``period`` bits."""
-    width = 2 * (period - 1) + length - period + 3
+def sorted_shards(rows: DataFrame, n_parts: int, length: int, span: int) -> DataFrame:
+    """For rows (pack, part, keys (contexts), ids): per pack, the answers (part, bits): for each context, ``span`` bits.
+
+    Contexts of one gram are sorted together; a task sorts one lot of grams after the other, each of about SORT_SIZE suffixes.
+    """
+    reach, size = span - 1, length - span + 1
+    width = 2 * reach + size + 2
+    weights = mix(np.arange(7, 7 + size, dtype=np.uint64))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
@@ -198,7 +234,16 @@ def sorted_shards(rows: DataFrame, n_parts: int, length: int, period: int) -> Da
                 held.setdefault(part, []).append((pack_no, np.frombuffer(contexts, np.uint8).reshape(-1, width), np.frombuffer(ids, "<i8")))
         while held:
             part, got = held.popitem()
-            hit = _sorted_strings(np.concatenate([c for _, c, _ in got]), np.concatenate([i for _, _, i in got]), length, period)
+            contexts, ids = np.concatenate([c for _, c, _ in got]), np.concatenate([i for _, _, i in got])
+            gram = np.zeros(len(ids), np.uint64)
+            for k in range(size):
+                gram += contexts[:, 2 + reach + k] * weights[k]
+            lot = mix(gram) % np.uint64(len(ids) * width // SORT_SIZE + 1)
+            by_lot = np.argsort(lot, kind="stable")
+            hit = np.zeros((len(ids), span), bool)
+            for rows in np.split(by_lot, np.flatnonzero(np.diff(lot[by_lot])) + 1):
+                if len(rows) > 1:
+                    hit[rows] = _sorted_strings(contexts[rows], ids[rows], length, span)
             for (pack_no, _, _), own in zip(got, np.split(hit, np.cumsum([len(c) for _, c, _ in got])[:-1])):
                 if own.any():
                     yield pa.RecordBatch.from_arrays([pa.array([pack_no], pa.int64()), pa.array([part], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["pack", "part", "bits"])
@@ -207,7 +252,7 @@ def sorted_shards(rows: DataFrame, n_parts: int, length: int, period: int) -> Da
 
 
 def remove_held_before(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, period: int = 31, with_text: bool = False,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, period: int = 21, span: int = 31, with_text: bool = False,
 ) -> DataFrame:
     """Remove every byte inside a string of ``length`` bytes that also starts in a document with a smaller id.
 
@@ -217,8 +262,9 @@ def remove_held_before(
        a smaller id is removed as a whole; only the first holder of every block goes on.
     2. Of the rest, hashes at difference-cover positions (length - period + 1 bytes) tell which anchors recur: equal strings
        share one at the same shift.
-    3. Each recurring anchor goes with all strings that hold it to the shard its hash names. A shard sorts all their suffixes by
-       the difference-cover algorithm and compares adjacent prefixes: byte for byte, the least id of every string is found.
+    3. Every string with a recurring anchor goes, in its context, to the shard that its least gram (of length - span + 1 bytes)
+       names, so equal strings meet. A shard sorts all suffixes of its contexts by the difference-cover algorithm and compares
+       adjacent prefixes: byte for byte, the least id of every string is found.
     4. What the shards found goes back to the packs.
 
     Columns: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and on request kept (the bytes left, which
@@ -233,8 +279,8 @@ def remove_held_before(
     floor = shuffle_parts(spark)
     cover = np.isin(np.arange(period), difference_cover(period))
     packs, size = pack(docs, id_col, text_col, "strings")
-    block_parts, anchor_parts = parts_for(size // BLOCK, floor), parts_for(size // 5, floor)
-    shard_parts = max(floor, -(-size // BYTES_PER_PART))
+    block_parts, anchor_parts = parts_for(size >> BLOCK_BITS, floor), parts_for(size // 5, floor)
+    shard_parts = parts_for(size // 8, floor)
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,32 +294,38 @@ def remove_held_before(
         for batch in batches:
             for number, ids, offsets, data, got in each_pack(batch):
                 texts = Texts(ids, offsets, data, length)
-                rows = sent(number, np.unique(texts.anchors(texts.gone(got["blocks"], block_parts), period, cover)[1]), anchor_parts, 4)
+                rows = sent(number, np.unique(texts.anchors(texts.gone(got["blocks"], block_parts), period, cover)[2]), anchor_parts, 4)
                 if rows is not None:
                     yield rows
 
-    def recurring(texts: Texts, got: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Blocks that are gone; the places of recurring anchors, ordered by shard, and where each shard's begin."""
+    def candidates(texts: Texts, got: dict) -> tuple[np.ndarray, ...]:
+        """Blocks that are gone; grams to sort by, ordered by shard, with their reaches, and where each shard's begin."""
         gone = texts.gone(got["blocks"], block_parts)
-        at, keys = texts.anchors(gone, period, cover)
-        distinct, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-        hit = ((count > 1) | answered(distinct, anchor_parts, got["anchors"]))[back]
-        order, bounds = _dealt(keys[hit], shard_parts)
-        return gone, at[hit][order], bounds
+        at, doc, keys = texts.anchors(gone, period, cover)
+        distinct, back = np.unique(keys, return_inverse=True)
+        low, high = np.full(len(distinct), len(texts.ids)), np.zeros(len(distinct), np.int64)
+        np.minimum.at(low, back, doc)
+        np.maximum.at(high, back, doc)
+        hit = at[((high > low) | answered(distinct, anchor_parts, got["anchors"]))[back]]
+        near = covered(np.maximum(hit - period + 1, 0), period, len(texts.data) + 1)[:-1]
+        starts = np.flatnonzero(near & texts.starts(~gone))
+        place, left, right = texts.minimizers(starts, span)
+        order, bounds = _dealt(texts.spans.hashes(place, place + length - span + 1), shard_parts)
+        return gone, place[order], left[order], right[order], bounds
 
     def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, ids, offsets, data, got in each_pack(batch):
                 texts = Texts(ids, offsets, data, length)
-                _, at, bounds = recurring(texts, got)
+                _, at, left, right, bounds = candidates(texts, got)
                 holder = texts.ids[np.searchsorted(texts.offsets, at, "right") - 1].astype("<i8")
                 used = np.flatnonzero(np.diff(bounds))
                 if len(used):
                     runs = [slice(bounds[p], bounds[p + 1]) for p in used]
+                    contexts = _contexts(texts, at, left, right, span)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(used), number)), pa.array(used, pa.int32()),
-                         pa.array([_contexts(texts, at[r], period).tobytes() for r in runs], pa.binary()),
-                         pa.array([holder[r].tobytes() for r in runs], pa.binary())],
+                         pa.array([contexts[r].tobytes() for r in runs], pa.binary()), pa.array([holder[r].tobytes() for r in runs], pa.binary())],
                         ["pack", "part", "keys", "ids"],
                     )
 
@@ -281,17 +333,13 @@ def remove_held_before(
         for batch in batches:
             for _, ids, offsets, data, got in each_pack(batch):
                 texts = Texts(ids, offsets, data, length)
-                gone, at, bounds = recurring(texts, got)
-                starts = np.zeros(len(data) + 1, np.int64)
-                whole = gone & (texts.ends > texts.blocks)
-                np.add.at(starts, texts.blocks[whole], 1)
-                np.add.at(starts, texts.ends[whole], -1)
-                starts = np.cumsum(starts[:-1]) > 0
+                gone, at, _, _, bounds = candidates(texts, got)
+                starts = texts.starts(gone)
                 for a in got["shards"] or []:
                     own = at[bounds[a["part"]] : bounds[a["part"] + 1]]
-                    bits = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=len(own) * period).reshape(-1, period)
+                    bits = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=len(own) * span).reshape(-1, span)
                     row, shift = np.nonzero(bits)
-                    starts[own[row] - (period - 1) + shift] = True
+                    starts[own[row] - (span - 1) + shift] = True
                 yield _left(ids, offsets, data, covered(np.flatnonzero(starts), length, len(data)), id_col, with_text)
 
     rows = SENT + ", ids binary"
@@ -299,7 +347,7 @@ def remove_held_before(
     anchors = with_answers(packs, blocks).mapInArrow(anchor_rows, SENT)
     anchors = written(per_pack(shared_keys(anchors, anchor_parts, 4), "anchors"), "anchors")
     shards = with_answers(packs, blocks, anchors).mapInArrow(shard_rows, rows)
-    shards = per_pack(sorted_shards(shards, shard_parts, length, period), "shards")
+    shards = per_pack(sorted_shards(shards, shard_parts, length, span), "shards")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return with_answers(packs, blocks, anchors, shards).mapInArrow(cut, schema)
