@@ -123,6 +123,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: i
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order (by sorting: for such keys faster than a hash table)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of all elements of the runs (start, length), run after run."""
     total = int(lengths.sum())

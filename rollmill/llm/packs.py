@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollmill.llm.arrays import slices, text_bytes
+from rollmill.llm.arrays import distinct, slices, text_bytes
 from rollmill.llm.staging import shared_path, shuffle_parts
 
 PACK_BYTES = 2 << 20
@@ -112,7 +112,7 @@ def shared_keys(rows: DataFrame, n_parts: int, width: int) -> DataFrame:
             part, got = held.popitem()
             everything = np.concatenate([k for _, k in got])
             everything.sort()
-            twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
+            twice = distinct(everything[1:][everything[1:] == everything[:-1]])
             packs, bits = [], []
             for pack_no, keys in got:
                 at = np.searchsorted(twice, keys)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rollmill.llm.arrays import NOT_SPACE, covered, ragged, span_hashes, word_hashes, words_of
+from rollmill.llm.arrays import NOT_SPACE, covered, distinct, ragged, span_hashes, word_hashes, words_of
 from rollmill.llm.packs import SENT, answered, each_pack, pack, parts_for, per_pack, sent, shared_keys, with_answers
 from rollmill.llm.staging import shuffle_parts, written
 
@@ -59,8 +59,8 @@ class Passages:
 
 def _here(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, which of them each key is, and whether it occurs twice in the pack itself."""
-    distinct, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-    return distinct, back, count > 1
+    known, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+    return known, back, count > 1
 
 
 def remove_repeats(
@@ -92,19 +92,19 @@ def remove_repeats(
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, _, offsets, data, _ in each_pack(batch):
-                rows = sent(number, np.unique(Passages(offsets, data, window, period, cover).anchor_keys), anchor_parts, 4)
+                rows = sent(number, distinct(Passages(offsets, data, window, period, cover).anchor_keys), anchor_parts, 4)
                 if rows is not None:
                     yield rows
 
     def windows(p: Passages, anchors: list[dict] | None) -> np.ndarray:
-        distinct, back, twice = _here(p.anchor_keys)
-        return p.candidates((twice | answered(distinct, anchor_parts, anchors))[back])
+        known, back, twice = _here(p.anchor_keys)
+        return p.candidates((twice | answered(known, anchor_parts, anchors))[back])
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, _, offsets, data, got in each_pack(batch):
                 p = Passages(offsets, data, window, period, cover)
-                rows = sent(number, np.unique(p.window_keys(windows(p, got["anchors"]))), window_parts, 8)
+                rows = sent(number, distinct(p.window_keys(windows(p, got["anchors"]))), window_parts, 8)
                 if rows is not None:
                     yield rows
 
@@ -113,8 +113,8 @@ def remove_repeats(
             for _, ids, offsets, data, got in each_pack(batch):
                 p = Passages(offsets, data, window, period, cover)
                 starts = windows(p, got["anchors"])
-                distinct, back, twice = _here(p.window_keys(starts))
-                hit = starts[(twice | answered(distinct, window_parts, got["windows"]))[back]]
+                known, back, twice = _here(p.window_keys(starts))
+                hit = starts[(twice | answered(known, window_parts, got["windows"]))[back]]
                 yield _outcome(ids, offsets, data, p, covered(hit, window, len(p.codes)), id_col, with_text)
 
     anchors = written(per_pack(shared_keys(packs.mapInArrow(anchor_rows, SENT), anchor_parts, 4), "anchors"), "anchors")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.llm.arrays import Spans, covered, mix
+from rollmill.llm.arrays import Spans, covered, distinct, mix
 from rollmill.llm.packs import SENT, _dealt, answered, each_pack, pack, parts_for, per_pack, sent, shared_keys, with_answers
 from rollmill.llm.staging import shuffle_parts, written
 from rollmill.llm.substring import difference_cover
@@ -93,15 +93,15 @@ class Texts:
 
     def least(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct block keys, the least id that holds each, and which of them each block is."""
-        distinct, back = np.unique(self.keys, return_inverse=True)
-        least = np.full(len(distinct), NO_ID)
+        keys, back = np.unique(self.keys, return_inverse=True)
+        least = np.full(len(keys), NO_ID)
         np.minimum.at(least, back, self.ids[self.doc])
-        return distinct, least, back
+        return keys, least, back
 
     def gone(self, answers: list[dict] | None, n_parts: int) -> np.ndarray:
         """Blocks that a smaller id holds in just the same way."""
-        distinct, least, back = self.least()
-        return answered(distinct, n_parts, answers)[back] | (self.ids[self.doc] > least[back])
+        keys, least, back = self.least()
+        return answered(keys, n_parts, answers)[back] | (self.ids[self.doc] > least[back])
 
     def starts(self, blocks: np.ndarray) -> np.ndarray:
         """Where strings start in the given blocks."""
@@ -118,10 +118,13 @@ class Texts:
         depth = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(depth, self.blocks[live], 1)
         np.add.at(depth, self.stops[live] - size + 1, -1)
-        at = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
-        doc = np.searchsorted(self.offsets, at, "right") - 1
-        use = cover[(at - self.offsets[doc]) % period]
-        return at[use], doc[use], self.spans.hashes(at[use], at[use] + size)
+        sizes = np.diff(self.offsets)
+        longest = int(sizes.max(initial=0))
+        pattern = np.resize(cover, longest)
+        covering = np.concatenate([pattern[:n] for n in sizes.tolist()]) if longest else pattern
+        at = np.flatnonzero((np.cumsum(depth[:-1]) > 0) & covering)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at]
+        return at, doc, self.spans.hashes(at, at + size)
 
     def minimizers(self, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For strings that start at the given places: each one's least gram, so that equal strings share it at the same shift.
@@ -168,9 +171,9 @@ def smaller_elsewhere(rows: DataFrame, n_parts: int) -> DataFrame:
                 held.setdefault(part, []).append((pack_no, np.frombuffer(keys, "<u8"), np.frombuffer(ids, "<i8")))
         while held:
             part, got = held.popitem()
-            distinct, back = np.unique(np.concatenate([k for _, k, _ in got]), return_inverse=True)
+            known, back = np.unique(np.concatenate([k for _, k, _ in got]), return_inverse=True)
             ids = np.concatenate([i for _, _, i in got])
-            least = np.full(len(distinct), NO_ID)
+            least = np.full(len(known), NO_ID)
             np.minimum.at(least, back, ids)
             hit = np.split(ids > least[back], np.cumsum([len(k) for _, k, _ in got])[:-1])
             packs = [p for (p, _, _), h in zip(got, hit) if h.any()]
@@ -191,8 +194,8 @@ def _contexts(texts: Texts, at: np.ndarray, left: np.ndarray, right: np.ndarray,
     return np.concatenate([left[:, None].astype(np.uint8), right[:, None].astype(np.uint8), wide], axis=1)
 
 
-def _sorted_strings(contexts: np.ndarray, ids: np.ndarray, length: int, span: int) -> np.ndarray:
-    """Which strings (context, start) also start in a context of a smaller id: suffix array, then adjacent prefixes."""
+def _least_ids(contexts: np.ndarray, ids: np.ndarray, length: int, span: int) -> np.ndarray:
+    """For every string (context, start) the least id that holds it: suffix array, then adjacent prefixes."""
     reach = span - 1
     n, width = len(contexts), contexts.shape[1] - 2
     left, right, body = contexts[:, 0].astype(int), contexts[:, 1].astype(int), contexts[:, 2:]
@@ -208,13 +211,11 @@ def _sorted_strings(contexts: np.ndarray, ids: np.ndarray, length: int, span: in
     same = np.ones(max(len(begin) - 1, 0), bool)
     for k in sorted({*range(0, length - 7, 8), length - 8}):
         same &= words[begin[1:] + k] == words[begin[:-1] + k]
-    out = np.zeros((n, span), bool)
+    out = np.repeat(ids[:, None], span, axis=1)
     if len(begin):
-        group = np.concatenate([[0], np.cumsum(~same)])
         firsts = np.flatnonzero(np.concatenate([[True], ~same]))
         least = np.minimum.reduceat(ids[row], firsts)
-        later = ids[row] > least[group]
-        out[row[later], start[later]] = True
+        out[row, start] = np.repeat(least, np.diff(np.append(firsts, len(row))))
     return out
 
 
@@ -225,7 +226,7 @@ def sorted_shards(rows: DataFrame, n_parts: int, length: int, span: int) -> Data
     """
     reach, size = span - 1, length - span + 1
     width = 2 * reach + size + 2
-    weights = mix(np.arange(7, 7 + size, dtype=np.uint64))
+    weights = mix(np.arange(7, 7 + width, dtype=np.uint64))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
@@ -235,15 +236,25 @@ def sorted_shards(rows: DataFrame, n_parts: int, length: int, span: int) -> Data
         while held:
             part, got = held.popitem()
             contexts, ids = np.concatenate([c for _, c, _ in got]), np.concatenate([i for _, _, i in got])
-            gram = np.zeros(len(ids), np.uint64)
-            for k in range(size):
-                gram += contexts[:, 2 + reach + k] * weights[k]
-            lot = mix(gram) % np.uint64(len(ids) * width // SORT_SIZE + 1)
+            gram, rest = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
+            for k in range(width):
+                if 2 + reach <= k < 2 + reach + size:
+                    gram += contexts[:, k] * weights[k]
+                else:
+                    rest += contexts[:, k] * weights[k]
+            # Like contexts are sorted once, for the least id; the others compare theirs with what it finds.
+            _, lead, back = np.unique(mix(gram) + rest, return_index=True, return_inverse=True)
+            first = np.full(len(lead), NO_ID)
+            np.minimum.at(first, back, ids)
+            lot = mix(gram[lead]) % np.uint64(len(lead) * width // SORT_SIZE + 1)
             by_lot = np.argsort(lot, kind="stable")
-            hit = np.zeros((len(ids), span), bool)
+            least = np.repeat(first[:, None], span, axis=1)
             for rows in np.split(by_lot, np.flatnonzero(np.diff(lot[by_lot])) + 1):
                 if len(rows) > 1:
-                    hit[rows] = _sorted_strings(contexts[rows], ids[rows], length, span)
+                    least[rows] = _least_ids(contexts[lead[rows]], first[rows], length, span)
+            start = np.arange(span)
+            real = (start >= reach - contexts[:, :1].astype(int)) & (start <= contexts[:, 1:2])
+            hit = (least[back] < ids[:, None]) & real
             for (pack_no, _, _), own in zip(got, np.split(hit, np.cumsum([len(c) for _, c, _ in got])[:-1])):
                 if own.any():
                     yield pa.RecordBatch.from_arrays([pa.array([pack_no], pa.int64()), pa.array([part], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["pack", "part", "bits"])
@@ -285,8 +296,8 @@ def remove_held_before(
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, ids, offsets, data, _ in each_pack(batch):
-                distinct, least, _ = Texts(ids, offsets, data, length).least()
-                rows = _with_ids(number, distinct, least, block_parts)
+                keys, least, _ = Texts(ids, offsets, data, length).least()
+                rows = _with_ids(number, keys, least, block_parts)
                 if rows is not None:
                     yield rows
 
@@ -294,7 +305,7 @@ def remove_held_before(
         for batch in batches:
             for number, ids, offsets, data, got in each_pack(batch):
                 texts = Texts(ids, offsets, data, length)
-                rows = sent(number, np.unique(texts.anchors(texts.gone(got["blocks"], block_parts), period, cover)[2]), anchor_parts, 4)
+                rows = sent(number, distinct(texts.anchors(texts.gone(got["blocks"], block_parts), period, cover)[2]), anchor_parts, 4)
                 if rows is not None:
                     yield rows
 
@@ -302,11 +313,11 @@ def remove_held_before(
         """Blocks that are gone; grams to sort by, ordered by shard, with their reaches, and where each shard's begin."""
         gone = texts.gone(got["blocks"], block_parts)
         at, doc, keys = texts.anchors(gone, period, cover)
-        distinct, back = np.unique(keys, return_inverse=True)
-        low, high = np.full(len(distinct), len(texts.ids)), np.zeros(len(distinct), np.int64)
+        known, back = np.unique(keys, return_inverse=True)
+        low, high = np.full(len(known), len(texts.ids)), np.zeros(len(known), np.int64)
         np.minimum.at(low, back, doc)
         np.maximum.at(high, back, doc)
-        hit = at[((high > low) | answered(distinct, anchor_parts, got["anchors"]))[back]]
+        hit = at[((high > low) | answered(known, anchor_parts, got["anchors"]))[back]]
         near = covered(np.maximum(hit - period + 1, 0), period, len(texts.data) + 1)[:-1]
         starts = np.flatnonzero(near & texts.starts(~gone))
         place, left, right = texts.minimizers(starts, span)
