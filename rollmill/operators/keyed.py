@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from rollmill.session import shuffle_width, staged
 
@@ -63,21 +63,18 @@ def order_bucket(df: DataFrame, column: str, buckets: int | None = None, out: st
     """Label rows with an ordered bucket of about equal size, cut at approximate quantiles.
 
     Only the cut points (fewer than ``buckets`` numbers) come to the driver. Bucket order follows value order,
-    so any rounding of the cut points changes bucket sizes but never the order of rows.
+    so any rounding of the cut points changes bucket sizes but never the order of rows. Strings are cut by their
+    first six bytes. Nulls come first, as Spark sorts them; a table without values has one bucket.
     """
     buckets = buckets or shuffle_width(df.sparkSession)
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(column, probs, 1 / (4 * buckets))))
-    splits = [float("-inf"), *cuts, float("inf")]
-    keyed = df.withColumn("_order_value", F.col(column).cast("double"))
-    cut = Bucketizer(splits=splits, inputCol="_order_value", outputCol=out, handleInvalid="keep")
-    return cut.transform(keyed).drop("_order_value").withColumn(out, F.col(out).cast("int"))
-
-
-def fits_one_task(df: DataFrame, hot_rows: int | None = None) -> bool:
-    """Whether the whole table is so small that even one task could order it; counts no further than that."""
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    return df.limit(hot_rows + 1).count() <= hot_rows
+    value = F.col(column)
+    if isinstance(df.schema[column].dataType, (StringType, BinaryType)):
+        value = F.conv(F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0"), 16, 10)
+    measured = df.withColumn("_order_value", value.cast("double"))
+    cuts = sorted(set(measured.approxQuantile("_order_value", probs, 1 / (4 * buckets))))
+    below = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("_order_value"))) if cuts else F.lit(0)
+    return measured.withColumn(out, F.when(F.col("_order_value").isNull(), 0).otherwise(below)).drop("_order_value")
 
 
 def running_sum(
@@ -85,13 +82,10 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running sum of ``measure`` within ``keys``, in the order of the ``order`` columns.
 
-    The first order column must be numeric. Each task sums one (group, bucket); bucket totals, at most one row
-    per group and bucket, give the offsets. Within groups, a table of at most ``HOT_ROWS`` rows needs no buckets.
+    Each task sums one (group, bucket) of the first order column; bucket totals, at most one row per group and
+    bucket, give the offsets. One way for tables and groups of any size.
     """
     keys = list(keys)
-    if keys and fits_one_task(df):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, F.sum(measure).over(w))
     bucketed = order_bucket(df, order[0], buckets).withColumn("_measure", measure)
     totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_measure").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -178,13 +172,6 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, point: Column) ->
     bucket are carried over the buckets in between.
     """
     keys = list(keys)
-    if fits_one_task(df):
-        w = Window.partitionBy(*keys).orderBy(order)
-        before = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        after = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-        return df.withColumn("_point", point).withColumn(
-            "_before", F.last("_point", ignorenulls=True).over(before)
-        ).withColumn("_after", F.first("_point", ignorenulls=True).over(after)).drop("_point")
     b = order_bucket(df, order).withColumn("_point", point)
     w = Window.partitionBy(*keys, "_bucket").orderBy(order)
     b = b.withColumn(

@@ -130,13 +130,10 @@ def build_rl_from_preference(df: DataFrame, prompt: str, chosen: str, index: str
     )
 
 
-def build_conversation_messages(
-    df: DataFrame, conv: str, turn: str, role: str, text: str, max_turns: int = 1024
-) -> DataFrame:
-    """Ordered message arrays. A conversation longer than ``max_turns`` continues in a further ``part``."""
-    numbered = positions(df, turn, "_pos", [conv]).withColumn("part", F.floor(F.col("_pos") / max_turns).cast("int"))
+def build_conversation_messages(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """One row per conversation with its messages in turn order, however many there are."""
     ordered = F.array_sort(F.collect_list(F.struct(turn, role, text)))
-    return numbered.groupBy(conv, "part").agg(ordered.alias("messages"))
+    return df.groupBy(conv).agg(ordered.alias("messages"))
 
 
 def pick_pad(key: Column, pool: Sequence[str], seed: int) -> Column:

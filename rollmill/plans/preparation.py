@@ -91,11 +91,11 @@ def _(spark, sf):
 
 
 @query("build_conversation_messages", """
-SELECT conv_id, CAST(0 AS INTEGER) AS part, count(*) AS n_messages, string_agg(role || ':' || text, '|' ORDER BY turn) AS messages FROM conversations GROUP BY conv_id""")
+SELECT conv_id, count(*) AS n_messages, string_agg(role || ':' || text, '|' ORDER BY turn) AS messages FROM conversations GROUP BY conv_id""")
 def _(spark, sf):
     m = P.build_conversation_messages(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
     joined = F.array_join(F.transform("messages", lambda x: F.concat_ws(":", x["role"], x["text"])), "|")
-    return m.select("conv_id", "part", F.size("messages").cast("bigint").alias("n_messages"), joined.alias("messages"))
+    return m.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"), joined.alias("messages"))
 
 
 def _pool_sql(pool):
@@ -221,11 +221,11 @@ def _(spark, sf):
 
 
 @query("sft_loss_mask", views="docs", oracle="""
-, d AS (SELECT doc_id, length(source) AS p, least(n_chars, 200) AS r FROM docs),
+, d AS (SELECT doc_id, length(source) AS p, n_chars AS r FROM docs),
 x AS (SELECT doc_id, u.t AS pos, CASE WHEN p > 1 THEN least(p, 128) - 1 ELSE 0 END AS hidden, least(p + r, 128) AS kept FROM d, unnest(range(128)) u(t))
 SELECT doc_id, pos, CAST(pos >= hidden AND pos < kept - 1 AS INTEGER) AS mask FROM x""")
 def _(spark, sf):
-    p, r = F.length("source"), F.least("n_chars", F.lit(200))
+    p, r = F.length("source"), F.col("n_chars")
     return _explode(docs(spark, sf).select("doc_id", T.sft_loss_mask(p, r, 128).alias("mask")), ["doc_id"], ["mask"])
 
 

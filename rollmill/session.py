@@ -32,11 +32,14 @@ def build_session(app: str = "rollmill", master: str | None = None, **extra: str
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a folder every executor can reach. Only where it is
-    unset, as in local tests, is a temporary one chosen and remembered in the session.
+    On a cluster ``spark.checkpoint.dir`` names a folder every executor can reach, and must be set. Only a
+    local master without it, as in tests, gets a temporary folder, remembered in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="rollmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")

@@ -219,11 +219,10 @@ def test_registries_and_gates(spark):
         E.by_source_and_difficulty(df.withColumn("d", F.lit("x")), "id", "d", "v", "id").collect()
 
 
-def test_long_conversations_continue_in_parts(spark):
-    df = spark.range(25).select(F.lit(1).alias("c"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
-    got = P.build_conversation_messages(df, "c", "turn", "role", "text", max_turns=10).orderBy("part").collect()
-    assert [len(r["messages"]) for r in got] == [10, 10, 5]
-    assert [m["text"] for r in got for m in r["messages"]] == [str(i) for i in range(25)]
+def test_long_conversations_stay_whole(spark):
+    df = spark.range(1500).select(F.lit(1).alias("c"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    got = P.build_conversation_messages(df, "c", "turn", "role", "text").collect()
+    assert [m["text"] for r in got for m in r["messages"]] == [str(i) for i in range(1500)] and len(got) == 1
 
 
 def test_multiturn_masks_cut_on_either_side(spark):

@@ -137,3 +137,18 @@ def test_group_advantage_is_centred_and_singletons_keep_scores(spark):
     assert got[3] == pytest.approx(5.0, abs=1e-4)
     rloo = {r["id"]: r["advantage"] for r in C.adv_rloo(df, ["g"], "s").collect()}
     assert rloo == {1: -2.0, 2: 2.0, 3: 5.0}
+
+
+@pytest.mark.parametrize("values", [[], [None, None, None], ["b", "a", None, "ab", "a"], [7] * 40, [3, 1, 2, None]])
+def test_positions_of_any_order_column(spark, values):
+    kind = "string" if any(isinstance(v, str) for v in values) else "int"
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id int, v {kind}")
+    for keys in ([], ["k"]):
+        got = K.positions(df.withColumn("k", F.lit(1)), "v", "pos", keys).orderBy("pos").collect()
+        assert [r["pos"] for r in got] == list(range(len(values)))
+        assert [r["v"] for r in got] == sorted(values, key=lambda v: (v is not None, v if v is not None else 0))
+
+
+def test_percentiles_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "g int, v double")
+    assert K.exact_percentiles(empty, ["g"], "v", {"p50": 0.5}).collect() == []
