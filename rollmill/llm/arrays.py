@@ -138,7 +138,5 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n positions lie in a window of the length that begins at one of the starts."""
-    depth = np.zeros(n + 1, np.int32)
-    np.add.at(depth, starts, 1)
-    np.add.at(depth, np.minimum(starts + length, n), -1)
+    depth = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + length, n), minlength=n + 1)
     return np.cumsum(depth[:n]) > 0

@@ -313,11 +313,13 @@ def remove_held_before(
         """Blocks that are gone; grams to sort by, ordered by shard, with their reaches, and where each shard's begin."""
         gone = texts.gone(got["blocks"], block_parts)
         at, doc, keys = texts.anchors(gone, period, cover)
-        known, back = np.unique(keys, return_inverse=True)
-        low, high = np.full(len(known), len(texts.ids)), np.zeros(len(known), np.int64)
-        np.minimum.at(low, back, doc)
-        np.maximum.at(high, back, doc)
-        hit = at[((high > low) | answered(known, anchor_parts, got["anchors"]))[back]]
+        order = np.argsort(keys)
+        keys, at, doc = keys[order], at[order], doc[order]
+        firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        shared = answered(keys[firsts], anchor_parts, got["anchors"])
+        if len(firsts):
+            shared |= np.maximum.reduceat(doc, firsts) > np.minimum.reduceat(doc, firsts)
+        hit = at[np.repeat(shared, np.diff(np.append(firsts, len(keys))))]
         near = covered(np.maximum(hit - period + 1, 0), period, len(texts.data) + 1)[:-1]
         starts = np.flatnonzero(near & texts.starts(~gone))
         place, left, right = texts.minimizers(starts, span)
