@@ -21,7 +21,7 @@ NO_ID = np.iinfo(np.int64).max
 BLOCK_BITS = 7  # a content-defined cut every 128 bytes, on average
 CUT_RULE = np.uint64(0x9E3779B97F4A7C15)
 #: Suffixes that are sorted together, about.
-SORT_SIZE = 1 << 20
+SORT_SIZE = 1 << 17
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -201,13 +201,16 @@ def _least_ids(contexts: np.ndarray, ids: np.ndarray, length: int, span: int) ->
     left, right, body = contexts[:, 0].astype(int), contexts[:, 1].astype(int), contexts[:, 2:]
     flat = np.zeros((n, width + 1), np.int64)
     flat[:, :width] = body.astype(np.int64) + 1  # 0 closes a context
-    order = suffix_array(flat.ravel())
-    row, start = order // (width + 1), order % (width + 1)
-    real = (start <= reach) & (start >= reach - left[row]) & (start <= right[row])
-    row, start = row[real], start[real]
-    raw = np.append(flat.ravel().astype(np.uint16).astype(np.uint8) - np.uint8(1), np.zeros(8, np.uint8))
+    column = np.arange(width + 1)
+    used = (column >= (reach - left)[:, None]) & (column < (width - reach + right)[:, None])
+    used[:, width] = True
+    flat = flat[used]
+    row, start = np.nonzero(used)
+    begin = suffix_array(flat)
+    begin = begin[((start <= reach) & (start <= right[row]))[begin]]
+    row, start = row[begin], start[begin]
+    raw = np.append(flat.astype(np.uint16).astype(np.uint8) - np.uint8(1), np.zeros(8, np.uint8))
     words = np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view(np.uint64).ravel()
-    begin = row * (width + 1) + start
     same = np.ones(max(len(begin) - 1, 0), bool)
     for k in sorted({*range(0, length - 7, 8), length - 8}):
         same &= words[begin[1:] + k] == words[begin[:-1] + k]
@@ -220,22 +223,25 @@ def _least_ids(contexts: np.ndarray, ids: np.ndarray, length: int, span: int) ->
 
 
 def sorted_shards(rows: DataFrame, n_parts: int, length: int, span: int) -> DataFrame:
-    """For rows (pack, part, keys (contexts), ids): per pack, the answers (part, bits): for each context, ``span`` bits.
+    """For rows (pack, part, keys (contexts), ids, places): per pack, the answers (places, bits): for each place, ``span`` bits.
 
     Contexts of one gram are sorted together; a task sorts one lot of grams after the other, each of about SORT_SIZE suffixes.
+    A gram that stands in one context only has none to be compared with. Places at which nothing was found are not answered.
     """
     reach, size = span - 1, length - span + 1
     width = 2 * reach + size + 2
     weights = mix(np.arange(7, 7 + width, dtype=np.uint64))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for pack_no, part, contexts, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(part, []).append((pack_no, np.frombuffer(contexts, np.uint8).reshape(-1, width), np.frombuffer(ids, "<i8")))
+            for pack_no, part, contexts, ids, places in zip(*(c.to_pylist() for c in batch.columns)):
+                one = np.frombuffer(contexts, np.uint8).reshape(-1, width), np.frombuffer(ids, "<i8"), np.frombuffer(places, "<i8")
+                held.setdefault(part, []).append((pack_no, *one))
         while held:
-            part, got = held.popitem()
-            contexts, ids = np.concatenate([c for _, c, _ in got]), np.concatenate([i for _, _, i in got])
+            _, got = held.popitem()
+            numbers, *columns = zip(*got)
+            contexts, ids, places = (np.concatenate(c) for c in columns)
             gram, rest = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
             for k in range(width):
                 if 2 + reach <= k < 2 + reach + size:
@@ -246,20 +252,26 @@ def sorted_shards(rows: DataFrame, n_parts: int, length: int, span: int) -> Data
             _, lead, back = np.unique(mix(gram) + rest, return_index=True, return_inverse=True)
             first = np.full(len(lead), NO_ID)
             np.minimum.at(first, back, ids)
-            lot = mix(gram[lead]) % np.uint64(len(lead) * width // SORT_SIZE + 1)
+            _, which, holders = np.unique(gram[lead], return_inverse=True, return_counts=True)
+            meet = np.flatnonzero(holders[which] > 1)
+            lot = mix(gram[lead[meet]]) % np.uint64(len(meet) * width // SORT_SIZE + 1)
             by_lot = np.argsort(lot, kind="stable")
             least = np.repeat(first[:, None], span, axis=1)
-            for rows in np.split(by_lot, np.flatnonzero(np.diff(lot[by_lot])) + 1):
-                if len(rows) > 1:
+            for rows in np.split(meet[by_lot], np.flatnonzero(np.diff(lot[by_lot])) + 1):
+                if len(rows):
                     least[rows] = _least_ids(contexts[lead[rows]], first[rows], length, span)
             start = np.arange(span)
             real = (start >= reach - contexts[:, :1].astype(int)) & (start <= contexts[:, 1:2])
             hit = (least[back] < ids[:, None]) & real
-            for (pack_no, _, _), own in zip(got, np.split(hit, np.cumsum([len(c) for _, c, _ in got])[:-1])):
-                if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([pack_no], pa.int64()), pa.array([part], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["pack", "part", "bits"])
+            ends = np.cumsum([len(c) for c in columns[1]])
+            for pack_no, end, n in zip(numbers, ends, np.diff(ends, prepend=0)):
+                own = np.flatnonzero(hit[end - n : end].any(axis=1)) + end - n
+                if len(own):
+                    found = [places[own].tobytes()], [np.packbits(hit[own]).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([pack_no], pa.int64()), *(pa.array(c, pa.binary()) for c in found)], ["pack", "places", "bits"])
 
-    return rows.repartitionById(n_parts, F.col("part")).mapInArrow(sort, "pack long, part int, bits binary")
+    found = rows.repartitionById(n_parts, F.col("part")).mapInArrow(sort, "pack long, places binary, bits binary")
+    return found.groupBy("pack").agg(F.collect_list(F.struct("places", "bits")).alias("shards"))
 
 
 def remove_held_before(
@@ -310,7 +322,7 @@ def remove_held_before(
                     yield rows
 
     def candidates(texts: Texts, got: dict) -> tuple[np.ndarray, ...]:
-        """Blocks that are gone; grams to sort by, ordered by shard, with their reaches, and where each shard's begin."""
+        """Grams to sort by, ordered by shard, with their reaches, and where each shard's begin."""
         gone = texts.gone(got["blocks"], block_parts)
         at, doc, keys = texts.anchors(gone, period, cover)
         order = np.argsort(keys)
@@ -324,13 +336,13 @@ def remove_held_before(
         starts = np.flatnonzero(near & texts.starts(~gone))
         place, left, right = texts.minimizers(starts, span)
         order, bounds = _dealt(texts.spans.hashes(place, place + length - span + 1), shard_parts)
-        return gone, place[order], left[order], right[order], bounds
+        return place[order], left[order], right[order], bounds
 
     def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, ids, offsets, data, got in each_pack(batch):
                 texts = Texts(ids, offsets, data, length)
-                _, at, left, right, bounds = candidates(texts, got)
+                at, left, right, bounds = candidates(texts, got)
                 holder = texts.ids[np.searchsorted(texts.offsets, at, "right") - 1].astype("<i8")
                 used = np.flatnonzero(np.diff(bounds))
                 if len(used):
@@ -338,18 +350,17 @@ def remove_held_before(
                     contexts = _contexts(texts, at, left, right, span)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(used), number)), pa.array(used, pa.int32()),
-                         pa.array([contexts[r].tobytes() for r in runs], pa.binary()), pa.array([holder[r].tobytes() for r in runs], pa.binary())],
-                        ["pack", "part", "keys", "ids"],
+                         *(pa.array([c[r].tobytes() for r in runs], pa.binary()) for c in (contexts, holder, at.astype("<i8")))],
+                        ["pack", "part", "keys", "ids", "places"],
                     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, ids, offsets, data, got in each_pack(batch):
                 texts = Texts(ids, offsets, data, length)
-                gone, at, _, _, bounds = candidates(texts, got)
-                starts = texts.starts(gone)
+                starts = texts.starts(texts.gone(got["blocks"], block_parts))
                 for a in got["shards"] or []:
-                    own = at[bounds[a["part"]] : bounds[a["part"] + 1]]
+                    own = np.frombuffer(a["places"], "<i8")
                     bits = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=len(own) * span).reshape(-1, span)
                     row, shift = np.nonzero(bits)
                     starts[own[row] - (span - 1) + shift] = True
@@ -359,11 +370,11 @@ def remove_held_before(
     blocks = written(per_pack(smaller_elsewhere(packs.mapInArrow(block_rows, rows), block_parts), "blocks"), "blocks")
     anchors = with_answers(packs, blocks).mapInArrow(anchor_rows, SENT)
     anchors = written(per_pack(shared_keys(anchors, anchor_parts, 4), "anchors"), "anchors")
-    shards = with_answers(packs, blocks, anchors).mapInArrow(shard_rows, rows)
-    shards = per_pack(sorted_shards(shards, shard_parts, length, span), "shards")
+    shards = with_answers(packs, blocks, anchors).mapInArrow(shard_rows, rows + ", places binary")
+    shards = sorted_shards(shards, shard_parts, length, span)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return with_answers(packs, blocks, anchors, shards).mapInArrow(cut, schema)
+    return with_answers(packs, blocks, shards).mapInArrow(cut, schema)
 
 
 def _left(ids: pa.Array, offsets: np.ndarray, data: np.ndarray, gone: np.ndarray, id_col: str, with_text: bool) -> pa.RecordBatch:
