@@ -56,10 +56,10 @@ def adv_rfpp_baseline(
         "_centred", F.col(score) - F.when(F.col("_n") == 1, 0.0).otherwise(F.col("_mean"))
     )
     x, n = F.col("_centred"), F.col(length).cast("double")
-    moments = scalars(
-        centred, F.sum(n).alias("n"), F.sum(n * x).alias("sum"), F.sum(n * x * x).alias("sum_sq")
-    )
-    return centred.withColumn("_m", moments).select(*df.columns, _whiten(x, F.col("_m")).alias(out))
+    centred = centred.withColumn("_m", scalars(centred, F.sum(n).alias("n"), F.sum(n * x).alias("sum")))
+    away = x - _token_mean(F.col("_m"))
+    centred = centred.withColumn("_sq", scalars(centred, F.sum(n * away * away).alias("sq"))["sq"])
+    return centred.select(*df.columns, _whiten(x, F.col("_m"), F.col("_sq")).alias(out))
 
 
 def adv_longest_correct(
@@ -74,10 +74,14 @@ def adv_longest_correct(
     )
 
 
-def _whiten(x: Column, m: Column, shift_mean: bool = True) -> Column:
-    """Whitened value from moments (n, sum, sum_sq); the variance is unbiased and needs two tokens."""
-    mean = m["sum"] / (m["n"] + 1e-8)
-    spread = (m["sum_sq"] - 2 * mean * m["sum"] + mean * mean * m["n"]) / (m["n"] + 1e-8)
+def _token_mean(m: Column) -> Column:
+    return m["sum"] / (m["n"] + 1e-8)
+
+
+def _whiten(x: Column, m: Column, sq: Column, shift_mean: bool = True) -> Column:
+    """Whitened value from (n, sum) and the squares around their mean; the variance is unbiased and needs two tokens."""
+    mean = _token_mean(m)
+    spread = sq / (m["n"] + 1e-8)
     unbiased = spread * F.try_divide(m["n"], m["n"] - 1)
     var = F.when(m["n"] <= 1, F.raise_error(F.lit("whitening needs at least two tokens")).cast("double")).otherwise(unbiased)
     white = (x - mean) / F.sqrt(var + 1e-8)
@@ -89,16 +93,16 @@ def masked_whiten(
 ) -> DataFrame:
     """Whiten token arrays with the mean and variance of all unmasked tokens of the table.
 
-    Two moments per row are reduced to one row of scalars, which every task then reads.
+    The mean comes first and the squares around it second, so that large values of small spread keep their variance. Both
+    are reduced to scalars, which every task then reads.
     """
     v, m = F.col(values), F.col(mask)
-    moments = scalars(
-        df, F.sum(array_sum(m)).alias("n"), F.sum(masked_sum(v, m)).alias("sum"),
-        F.sum(masked_sum(squares(v), m)).alias("sum_sq"),
-    )
-    return df.withColumn("_m", moments).withColumn(
-        out, F.transform(v, lambda x: _whiten(x, F.col("_m"), shift_mean))
-    ).drop("_m")
+    centred = df.withColumn("_m", scalars(df, F.sum(array_sum(m)).alias("n"), F.sum(masked_sum(v, m)).alias("sum")))
+    away = F.transform(v, lambda x: x - _token_mean(F.col("_m")))
+    centred = centred.withColumn("_sq", scalars(centred, F.sum(masked_sum(squares(away), m)).alias("sq"))["sq"])
+    return centred.withColumn(
+        out, F.transform(v, lambda x: _whiten(x, F.col("_m"), F.col("_sq"), shift_mean))
+    ).drop("_m", "_sq")
 
 
 def adv_gae(

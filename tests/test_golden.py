@@ -287,3 +287,14 @@ def test_adaptive_coefficient_follows_the_controller(spark):
         want.append(coef)
     assert [r["kl_coef"] for r in got] == pytest.approx(want)
     assert C.kl_controller(df, ["run"], "kl", F.lit(8), **options).first()["kl_coef"] == pytest.approx(coef)
+
+
+def test_whitening_keeps_the_variance_of_large_values(spark):
+    from rollmill.operators.credit import masked_whiten
+
+    df = spark.createDataFrame([([1e9, 1e9 + 1.0], [1.0, 1.0]), ([1e9 + 2.0, 5.0], [1.0, 0.0])], "v array<double>, mask array<double>")
+    got = [x for r in masked_whiten(df, "v", "mask").collect() for x in r["whitened"] if abs(x) < 100]
+    values = [1e9, 1e9 + 1.0, 1e9 + 2.0]
+    mean = sum(values) / (3 + 1e-8)
+    var = sum((x - mean) ** 2 for x in values) / (3 + 1e-8) * 3 / 2
+    assert sorted(got) == pytest.approx([(x - mean) / (var + 1e-8) ** 0.5 for x in values], rel=1e-6)
