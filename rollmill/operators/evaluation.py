@@ -213,7 +213,7 @@ def length_by_reward_level(df: DataFrame, reward: str, length: str, levels: int
 
 
 def text_stats(df: DataFrame, keys: Sequence[str], chars: str, words: str) -> DataFrame:
-    """Rows, and mean, median, minimum and maximum of two length columns, rounded to one digit."""
+    """Rows, and mean, median, minimum and maximum of two length columns, rounded to one digit; null keys are a group."""
     df = staged(df.select(*keys, chars, words), "text-lengths")
     base = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -221,7 +221,9 @@ def text_stats(df: DataFrame, keys: Sequence[str], chars: str, words: str) -> Da
           for s, f in (("mean", F.avg), ("min", F.min), ("max", F.max))],
     )
     for c in (chars, words):
-        base = base.join(exact_percentiles(df, keys, c, {f"{c}_median": 0.5}), list(keys))
+        median = exact_percentiles(df, keys, c, {f"{c}_median": 0.5}).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+        base = base.join(median, same, "left").drop(*[f"_of_{k}" for k in keys])
     return base.select(*keys, "rows", *[F.round(c, 1).alias(c) for c in base.columns if c not in (*keys, "rows")])
 
 

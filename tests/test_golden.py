@@ -298,3 +298,11 @@ def test_whitening_keeps_the_variance_of_large_values(spark):
     mean = sum(values) / (3 + 1e-8)
     var = sum((x - mean) ** 2 for x in values) / (3 + 1e-8) * 3 / 2
     assert sorted(got) == pytest.approx([(x - mean) / (var + 1e-8) ** 0.5 for x in values], rel=1e-6)
+
+
+def test_text_stats_keeps_null_groups_and_groups_without_values(spark):
+    from rollmill.operators.evaluation import text_stats
+
+    df = spark.createDataFrame([(None, 1, 2), (None, 3, 4), ("a", None, None), ("b", 5, 6)], "source string, chars long, words long")
+    got = {r["source"]: (r["rows"], r["chars_median"], r["words_median"]) for r in text_stats(df, ["source"], "chars", "words").collect()}
+    assert got == {None: (2, 2.0, 3.0), "a": (1, None, None), "b": (1, 5.0, 6.0)}
