@@ -226,11 +226,11 @@ def kl_controller(
     """Value of the adaptive coefficient per key after all updates.
 
     The controller multiplies its value by one factor per update, so the order of updates does not matter and
-    a sum of logarithms gives the result with map-side combine.
+    a product gives the result with map-side combine, factors of zero or below included.
     """
     error = F.greatest(F.least(F.col(kl) / target - 1, F.lit(0.2)), F.lit(-0.2))
     return df.groupBy(*keys).agg(
-        (F.lit(init) * F.exp(F.sum(F.ln(1 + error * n_steps / horizon)))).alias("kl_coef"),
+        (F.lit(init) * F.product(1 + error * n_steps / horizon)).alias("kl_coef"),
         F.count(F.lit(1)).alias("updates"),
     )
 

@@ -19,10 +19,6 @@ def dot(a: Column, b: Column) -> Column:
     return array_sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
-def normalize(v: Column) -> Column:
-    return F.transform(v, lambda x: x / F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)))
-
-
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
@@ -34,8 +30,9 @@ def group_similarity(
 
     No pair is formed. For unit vectors the pair sum follows from the sum vector, and the sum of squared pair
     similarities from the matrix sum(v v'): both are sums over rows. Tasks reduce a bounded chunk of a group at
-    a time; a group larger than ``chunk_rows`` is cut by hash and its partial sums are added up. Groups of one
-    chunk leave their task as scalars, so only large groups shuffle matrices, one per chunk.
+    a time; a group larger than ``chunk_rows`` is cut by hash and its partial sums are added up entry by entry. A
+    group of one chunk needs no sum over chunks and leaves its task as five numbers, so that many small groups
+    shuffle no matrices.
     """
     keys = list(keys)
     rows = df.select(*keys, key, F.col(embedding).alias("_v"))
@@ -50,32 +47,33 @@ def group_similarity(
         v = np.stack(pdf["_v"].to_numpy()).astype("float64")
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         own = (v * v).sum(axis=1)
-        total, gram = v.sum(axis=0), v.T @ v
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        alone = int(pdf["_chunks"].iloc[0]) == 1
-        row |= {
-            "n": [len(v)], "own": [own.sum()], "own_sq": [(own * own).sum()],
-            "total_sq": [total @ total if alone else None], "gram_sq": [(gram * gram).sum() if alone else None],
-            "total": [None if alone else total], "gram": [None if alone else gram.ravel()],
-        }
-        return pd.DataFrame(row)
-
-    schema = f"{key_types}, n bigint, own double, own_sq double, total_sq double, gram_sq double, total array<double>, gram array<double>"
-    parts = cut.groupBy(*keys, "_chunk").applyInPandas(reduce_chunk, schema)
-
-    small = parts.where("total is null").select(*keys, "n", "own", "own_sq", "total_sq", "gram_sq")
-    split = parts.where("total is not null")
-    counts = split.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.sum("own_sq").alias("own_sq"))
-
-    def squared(column, name):
-        entries = split.select(*keys, F.posexplode(column).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"))
-        return entries.groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_x")).alias(name))
-
-    joined = counts.join(squared("total", "total_sq"), keys).join(squared("gram", "gram_sq"), keys)
+        sums = [len(v), own.sum(), (own * own).sum()]
+        total = v.sum(axis=0)
+        if int(pdf["_chunks"].iloc[0]) == 1:
+            # v'v and vv' have the same squared norm; the smaller one is formed.
+            gram = v @ v.T if len(v) < v.shape[1] else v.T @ v
+            entries = np.array([*sums, total @ total, (gram * gram).sum()])
+        else:
+            entries = np.concatenate([[*sums, 0.0, 0.0], total, (v.T @ v).ravel()])
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"_e": [entries]})
+
+    parts = cut.groupBy(*keys, "_chunk").applyInPandas(reduce_chunk, f"{key_types}, _e array<double>")
+    # Entries: rows, own norms, their squares, two finished squares, then d sums and d * d products.
+    d = F.round((F.sqrt(4.0 * (F.size("_e") - 5) + 1) - 1) / 2).cast("int").alias("_d")
+    summed = parts.select(*keys, d, F.posexplode("_e").alias("_i", "_x")).groupBy(*keys, "_i").agg(
+        F.sum("_x").alias("_x"), F.max("_d").alias("_d")
+    )
+    i, x, at = F.col("_i"), F.col("_x"), F.col("_i") - 5
+    first = [F.max(F.when(i == k, x)).alias(name) for k, name in enumerate(("n", "own", "own_sq", "_t", "_g"))]
+    joined = summed.groupBy(*keys).agg(
+        *first,
+        F.coalesce(F.sum(F.when((at >= 0) & (at < F.col("_d")), x * x)), F.lit(0.0)).alias("_ts"),
+        F.coalesce(F.sum(F.when((at >= 0) & (at >= F.col("_d")), x * x)), F.lit(0.0)).alias("_gs"),
+    ).withColumns({"total_sq": F.col("_t") + F.col("_ts"), "gram_sq": F.col("_g") + F.col("_gs")})
     pairs = F.col("n") * (F.col("n") - 1) / 2
     mean = (F.col("total_sq") - F.col("own")) / 2 / pairs
     mean_sq = (F.col("gram_sq") - F.col("own_sq")) / 2 / pairs
-    return small.unionByName(joined.select(small.columns)).where("n > 1").select(
+    return joined.where("n > 1").select(
         *keys, mean.alias("mean_similarity"),
         F.sqrt(F.greatest(mean_sq - mean * mean, F.lit(0.0))).alias("std_similarity"), pairs.cast("bigint").alias("n_pairs"),
     )

@@ -141,7 +141,8 @@ def check_binary(score: str) -> Column:
 def by_source_and_difficulty(df: DataFrame, source: str, difficulty: str, score: str, length: str) -> DataFrame:
     """Reward, length, and length of wrong and right samples, by source and by source and difficulty.
 
-    Both levels come from one pass; a null difficulty is the source level. -1 stands for an empty class.
+    Both levels come from one pass; ``overall`` is 1 on the rows of a whole source, so a null difficulty in the data stays
+    apart. -1 stands for an empty class.
     """
     checked = df.select(source, difficulty, check_binary(score).alias("_s"), F.col(length).alias("_l"))
 
@@ -149,6 +150,7 @@ def by_source_and_difficulty(df: DataFrame, source: str, difficulty: str, score:
         return F.coalesce(F.avg(F.when(F.col("_s") == s, F.col("_l"))), F.lit(-1.0))
 
     return checked.groupingSets([[source], [source, difficulty]], source, difficulty).agg(
+        F.grouping(difficulty).cast("int").alias("overall"),
         F.avg("_s").alias("reward"), F.avg("_l").alias("length"), of(0).alias("length_wrong"), of(1).alias("length_right"),
         F.count(F.lit(1)).alias("n"),
     )
@@ -173,33 +175,36 @@ def difficulty_metrics(
 
 
 def data_metrics(
-    df: DataFrame, *, scores: str, advantages: str, returns: str, values: str, mask: str, length: str, max_length: int,
-    length_limits: Sequence[int] = (2048, 4096, 8192, 16384),
+    df: DataFrame, *, scores: str, rewards: str, advantages: str, returns: str, values: str, mask: str, length: str, max_length: int,
+    prompt_length: str, max_prompt_length: int, length_limits: Sequence[int] = (2048, 4096, 8192, 16384),
 ) -> DataFrame:
-    """One row of batch statistics: per-sequence scores, masked token statistics, explained variance, lengths."""
+    """One row of batch statistics: scores and rewards per sequence, masked token statistics, explained variance, lengths.
+
+    Means come first and the squares around them second, so large values of small spread keep their variance.
+    """
     m = F.col(mask)
     kept = lambda c: F.filter(F.zip_with(F.col(c), m, lambda v, k: F.when(k > 0, v)), lambda v: v.isNotNull())
     error = F.zip_with(F.col(returns), F.col(values), lambda r, v: r - v)
-    rows = df.select(
-        array_sum(F.col(scores)).alias("score"), F.col(length).alias("len"), array_sum(m).alias("n"),
+    n = F.sum(array_sum(m))
+    means = scalars(df, (F.sum(masked_sum(error, m)) / n).alias("err"), (F.sum(masked_sum(F.col(returns), m)) / n).alias("ret"))
+    away = lambda c, mean: masked_sum(squares(F.transform(c, lambda x: x - mean)), m)
+    rows = df.withColumn("_mean", means).select(
+        array_sum(F.col(scores)).alias("score"), array_sum(F.col(rewards)).alias("reward"),
+        F.col(length).alias("length"), F.col(prompt_length).alias("prompt_length"), array_sum(m).alias("n"),
         *[f(kept(c)).alias(f"{c}_{s}") for c in (advantages, returns, values)
           for s, f in (("sum", array_sum), ("max", F.array_max), ("min", F.array_min))],
-        masked_sum(error, m).alias("err"), masked_sum(squares(error), m).alias("err_sq"),
-        masked_sum(squares(F.col(returns)), m).alias("ret_sq"),
+        away(error, F.col("_mean.err")).alias("err_sq"), away(F.col(returns), F.col("_mean.ret")).alias("ret_sq"),
     )
     n = F.sum("n")
-
-    def var(total, sq):
-        return (F.sum(sq) - F.sum(total) * F.sum(total) / n) / (n - 1)
-
+    per_row = ("score", "reward", "length", "prompt_length")
+    full = {"clip_ratio": ("length", max_length), "prompt_clip_ratio": ("prompt_length", max_prompt_length)}
     return rows.agg(
-        F.avg("score").alias("score_mean"), F.max("score").alias("score_max"), F.min("score").alias("score_min"),
+        *[f(c).alias(f"{c}_{s}") for c in per_row for s, f in (("mean", F.avg), ("max", F.max), ("min", F.min))],
         *[g.alias(f"{c}_{s}") for c in (advantages, returns, values) for s, g in (
             ("mean", F.sum(f"{c}_sum") / n), ("max", F.max(f"{c}_max")), ("min", F.min(f"{c}_min")))],
-        (1 - var("err", "err_sq") / (var(f"{returns}_sum", "ret_sq") + 1e-5)).alias("explained_var"),
-        F.avg("len").alias("length_mean"), F.max("len").alias("length_max"), F.min("len").alias("length_min"),
-        F.avg((F.col("len") == max_length).cast("double")).alias("clip_ratio"),
-        *[F.avg(F.when(F.col("len") <= limit, F.col("score"))).alias(f"score_upto_{limit}") for limit in length_limits],
+        (1 - F.sum("err_sq") / (n - 1) / (F.sum("ret_sq") / (n - 1) + 1e-5)).alias("explained_var"),
+        *[F.avg((F.col(c) == limit).cast("double")).alias(name) for name, (c, limit) in full.items()],
+        *[F.avg(F.when(F.col("length") <= limit, F.col("score"))).alias(f"score_upto_{limit}") for limit in length_limits],
     )
 
 
@@ -282,19 +287,19 @@ def welch_t_test(df: DataFrame, group: str, a: str, b: str, value: str) -> DataF
 def density_curve(df: DataFrame, group: str, value: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density per group on a shared grid from the overall minimum to the maximum.
 
-    Bandwidth by Scott's rule. Each row contributes to the fixed grid, and map-side combine leaves at most
-    groups x points rows per task to shuffle.
+    Bandwidth by Scott's rule. Equal values are counted first; each distinct one contributes to the fixed grid, and
+    map-side combine leaves at most groups x points rows per task to shuffle.
     """
     span = scalars(df, F.min(value).alias("lo"), F.max(value).alias("hi"))
-    stats = attach_group_stats(
-        df.select(group, value), [group], F.count(value).alias("_n"), F.stddev_samp(value).alias("_s")
-    ).withColumn("_span", span)
+    moments = df.groupBy(F.col(group).alias("_group")).agg(F.count(value).alias("_n"), F.stddev_samp(value).alias("_s"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+    stats = counts.join(moments, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_span", span)
     width = F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2))
     grid = stats.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
         "x", F.col("_span.lo") + (F.col("_span.hi") - F.col("_span.lo")) * F.col("point") / (points - 1)
     )
     z = (F.col("x") - F.col(value)) / width
-    kernel = F.exp(-0.5 * z * z) / (width * 2.5066282746310002 * F.col("_n"))
+    kernel = F.col("_c") * F.exp(-0.5 * z * z) / (width * 2.5066282746310002 * F.col("_n"))
     return grid.groupBy(group, "point").agg(F.max("x").alias("x"), F.sum(kernel).alias("density"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,20 +61,22 @@ def cumulative_tokens(lengths: DataFrame, keys: Sequence[str], samples_per_step:
     return running_sum(staged(lengths, "lengths"), keys, ["step"], F.col("value") * samples_per_step / 1e6, "tokens_m")
 
 
-def rolling_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, window: int = 7) -> DataFrame:
+def rolling_mean(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, window: int = 7, bucket_rows: int = 4096
+) -> DataFrame:
     """Centred mean over ``window`` rows, fewer at the ends.
 
-    Each row adds its value to the positions around it, so the mean is an ordinary aggregate and no run has to
-    be read in order by one task.
+    Windows run inside buckets of ``bucket_rows`` positions. Only rows beside a bucket's edge are copied, to the neighbour
+    that needs them, so no run has to be read in order by one task.
     """
     half = window // 2
-    placed = positions(staged(df.select(*keys, order, value), "series"), order, "_pos", keys)
-    spread = placed.withColumn("_d", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn(
-        "_pos", F.col("_pos") + F.col("_d")
-    )
-    own = F.max(F.when(F.col("_d") == 0, F.col(order)))
-    means = spread.groupBy(*keys, "_pos").agg(own.alias(order), F.avg(value).alias("rolling"))
-    return means.where(F.col(order).isNotNull()).drop("_pos")
+    placed = positions(df.select(*keys, order, value), order, "_pos", keys)
+    pos = F.col("_pos")
+    of = lambda at: F.floor(at / bucket_rows)
+    spread = placed.withColumn("_bucket", F.explode(F.array_distinct(F.array(of(pos - half), of(pos), of(pos + half)))))
+    around = Window.partitionBy(*keys, "_bucket").orderBy("_pos").rowsBetween(-half, half)
+    means = spread.withColumn("rolling", F.avg(value).over(around))
+    return means.where(F.col("_bucket") == of(pos)).select(*keys, order, "rolling")
 
 
 def interpolate(

@@ -321,7 +321,7 @@ def _(spark, sf):
 
 
 @query("val_metrics_by_source_difficulty", views="ev", oracle=DIFF + """
-SELECT data_source, difficulty, round(avg(score), 6) AS reward, round(avg(response_length), 6) AS length,
+SELECT data_source, difficulty, CAST(grouping(difficulty) AS INTEGER) AS overall, round(avg(score), 6) AS reward, round(avg(response_length), 6) AS length,
   round(coalesce(avg(response_length) FILTER (score = 0), -1), 6) AS length_wrong,
   round(coalesce(avg(response_length) FILTER (score = 1), -1), 6) AS length_right, count(*) AS n
 FROM d GROUP BY GROUPING SETS ((data_source), (data_source, difficulty))""")
@@ -418,8 +418,10 @@ def _(spark, sf):
 , t AS (SELECT uid, n, rewards[i] AS r, vals[i] AS v, vals[n - i + 1] AS a, vals[i] / 2 + rewards[i] AS ret FROM tok, unnest(range(1, n + 1)) u(i)),
 k AS (SELECT avg(a) AS advantages_mean, max(a) AS advantages_max, min(a) AS advantages_min, avg(ret) AS returns_mean, max(ret) AS returns_max, min(ret) AS returns_min,
    avg(v) AS values_mean, max(v) AS values_max, min(v) AS values_min, 1 - var_samp(ret - v) / (var_samp(ret) + 1e-5) AS explained_var FROM t),
-s AS (SELECT uid, n, list_sum(rewards) AS score FROM tok)
-SELECT round(avg(score), 6) AS score_mean, max(score) AS score_max, min(score) AS score_min, round(avg(n), 6) AS length_mean, max(n) AS length_max, min(n) AS length_min,
+s AS (SELECT uid, n, list_sum(rewards) AS score, list_sum(rewards) - list_sum(vals) / 10 AS reward, 5 + uid % 7 AS p FROM tok)
+SELECT round(avg(score), 6) AS score_mean, max(score) AS score_max, min(score) AS score_min,
+  round(avg(reward), 6) AS reward_mean, round(max(reward), 6) AS reward_max, round(min(reward), 6) AS reward_min,
+  round(avg(p), 6) AS prompt_length_mean, max(p) AS prompt_length_max, min(p) AS prompt_length_min, round(avg(CASE WHEN p = 11 THEN 1.0::DOUBLE ELSE 0 END), 6) AS prompt_clip_ratio, round(avg(n), 6) AS length_mean, max(n) AS length_max, min(n) AS length_min,
   round(avg(CASE WHEN n = 62 THEN 1.0::DOUBLE ELSE 0 END), 6) AS clip_ratio, round(avg(score) FILTER (n <= 20), 6) AS score_upto_20, round(avg(score) FILTER (n <= 40), 6) AS score_upto_40,
   round(any_value(advantages_mean), 6) AS advantages_mean, round(any_value(advantages_max), 6) AS advantages_max, round(any_value(advantages_min), 6) AS advantages_min,
   round(any_value(returns_mean), 6) AS returns_mean, round(any_value(returns_max), 6) AS returns_max, round(any_value(returns_min), 6) AS returns_min,
@@ -428,13 +430,15 @@ SELECT round(avg(score), 6) AS score_mean, max(score) AS score_max, min(score) A
 def _(spark, sf):
     t = tok(spark, sf).select(
         "uid", "n", "rewards", F.reverse("vals").alias("advantages"), F.col("vals").alias("values"),
+        F.zip_with("rewards", "vals", lambda r, v: r - v / 10).alias("token_rewards"), (5 + F.col("uid") % 7).alias("prompt_length"),
         F.zip_with("vals", "rewards", lambda v, r: v / 2 + r).alias("returns"), ones_like(F.col("vals")).alias("mask"),
     )
     out = E.data_metrics(
-        t, scores="rewards", advantages="advantages", returns="returns", values="values", mask="mask", length="n",
-        max_length=62, length_limits=(20, 40),
+        t, scores="rewards", rewards="token_rewards", advantages="advantages", returns="returns", values="values", mask="mask",
+        length="n", max_length=62, prompt_length="prompt_length", max_prompt_length=11, length_limits=(20, 40),
     )
-    return _round(out, *[c for c in out.columns if c not in ("score_max", "score_min", "length_max", "length_min")])
+    whole = [f"{c}_{s}" for c in ("score", "length", "prompt_length") for s in ("max", "min")]
+    return _round(out, *[c for c in out.columns if c not in whole])
 
 
 @query("length_by_reward_level", views="ev", oracle="""

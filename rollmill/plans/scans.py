@@ -186,9 +186,8 @@ def _(spark, sf):
 
 @query("remote_copy_in", "SELECT event_id, value FROM events")
 def _(spark, sf):
-    # Spark reads file, hdfs and object-store addresses alike, so no copy is made.
-    address = f"file://{sf}/events.parquet" if sf.startswith("/") else f"{sf}/events.parquet"
-    return spark.read.schema("event_id bigint, value double").parquet(address)
+    # Spark reads file, hdfs and object-store addresses alike, so no copy is made and the address stays as given.
+    return spark.read.schema("event_id bigint, value double").parquet(f"{sf}/events.parquet")
 
 
 @query("latest_snapshot", views="hist", oracle="SELECT step // 50 AS global_step, row_id, value FROM hist WHERE step // 50 = (SELECT max(step // 50) FROM hist)")

@@ -59,9 +59,16 @@ def _(spark, sf):
     return R.run_available(R.replay_keep_last(h, keys, ["created_at", "row_id"], ["row_id", "value"]), keys)
 
 
-@query("stream_replay_keep_first", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
+@query("stream_replay_keep_first", """
+SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""")
 def _(spark, sf):
-    first = R.replay_keep_first(_events(spark, sf).select("time", "user_id", "event_type"), "time", ["user_id", "event_type"], "365 days")
+    keys = ["user_id", "event_type"]
+    return R.run_available(R.replay_keep_first(_events(spark, sf), keys, ["time", "event_id"], ["event_id", "value"]), keys)
+
+
+@query("stream_replay_drop_repeats", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
+def _(spark, sf):
+    first = R.replay_drop_repeats(_events(spark, sf).select("time", "user_id", "event_type"), "time", ["user_id", "event_type"], "365 days")
     return R.run_available(first, [], "append").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -74,14 +81,17 @@ def _(spark, sf):
 
 
 @query("stream_group_timer", """
-WITH g AS (SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(ts) AS newest FROM events GROUP BY ALL)
-SELECT user_id, event_type, n, mean, n >= 12 AS complete FROM g
-WHERE n >= 12 OR epoch_ms(newest) + 3 * 86400000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
+WITH e AS (SELECT user_id, event_type, ts, event_id, value, epoch_us(ts) AS us FROM events),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 3 * 86400000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s, (SELECT max(us) // 1000 - 3600000 FROM e) AS mark FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, s ORDER BY ts, event_id) AS i FROM s WHERE us // 1000 < mark)
+SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS opened, least(count(*), 12) AS n, round(avg(value) FILTER (i <= 12), 6) AS mean, count(*) >= 12 AS complete
+FROM r GROUP BY user_id, event_type, s HAVING count(*) >= 12 OR (max(us) + 3 * 86400000000) // 1000 < any_value(mark)""")
 def _(spark, sf):
     groups = R.complete_groups_with_timer(
-        _events(spark, sf), ["user_id", "event_type"], "time", "value", 12, patience_ms=3 * 86_400_000, late="1 hour"
+        _events(spark, sf), ["user_id", "event_type"], "time", "event_id", "value", 12, patience_ms=3 * 86_400_000, late="1 hour"
     )
-    return R.run_available(groups, [], "append").withColumn("mean", F.round("mean", 6))
+    return R.run_available(groups, [], "append").withColumns({"mean": F.round("mean", 6), "opened": _text(F.col("opened"))})
 
 
 @query("stream_adaptive_kl", """
@@ -94,8 +104,9 @@ def _(spark, sf):
 @query("stream_session_activity", """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, s""")
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, s
+HAVING epoch_us(max(ts)) + 12 * 3600000000 <= (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events)""")
 def _(spark, sf):
     agg = R.session_activity(_events(spark, sf), "time", ["user_id"], "12 hours")
-    out = R.run_available(agg, ["session", "user_id"], "complete")
+    out = R.run_available(agg, ["session", "user_id"], "append")
     return out.select("user_id", _text(F.col("session.start")).alias("start"), "n")

@@ -110,8 +110,8 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 def compare_tables(left: DataFrame | None, right: DataFrame | None) -> DataFrame:
     """One row: status IDENTICAL, DIFFERENT, MISSING or LOCAL_MISSING, and rows found on one side only.
 
-    Fingerprints settle equality; rows are only matched against each other, multiplicities included, to count
-    the differences.
+    Fingerprints settle equality; only where they differ are rows read again and matched against each other, multiplicities
+    included, to count the differences. Tables with other columns are DIFFERENT in all their rows.
     """
     some = left if left is not None else right
     if some is None:
@@ -125,7 +125,10 @@ def compare_tables(left: DataFrame | None, right: DataFrame | None) -> DataFrame
         )
     columns = sorted(left.columns)
     if columns != sorted(right.columns):
-        raise ValueError(f"columns differ: {columns} and {sorted(right.columns)}")
+        n = [d.agg(F.count(F.lit(1)).alias("_n")).scalar() for d in (left, right)]
+        return left.sparkSession.range(1).select(F.lit("DIFFERENT").alias("status"), n[0].alias("left_only"), n[1].alias("right_only"))
+    marks = [table_fingerprint(d).select(F.struct("rows", "checksum")).scalar() for d in (left, right)]
+    left, right = (d.where(marks[0] != marks[1]) for d in (left, right))
     a = left.select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     b = right.select(*columns).groupBy(*columns).agg((-F.count(F.lit(1))).alias("_n"))
     net = a.unionByName(b).groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")

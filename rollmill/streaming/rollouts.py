@@ -43,8 +43,14 @@ def replay_keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
     return df.groupBy(*keys).agg(last.alias("_last")).select(*keys, *[F.col("_last")[v].alias(v) for v in values])
 
 
-def replay_keep_first(df: DataFrame, time: str, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
-    """The first arrival per key within the watermark."""
+def replay_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The earliest values per key in ``order``, as a running minimum; the order in which rows arrive does not matter."""
+    first = F.min_by(F.struct(*values), F.struct(*order))
+    return df.groupBy(*keys).agg(first.alias("_first")).select(*keys, *[F.col("_first")[v].alias(v) for v in values])
+
+
+def replay_drop_repeats(df: DataFrame, time: str, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
+    """One row per key within the watermark, whichever comes first; a key's state goes once the watermark has passed it."""
     return df.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -56,46 +62,76 @@ def complete_groups(df: DataFrame, keys: Sequence[str], score: str, expected: in
 
 
 def complete_groups_with_timer(
-    df: DataFrame, keys: Sequence[str], time: str, score: str, expected: int, *, patience_ms: int, late: str
+    df: DataFrame, keys: Sequence[str], time: str, tie: str, score: str, expected: int, *, patience_ms: int, late: str
 ) -> DataFrame:
-    """One row per prompt group: when its responses are complete, or, flagged, once it was silent for too long.
+    """One row per prompt group: its first ``expected`` responses, or, flagged, fewer once it was silent for too long.
 
-    State per group is a count, two sums and the newest time; it is dropped when the row is emitted.
+    Responses count in the order of ``time`` and ``tie``, and only once the watermark has passed them, so how the input is
+    cut into micro-batches does not change the result. Further responses of a complete group are ignored until it has
+    been silent for ``patience_ms``; a group that speaks again after such a silence is a new one (column ``opened``).
+
+    State per group is a count, a sum and two times, and the responses newer than the watermark. It is dropped after the silence.
     """
     key_fields = [df.schema[k] for k in keys]
     out = T.StructType([
-        *key_fields, T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()),
-        T.StructField("complete", T.BooleanType()),
+        *key_fields, T.StructField("opened", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("mean", T.DoubleType()), T.StructField("complete", T.BooleanType()),
     ])
-    state_type = "n bigint, total double, newest bigint"
-
-    def row(key, n, total, complete):
-        values = dict(zip(keys, key)) | {"n": n, "mean": total / n, "complete": complete}
-        return pd.DataFrame([values])[[f.name for f in out.fields]]
+    tie_type = df.schema[tie].dataType.simpleString()
+    state_type = f"opened bigint, newest bigint, n bigint, total double, at array<bigint>, ties array<{tie_type}>, scores array<double>"
+    patience_us = patience_ms * 1000
 
     def update(key, frames, state):
-        n, total, newest = state.get if state.exists else (0, 0.0, 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield row(key, n, total, False)
-            return
+        opened, newest, n, total, *held = state.get if state.exists else (0, 0, 0, 0.0, [], [], [])
+        waiting = list(zip(*held))
         for pdf in frames:
-            n, total = n + len(pdf), total + float(pdf["_score"].sum())
-            newest = max(newest, int(pdf["_ms"].max()))
-        if n >= expected:
-            if state.exists:
-                state.remove()
-            yield row(key, n, total, True)
-        else:
-            state.update((n, total, newest))
-            state.setTimeoutTimestamp(newest + patience_ms)
+            waiting += zip(pdf["_us"].tolist(), pdf["_tie"].tolist(), pdf["_score"].tolist())
+        waiting.sort(key=lambda w: w[:2])
+        watermark = max(state.getCurrentWatermarkMs(), 0)
+        done = 0
+        rows = []
+
+        def close():
+            if 0 < n < expected:
+                rows.append((opened, n, total / n, False))
+
+        for us, _, value in waiting:
+            if us // 1000 >= watermark:
+                break
+            done += 1
+            if n and us - newest > patience_us:
+                close()
+                n, total = 0, 0.0
+            if not n:
+                opened = us
+            if n < expected:
+                n, total = n + 1, total + value
+                if n == expected:
+                    rows.append((opened, n, total / n, True))
+            newest = us
+        waiting = waiting[done:]
+        if n and (newest + patience_us) // 1000 < watermark:
+            close()
+            n, total = 0, 0.0
+        if n or waiting:
+            at, ties, scores = (list(c) for c in zip(*waiting)) if waiting else ([], [], [])
+            state.update((opened, newest, n, total, at, ties, scores))
+            due = [at[0] // 1000] if at else []
+            due += [(newest + patience_us) // 1000] if n else []
+            state.setTimeoutTimestamp(max(min(due), watermark + 1))
+        elif state.exists:
+            state.remove()
+        if rows:
+            table = pd.DataFrame(rows, columns=["opened", "n", "mean", "complete"])
+            for name, value in zip(keys, key):
+                table[name] = value
+            yield table[[f.name for f in out.fields]]
 
     narrow = df.withWatermark(time, late).select(
-        *keys, time, F.col(score).alias("_score"), F.unix_millis(time).alias("_ms")
-    )
-    return narrow.groupBy(*keys).applyInPandasWithState(
-        update, out, state_type, "append", GroupStateTimeout.EventTimeTimeout
+        *keys, time, F.col(tie).alias("_tie"), F.col(score).cast("double").alias("_score"), F.unix_micros(time).alias("_us")
     )
+    grouped = narrow.groupBy(*keys).applyInPandasWithState(update, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
+    return grouped.withColumn("opened", F.timestamp_micros("opened"))
 
 
 def adaptive_kl(df: DataFrame, keys: Sequence[str], kl: str, n_steps: Column, *, init: float, target: float, horizon: float) -> DataFrame:
@@ -103,7 +139,7 @@ def adaptive_kl(df: DataFrame, keys: Sequence[str], kl: str, n_steps: Column, *,
 
 
 def session_activity(df: DataFrame, time: str, keys: Sequence[str], gap: str, late: str = "1 hour") -> DataFrame:
-    """Segments of activity per key, separated by ``gap`` without rows."""
+    """Segments of activity per key, separated by ``gap`` without rows; in append mode each is given once, when it is over."""
     return df.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("session"), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 

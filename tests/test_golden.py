@@ -306,3 +306,101 @@ def test_text_stats_keeps_null_groups_and_groups_without_values(spark):
     df = spark.createDataFrame([(None, 1, 2), (None, 3, 4), ("a", None, None), ("b", 5, 6)], "source string, chars long, words long")
     got = {r["source"]: (r["rows"], r["chars_median"], r["words_median"]) for r in text_stats(df, ["source"], "chars", "words").collect()}
     assert got == {None: (2, 2.0, 3.0), "a": (1, None, None), "b": (1, 5.0, 6.0)}
+
+
+def _three_days(spark, folder, rows):
+    """The rows in three files, one per day, written one after the other."""
+    df = spark.createDataFrame(rows, "g string, at string, k long, x double").withColumn("time", F.to_timestamp("at")).drop("at")
+    for day in (1, 2, 3):
+        df.where(F.dayofmonth("time") == day).coalesce(1).write.mode("append").parquet(folder)
+    return df.schema.simpleString()[len("struct<"):-1].replace(":", " ")
+
+
+def test_group_timer_does_not_depend_on_batches(spark, tmp_path):
+    from rollmill.streaming import rollouts as R
+
+    rows = [
+        # complete on the second day; the fourth response comes too late to count
+        ("a", "2024-01-01 10:00:00", 1, 1.0), ("a", "2024-01-01 12:00:00", 2, 2.0), ("a", "2024-01-02 01:00:00", 3, 6.0), ("a", "2024-01-02 02:00:00", 4, 50.0),
+        # silent for too long, then a new group of the same name
+        ("b", "2024-01-01 01:00:00", 5, 4.0), ("b", "2024-01-02 20:00:00", 6, 8.0),
+        # two at the same time: the smaller key counts
+        ("c", "2024-01-01 05:00:00", 8, 7.0), ("c", "2024-01-01 05:00:00", 7, 1.0), ("c", "2024-01-01 05:00:00", 9, 100.0), ("c", "2024-01-01 05:00:00", 6, 1.0),
+        ("end", "2024-01-03 23:00:00", 10, 0.0),
+    ]
+    schema = _three_days(spark, f"{tmp_path}/in", rows)
+
+    def run(per_batch):
+        s = R.stream_parquet(spark, f"{tmp_path}/in", schema, files_per_batch=per_batch)
+        out = R.complete_groups_with_timer(s, ["g"], "time", "k", "x", 3, patience_ms=24 * 3_600_000, late="1 hour")
+        return sorted(map(tuple, R.run_available(out, [], "append").select("g", "n", "mean", "complete").collect()))
+
+    want = [("a", 3, 3.0, True), ("b", 1, 4.0, False), ("b", 1, 8.0, False), ("c", 3, 3.0, True)]
+    assert run(None) == run(1) == want
+
+
+def test_stream_forms_do_not_depend_on_batches(spark, tmp_path):
+    from rollmill.streaming import rollouts as R
+
+    rows = [("ab"[i % 2], f"2024-01-0{1 + i // 20} {i % 20:02d}:30:00", i, float(i * i % 7)) for i in range(60)]
+    schema = _three_days(spark, f"{tmp_path}/in", rows)
+    forms = {
+        "update": [
+            lambda s: (R.replay_keep_first(s, ["g"], ["time", "k"], ["k", "x"]), ["g"]),
+            lambda s: (R.replay_keep_last(s, ["g"], ["time", "k"], ["k", "x"]), ["g"]),
+            lambda s: (R.complete_groups(s, ["g"], "x", 8), ["g"]),
+            lambda s: (R.adaptive_kl(s, ["g"], "x", F.lit(8), init=0.2, target=2.0, horizon=1000.0), ["g"]),
+            lambda s: (R.step_metrics(s, "time", "x", ["g"], "3 hours"), ["window", "g"]),
+        ],
+        "append": [lambda s: (R.session_activity(s, "time", ["g"], "2 hours"), []), lambda s: (R.replay_drop_repeats(s.select("time", "g"), "time", ["g"], "90 days").select("g"), [])],
+    }
+    for mode, made in forms.items():
+        for form in made:
+            got = []
+            for per_batch in (None, 1):
+                out, keys = form(R.stream_parquet(spark, f"{tmp_path}/in", schema, files_per_batch=per_batch))
+                got.append(sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in R.run_available(out, keys, mode).collect()))
+            assert got[0] and got[0] == got[1]
+
+
+def test_controller_with_factors_of_zero_and_below(spark):
+    from rollmill.operators.credit import kl_controller
+
+    df = spark.createDataFrame([("a", 0.0, 50), ("a", 0.0, 100), ("b", 0.0, 50), ("b", 0.0, 150)], "g string, kl double, n int")
+    got = {r.g: r.kl_coef for r in kl_controller(df, ["g"], "kl", F.col("n"), init=1.0, target=1.0, horizon=10.0).collect()}
+    assert got["a"] == 0.0 and got["b"] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_rolling_mean_over_bucket_edges(spark):
+    from rollmill.operators.runlog import rolling_mean
+
+    x = [float(i * i % 11) for i in range(40)]
+    df = spark.createDataFrame([(r, i, v) for r in "ab" for i, v in enumerate(x)], "run string, step int, value double")
+    got = {(r.run, r.step): r.rolling for r in rolling_mean(df, ["run"], "step", "value", 7, bucket_rows=5).collect()}
+    want = {(r, i): sum(x[max(0, i - 3): i + 4]) / len(x[max(0, i - 3): i + 4]) for r in "ab" for i in range(40)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_similarity_of_one_chunk_and_of_many(spark):
+    from rollmill.operators.diversity import group_similarity
+
+    rows = [(i % 2, i, [float((i * j) % 5 - 2) for j in range(1, 7)]) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "g int, k long, v array<double>")
+    one, many = (sorted(group_similarity(df, ["g"], "k", "v", c).collect()) for c in (4096, 3))
+    assert len(one) == 2 and all(a[i] == pytest.approx(b[i]) for a, b in zip(one, many) for i in range(4))
+
+
+def test_whole_source_is_told_from_a_null_difficulty(spark):
+    from rollmill.operators.evaluation import by_source_and_difficulty
+
+    df = spark.createDataFrame([("s", None, 1.0, 4), ("s", "hard", 0.0, 2)], "src string, d string, s double, l int")
+    got = {(r.d, r.overall): r.reward for r in by_source_and_difficulty(df, "src", "d", "s", "l").collect()}
+    assert got == {(None, 1): 0.5, (None, 0): 1.0, ("hard", 0): 0.0}
+
+
+def test_compare_tables_with_other_columns(spark):
+    from rollmill.sources.files import compare_tables
+
+    a, b = spark.range(3), spark.range(2).withColumnRenamed("id", "other")
+    assert tuple(compare_tables(a, b).first()) == ("DIFFERENT", 3, 2)
+    assert tuple(compare_tables(a, spark.range(3)).first()) == ("IDENTICAL", 0, 0)
