@@ -422,7 +422,7 @@ s AS (SELECT uid, n, list_sum(rewards) AS score, list_sum(rewards) - list_sum(va
 SELECT round(avg(score), 6) AS score_mean, max(score) AS score_max, min(score) AS score_min,
   round(avg(reward), 6) AS reward_mean, round(max(reward), 6) AS reward_max, round(min(reward), 6) AS reward_min,
   round(avg(p), 6) AS prompt_length_mean, max(p) AS prompt_length_max, min(p) AS prompt_length_min, round(avg(CASE WHEN p = 11 THEN 1.0::DOUBLE ELSE 0 END), 6) AS prompt_clip_ratio, round(avg(n), 6) AS length_mean, max(n) AS length_max, min(n) AS length_min,
-  round(avg(CASE WHEN n = 62 THEN 1.0::DOUBLE ELSE 0 END), 6) AS clip_ratio, round(avg(score) FILTER (n <= 20), 6) AS score_upto_20, round(avg(score) FILTER (n <= 40), 6) AS score_upto_40,
+  round(avg(CASE WHEN n = 192 THEN 1.0::DOUBLE ELSE 0 END), 6) AS clip_ratio, round(avg(score) FILTER (n <= 64), 6) AS score_upto_64, round(avg(score) FILTER (n <= 128), 6) AS score_upto_128,
   round(any_value(advantages_mean), 6) AS advantages_mean, round(any_value(advantages_max), 6) AS advantages_max, round(any_value(advantages_min), 6) AS advantages_min,
   round(any_value(returns_mean), 6) AS returns_mean, round(any_value(returns_max), 6) AS returns_max, round(any_value(returns_min), 6) AS returns_min,
   round(any_value(values_mean), 6) AS values_mean, round(any_value(values_max), 6) AS values_max, round(any_value(values_min), 6) AS values_min,
@@ -435,7 +435,7 @@ def _(spark, sf):
     )
     out = E.data_metrics(
         t, scores="rewards", rewards="token_rewards", advantages="advantages", returns="returns", values="values", mask="mask",
-        length="n", max_length=62, prompt_length="prompt_length", max_prompt_length=11, length_limits=(20, 40),
+        length="n", max_length=192, prompt_length="prompt_length", max_prompt_length=11, length_limits=(64, 128),
     )
     whole = [f"{c}_{s}" for c in ("score", "length", "prompt_length") for s in ("max", "min")]
     return _round(out, *[c for c in out.columns if c not in whole])

@@ -41,13 +41,14 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-token arrays: values (or log-probabilities) and a terminal reward on every third row."""
-    n = 8 + 6 * F.col("label")
+    """Per-token arrays: values (or log-probabilities), one to three whole vectors long, and a terminal reward on every third row."""
+    vals = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 1 + F.col("label") % 3))
+    n = F.size(vals).cast("bigint")
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("uid"),
         "label",
         n.alias("n"),
-        F.slice(F.col("embedding").cast("array<double>"), F.lit(1), n).alias("vals"),
+        vals.alias("vals"),
         F.transform(
             F.sequence(F.lit(1), n),
             lambda i: F.when((i == n) & (F.col("vec_id") % 3 == 0), 1.0).otherwise(0.0),
@@ -138,11 +139,10 @@ SELECT event_id AS sample_id, user_id // 2 AS question_idx,
          || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 10) AS output
 FROM events""",
     "tok": """
-SELECT vec_id AS uid, label, 8 + 6 * label AS n,
-       list_slice(embedding::DOUBLE[], 1, 8 + 6 * label) AS vals,
-       list_transform(range(1, 9 + 6 * label),
-         lambda i: CASE WHEN i = 8 + 6 * label AND vec_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rewards
-FROM embeddings""",
+SELECT vec_id AS uid, label, len(vals) AS n, vals,
+       list_transform(range(1, len(vals) + 1),
+         lambda i: CASE WHEN i = len(vals) AND vec_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rewards
+FROM (SELECT *, flatten(list_transform(range(1 + label % 3), lambda _: embedding::DOUBLE[])) AS vals FROM embeddings)""",
     "hist": """
 SELECT o_orderkey AS row_id, o_orderstatus AS run_id, CAST(o_custkey % 400 AS INTEGER) AS step,
        o_orderdate AS created_at, o_orderpriority AS metric, o_totalprice AS value
