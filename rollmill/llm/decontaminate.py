@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from rollmill.llm.arrays import ALNUM, LOWER, ragged, slices, text_bytes, word_hashes, words_of
 
 DEPTH = 4  # words in a sort key, 16 bits each
+MEETINGS = 1 << 20  # places and suffixes with a common key that are compared at a time, about
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _WORD = ALNUM
 
@@ -88,11 +89,22 @@ class Items(NamedTuple):
                    low, low | mask, names)
 
 
-def search(shard: Shard, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All places where a window of an item begins: position in the shard, suffix number, words matched from there (the longest)."""
+def search(shard: Shard, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All places where a window of an item begins: position in the shard, suffix number, words matched from there (the longest).
+
+    They come in pieces, so items that open with the same words as each other and as many places in the shard need no more memory.
+    """
     lo = np.searchsorted(shard.keys, items.low, "left")
     hi = np.searchsorted(shard.keys, items.high, "right")
-    suffix = np.repeat(np.arange(len(lo)), hi - lo)
+    some = np.flatnonzero(hi > lo)
+    met = np.cumsum(hi[some] - lo[some]) // MEETINGS
+    for part in np.split(some, np.flatnonzero(np.diff(met)) + 1):
+        if len(part):
+            yield _matches(shard, items, part, lo[part], hi[part])
+
+
+def _matches(shard: Shard, items: Items, suffixes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    suffix = np.repeat(suffixes, hi - lo)
     place = shard.order[ragged(lo, hi - lo)]
     fits = shard.end[place] - place >= items.window[suffix]
     place, suffix = place[fits], suffix[fits]
@@ -161,19 +173,20 @@ def find_contamination(
             best = [(0, 0, "")] * n
             for block in blocks:
                 known = Items(*block.value)
-                place, suffix, length = search(shard, known)
-                width = known.window[suffix]
-                depth += np.bincount(place, minlength=total + 1) - np.bincount(place + width, minlength=total + 1)
-                doc = np.searchsorted(shard.first, place, "right") - 1
-                pairs = np.unique(np.stack([doc, known.item[suffix]]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
-                for d, i in pairs.T.tolist():
-                    met[d].add(known.names[i])
-                order = np.lexsort((place, -length, doc))
-                lead = order[np.unique(doc[order], return_index=True)[1]]
-                for k in lead.tolist():
-                    d = int(doc[k])
-                    if length[k] > best[d][0]:
-                        best[d] = (int(length[k]), int(place[k] - shard.first[d]), known.names[known.item[suffix[k]]])
+                for place, suffix, length in search(shard, known):
+                    width = known.window[suffix]
+                    depth += np.bincount(place, minlength=total + 1) - np.bincount(place + width, minlength=total + 1)
+                    doc = np.searchsorted(shard.first, place, "right") - 1
+                    pairs = np.unique(np.stack([doc, known.item[suffix]]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
+                    for d, i in pairs.T.tolist():
+                        met[d].add(known.names[i])
+                    order = np.lexsort((place, -length, doc))
+                    lead = order[np.unique(doc[order], return_index=True)[1]]
+                    for k in lead.tolist():
+                        d = int(doc[k])
+                        at = int(place[k] - shard.first[d])
+                        if (length[k], -at) > (best[d][0], -best[d][1]):
+                            best[d] = (int(length[k]), at, known.names[known.item[suffix[k]]])
             hit = np.concatenate([[0], np.cumsum(np.cumsum(depth[:total]) > 0)])
             n_hit = hit[shard.first[1:]] - hit[shard.first[:-1]]
             n_words = np.diff(shard.first)
