@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.llm.arrays import Spans, covered, distinct, mix
+from rollmill.llm.arrays import Spans, covered, distinct, mix, ragged
 from rollmill.llm.packs import SENT, _dealt, answered, each_pack, pack, parts_for, per_pack, sent, shared_keys, with_answers
 from rollmill.llm.staging import shuffle_parts, written
 from rollmill.llm.substring import difference_cover
@@ -22,6 +22,8 @@ BLOCK_BITS = 7  # a content-defined cut every 128 bytes, on average
 CUT_RULE = np.uint64(0x9E3779B97F4A7C15)
 #: Suffixes that are sorted together, about.
 SORT_SIZE = 1 << 17
+#: Contexts of one gram beyond which their strings are sorted one shift after the other.
+CROWD = 1 << 15
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -222,11 +224,34 @@ def _least_ids(contexts: np.ndarray, ids: np.ndarray, length: int, span: int) ->
     return out
 
 
+def _least_by_shift(contexts: np.ndarray, ids: np.ndarray, length: int, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same for crowded grams: per start, which contexts have a string there, and the least id that holds it.
+
+    Equal strings share the gram at the same shift, so the strings of one shift are sorted at a time, byte for byte, and adjacent
+    ones compared. Memory is one string a context, not all of a context's suffixes.
+    """
+    reach = span - 1
+    left, right = contexts[:, 0].astype(int), contexts[:, 1].astype(int)
+    for start in range(span):
+        rows = np.flatnonzero((start >= reach - left) & (start <= right))
+        if len(rows) < 2:
+            continue
+        padded = np.zeros((len(rows), -(-length // 8) * 8), np.uint8)
+        padded[:, :length] = contexts[rows, 2 + start : 2 + start + length]
+        words = padded.view(np.uint64)
+        order = np.lexsort(words.T)
+        words, rows = words[order], rows[order]
+        firsts = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)]))
+        least = np.minimum.reduceat(ids[rows], firsts)
+        yield start, rows, np.repeat(least, np.diff(np.append(firsts, len(rows))))
+
+
 def sorted_shards(rows: DataFrame, n_parts: int, length: int, span: int) -> DataFrame:
     """For rows (pack, part, keys (contexts), ids, places): per pack, the answers (places, bits): for each place, ``span`` bits.
 
     Contexts of one gram are sorted together; a task sorts one lot of grams after the other, each of about SORT_SIZE suffixes.
-    A gram that stands in one context only has none to be compared with. Places at which nothing was found are not answered.
+    A gram that stands in one context only has none to be compared with; the strings around one that stands in more than CROWD
+    are sorted shift by shift. Places at which nothing was found are not answered.
     """
     reach, size = span - 1, length - span + 1
     width = 2 * reach + size + 2
@@ -253,16 +278,28 @@ def sorted_shards(rows: DataFrame, n_parts: int, length: int, span: int) -> Data
             first = np.full(len(lead), NO_ID)
             np.minimum.at(first, back, ids)
             _, which, holders = np.unique(gram[lead], return_inverse=True, return_counts=True)
-            meet = np.flatnonzero(holders[which] > 1)
-            lot = mix(gram[lead[meet]]) % np.uint64(len(meet) * width // SORT_SIZE + 1)
+            calm = np.flatnonzero((holders[which] > 1) & (holders[which] <= CROWD))
+            crowded = np.flatnonzero(holders[which] > CROWD)
+            lot = mix(gram[lead[calm]]) % np.uint64(len(calm) * width // SORT_SIZE + 1)
             by_lot = np.argsort(lot, kind="stable")
-            least = np.repeat(first[:, None], span, axis=1)
-            for rows in np.split(meet[by_lot], np.flatnonzero(np.diff(lot[by_lot])) + 1):
+            calm = calm[by_lot]
+            # The rows of each distinct context stand together in this order.
+            back_order, spot = np.argsort(back, kind="stable"), np.zeros(len(lead), np.int64)
+            back_count = np.bincount(back, minlength=len(lead))
+            back_first = np.cumsum(back_count) - back_count
+            hit = np.repeat((first[back] < ids)[:, None], span, axis=1)
+            for rows in np.split(calm, np.flatnonzero(np.diff(lot[by_lot])) + 1):
                 if len(rows):
-                    least[rows] = _least_ids(contexts[lead[rows]], first[rows], length, span)
+                    least = _least_ids(contexts[lead[rows]], first[rows], length, span)
+                    spot[rows] = np.arange(len(rows))
+                    of = back_order[ragged(back_first[rows], back_count[rows])]
+                    hit[of] = least[spot[back[of]]] < ids[of, None]
+            for start, at, least in _least_by_shift(contexts[lead[crowded]], first[crowded], length, span):
+                lowest = first.copy()
+                lowest[crowded[at]] = least
+                hit[:, start] |= lowest[back] < ids
             start = np.arange(span)
-            real = (start >= reach - contexts[:, :1].astype(int)) & (start <= contexts[:, 1:2])
-            hit = (least[back] < ids[:, None]) & real
+            hit &= (start >= reach - contexts[:, :1].astype(int)) & (start <= contexts[:, 1:2])
             ends = np.cumsum([len(c) for c in columns[1]])
             for pack_no, end, n in zip(numbers, ends, np.diff(ends, prepend=0)):
                 own = np.flatnonzero(hit[end - n : end].any(axis=1)) + end - n
