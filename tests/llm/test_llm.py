@@ -286,6 +286,21 @@ def test_contamination_by_brute_force(spark):
             assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
 
 
+def test_items_that_open_alike_are_compared_in_pieces(spark, monkeypatch):
+    opening = "which of the following is the right answer to this one"
+    items = [(i, f"{opening} number {i}") for i in range(40)]
+    docs = [(d, " ".join(f"{opening} number {(d * 7 + j) % 60} end" for j in range(20))) for d in range(12)]
+    i = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = rows_of(find_contamination(d, i), "doc_id")
+    monkeypatch.setattr("rollmill.llm.decontaminate.MEETINGS", 50)
+    assert rows_of(find_contamination(d, i), "doc_id") == whole
+    for r in whole:
+        own = {(r["doc_id"] * 7 + j) % 60 for j in range(20)}
+        assert r["n_items"] == len([x for x in own if x < 40]) and r["longest_match"] == 13
+        assert r["longest_at"] == 14 * min(j for j in range(20) if (r["doc_id"] * 7 + j) % 60 < 40)
+
+
 def test_classifier_learns_and_never_sees_held_out_labels(spark):
     rnd = random.Random(4)
     rows, labels = [], []
@@ -334,6 +349,18 @@ def test_suffix_dedup_by_brute_force(spark):
     assert got == held_before({i: t.encode() for i, t in texts.items()})
 
 
+@pytest.mark.parametrize("crowd", [1, 1 << 15])
+def test_suffix_dedup_of_a_phrase_in_ever_other_surroundings(spark, monkeypatch, crowd):
+    monkeypatch.setattr("rollmill.llm.suffix_dedup.CROWD", crowd)
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choices("abcdefghij klmnop", k=n))
+    ahead, behind = ([noise(40) for _ in range(12)] for _ in range(2))
+    texts = {i: rnd.choice(ahead) + "subscribe to our newsletter today" + rnd.choice(behind) + noise(rnd.randrange(90)) for i in range(150)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r[0]: tuple(r)[1:] for r in remove_held_before(df).collect()}
+    assert got == held_before({i: t.encode() for i, t in texts.items()})
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as C
 
