@@ -17,7 +17,8 @@ class PieceCounter:
     """Counts the pieces of a byte-pair model, of huge texts by overlap resynchronisation.
 
     A cut in front of a space that follows another character is proven stable if no piece of the vocabulary holds the space mark
-    behind another character: no merge can then cross the cut, so both sides are encoded as they would be alone.
+    behind another character: no merge can then cross the cut, so both sides are encoded as they would be alone. A mark that stands in
+    the text itself is read as a space, which the model normalises to the same mark; where it does not, such texts are encoded whole.
     """
 
     def __init__(self, model: bytes, chunk_chars: int, overlap_chars: int) -> None:
@@ -28,13 +29,14 @@ class PieceCounter:
         probe = " a  b\tcﬁ　 d "
         plain = self.sp.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.proven = plain and not any(MARK in p.lstrip(MARK) for p in pieces)
+        marked = f"{MARK} a{MARK}b {MARK * 2}c{MARK} "
+        self.alike = self.sp.normalize(marked) == self.sp.normalize(marked.replace(MARK, " "))
         self.widened = 0
 
     def counts(self, texts: list[str]) -> list[int]:
-        long = self.chunk + self.overlap
-        short = [t for t in texts if len(t) <= long or not self.proven]
-        encoded = iter(self._short(short))
-        return [next(encoded) if len(t) <= long or not self.proven else self.spliced(t) for t in texts]
+        whole = [len(t) <= self.chunk + self.overlap or not self.proven or (MARK in t and not self.alike) for t in texts]
+        encoded = iter(self._short([t for t, w in zip(texts, whole) if w]))
+        return [next(encoded) if w else self.spliced(t.replace(MARK, " ")) for t, w in zip(texts, whole)]
 
     def _short(self, texts: list[str]) -> Iterator[int]:
         at = 0
@@ -55,7 +57,7 @@ class PieceCounter:
         return np.concatenate([[-1], ends[:-1]]) if len(ends) else ends
 
     def spliced(self, text: str) -> int:
-        """Tokens of a text longer than a chunk."""
+        """Tokens of a text longer than a chunk, with no mark of its own."""
         total, begin, clean = 0, 0, 0  # the chunk starts at begin; its tokens count from clean on
         while True:
             overlap = self.overlap
@@ -101,8 +103,8 @@ def count_tokens(
 
     Texts of more than chunk_chars + overlap_chars characters are encoded in chunks that overlap; two neighbours are joined at a
     proven cut (see PieceCounter) inside the overlap at which both encodings have a boundary. Where an overlap holds none, it is
-    doubled, up to the rest of the text. A model that folds characters, or has pieces across spaces, allows no proof, and its
-    texts are encoded whole.
+    doubled, up to the rest of the text. A U+2581 in a text counts as the space that the model takes it for. A model that folds
+    characters, or has pieces across spaces, allows no proof, and its texts are encoded whole.
 
     One row per input row: the id, n_bytes (UTF-8), n_tokens, over_limit. Null and empty texts: 0 tokens. Repeated rows each
     give a row, a null id stays null, other columns are dropped. The model is read on the driver (a fixed file of under 1 MB)

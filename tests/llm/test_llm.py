@@ -238,6 +238,22 @@ def test_token_counts_and_splices(spark):
     assert small.widened > 0
 
 
+def test_token_counts_of_texts_with_the_space_mark(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    mark, rnd = "\u2581", random.Random(4)
+    with open(PIECES, "rb") as f:
+        model = f.read()
+    small = PieceCounter(model, chunk_chars=64, overlap_chars=8)
+    hard = ["".join(rnd.choice([mark, f" {mark}", f"{mark} ", mark * 17, " a", "é", "\n", "word", "日本▂█", "  "]) for _ in range(200)) for _ in range(60)]
+    hard += [mark * 500, f"x{mark}" * 300, f" {mark}" * 300, "word " * 40 + mark, mark + "word " * 40]
+    assert small.counts(hard) == [len(sp.encode(t)) for t in hard]
+    small.alike = False
+    assert small.counts(hard) == [len(sp.encode(t)) for t in hard]
+    long = [LONG[:18_000] + f" {mark} a{mark}b", f"{mark}▂▃▅▇ load {mark}{mark} " * 2_000, "plain"]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in count_tokens(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), PIECES).collect()}
+    assert got == {i: (len(t.encode()), len(sp.encode(t))) for i, t in enumerate(long)}
+
+
 def test_difference_cover():
     for period in (3, 13, 21, 31):
         cover = difference_cover(period)
