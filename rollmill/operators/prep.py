@@ -253,7 +253,7 @@ def multiturn_masks(
     """Loss mask (1 on assistant tokens) and position ids per conversation, padded or cut to ``max_length``.
 
     Running token counts tell which turns reach into the kept window, so at most ``max_length`` turns of a
-    conversation are gathered, however long it is.
+    conversation are gathered, however long it is. A conversation without tokens gets a mask of zeros.
     """
     if truncation not in ("left", "right"):
         raise ValueError(f"unknown truncation {truncation!r}")
@@ -264,8 +264,9 @@ def multiturn_masks(
     else:
         totals = attach_group_stats(placed, [conv], F.max("_end").alias("_total"), salt=[turn])
         reached = totals.where(F.col("_end") > F.col("_total") - max_length)
-    turns = F.array_sort(F.collect_list(F.struct(turn, role, "_n")))
-    gathered = reached.groupBy(conv).agg(turns.alias("_turns"))
+    turn_of = reached.select(conv, F.struct(turn, role, "_n").alias("_turn"))
+    every = df.select(conv).distinct().withColumn("_turn", F.lit(None).cast(turn_of.schema["_turn"].dataType))
+    gathered = turn_of.unionByName(every).groupBy(conv).agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
     spans = F.flatten(
         F.transform("_turns", lambda t: F.array_repeat((t[role] == "assistant").cast("bigint"), t["_n"].cast("int")))
     )

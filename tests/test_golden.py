@@ -236,6 +236,14 @@ def test_multiturn_masks_cut_on_either_side(spark):
     assert padded["loss_mask"] == full + [0, 0] and padded["position_ids"] == list(range(13)) + [0, 0]
 
 
+def test_multiturn_masks_keep_conversations_without_tokens(spark):
+    turns = [(1, 0, "user", 0), (1, 1, "assistant", 0), (2, 0, "user", 1), (2, 1, "assistant", 2), (3, 0, "user", None), (None, 0, "user", 0)]
+    df = spark.createDataFrame(turns, "c int, turn int, role string, n int")
+    for truncation in ("right", "left"):
+        got = {r["c"]: (r["loss_mask"], r["position_ids"]) for r in P.multiturn_masks(df, "c", "turn", "role", "n", 4, truncation).collect()}
+        assert got == {None: ([0] * 4, [0] * 4), 1: ([0] * 4, [0] * 4), 2: ([0, 1, 1, 0], [0, 1, 2, 0]), 3: ([0] * 4, [0] * 4)}
+
+
 def test_rollout_arrays_are_read_with_track_and_step(spark, tmp_path):
     import json
 
