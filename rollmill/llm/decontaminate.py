@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from rollmill.llm.arrays import ALNUM, LOWER, ragged, slices, text_bytes, word_hashes, words_of
@@ -89,6 +90,14 @@ class Items(NamedTuple):
                    low, low | mask, names)
 
 
+def each_block(blocks: list[Broadcast]) -> Iterator[Items]:
+    """The items of every block, in order. Of several, each is read from the task's local copy and let go before the next."""
+    for block in blocks:
+        yield Items(*block.value)
+        if len(blocks) > 1 and getattr(block, "_path", None):  # a worker keeps a value it has read for as long as it runs
+            vars(block).pop("_value", None)
+
+
 def search(shard: Shard, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """All places where a window of an item begins: position in the shard, suffix number, words matched from there (the longest).
 
@@ -140,8 +149,9 @@ def find_contamination(
     the comma-joined ids), contaminated (n_hit > 0 and n_hit >= share * n_words), longest_match (words; 0 without a hit),
     longest_at (its first word, from 0; the first such place) and longest_item.
 
-    The items are read in blocks of about block_words words, each sent to the executors by itself and searched in turn, so neither
-    the driver nor a task holds all of a large benchmark. Nothing of the documents is shuffled or gathered. Null and empty texts
+    The items pass through the driver in blocks of about block_words words. Each is sent to the executors by itself, kept there on
+    disk where memory is short, and read and searched in turn for every shard, so neither the driver nor a Python worker holds more
+    than a block of a large benchmark; the executors' local disks hold all of it, as hashes. Nothing of the documents is shuffled or gathered. Null and empty texts
     have no words: no hits, and such items never occur. A null item id reads as an empty string; repeated items count once.
     Repeated documents each give a row, a null id stays null, other columns are dropped, either table may be empty.
     """
@@ -171,8 +181,7 @@ def find_contamination(
             depth = np.zeros(total + 1, np.int64)
             met: list[set[str]] = [set() for _ in range(n)]
             best = [(0, 0, "")] * n
-            for block in blocks:
-                known = Items(*block.value)
+            for known in each_block(blocks):
                 for place, suffix, length in search(shard, known):
                     width = known.window[suffix]
                     depth += np.bincount(place, minlength=total + 1) - np.bincount(place + width, minlength=total + 1)

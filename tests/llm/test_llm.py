@@ -302,6 +302,24 @@ def test_contamination_by_brute_force(spark):
             assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
 
 
+def test_a_worker_holds_one_block_of_items(tmp_path):
+    import pickle
+
+    from pyspark import Broadcast
+
+    from rollmill.llm.decontaminate import Items, each_block
+
+    blocks = []
+    for k in range(3):
+        (tmp_path / str(k)).write_bytes(pickle.dumps(tuple(Items.of([f"i{k}"], ["some words of an item"], 13))))
+        blocks.append(Broadcast(path=str(tmp_path / str(k))))
+    for _ in range(2):
+        for k, known in enumerate(each_block(blocks)):
+            assert known.names == [f"i{k}"] and sum("_value" in vars(b) for b in blocks) == 1
+        assert not any("_value" in vars(b) for b in blocks)
+    assert [x.names for x in each_block(blocks[:1])] == [["i0"]] and "_value" in vars(blocks[0])
+
+
 def test_items_that_open_alike_are_compared_in_pieces(spark, monkeypatch):
     opening = "which of the following is the right answer to this one"
     items = [(i, f"{opening} number {i}") for i in range(40)]
@@ -332,6 +350,19 @@ def test_classifier_learns_and_never_sees_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_a_repeated_id_is_learnt_from_once(spark, monkeypatch):
+    from rollmill.llm.toxicity import TextCnn
+
+    seen, fit = [], TextCnn.fit
+    monkeypatch.setattr(TextCnn, "fit", lambda self, texts, y: (seen.append((len(texts), [t.tolist() for t in texts])), fit(self, texts, y))[1])
+    ids = [i for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"word{i} " * 5 + ("vile" if i % 2 else "fine"), "en") for i in ids] + [(ids[0], f"other{j}", "de") for j in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    for parts in (1, 4):
+        train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts), labels)
+    assert seen[0][0] < len(ids) and seen[0] == seen[1]
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(400):
