@@ -112,7 +112,8 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
 ) -> DataFrame:
-    """Fingerprint (long) and component of every row.
+    """Fingerprint (long), component and root of every row; the root, the component's least fingerprint, is its own even where two
+    components hold rows of the same least id.
 
     Fingerprints link at ``radius`` or fewer differing bits (an even number); component_id is the least id reachable over links,
     the row's own included. Texts are lower-cased (A-Z), split at ASCII white space into words, and their word shingles hashed;
@@ -127,15 +128,32 @@ def near_duplicates(
     member = components(fingerprint_links(classes.select("fp"), radius))
     rooted = classes.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    by_print = rooted.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(by_print, "fp").select(F.col("_id").alias(id_col), "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, duplicates: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """One row of docs per component: that of the least id, once if its row is repeated. Rows without an id stay."""
-    kept = duplicates.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+def keep_one(
+    docs: DataFrame, duplicates: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+) -> DataFrame:
+    """One row of docs per component: that of the least id. Rows without an id stay.
+
+    Where several rows have that id, the fingerprint tells which of them are in the component (it is taken anew, for such rows only,
+    with the ``shingle`` of near_duplicates), and the least hash of the text decides between them.
+    """
+    led = F.max((F.col(id_col) == F.col("component_id")).cast("int"))
+    ids = duplicates.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(led.alias("_led"), F.count(F.lit(1)).alias("_n")).where("_led = 1")
+    ids = written(ids.select(id_col, "_n"), "leaders")
+    kept = docs.join(ids.where("_n = 1"), id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    several = ids.where("_n > 1")
+    if several.isEmpty():
+        return kept
+    rows = docs.join(several, id_col, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_col)
+    order = F.struct(F.xxhash64(f"_id.{text_col}"), f"_id.{text_col}")
+    prints = fingerprints(rows, id_col="_row", text_col=text_col, shingle=shingle).groupBy(F.col(f"_id.{id_col}").alias("_key"), "fp")
+    prints = prints.agg(F.min_by("_id", order).alias("_id"))
+    leaders = duplicates.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_key"), "fp", "root").distinct()
+    one = prints.join(leaders, ["_key", "fp"]).groupBy("_key", "root").agg(F.min_by("_id", order).alias("_id"))
+    return kept.unionByName(one.select("_id.*"))
 
 
 __all__ = ["components", "covering_masks", "fingerprint", "fingerprint_links", "fingerprints", "keep_one", "near_duplicates"]

@@ -209,6 +209,18 @@ def test_one_document_of_a_group_stays(spark):
     assert sorted(r["doc_id"] or -1 for r in keep_one(df, near_duplicates(df)).collect()) == [-1, -1, 1, 2]
 
 
+def test_rows_that_share_an_id_but_no_text(spark):
+    # One text of id 2 leads no component; the other leads one. Id 4 leads two. Id 5 has two texts of one fingerprint.
+    rows = [(1, "a b c"), (2, "a b c"), (2, "x y z"), (3, "x y z"), (4, "k l m"), (4, "q r s"), (4, "q r s"), (5, "u v w"), (5, "U v w")]
+    first = set()
+    for parts in (1, 3, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted(tuple(r) for r in keep_one(df, near_duplicates(df)).collect())
+        assert [(i, t.lower()) for i, t in got] == [(1, "a b c"), (2, "x y z"), (4, "k l m"), (4, "q r s"), (5, "u v w")]
+        first.add(tuple(got))
+    assert len(first) == 1
+
+
 def test_quality_measures_and_labels(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = {r["doc_id"]: r for r in Q.op5_quality_rules(spark, SF).collect()}
