@@ -64,7 +64,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-#: SQL cannot express the classifier, fingerprints and tokens; tests hold the pipeline against a brute-force version.
+#: SQL cannot express the classifier, fingerprints and tokens; tests check its stages one by one, not the whole.
 ORACLE_SQL = None
 
 
