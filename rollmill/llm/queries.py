@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollmill.llm.decontaminate import find_contamination
+from rollmill.llm.fingerprints import fingerprint_edits
 from rollmill.llm.license_scan import scan_notices
 from rollmill.llm.packing import pack_documents
 from rollmill.llm.quality import judge_quality
@@ -119,6 +120,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_held_before(table(spark, sf_dir, "documents"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
@@ -130,5 +135,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_fingerprints": op13_fingerprints,
 }
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
