@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +17,9 @@ from rollmill.llm.arrays import LOWER, mix, slices, text_bytes, words_of
 from rollmill.llm.staging import shuffle_parts, written
 
 #: Bytes of text whose phrases are counted together before they are sent, and suffix pointers sorted at a time.
-SLICE_BYTES, POINTERS = 16 << 20, 4 << 20
+SLICE_BYTES, POINTERS = 8 << 20, 2 << 20
 #: Bytes of phrases in one part of the exchange, about.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _BREAK = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
@@ -26,29 +27,46 @@ _WORD = ~(_BREAK | np.isin(np.arange(256), np.frombuffer(b" \t", np.uint8)))
 
 
 def multikey_counts(keys: np.ndarray, weights: np.ndarray | None = None, least: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth, a pointer into every distinct prefix of the rows that weighs at least ``least``, and its weight.
+    """For each depth, in the order of the keys, a row with every distinct prefix that weighs at least ``least``, and its weight.
 
     ``keys`` (n, depth) holds codes from 0; a row ends at its first -1. Rows are partitioned around a pivot of their segment into less,
     equal and greater. The equal part is one prefix: its weight is the count, and it goes on with the next key. The other parts go on
-    with the same one. A part lighter than ``least`` is abandoned, as no prefix in it can be heavier. All segments advance together.
+    with the same one. A part lighter than ``least`` is abandoned, as no prefix in it can be heavier. All segments advance together; one
+    row alone needs no partitioning.
     """
     n, depth = keys.shape
-    columns = np.ascontiguousarray(keys.T)
+    flat = np.ascontiguousarray(keys.T).ravel()
     w = np.ones(n, np.int64) if weights is None else weights
-    flat = columns.ravel()
-    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(depth)]
-    rows = np.flatnonzero(columns[0] >= 0) if depth else np.zeros(0, np.int64)
-    sizes, level = np.array([len(rows)]), np.zeros(1, np.int64)
+    found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(depth)]
+    rows = np.flatnonzero(flat[:n] >= 0).astype(np.int32) if depth else np.zeros(0, np.int32)
+    # Of each segment: size, next key, and where it will stand in the order.
+    sizes, level, place = np.array([len(rows)]), np.zeros(1, np.int64), np.zeros(1, np.int64)
     if not len(rows) or w[rows].sum() < least:
-        sizes, rows = sizes[:0], rows[:0]
+        rows = rows[:0]
     while len(rows):
+        if (alone := sizes == 1).any():
+            mine = np.repeat(alone, sizes)
+            single, at, spot = rows[mine], level[alone], place[alone]
+            rows, sizes, level, place = rows[~mine], sizes[~alone], level[~alone], place[~alone]
+            for d in range(depth):
+                here = at <= d
+                here[here] = flat[single[here].astype(np.int64) + d * n] >= 0
+                if d:
+                    # A row goes on as long as its keys do.
+                    at = np.where((at <= d) & ~here, depth, at)
+                heavy = w[single[here]]
+                found[d].append((single[here][heavy >= least], heavy[heavy >= least], spot[here][heavy >= least]))
+            if not len(rows):
+                break
         starts = np.cumsum(sizes) - sizes
         segment = np.repeat(np.arange(len(sizes)), sizes)
         key = flat[rows + (level * n)[segment]]
         a, b, c = key[starts], key[starts + sizes // 2], key[starts + sizes - 1]
         pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[segment]
-        side = (key >= pivot).astype(np.int8) + (key > pivot)
-        parts = np.bincount(segment * 3 + side, minlength=3 * len(sizes))
+        side = (key >= pivot).view(np.int8) + (key > pivot).view(np.int8)
+        segment *= 3
+        segment += side
+        parts = np.bincount(segment, minlength=3 * len(sizes))
         begin = np.cumsum(parts) - parts
         # A stable move: within a part, rows keep their order.
         moved = np.empty_like(rows)
@@ -61,30 +79,36 @@ def multikey_counts(keys: np.ndarray, weights: np.ndarray | None = None, least:
         else:
             total = np.concatenate([[0], np.cumsum(w[moved])])
             heavy = total[begin + parts] - total[begin]
+        place = np.repeat(place - starts, 3) + begin
         level = np.repeat(level, 3)
         equal = np.arange(len(parts)) % 3 == 1
         counted = equal & (heavy >= least)
         for d in np.unique(level[counted]):
             of = np.flatnonzero(counted & (level == d))
-            found[d].append((moved[begin[of]], heavy[of]))
+            found[d].append((moved[begin[of]], heavy[of], place[of]))
         # Parts that go on: heavy ones, the equal ones with their next key, less the rows that end here.
         level = level + equal
         on = (parts > 0) & (heavy >= least) & (level < depth)
         held = np.repeat(on, parts)
-        rows, label = moved[held], np.repeat(np.arange(len(parts)), parts)[held]
+        rows, label = moved[held], np.repeat(np.arange(len(parts), dtype=np.int32), parts)[held]
         ends = flat[rows + (level * n)[label]] < 0
-        rows, label = rows[~ends], label[~ends]
+        if ends.any():
+            rows, label = rows[~ends], label[~ends]
         sizes = np.bincount(label, minlength=len(parts))
-        if ends.any() and least > 1:
+        if least > 1:
             light = np.bincount(label, w[rows], len(parts)) < least
             rows, sizes = rows[~light[label]], np.where(light, 0, sizes)
-        level, sizes = level[sizes > 0], sizes[sizes > 0]
-    none = np.zeros(0, np.int64)
-    return [(np.concatenate([p for p, _ in f]), np.concatenate([c for _, c in f])) if f else (none, none) for f in found]
+        level, place, sizes = level[sizes > 0], place[sizes > 0], sizes[sizes > 0]
+    out = []
+    for some in found:
+        pointers, counts, spots = (np.concatenate([f[k] for f in some] or [np.zeros(0, np.int64)]) for k in range(3))
+        order = np.argsort(spots, kind="stable")
+        out.append((pointers[order], counts[order]))
+    return out
 
 
 def _coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """A code for every word, and the words by code."""
+    """A code for every word, and the words by code, in order."""
     inside = np.zeros(len(data) + 1, np.int8)
     inside[starts] += 1
     inside[ends] -= 1
@@ -92,7 +116,10 @@ def _coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
     coded = words.dictionary_encode()
-    return np.asarray(coded.indices, np.int32), coded.dictionary
+    order = pc.sort_indices(coded.dictionary)
+    code = np.empty(len(order), np.int32)
+    code[np.asarray(order)] = np.arange(len(order), dtype=np.int32)
+    return code[np.asarray(coded.indices)], coded.dictionary.take(order)
 
 
 def _lines(keys: np.ndarray, pointers: np.ndarray, depth: int, words: pa.Array, end: bytes = b"") -> pa.Array:
@@ -133,24 +160,25 @@ def local_phrases(texts: pa.Array, langs: list[str | None], longest: int) -> Ite
 
 
 def _sent(phrases: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]], n_parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, lines, counts): a phrase goes to the part that its words name."""
+    """Rows (part, lines, counts), compressed: a phrase goes to the part that its words name."""
     for lines, name, counts in phrases:
         part = (name % np.uint64(n_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         used, bounds = np.unique(part[order], return_index=True)
         bounds = np.append(bounds, len(order))
         lines = lines.take(pa.array(order))
-        at = np.frombuffer(lines.buffers()[1], np.int64)[bounds]
-        blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(used), [None, pa.py_buffer(at), lines.buffers()[2]])
-        numbers = pa.py_buffer(counts[order].astype("<i4"))
-        weights = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(used), [None, pa.py_buffer(bounds * 4), numbers])
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), blobs.cast(pa.binary()), weights.cast(pa.binary())], ["part", "lines", "counts"])
+        at = np.frombuffer(lines.buffers()[1], np.int64)[bounds].tolist()
+        text, weights, packer = memoryview(lines.buffers()[2]), counts[order].astype("<i4"), zstandard.ZstdCompressor(3)
+        blobs = [packer.compress(text[a:b]) for a, b in zip(at, at[1:])]
+        numbers = [packer.compress(weights[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary()), pa.array(numbers, pa.binary())], ["part", "lines", "counts"])
 
 
 def _merged(lines: list[bytes], counts: list[bytes], longest: int, least: int) -> pa.RecordBatch:
     """The phrases of one part that come to at least ``least``, by sorting their words."""
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    weight = np.frombuffer(b"".join(counts), "<i4").astype(np.int64)
+    unpack = zstandard.ZstdDecompressor().decompress
+    data = np.frombuffer(b"".join(map(unpack, lines)), np.uint8)
+    weight = np.frombuffer(b"".join(map(unpack, counts)), "<i4").astype(np.int64)
     breaks = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
     starts, ends, first = words_of(breaks, data, ~np.isin(np.arange(256), [10, 32]))
     codes, words = _coded(data, starts, ends)
@@ -189,7 +217,7 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     """
     d = docs.select(F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{text_col}`").alias("_text")).where("_text <> ''")
     size = d.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    n_parts = max(shuffle_parts(d.sparkSession), -(-8 * size // PART_BYTES))
+    n_parts = max(shuffle_parts(d.sparkSession), -(-5 * size // PART_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", SLICE_BYTES):
