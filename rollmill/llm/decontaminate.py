@@ -12,6 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from rollmill.llm.arrays import ALNUM, LOWER, ragged, slices, text_bytes, word_hashes, words_of
+from rollmill.llm.staging import quoted, schema_of
 
 DEPTH = 4  # words in a sort key, 16 bits each
 MEETINGS = 1 << 20  # places and suffixes with a common key that are compared at a time, about
@@ -172,7 +173,6 @@ def find_contamination(
             close()
     close()
     per_words = round(1 / share)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, shard_bytes):
@@ -208,4 +208,4 @@ def find_contamination(
                 [id_col, *(x.split()[0] for x in SCHEMA.split(", "))],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(judge, f"`{id_col}` {kind}, {SCHEMA}")
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(judge, schema_of(id_col, docs.schema[id_col].dataType, SCHEMA))

@@ -9,6 +9,7 @@ that the key names, and gets back one bit for each. So a key with a third of all
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -17,38 +18,62 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from rollmill.llm.arrays import distinct, slices, text_bytes
-from rollmill.llm.staging import shared_path, shuffle_parts
+from rollmill.llm.staging import quoted, shared_path, shuffle_parts
 
 PACK_BYTES = 2 << 20
 #: Keys in one partition of an exchange, about.
 PART_KEYS = 1 << 20
 
 
+def _bucket(x: np.ndarray, n: int) -> np.ndarray:
+    """The bucket that Spark gives to longs (Murmur3, seed 42, of the low and the high half)."""
+    rotated = lambda v, by: v << np.uint32(by) | v >> np.uint32(32 - by)
+    h = np.full(len(x), 42, np.uint32)
+    for half in (x & 0xFFFFFFFF, x >> 32):
+        h = rotated(h ^ rotated(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(times)
+    return h.astype(np.int32).astype(np.int64) % n
+
+
+def _numbers(task: int, n_buckets: int) -> Iterator[int]:
+    """Numbers of a task's packs, all of one bucket."""
+    for at in itertools.count(task << 32, 16 * n_buckets):
+        some = np.arange(at, at + 16 * n_buckets)
+        yield from some[_bucket(some, n_buckets) == task % n_buckets].tolist()
+
+
 def pack(docs: DataFrame, id_col: str, text_col: str, purpose: str) -> tuple[DataFrame, int]:
-    """Packs (pack, ids, texts as binary) in a bucketed table below the shared folder, and the bytes of all texts."""
+    """Packs (pack, ids, texts as binary) in a bucketed table below the shared folder, and the bytes of all texts.
+
+    A task's packs get numbers of one bucket, so that it writes one file. The catalogue forgets the table at once; its files stay.
+    """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    n_buckets = shuffle_parts(spark)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        numbers = _numbers(TaskContext.get().partitionId(), n_buckets)
         for part in slices(batches, "_text", PACK_BYTES):
             offsets, data = text_bytes(part.column(1))
             texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
             whole = pa.array([0, len(texts)], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([len(data)], pa.int64()), pa.ListArray.from_arrays(whole, part.column(0)),
+                [pa.array([next(numbers)], pa.int64()), pa.array([len(data)], pa.int64()), pa.ListArray.from_arrays(whole, part.column(0)),
                  pa.ListArray.from_arrays(whole, texts.cast(pa.binary()))],
                 ["pack", "size", "ids", "texts"],
             )
-            number += 1
 
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = d.mapInArrow(packed, f"pack long, size long, ids array<{kind}>, texts array<binary>")
+    d = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text"))
+    schema = StructType.fromDDL("pack long, size long, texts array<binary>").fields
+    rows = d.mapInArrow(packed, StructType([*schema[:2], StructField("ids", ArrayType(docs.schema[id_col].dataType)), schema[2]]))
     name = f"{purpose}_{uuid.uuid4().hex}"
-    rows.write.bucketBy(shuffle_parts(spark), "pack").option("compression", "zstd").option("path", shared_path(spark, purpose)).saveAsTable(name)
+    rows.write.bucketBy(n_buckets, "pack").option("compression", "zstd").option("path", shared_path(spark, purpose)).saveAsTable(name)
     packs = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
     return packs, packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
 
@@ -132,8 +157,8 @@ def per_pack(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("pack").agg(F.collect_list(F.struct("part", "bits")).alias(name))
 
 
-def with_answers(packs: DataFrame, *answers: DataFrame) -> DataFrame:
+def with_answers(packs: DataFrame, *answers: DataFrame, how: str = "left") -> DataFrame:
     """The packs with what came back for them; the answers move, the packs don't."""
     for a in answers:
-        packs = packs.join(a.hint("shuffle_hash"), "pack", "left")
+        packs = packs.join(a.hint("shuffle_hash"), "pack", how)
     return packs

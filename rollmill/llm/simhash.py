@@ -8,12 +8,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollmill.llm.arrays import LOWER
-from rollmill.llm.staging import written
+from rollmill.llm.packs import each_pack, pack, with_answers
+from rollmill.llm.staging import quoted, schema_of, written
 
 #: Buckets of up to so many fingerprints are compared pairwise.
 SMALL = 24
@@ -44,8 +46,7 @@ def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, shingle: int =
             prints = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["_id", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(hashed, f"_id {kind}, fp long")
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(hashed, schema_of("_id", docs.schema[id_col].dataType, "fp long"))
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -132,28 +133,53 @@ def near_duplicates(
     return prints.join(by_print, "fp").select(F.col("_id").alias(id_col), "fp", "component_id", "root")
 
 
-def keep_one(
-    docs: DataFrame, duplicates: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-) -> DataFrame:
-    """One row of docs per component: that of the least id. Rows without an id stay.
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One whole row of docs per component of near duplicates (see near_duplicates): that of the least id; rows without an id stay.
+
+    Rows of one id may be in several components; of those in one, the least hash of the text decides, and one of rows repeated as they
+    are stays. Null and empty texts are near duplicates of each other. All columns come back, whatever their names; a null text stays
+    null; an empty table gives an empty result. A very long text is a pack by itself.
 
-    Where several rows have that id, the fingerprint tells which of them are in the component (it is taken anew, for such rows only,
-    with the ``shingle`` of near_duplicates), and the least hash of the text decides between them.
+    Texts stay where they are: they are written once in packs, from which (pack, place, id, fingerprint) go out, and a list of the
+    places that stay comes back for each pack. A fingerprint's rows are reduced to its least before anything is joined, so that a third
+    of all rows with one fingerprint is one row of the join.
     """
-    led = F.max((F.col(id_col) == F.col("component_id")).cast("int"))
-    ids = duplicates.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(led.alias("_led"), F.count(F.lit(1)).alias("_n")).where("_led = 1")
-    ids = written(ids.select(id_col, "_n"), "leaders")
-    kept = docs.join(ids.where("_n = 1"), id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-    several = ids.where("_n > 1")
-    if several.isEmpty():
-        return kept
-    rows = docs.join(several, id_col, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_col)
-    order = F.struct(F.xxhash64(f"_id.{text_col}"), f"_id.{text_col}")
-    prints = fingerprints(rows, id_col="_row", text_col=text_col, shingle=shingle).groupBy(F.col(f"_id.{id_col}").alias("_key"), "fp")
-    prints = prints.agg(F.min_by("_id", order).alias("_id"))
-    leaders = duplicates.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_key"), "fp", "root").distinct()
-    one = prints.join(leaders, ["_key", "fp"]).groupBy("_key", "root").agg(F.min_by("_id", order).alias("_id"))
-    return kept.unionByName(one.select("_id.*"))
+    names = docs.columns
+    rest = [c for c in names if c != text_col]
+    number = rest.index(id_col)
+    row = F.struct(F.struct(*[F.col(quoted(c)) for c in rest]).alias("rest"), F.col(quoted(text_col)).isNull().alias("none"))
+    packs, _ = pack(docs.select(row.alias("row"), F.col(quoted(text_col)).alias("text")), "row", "text", "documents")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack_no, rows, offsets, data, _ in each_pack(batch):
+                raw = data.tobytes()
+                texts = [raw[a:b] for a, b in zip(offsets, offsets[1:])]
+                prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+                hashes = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.field("rest").field(number), pa.array(prints), pa.array(hashes), pa.array(np.full(len(texts), pack_no)), pa.array(np.arange(len(texts), dtype=np.int32))],
+                    ["_id", "fp", "hash", "pack", "place"])
+
+    prints = written(packs.mapInArrow(hashed, schema_of("_id", docs.schema[id_col].dataType, "fp long, hash long, pack long, place int")), "fingerprints")
+    lead = F.struct("_id", "hash", "pack", "place")
+    classes = prints.groupBy("fp").agg(F.min(F.when(F.col("_id").isNotNull(), lead)).alias("lead"))
+    member = components(fingerprint_links(classes.select("fp"), radius))
+    rooted = classes.join(member, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("lead").alias("lead"))
+    stay = rooted.where("lead is not null").select("lead.pack", "lead.place").unionByName(prints.where("_id is null").select("pack", "place"))
+    places = stay.groupBy("pack").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, rows, offsets, data, got in each_pack(batch):
+                at = pa.array(got["places"], pa.int32())
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).take(at).cast(pa.large_string())
+                rows = rows.take(at)
+                texts = pc.if_else(rows.field("none"), pa.scalar(None, texts.type), texts)
+                columns = {c: rows.field("rest").field(k) for k, c in enumerate(rest)} | {text_col: texts}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return with_answers(packs, written(places, "places"), how="inner").mapInArrow(cut, docs.schema)
 
 
 __all__ = ["components", "covering_masks", "fingerprint", "fingerprint_links", "fingerprints", "keep_one", "near_duplicates"]

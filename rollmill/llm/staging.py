@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
@@ -28,3 +29,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots, blanks and the like."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def schema_of(name: str, kind: DataType, rest: str) -> StructType:
+    """A column of any name and type, and more in DDL. (A struct's text form can't be read back where its fields have odd names.)"""
+    return StructType([StructField(name, kind), *StructType.fromDDL(rest).fields])

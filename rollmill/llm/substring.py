@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from rollmill.llm.arrays import NOT_SPACE, covered, distinct, ragged, span_hashes, word_hashes, words_of
 from rollmill.llm.packs import SENT, answered, each_pack, pack, parts_for, per_pack, sent, shared_keys, with_answers
-from rollmill.llm.staging import shuffle_parts, written
+from rollmill.llm.staging import schema_of, shuffle_parts, written
 
 
 def difference_cover(period: int) -> list[int]:
@@ -85,7 +85,6 @@ def remove_repeats(
     floor = shuffle_parts(spark)
     cover = np.isin(np.arange(period), difference_cover(period))
     packs, size = pack(docs, id_col, text_col, "passages")
-    kind = docs.schema[id_col].dataType.simpleString()
     anchor_parts = parts_for(size // 20, floor)
     window_parts = parts_for(size // 10, floor)
 
@@ -120,8 +119,8 @@ def remove_repeats(
     anchors = written(per_pack(shared_keys(packs.mapInArrow(anchor_rows, SENT), anchor_parts, 4), "anchors"), "anchors")
     rows = with_answers(packs, anchors).mapInArrow(window_rows, SENT)
     found = per_pack(shared_keys(rows, window_parts, 8), "windows")
-    schema = f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long, end:long>>"
-    return with_answers(packs, anchors, found).mapInArrow(cut, schema + (", kept_text string" if with_text else ""))
+    schema = "n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long, end:long>>" + (", kept_text string" if with_text else "")
+    return with_answers(packs, anchors, found).mapInArrow(cut, schema_of(id_col, docs.schema[id_col].dataType, schema))
 
 
 def _outcome(ids: pa.Array, offsets: np.ndarray, data: np.ndarray, p: Passages, gone: np.ndarray, id_col: str, with_text: bool) -> pa.RecordBatch:

@@ -206,7 +206,7 @@ def test_crowded_buckets_and_long_chains(spark):
 
 def test_one_document_of_a_group_stays(spark):
     df = spark.createDataFrame([(3, "a b c"), (1, "a b c"), (1, "a b c"), (2, "x y z"), (None, "x y z"), (None, "q r s")], "doc_id long, text string")
-    assert sorted(r["doc_id"] or -1 for r in keep_one(df, near_duplicates(df)).collect()) == [-1, -1, 1, 2]
+    assert sorted(r["doc_id"] or -1 for r in keep_one(df).collect()) == [-1, -1, 1, 2]
 
 
 def test_rows_that_share_an_id_but_no_text(spark):
@@ -215,7 +215,7 @@ def test_rows_that_share_an_id_but_no_text(spark):
     first = set()
     for parts in (1, 3, 5):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-        got = sorted(tuple(r) for r in keep_one(df, near_duplicates(df)).collect())
+        got = sorted(tuple(r) for r in keep_one(df).collect())
         assert [(i, t.lower()) for i, t in got] == [(1, "a b c"), (2, "x y z"), (4, "k l m"), (4, "q r s"), (5, "u v w")]
         first.add(tuple(got))
     assert len(first) == 1
