@@ -16,7 +16,6 @@ from rollmill.operators.keyed import (
     running_sum,
     scalars,
 )
-from rollmill.session import staged
 
 KS = (1, 2, 4, 8, 16, 32)
 
@@ -62,8 +61,7 @@ def best_worst_of_n(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ordered = staged(running_sum(staged(counts, "value-counts"), keys, [value], F.col("_c"), "_upto"), "ordered")
-    sized = attach_group_stats(ordered, keys, F.max("_upto").alias("_m"), salt=[value])
+    sized = running_sum(attach_group_stats(counts, keys, F.sum("_c").alias("_m"), salt=[value]), keys, [value], F.col("_c"), "_upto")
     # Powers of two from 2 up to below the size: one fewer than the binary digits of size - 1.
     n_powers = F.length(F.bin(F.col("_m") - 1)) - 1
     powers = F.when(
@@ -109,8 +107,7 @@ def bootstrap_draws(
     evenly however large a group is.
     """
     keys = list(keys)
-    df = staged(df.select(*keys, order, *columns), "bootstrap")
-    numbered = positions(df, order, "_at", keys)
+    numbered = positions(df.select(*keys, order, *columns), order, "_at", keys)
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     draws = groups.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn(
         "draw", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
@@ -219,16 +216,14 @@ def length_by_reward_level(df: DataFrame, reward: str, length: str, levels: int
 
 def text_stats(df: DataFrame, keys: Sequence[str], chars: str, words: str) -> DataFrame:
     """Rows, and mean, median, minimum and maximum of two length columns, rounded to one digit; null keys are a group."""
-    df = staged(df.select(*keys, chars, words), "text-lengths")
     base = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         *[f(c).cast("double").alias(f"{c}_{s}") for c in (chars, words)
           for s, f in (("mean", F.avg), ("min", F.min), ("max", F.max))],
     )
-    for c in (chars, words):
-        median = exact_percentiles(df, keys, c, {f"{c}_median": 0.5}).withColumnsRenamed({k: f"_of_{k}" for k in keys})
-        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-        base = base.join(median, same, "left").drop(*[f"_of_{k}" for k in keys])
+    median = exact_percentiles(df, keys, [chars, words], {"median": 0.5}).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    base = base.join(median, same).select(base["*"], f"{chars}_median", f"{words}_median")
     return base.select(*keys, "rows", *[F.round(c, 1).alias(c) for c in base.columns if c not in (*keys, "rows")])
 
 

@@ -1,7 +1,7 @@
 """Building blocks that keep group and order logic safe when one key holds a large share of the rows.
 
 Nothing here gathers a group into one task: groups are pre-aggregated before they are shuffled, joins back to
-rows are salted for hot keys, and ordered work is cut into quantile buckets with carried offsets.
+rows are salted for hot keys, and ordered work is cut into even ranges with carried offsets. Nothing runs before an action.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
 
-from rollmill.session import shuffle_width, staged
+from rollmill.session import shuffle_width
 
 HOT_ROWS = 1_000_000
+#: Keys in the sample that cuts a table into ordered ranges, for each range.
+SAMPLED = 16
 
 
 def scalars(df: DataFrame, *aggs: Column) -> Column:
@@ -29,7 +30,7 @@ def attach_group_stats(
 
     The aggregates are computed with map-side combine and joined back. A group larger than ``hot_rows`` is
     split into slices of about that size and its single statistics row is copied once per slice. The list of
-    hot groups is broadcast: it has at most ``rows / hot_rows`` entries, whatever the key distribution.
+    hot groups has at most ``rows / hot_rows`` entries; whether it is small enough to broadcast is left to Spark.
     """
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
     named = [c for c in stats.columns if c not in (*keys, "_rows")]
@@ -40,7 +41,7 @@ def attach_group_stats(
     )
     same_hot = _all([F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     spread = F.xxhash64(*(salt or df.columns))
-    sliced = df.join(F.broadcast(hot), same_hot, "left").withColumn(
+    sliced = df.join(hot, same_hot, "left").withColumn(
         "_slice", F.when(F.col("_slices").isNull(), 0).otherwise(F.pmod(spread, F.col("_slices")).cast("int"))
     )
 
@@ -59,40 +60,64 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def order_bucket(df: DataFrame, column: str, buckets: int | None = None, out: str = "_bucket") -> DataFrame:
-    """Label rows with an ordered bucket of about equal size, cut at approximate quantiles.
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order columns, then a hash of the whole row, which puts rows of one order value in a fixed order. Nulls come first."""
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], tie.alias("tie"))
 
-    Only the cut points (fewer than ``buckets`` numbers) come to the driver. Bucket order follows value order,
-    so any rounding of the cut points changes bucket sizes but never the order of rows. Strings are cut by their
-    first six bytes. Nulls come first, as Spark sorts them; a table without values has one bucket.
+
+def order_cuts(df: DataFrame, key: Column, buckets: int) -> Column:
+    """Fewer than ``buckets`` keys that cut the table into even ranges, as an array in a scalar subquery.
+
+    They are evenly spaced among the distinct keys of a sample, about ``SAMPLED`` for each range, that a hash of the key picks: the same
+    rows whenever the table is read, so every reader of the cuts sees the same ones. Nothing runs before an action does.
+    """
+    keys = df.select(key.alias("_k"))
+    share = F.lit(float(SAMPLED * buckets)) / F.greatest(keys.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    picked = (F.pmod(F.xxhash64(F.lit("cut"), F.col("_k")), F.lit(1 << 30)) / float(1 << 30)) < F.col("_share")
+    sample = keys.withColumn("_share", share).where(picked).agg(F.array_sort(F.collect_set("_k")).alias("_s"))
+    n = F.size("_s")
+    every = F.transform(F.sequence(F.lit(1), F.lit(max(buckets - 1, 1))), lambda i: F.get("_s", F.floor(i * n / buckets).cast("int")))
+    return sample.select(F.when(n > 0, F.array_distinct(F.filter(every, lambda c: c.isNotNull()))).otherwise(F.slice("_s", 1, 0))).scalar()
+
+
+def order_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None, key: Column | None = None) -> DataFrame:
+    """Label rows with the even range of the order that they lie in (``_bucket``), found by bisection among the cuts.
+
+    Rows that share an order value are told apart by a hash of the row, so one value on a third of all rows is spread over ranges. A
+    different ``key`` keeps, for instance, equal values together.
     """
     buckets = buckets or shuffle_width(df.sparkSession)
-    probs = [i / buckets for i in range(1, buckets)]
-    value = F.col(column)
-    if isinstance(df.schema[column].dataType, (StringType, BinaryType)):
-        value = F.conv(F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0"), 16, 10)
-    measured = df.withColumn("_order_value", value.cast("double"))
-    cuts = sorted(set(measured.approxQuantile("_order_value", probs, 1 / (4 * buckets))))
-    below = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("_order_value"))) if cuts else F.lit(0)
-    return measured.withColumn(out, F.when(F.col("_order_value").isNull(), 0).otherwise(below)).drop("_order_value")
+    key = order_key(df, order) if key is None else key
+    marked = df.withColumn("_key", key).withColumn("_cuts", order_cuts(df, key, buckets))
+    start = F.struct(F.lit(0).alias("lo"), F.size("_cuts").alias("hi"))
+
+    def halved(at: Column, _: Column) -> Column:
+        mid = ((at["lo"] + at["hi"]) / 2).cast("int")
+        up = F.get("_cuts", mid) <= F.col("_key")
+        open_ = at["lo"] < at["hi"]
+        return F.struct(F.when(open_ & up, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(open_ & ~up, mid).otherwise(at["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(buckets.bit_length()))
+    return marked.withColumn("_bucket", F.aggregate(steps, start, halved)["lo"]).drop("_key", "_cuts")
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: Column, out: str, buckets: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: Column, out: str, buckets: int | None = None,
+    bucket: Column | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of ``measure`` within ``keys``, in the order of the ``order`` columns.
+    """Inclusive running sum of ``measure`` within ``keys``, in the order of the ``order`` columns, then of a hash of the row.
 
-    Each task sums one (group, bucket) of the first order column; bucket totals, at most one row per group and
-    bucket, give the offsets. One way for tables and groups of any size.
+    ``bucket``, where the order itself tells even ranges (steps of a log do), saves the pass that finds them. Each task sums one (group, range) of the order; totals of ranges, at most one row per group and range, give the offsets. One way
+    for tables and groups of any size, planned lazily as a whole.
     """
     keys = list(keys)
-    bucketed = order_bucket(df, order[0], buckets).withColumn("_measure", measure)
+    bucketed = order_bucket(df, order, buckets) if bucket is None else df.withColumn("_bucket", bucket)
+    bucketed = bucketed.withColumn("_measure", measure).withColumn("_tie", order_key(df, order)["tie"])
     totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_measure").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    local = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    local = Window.partitionBy(*keys, "_bucket").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = _join_buckets(bucketed, offsets, [*keys, "_bucket"])
     return joined.select(*df.columns, (F.col("_offset") + F.sum("_measure").over(local)).alias(out))
 
@@ -136,43 +161,65 @@ def hash_positions(df: DataFrame, key: str, seed: str | Column, out: str = "rank
     return joined.select(*df.columns, (F.col("_offset") + F.row_number().over(local) - 1).cast("bigint").alias(out))
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated percentiles per group, exact, without holding a group's values in one task.
+def exact_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str | Sequence[str], probs: dict[str, float], buckets: int | None = None
+) -> DataFrame:
+    """Linearly interpolated percentiles per group, exact, by selection; null for a group without values.
 
-    Equal values are collapsed to counts first; cumulative counts then locate the two order statistics that
-    each percentile lies between.
+    Equal values are counted together. A histogram over even ranges of the values says which range holds each order statistic; only the
+    values of those ranges are ordered, range by range. No group is held in one task, nothing is written, and several columns go through the same passes
+    (``value`` a list: names then are ``<column>_<name>``).
     """
-    keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    counts = staged(counts, "value-counts")
-    cumulative = running_sum(counts, keys, [value], F.col("_c"), "_cum")
-    if keys:
-        ranked = attach_group_stats(cumulative, keys, F.max("_cum").alias("_n"), salt=[value])
-    else:
-        ranked = cumulative.withColumn("_n", scalars(counts, F.sum("_c").alias("n"))["n"])
-    picks = []
-    for name, p in probs.items():
-        at = (F.col("_n") - 1) * F.lit(p)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum"))
-            picks.append(F.max(F.when(inside, F.col(value).cast("double"))).alias(f"_{name}_{side}"))
-    found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
+    keys, several = list(keys), not isinstance(value, str)
+    columns = list(value) if several else [value]
+    long = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])).alias("_x"))
+    long = long.select(*keys, "_x._c", "_x._v")
+    group = [*keys, "_c"]
+    # Equal values stay in one range: the key is the value, told apart by its column alone.
+    placed = order_bucket(long, ["_v"], buckets, key=F.struct("_c", "_v"))
+    counts = placed.groupBy(*group, "_bucket", "_v").agg(F.count("_v").alias("_k"))
+    ranges = counts.groupBy(*group, "_bucket").agg(F.sum("_k").alias("_n"))
+    within = Window.partitionBy(*group)
+    before = F.sum("_n").over(within.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_all", F.sum("_n").over(within))
+    at = {name: (F.col("_all") - 1) * F.lit(p) for name, p in probs.items()}
+    sides = [(name, side, f(at[name])) for name in probs for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    asked = F.filter(
+        F.array(*[F.struct(F.lit(i).alias("i"), rank.cast("long").alias("rank")) for i, (_, _, rank) in enumerate(sides)]),
+        lambda s: (s["rank"] >= F.col("_before")) & (s["rank"] < F.col("_before") + F.col("_n")))
+    wanted = ranges.withColumn("_asked", asked).where(F.size("_asked") > 0).select(*group, "_bucket", "_before", "_asked")
+    counts = _join_buckets(counts.where("_v is not null"), wanted, [*group, "_bucket"])
+    inside = Window.partitionBy(*group, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counts.withColumn("_upto", F.col("_before") + F.sum("_k").over(inside))
+    met = upto.withColumn("_met", F.explode("_asked")).where((F.col("_met.rank") < F.col("_upto")) & (F.col("_met.rank") >= F.col("_upto") - F.col("_k")))
+    # Every group has ranges, also one whose values are all null.
+    sizes = ranges.groupBy(*group).agg(F.max("_all").alias("_all"), F.lit(None).cast("struct<i:int,rank:bigint>").alias("_met"), F.lit(None).cast("double").alias("_v"))
+    parts = met.select(*group, F.lit(None).cast("long").alias("_all"), "_met", "_v").unionByName(sizes.select(*group, "_all", "_met", "_v"))
+
+    def of(c: int, i: int) -> Column:
+        return F.max(F.when((F.col("_c") == c) & (F.col("_met.i") == i), F.col("_v")))
+
+    picks = [of(c, i).alias(f"_{c}_{i}") for c in range(len(columns)) for i in range(len(sides))]
+    found = parts.groupBy(*keys).agg(*[F.max(F.when(F.col("_c") == c, F.col("_all"))).alias(f"_all_{c}") for c in range(len(columns))], *picks)
     out = []
-    for name, p in probs.items():
-        at = (F.col("_n") - 1) * F.lit(p)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    for c, column in enumerate(columns):
+        for i, (name, p) in enumerate(probs.items()):
+            rank = (F.col(f"_all_{c}") - 1) * F.lit(p)
+            lo, hi = F.col(f"_{c}_{2 * i}"), F.col(f"_{c}_{2 * i + 1}")
+            out.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(f"{column}_{name}" if several else name))
     return found.select(*keys, *out)
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], order: str, point: Column) -> DataFrame:
+def neighbours(df: DataFrame, keys: Sequence[str], order: str, point: Column, bucket: Column | None = None) -> DataFrame:
     """For each row the nearest non-null ``point`` at or before it, and at or after it, in ``order``.
 
-    Columns ``_before`` and ``_after``. Windows run inside quantile buckets; the last and first points of each
-    bucket are carried over the buckets in between.
+    Columns ``_before`` and ``_after``. Windows run inside even ranges of the order, equal values in one of them; the last and first
+    points of each range are carried over the ranges in between. ``bucket`` as in running_sum.
     """
     keys = list(keys)
-    b = order_bucket(df, order).withColumn("_point", point)
+    b = order_bucket(df, [order], key=F.struct(order)) if bucket is None else df.withColumn("_bucket", bucket)
+    b = b.withColumn("_point", point)
     w = Window.partitionBy(*keys, "_bucket").orderBy(order)
     b = b.withColumn(
         "_l", F.last("_point", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollmill.operators.keyed import neighbours, positions, running_sum
-from rollmill.session import staged
+
+#: Steps of a run that one task puts in order.
+STRETCH = 4096
 
 
 def flatten_columns(df: DataFrame, separator: str = "/") -> DataFrame:
@@ -56,9 +58,14 @@ def final_and_peak(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by("value", "step").alias("final"), F.max("value").alias("peak"))
 
 
+def _stretch(step: str) -> Column:
+    """A stretch of ``STRETCH`` steps. A log has one row a step, so a stretch of a run is a bounded piece of work."""
+    return F.floor(F.col(step) / STRETCH)
+
+
 def cumulative_tokens(lengths: DataFrame, keys: Sequence[str], samples_per_step: int) -> DataFrame:
     """Running total, in millions, of samples per step times mean length."""
-    return running_sum(staged(lengths, "lengths"), keys, ["step"], F.col("value") * samples_per_step / 1e6, "tokens_m")
+    return running_sum(lengths, keys, ["step"], F.col("value") * samples_per_step / 1e6, "tokens_m", bucket=_stretch("step"))
 
 
 def rolling_mean(
@@ -80,35 +87,54 @@ def rolling_mean(
 
 
 def interpolate(
-    series: DataFrame, targets: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "interpolated"
+    series: DataFrame, targets: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "interpolated", steps: bool = False
 ) -> DataFrame:
-    """``y`` of a series at the ``x`` of each target row, linear between neighbours and constant beyond the ends."""
+    """``y`` of a series at the ``x`` of each target row, linear between neighbours and constant beyond the ends.
+
+    ``steps`` says that x counts steps, of which there is one row each, so that stretches of steps divide the work evenly.
+    """
     keys = list(keys)
     rest = [c for c in targets.columns if c not in (*keys, x)]
     known = series.select(*keys, F.col(x).cast("double").alias(x), F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y")).alias("_p"))
     asked = targets.select(*keys, F.col(x).cast("double").alias(x), F.struct(F.lit(True).alias("_asked"), *rest).alias("_t"))
-    both = staged(known.unionByName(asked, allowMissingColumns=True), "series")
-    placed = neighbours(both, keys, x, F.col("_p")).where("_t is not null")
-    a, b = F.col("_before"), F.col("_after")
-    share = F.try_divide(F.col(x) - a["x"], b["x"] - a["x"])
-    value = F.coalesce(a["y"] + share * (b["y"] - a["y"]), a["y"], b["y"])
+    both = known.unionByName(asked, allowMissingColumns=True)
+    placed = neighbours(both, keys, x, F.col("_p"), _stretch(x) if steps else None).where("_t is not null")
+    value = _between(F.col("_before"), F.col("_after"), F.col(x))
     return placed.select(*keys, x, *[F.col("_t")[c].alias(c) for c in rest], value.alias(out))
 
 
+def _between(a: Column, b: Column, x: Column) -> Column:
+    share = F.try_divide(x - a["x"], b["x"] - a["x"])
+    return F.coalesce(a["y"] + share * (b["y"] - a["y"]), a["y"], b["y"])
+
+
+def interpolate_once(series: DataFrame, targets: DataFrame, run: str, x: str, y: str, out: str) -> DataFrame:
+    """As ``interpolate``, for one target row per run: its two neighbours are a maximum and a minimum over the run, without an order."""
+    rest = [c for c in targets.columns if c not in (run, x)]
+    asked = targets.select(F.col(run).alias("_run"), F.col(x).cast("double").alias("_x"), F.struct(*rest).alias("_rest"))
+    here = F.col(x).cast("double")
+    point = F.struct(here.alias("x"), F.col(y).alias("y"))
+    near = series.join(asked, F.col(run) == F.col("_run")).groupBy(run).agg(
+        F.max_by(point, F.when(here <= F.col("_x"), here)).alias("_before"), F.min_by(point, F.when(here >= F.col("_x"), here)).alias("_after"),
+        F.any_value("_x").alias(x), F.any_value("_rest").alias("_rest"),
+    )
+    return near.select(run, x, *[F.col("_rest")[c].alias(c) for c in rest], _between(F.col("_before"), F.col("_after"), F.col(x)).alias(out))
+
+
 def tokens_to_threshold(
     accuracy: DataFrame, tokens: DataFrame, run: str, *, share: float, baseline: str, budget: float
 ) -> DataFrame:
     """Per run: tokens when accuracy first reaches ``share`` of its own peak, percent saved against a baseline
-    run, and accuracy at a token budget."""
+    run, and accuracy at a token budget. ``accuracy`` and ``tokens`` have one row a step."""
     peaks = accuracy.groupBy(run).agg(F.max("value").alias("peak"), F.max_by("value", "step").alias("final"))
     reached = accuracy.join(peaks, run).where(F.col("value") >= share * F.col("peak")).groupBy(run).agg(
         F.min("step").alias("step"), F.first("peak").alias("peak"), F.first("final").alias("final")
     )
-    at = interpolate(tokens, reached, [run], "step", "tokens_m", "tokens_to_threshold")
+    at = interpolate_once(tokens, reached, run, "step", "tokens_m", "tokens_to_threshold")
     base = at.where(F.col(run) == baseline).agg(F.max("tokens_to_threshold")).scalar()
-    curve = interpolate(tokens, accuracy.select(run, "step", "value"), [run], "step", "tokens_m", "tokens_m")
+    curve = interpolate(tokens, accuracy.select(run, "step", "value"), [run], "step", "tokens_m", "tokens_m", steps=True)
     ask = peaks.select(run, F.lit(float(budget)).alias("tokens_m"))
-    budgeted = interpolate(curve, ask, [run], "tokens_m", "value", "accuracy_at_budget").select(run, "accuracy_at_budget")
+    budgeted = interpolate_once(curve, ask, run, "tokens_m", "value", "accuracy_at_budget").select(run, "accuracy_at_budget")
     return at.join(budgeted, run).withColumn("_base", base).select(
         run, "step", "peak", "final", "tokens_to_threshold",
         (100 * (1 - F.col("tokens_to_threshold") / F.col("_base"))).alias("saving_percent"), "accuracy_at_budget",

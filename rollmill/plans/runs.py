@@ -97,7 +97,7 @@ x AS (SELECT run_id, step, acc, CASE WHEN s0 IS NULL THEN y1 WHEN s1 IS NULL OR
 @query("join_token_interp", views="hist", oracle=INTERP + "SELECT run_id, step::DOUBLE AS step, acc, round(tokens_m, 6) AS tokens_m FROM x")
 def _(spark, sf):
     acc = _metric(last_values(spark, sf), "1-URGENT").withColumnRenamed("value", "acc")
-    return _round(R.interpolate(_tokens(spark, sf), acc, ["run_id"], "step", "tokens_m", "tokens_m"), "tokens_m")
+    return _round(R.interpolate(_tokens(spark, sf), acc, ["run_id"], "step", "tokens_m", "tokens_m", steps=True), "tokens_m")
 
 
 @query("tokens_to_threshold", views="hist", oracle=INTERP + """

@@ -152,3 +152,51 @@ def test_positions_of_any_order_column(spark, values):
 def test_percentiles_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "g int, v double")
     assert K.exact_percentiles(empty, ["g"], "v", {"p50": 0.5}).collect() == []
+
+
+def test_one_order_value_on_all_rows_is_spread(spark):
+    df = spark.range(4000).select("id", F.lit(7).alias("v"))
+    sizes = [r["count"] for r in K.order_bucket(df, ["v"], 8).groupBy("_bucket").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 2000
+    got = [r["pos"] for r in K.positions(df, "v").collect()]
+    assert sorted(got) == list(range(4000))
+    assert rows(K.positions(df, "v"), "id") == rows(K.positions(df.repartition(7), "v"), "id")
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 3, 16, 500])
+def test_ranges_follow_the_order(skewed, buckets):
+    got = K.order_bucket(skewed, ["v", "id"], buckets).orderBy(F.col("v").asc_nulls_first(), "id").collect()
+    labels = [r["_bucket"] for r in got]
+    assert labels == sorted(labels) and 0 <= labels[0] and labels[-1] < buckets
+    assert len(set(labels)) > buckets / 2
+
+
+def test_nothing_runs_before_an_action(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        K.positions(skewed, "v")
+        K.exact_percentiles(skewed, ["g"], ["v", "id"], {"p50": 0.5})
+        E.best_worst_of_n(skewed, ["g"], "v")
+        R.cumulative_tokens(skewed.withColumnsRenamed({"id": "step", "v": "value"}), ["g"], 512)
+        assert not tracker.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_percentiles_of_several_columns_keep_groups_without_values(spark):
+    data = [("a", 1.0, 5), ("a", 3.0, None), ("b", None, 2), ("b", None, 4), (None, 2.0, None), ("c", None, None)]
+    df = spark.createDataFrame(data, "g string, v double, w int")
+    got = {r["g"]: tuple(r)[1:] for r in K.exact_percentiles(df, ["g"], ["v", "w"], {"p0": 0.0, "p75": 0.75}).collect()}
+    assert got == {"a": (1.0, 2.5, 5.0, 5.0), "b": (None, None, 2.0, 3.5), None: (2.0, 2.0, None, None), "c": (None,) * 4}
+    one = {r["g"]: r["p50"] for r in K.exact_percentiles(df, ["g"], "v", {"p50": 0.5}).collect()}
+    assert one == {"a": 2.0, "b": None, None: 2.0, "c": None}
+
+
+def test_one_target_per_run_equals_the_ordered_way(spark):
+    series = spark.range(60).select(F.when(F.col("id") < 40, "r").otherwise("q").alias("run"), (F.col("id") * 10).alias("step"), (F.col("id") * 1.5).alias("y"))
+    for at in (-5, 0, 7, 200, 395, 396, 10_000):
+        asked = spark.createDataFrame([("r", at, "k"), ("q", at, None)], "run string, step long, tag string")
+        want = rows(R.interpolate(series, asked, ["run"], "step", "y"), "run")
+        assert rows(R.interpolate_once(series, asked, "run", "step", "y", "interpolated"), "run") == want
+        assert rows(R.interpolate(series, asked, ["run"], "step", "y", steps=True), "run") == want
