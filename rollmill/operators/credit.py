@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollmill.functions.text import let
 from rollmill.functions.tokens import (
     array_sum,
     discounted_returns,
@@ -56,10 +57,8 @@ def adv_rfpp_baseline(
         "_centred", F.col(score) - F.when(F.col("_n") == 1, 0.0).otherwise(F.col("_mean"))
     )
     x, n = F.col("_centred"), F.col(length).cast("double")
-    centred = centred.withColumn("_m", scalars(centred, F.sum(n).alias("n"), F.sum(n * x).alias("sum")))
-    away = x - _token_mean(F.col("_m"))
-    centred = centred.withColumn("_sq", scalars(centred, F.sum(n * away * away).alias("sq"))["sq"])
-    return centred.select(*df.columns, _whiten(x, F.col("_m"), F.col("_sq")).alias(out))
+    each = F.struct(n.alias("n"), x.alias("mean"), F.lit(0.0).alias("m2"))
+    return centred.withColumn("_m", _moments(centred, each)).select(*df.columns, _whiten(x, F.col("_m")).alias(out))
 
 
 def adv_longest_correct(
@@ -74,14 +73,59 @@ def adv_longest_correct(
     )
 
 
-def _token_mean(m: Column) -> Column:
-    return m["sum"] / (m["n"] + 1e-8)
+def _moments(df: DataFrame, each: Column) -> Column:
+    """Number, mean and M2 (squares around the mean) of the whole table, as a scalar, from those of each row (a struct n, mean, m2).
 
-
-def _whiten(x: Column, m: Column, sq: Column, shift_mean: bool = True) -> Column:
-    """Whitened value from (n, sum) and the squares around their mean; the variance is unbiased and needs two tokens."""
-    mean = _token_mean(m)
-    spread = sq / (m["n"] + 1e-8)
+    One pass: rows are merged around the mean of one of them, so values of a large size and a small spread keep their variance.
+    """
+    rows = df.select(each.alias("_e")).where("_e.n > 0").select("_e.n", "_e.mean", "_e.m2")
+    pivot = F.coalesce(rows.limit(1).select("mean").scalar(), F.lit(0.0))
+    away = F.col("mean") - F.col("_pivot")
+    sums = rows.withColumn("_pivot", pivot).agg(
+        F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.sum(F.col("n") * away).alias("d"), F.sum(F.col("m2") + F.col("n") * away * away).alias("q"), F.max("_pivot").alias("p"))
+    shift = F.try_divide("d", "n")
+    return sums.select(F.struct("n", (F.col("p") + shift).alias("mean"), (F.col("q") - F.col("d") * shift).alias("m2"))).scalar()
+
+
+def array_moments(values: Column, mask: Column) -> Column:
+    """Struct (n, mean, m2) of the unmasked entries of one array."""
+    n = array_sum(mask).cast("double")
+    mean = F.try_divide(masked_sum(values, mask), n)
+    return let(F.struct(n.alias("n"), mean.alias("mean"), values.alias("v"), mask.alias("k")), lambda s: F.struct(
+        s["n"].alias("n"), s["mean"].alias("mean"), masked_sum(squares(F.transform(s["v"], lambda x: x - s["mean"])), s["k"]).alias("m2")))
+
+
+def _welford(at: Column, value: Column, counted: Column) -> list[Column]:
+    """The fields n, mean and m2 of a fold's state after one more value."""
+    n = at["n"] + 1
+    mean = at["mean"] + (value - at["mean"]) / n
+    return [
+        F.when(counted, n).otherwise(at["n"]).alias("n"), F.when(counted, mean).otherwise(at["mean"]).alias("mean"),
+        F.when(counted, at["m2"] + (value - at["mean"]) * (value - mean)).otherwise(at["m2"]).alias("m2"),
+    ]
+
+
+def _backward_moments(arrays: dict[str, Column], carried: list[str], step) -> Column:
+    """Moments of a backward recursion, by a fold with a state of fixed size; ``step`` gives the value, whether it counts, and what is carried."""
+    zero = lambda name: F.lit(0.0).alias(name)
+    start = F.struct(*[zero(c) for c in ("n", "mean", "m2", "value", *carried)])
+    zipped = F.reverse(F.arrays_zip(*[c.alias(name) for name, c in arrays.items()]))
+
+    def merge(at: Column, x: Column) -> Column:
+        value, counted, carry = step(at, x)
+        # The value is a field first, so that it is worked out once.
+        put = F.transform(F.array(F.struct(value.alias("value"))), lambda v: F.struct(
+            *_welford(at, v["value"], counted), v["value"].alias("value"), *[c(v["value"]).alias(name) for name, c in zip(carried, carry)]))
+        return F.get(put, F.lit(0))
+
+    return let(F.aggregate(zipped, start, merge), lambda s: F.struct(s["n"].alias("n"), s["mean"].alias("mean"), s["m2"].alias("m2")))
+
+
+def _whiten(x: Column, m: Column, shift_mean: bool = True) -> Column:
+    """Whitened value from the table's moments; the variance is unbiased and needs two tokens."""
+    mean = m["mean"] * m["n"] / (m["n"] + 1e-8)
+    # Squares around that mean, which is a little nearer to 0 than the true one.
+    spread = (m["m2"] + m["n"] * (m["mean"] - mean) * (m["mean"] - mean)) / (m["n"] + 1e-8)
     unbiased = spread * F.try_divide(m["n"], m["n"] - 1)
     var = F.when(m["n"] <= 1, F.raise_error(F.lit("whitening needs at least two tokens")).cast("double")).otherwise(unbiased)
     white = (x - mean) / F.sqrt(var + 1e-8)
@@ -89,36 +133,43 @@ def _whiten(x: Column, m: Column, sq: Column, shift_mean: bool = True) -> Column
 
 
 def masked_whiten(
-    df: DataFrame, values: str, mask: str, *, shift_mean: bool = True, out: str = "whitened"
+    df: DataFrame, values: str, mask: str, *, shift_mean: bool = True, out: str = "whitened", moments: Column | None = None
 ) -> DataFrame:
     """Whiten token arrays with the mean and variance of all unmasked tokens of the table.
 
-    The mean comes first and the squares around it second, so that large values of small spread keep their variance. Both
-    are reduced to scalars, which every task then reads.
+    Each row's own mean and squares around it are merged to scalars in one pass, which every task then reads. ``moments``, where given,
+    has them for the table already.
     """
-    v, m = F.col(values), F.col(mask)
-    centred = df.withColumn("_m", scalars(df, F.sum(array_sum(m)).alias("n"), F.sum(masked_sum(v, m)).alias("sum")))
-    away = F.transform(v, lambda x: x - _token_mean(F.col("_m")))
-    centred = centred.withColumn("_sq", scalars(centred, F.sum(masked_sum(squares(away), m)).alias("sq"))["sq"])
-    return centred.withColumn(
-        out, F.transform(v, lambda x: _whiten(x, F.col("_m"), F.col("_sq"), shift_mean))
-    ).drop("_m", "_sq")
+    m = _moments(df, array_moments(F.col(values), F.col(mask))) if moments is None else moments
+    return df.withColumn("_m", m).withColumn(out, F.transform(values, lambda x: _whiten(x, F.col("_m"), shift_mean))).drop("_m")
 
 
 def adv_gae(
     df: DataFrame, rewards: str, values: str, mask: str, *, gamma: float, lam: float
 ) -> DataFrame:
-    """Columns ``advantage`` (whitened) and ``returns`` (raw advantage plus value)."""
+    """Columns ``advantage`` (whitened) and ``returns`` (raw advantage plus value).
+
+    The table's moments come from a fold of fixed state, so the arrays are worked out in Python once.
+    """
+    def step(at, x):
+        value = x["r"] + gamma * at["following"] - x["v"] + gamma * lam * at["value"]
+        return value, x["m"] > 0, [lambda _: x["v"]]
+
+    each = _backward_moments({"r": F.col(rewards), "v": F.col(values).cast("array<double>"), "m": F.col(mask)}, ["following"], step)
     raw = df.withColumn("_raw", gae_advantages(F.col(rewards), F.col(values), gamma, lam))
-    white = masked_whiten(raw, "_raw", mask, out="advantage")
+    white = masked_whiten(raw, "_raw", mask, out="advantage", moments=_moments(df, each))
     returns = F.zip_with(F.col("_raw"), F.col(values), lambda a, v: a + v)
     return white.withColumn("returns", returns).drop("_raw")
 
 
 def adv_rfpp(df: DataFrame, rewards: str, mask: str, *, gamma: float) -> DataFrame:
-    """Columns ``advantage`` (whitened, masked discounted return) and ``returns``."""
+    """Columns ``advantage`` (whitened, masked discounted return) and ``returns``; Python works out the arrays once."""
+    def step(at, x):
+        return x["r"] + gamma * at["carry"], x["m"] > 0, [lambda value: value * x["m"]]
+
+    each = _backward_moments({"r": F.col(rewards), "m": F.col(mask)}, ["carry"], step)
     raw = df.withColumn("returns", discounted_returns(F.col(rewards), F.col(mask), gamma))
-    white = masked_whiten(raw, "returns", mask, out="advantage")
+    white = masked_whiten(raw, "returns", mask, out="advantage", moments=_moments(df, each))
     return white.withColumn("advantage", F.zip_with("advantage", mask, lambda a, m: a * m))
 
 

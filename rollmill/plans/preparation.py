@@ -233,7 +233,7 @@ def _(spark, sf):
 WITH t AS (SELECT conv_id, turn, role, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM conversations),
 e AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM t),
 m AS (SELECT conv_id, CAST(e - n + u.i AS BIGINT) AS pos, CAST(role = 'assistant' AS INTEGER) AS mask FROM e, unnest(range(CAST(n AS BIGINT))) u(i)),
-g AS (SELECT conv_id, u.p AS pos FROM (SELECT DISTINCT conv_id FROM t WHERE n > 0), unnest(range(96)) u(p))
+g AS (SELECT conv_id, u.p AS pos FROM (SELECT DISTINCT conv_id FROM t), unnest(range(96)) u(p))
 SELECT g.conv_id, g.pos, coalesce(m.mask, 0) AS loss_mask, CAST(CASE WHEN m.mask IS NULL THEN 0 ELSE g.pos END AS INTEGER) AS position_ids
 FROM g LEFT JOIN m ON g.conv_id = m.conv_id AND g.pos = m.pos""")
 def _(spark, sf):

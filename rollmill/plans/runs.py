@@ -166,7 +166,8 @@ def _(spark, sf):
 
 
 @query("metric_key_resolve", views="hist", oracle="""
-SELECT run_id, metric, count(*) AS n FROM hist WHERE metric = '5-LOW' GROUP BY ALL""")
+, c AS (SELECT run_id, metric, count(value) AS n FROM hist WHERE contains(metric, '-') AND NOT contains(metric, 'HIGH') AND value IS NOT NULL GROUP BY ALL)
+SELECT run_id, metric, n FROM c QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY len(metric), metric) = 1""")
 def _(spark, sf):
     return R.resolve_metric(hist(spark, sf), "run_id", contains="-", exclude=("HIGH",))
 

@@ -81,15 +81,14 @@ def _tidy(df):
 
 @query("scan_rollouts_json", views="ev", oracle=ROLLOUTS)
 def _(spark, sf):
-    path = K.sink_rollouts(rollout_records(spark, sf), scratch_dir(spark, "rollouts"))
-    return _tidy(S.read_rollouts(spark, path))
+    path = K.sink_rollout_arrays(rollout_records(spark, sf), scratch_dir(spark, "rollouts"))
+    return _tidy(S.read_rollout_arrays(spark, path, partitions="track string, step int"))
 
 
-@query("sink_rollouts_json", views="ev", oracle="SELECT track, step, count(*) AS n FROM ev WHERE track = 'A' AND step = 3 GROUP BY ALL")
+@query("sink_rollouts_json", views="ev", oracle=ROLLOUTS)
 def _(spark, sf):
     path = K.sink_rollouts(rollout_records(spark, sf), scratch_dir(spark, "rollouts"))
-    one = S.read_rollouts(spark, path).where("track = 'A' and step = 3")
-    return one.groupBy("track", "step").agg(F.count(F.lit(1)).alias("n"))
+    return _tidy(S.read_rollouts(spark, path))
 
 
 METRICS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -153,11 +152,11 @@ def _(spark, sf):
     return spark.read.schema("doc_id bigint, lang string, n_chars bigint").parquet(path)
 
 
-@query("sink_split_parquet", views="docs", oracle="SELECT CASE WHEN quality IS NULL THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM docs GROUP BY 1")
+@query("sink_split_parquet", views="docs", oracle="SELECT doc_id, CASE WHEN quality IS NULL THEN 'test' ELSE 'train' END AS split FROM docs")
 def _(spark, sf):
     d = docs(spark, sf).withColumn("split", F.when(F.col("quality").isNull(), "test").otherwise("train"))
     path = K.sink_split_parquet(d.select("doc_id", "split"), scratch_dir(spark, "split"))
-    return spark.read.schema("doc_id bigint, split string").parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("doc_id bigint, split string").parquet(path)
 
 
 @query("sink_generation_append", views="ev", oracle="""

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from rollmill.plans.catalog import query
 from rollmill.plans.scans import ROLLOUTS, rollout_records
-from rollmill.schemas import ROLLOUT_RECORD, TABLES
+from rollmill.schemas import TABLES
 from rollmill.session import scratch_dir
-from rollmill.sources.sinks import sink_rollouts
+from rollmill.sources.files import read_rollout_arrays
+from rollmill.sources.sinks import sink_rollout_arrays
 from rollmill.streaming import rollouts as R
 
 
@@ -26,8 +27,8 @@ def _text(c):
 
 @query("stream_rollout_files", views="ev", oracle="SELECT track, step, count(*) AS n, sum(score) AS correct FROM (" + ROLLOUTS + ") GROUP BY ALL")
 def _(spark, sf):
-    folder = sink_rollouts(rollout_records(spark, sf), scratch_dir(spark, "landing"))
-    s = R.stream_rollout_files(spark, folder, f"{ROLLOUT_RECORD}, track string, step int")
+    folder = sink_rollout_arrays(rollout_records(spark, sf), scratch_dir(spark, "landing"))
+    s = read_rollout_arrays(spark, folder, partitions="track string, step int", stream=True, files_per_batch=20)
     agg = s.groupBy("track", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("correct"))
     return R.run_available(agg, ["track", "step"])
 

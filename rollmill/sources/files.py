@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,11 +63,47 @@ def with_track_and_step(df: DataFrame) -> DataFrame:
     return out
 
 
+def _array_pieces(first: str) -> str:
+    """What separates two records of a JSON array as ``json.dumps`` writes it. Within a string its quotes would be escaped."""
+    return f'}}, {{"{first}": '
+
+
+def array_records(pieces: DataFrame, schema: str, first: str) -> DataFrame:
+    """Records from the pieces (column ``value``) between separators; other columns stay.
+
+    A piece has lost the opening of its record, but for the first of a file, and its closing brace, but for the last.
+    """
+    head = f'{{"{first}": '
+    body = F.regexp_replace("value", r"^\s*\[\s*" + re.escape(head), "")
+    inner = F.concat(F.lit(head), body, F.lit("}"))
+    last = F.concat(F.lit(head), F.regexp_replace(body, r"\s*\]\s*\z", ""))
+    text = F.when(F.try_parse_json(inner).isNotNull(), inner).otherwise(last)
+    rest = [c for c in pieces.columns if c != "value"]
+    filled = pieces.where(~F.col("value").rlike(r"^\s*(\[\s*\]\s*)?\z"))
+    return filled.select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("_record"), *rest).select("_record.*", *rest)
+
+
+def read_rollout_arrays(
+    spark: SparkSession, path: str, *, schema: str = ROLLOUT_RECORD, partitions: str = "", stream: bool = False, files_per_batch: int | None = None
+) -> DataFrame:
+    """Records of files that hold one JSON array each, as ``json.dumps`` writes it, in a batch or as a stream.
+
+    The files are read as text cut at the seam of two records, which an escaped string can't hold. So a file is split like any text
+    file: one huge array is read by several tasks, and no record is held but the one being parsed. ``partitions`` declares the columns
+    that folders name (``track string, step int``). A record that does not parse fails the job.
+    """
+    first = T.StructType.fromDDL(schema).fields[0].name
+    reader = (spark.readStream if stream else spark.read).option("lineSep", _array_pieces(first))
+    if stream and files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = reader.schema(f"value string, {partitions}" if partitions else "value string")
+    return array_records(reader.text(path), schema, first)
+
+
 def read_rollouts(spark: SparkSession, path: str, *, arrays: bool = False, schema: str = ROLLOUT_RECORD) -> DataFrame:
-    """Tidy rollouts of all tracks and steps below ``path``.
+    """Tidy rollouts of all tracks and steps below ``path``, from JSON lines as ``sink_rollouts`` writes them, with track and step as folders.
 
-    ``arrays`` reads files that hold one JSON array each, which Spark cannot split; JSON lines, as
-    ``sink_rollouts`` writes them, can be split and come with track and step as partition folders.
+    ``arrays`` reads any JSON array, also one laid out over lines, which can't be split; see read_rollout_arrays for large ones.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*rollouts*.json")
     if arrays:

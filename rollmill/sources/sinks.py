@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollmill.operators.batch import fold
@@ -27,6 +27,23 @@ def sink_rollouts(df: DataFrame, path: str) -> str:
     return path
 
 
+def sink_rollout_arrays(df: DataFrame, path: str, order: str = "index") -> str:
+    """One file with one JSON array for each track and step, laid out as ``json.dumps`` does.
+
+    A file is written from start to end, so the rows of a step pass through one task, one at a time.
+    """
+    step = ["track", "step"]
+    record = F.to_json(F.struct(*[c for c in df.columns if c not in step]), {"ignoreNullFields": "false"})
+    # json.dumps puts blanks behind commas and colons; only those between records and behind the first name matter to readers.
+    spaced = F.regexp_replace(record, '^(\\{"[^"]*":)', "$1 ")
+    rows = df.select(*step, F.col(order).alias("_order"), spaced.alias("_record"))
+    within = Window.partitionBy(*step).orderBy("_order")
+    text = F.concat(F.when(F.lag("_record").over(within).isNull(), "[").otherwise(""), "_record",
+                    F.when(F.lead("_record").over(within).isNull(), "]").otherwise(","))
+    rows.select(*step, text.alias("value")).write.mode("overwrite").partitionBy(*step).option("lineSep", " ").text(path)
+    return path
+
+
 def sink_csv_summary(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     writer = df.write.mode("overwrite").option("header", "true")
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)

@@ -25,7 +25,8 @@ def stream_parquet(spark: SparkSession, folder: str, schema: str, pattern: str =
 
 
 def stream_rollout_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Rollout records as their files land; the checkpoint remembers which files are done."""
+    """Rollout records as their files land, from JSON lines; the checkpoint remembers which files are done. For files that hold one
+    array each see ``read_rollout_arrays(stream=True)``."""
     return spark.readStream.schema(schema).json(folder)
 
 
