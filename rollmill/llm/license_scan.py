@@ -28,11 +28,12 @@ class Notice:
         cuts = [len(self.text) * i // (self.edits + 1) for i in range(self.edits + 2)]
         self.seeds = [(a, self.text[a:b]) for a, b in zip(cuts, cuts[1:])]
         self.figures = sorted(w for w in phrase.split() if any(c.isdigit() for c in w))
-        self.pattern = regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(phrase)}){{e<={self.edits}}}(?![^ ])")
+        # Whole words from end to end: a blank at an end would be an edit that the words do not have.
+        self.pattern = regex.compile(rf"(?b)(?<![^ ])(?=[^ ])(?:{regex.escape(phrase)}){{e<={self.edits}}}(?<=[^ ])(?![^ ])")
 
     def places(self, text: bytes) -> Iterator[tuple[int, int, int, str]]:
         """(start, end, edits, matched text) in a text of single-spaced words with a space at each end."""
-        size, found, tried = len(self.text), set(), 0
+        size, found, scanned = len(self.text), set(), set()
         for offset, seed in self.seeds:
             at = text.find(seed)
             while at >= 0:
@@ -41,10 +42,12 @@ class Notice:
                     if start not in found:
                         found.add(start)
                         yield start, start + size, 0, self.phrase
-                elif self.edits and at >= tried:
+                elif self.edits:
                     # Every character may take four bytes; the margin holds any match around the seed.
                     low, high = max(0, start - 5 * self.edits - 2), min(len(text), start + size + 5 * self.edits + 2)
-                    yield from self.near(text, low, high, found)
+                    if (low, high) not in scanned:
+                        scanned.add((low, high))
+                        yield from self.near(text, low, high, found)
                 at = text.find(seed, at + 1)
 
     def near(self, text: bytes, low: int, high: int, found: set[int]) -> Iterator[tuple[int, int, int, str]]:
@@ -58,7 +61,7 @@ class Notice:
             end = start + len(m[0].encode())
             cut_off = (start == low and low and text[low - 1] != 32) or (end == high and high < len(text) and text[high] != 32)
             same_figures = sorted(w for w in m[0].split() if any(c.isdigit() for c in w)) == self.figures
-            if sum(m.fuzzy_counts) and not cut_off and same_figures and m[0] == m[0].strip() and start not in found:
+            if sum(m.fuzzy_counts) and not cut_off and same_figures and start not in found:
                 found.add(start)
                 yield start, end, sum(m.fuzzy_counts), m[0]
 

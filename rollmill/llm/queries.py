@@ -24,6 +24,11 @@ from rollmill.llm.url_filter import HostRule, judge_urls, with_canonical
 
 #: Fixed values of the contract.
 NOTICES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: Short notices of the method's own, each found with one edit or more.
+MORE_NOTICES = {
+    "gnu general public license": "gpl", "gnu lesser general public license": "lgpl", "mozilla public license": "mpl", "all rights reserved": "reserved",
+    "dedicated to the public domain": "public-domain", "creative commons attribution": "cc", "redistribution and use in source and binary forms": "bsd",
+}
 URL_RULES = (
     HostRule("net", "/", "block"), HostRule("example.net", "/en/", "allow"), HostRule("example.com", "/de/", "block"),
     HostRule("org", "/fr/", "allow"),
@@ -37,8 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_notices(table(spark, sf_dir, "documents"), NOTICES)
-    exact = F.filter("spans", lambda s: s["edits"] == 0)
+    found = scan_notices(table(spark, sf_dir, "documents"), NOTICES | MORE_NOTICES)
+    exact = F.filter("spans", lambda s: (s["edits"] == 0) & s["phrase"].isin(*NOTICES))
     joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     start = F.transform(exact, lambda s: s["first_word"])
     near = F.transform("spans", lambda s: 1 - s["edits"] / F.length(s["phrase"]))
