@@ -38,6 +38,8 @@ def text_measures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
         F.length(F.regexp_replace(F.array_join("_words", ""), r"\P{L}+", "")).cast("long").alias("n_letters"),
+        F.length(F.regexp_replace(F.array_join("_words", ""), r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
+        F.length(F.regexp_replace(F.array_join("_words", ""), r"[\p{L}\p{N}]+", "")).cast("long").alias("n_marks"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"),
     )
     n = F.size("_h")
@@ -63,21 +65,23 @@ class Rule:
 
     name: str
     poor: str
-    good: str
+    good: str = "false"
 
     def vote(self) -> Column:
         return F.expr(f"case when {self.poor} then -1 when {self.good} then 1 else 0 end").cast("int")
 
 
-#: Conditions over the columns of text_measures.
+#: Conditions over the columns of text_measures. A rule that tells poor texts only abstains on the rest.
 RULES = (
-    Rule("length", "n_words < 10", "n_words >= 30"),
-    Rule("word_size", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
-    Rule("symbols", "n_words = 0 or 4 * n_symbols > n_words", "20 * n_symbols <= n_words and n_words > 0"),
-    Rule("lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 and n_lines > 1"),
-    Rule("repeats", "100 * n_repeat_words > 20 * n_words", "n_repeat_words = 0 and n_words >= 20"),
-    Rule("letters", "10 * n_letters < 6 * word_chars", "10 * n_letters >= 9 * word_chars and n_words > 0"),
-    Rule("variety", "n_words >= 20 and 5 * n_distinct < n_words", "n_words >= 20 and 5 * n_distinct >= 2 * n_words"),
+    Rule("length", "n_words < 10"),
+    Rule("word_size", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
+    Rule("symbols", "n_words = 0 or 5 * n_symbols > n_words", "20 * n_symbols <= n_words and n_words > 0"),
+    Rule("lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeats", "100 * n_repeat_words > 20 * n_words"),
+    Rule("letters", "10 * n_letters < 7 * word_chars", "10 * n_letters >= 9 * word_chars and n_words > 0"),
+    Rule("variety", "n_words >= 20 and 5 * n_distinct < n_words"),
+    Rule("marks", "10 * n_marks > 4 * n_words", "4 * n_marks <= n_words and n_words > 0"),
+    Rule("capitals", "2 * n_capitals > n_letters", "5 * n_capitals <= n_letters and n_words > 0"),
 )
 
 
@@ -88,6 +92,10 @@ class LabelModel:
     prior: float
     ratios: dict[str, dict[int, float]]
 
+    def probability(self, votes: tuple[int, ...]) -> float:
+        odds = math.log(self.prior / (1 - self.prior)) + sum(by[v] for by, v in zip(self.ratios.values(), votes) if v)
+        return 1 / (1 + math.exp(-odds))
+
     def posterior(self) -> Column:
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
         for name, by_vote in self.ratios.items():
@@ -96,42 +104,43 @@ class LabelModel:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit_label_model(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, *, rounds: int = 25, start_accuracy: float = 0.8,
-                    smoothing: float = 1.0) -> LabelModel:
-    """Expectation-maximisation over counted vote patterns (columns vote_<rule> and n; at most 3 ** rules rows at any input size).
+def fit_label_model(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, *, rounds: int = 25, start_prior: float = 0.8,
+                    start_accuracy: float = 0.8, smoothing: float = 1.0) -> LabelModel:
+    """Expectation-maximisation over counted vote patterns (columns vote_<rule> and n).
 
-    Two hidden classes; given the class, rules vote independently, and abstaining says nothing. Each round is one small aggregate
-    over the patterns: its 4 * rules + 2 sums come to the driver. Smoothed counts keep every accuracy inside (0, 1); no rows at
-    all leave the start values.
+    Two hidden classes; given the class, rules vote independently, and abstaining says nothing. The patterns, at most 3 ** rules rows
+    at any input size (some 20,000 for nine rules), come to the driver in one job; the rounds are sums over them. Smoothed counts keep
+    every accuracy inside (0, 1); no rows at all leave the start values.
     """
-    prior = 0.5
-    rate = {r.name: {c: {1: start_accuracy if c else 1 - start_accuracy, -1: 1 - start_accuracy if c else start_accuracy} for c in (0, 1)} for r in rules}
+    votes = [f"vote_{r.name}" for r in rules]
+    counted = sorted((tuple(r[v] for v in votes), r["n"]) for r in patterns.select(*votes, "n").collect())
+    prior = start_prior
+    # Of each rule and class: how likely a vote is a good one.
+    up = {(r.name, c): start_accuracy if c else 1 - start_accuracy for r in rules for c in (0, 1)}
 
     def model() -> LabelModel:
-        return LabelModel(prior, {k: {v: math.log(by[1][v] / by[0][v]) for v in (1, -1)} for k, by in rate.items()})
-
-    for _ in range(rounds):
-        good = model().posterior()
-        sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all")]
-        for r in rules:
-            for v in (1, -1):
-                hit = F.when(F.col(f"vote_{r.name}") == v, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * F.col("p")).alias(f"{r.name}|{v}|1"), F.sum(hit * (1 - F.col("p"))).alias(f"{r.name}|{v}|0")]
-        got = patterns.withColumn("p", good).agg(*sums).first()
-        if not got["all"]:
-            break
-        before = prior
-        prior = (got["good"] + smoothing) / (got["all"] + 2 * smoothing)
-        moved = abs(prior - before)
+        ratio = lambda r, v: math.log((up[r, 1] if v > 0 else 1 - up[r, 1]) / (up[r, 0] if v > 0 else 1 - up[r, 0]))
+        return LabelModel(prior, {r.name: {v: ratio(r.name, v) for v in (1, -1)} for r in rules})
+
+    every = sum(n for _, n in counted)
+    for _ in range(rounds if every else 0):
+        now = model()
+        good, seen = 0.0, dict.fromkeys(((r.name, v, c) for r in rules for v in (1, -1) for c in (0, 1)), 0.0)
+        for pattern, n in counted:
+            p = now.probability(pattern)
+            good += n * p
+            for r, v in zip(rules, pattern):
+                if v:
+                    seen[r.name, v, 1] += n * p
+                    seen[r.name, v, 0] += n * (1 - p)
+        before, prior = (prior, *up.values()), (good + smoothing) / (every + 2 * smoothing)
         for r in rules:
             for c in (0, 1):
-                up, down = got[f"{r.name}|1|{c}"], got[f"{r.name}|-1|{c}"]
                 # The start accuracy enters as pseudo-counts, so that a rule no document tells about keeps its meaning.
                 share = start_accuracy if c else 1 - start_accuracy
-                new = (up + 2 * smoothing * share) / (up + down + 2 * smoothing)
-                moved = max(moved, abs(new - rate[r.name][c][1]))
-                rate[r.name][c] = {1: new, -1: 1 - new}
-        if moved < 1e-6:
+                total = seen[r.name, 1, c] + seen[r.name, -1, c]
+                up[r.name, c] = (seen[r.name, 1, c] + 2 * smoothing * share) / (total + 2 * smoothing)
+        if max(abs(a - b) for a, b in zip(before, (prior, *up.values()))) < 1e-6:
             break
     return model()
 
@@ -152,7 +161,7 @@ def judge_quality(
     measured = text_measures(docs, id_col, text_col).withColumns({f"vote_{r.name}": r.vote() for r in rules})
     measured = written(measured, "quality")
     votes = [f"vote_{r.name}" for r in rules]
-    patterns = written(measured.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")), "patterns")
+    patterns = measured.groupBy(*votes).agg(F.count(F.lit(1)).alias("n"))
     posterior = fit_label_model(patterns, rules).posterior()
     return measured.withColumn("posterior", posterior).withColumn("good", F.col("posterior") >= threshold).withColumnRenamed("_id", id_col)
 
