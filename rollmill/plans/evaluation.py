@@ -11,6 +11,7 @@ from rollmill.functions.tokens import ones_like
 from rollmill.operators import diversity as D
 from rollmill.operators import evaluation as E
 from rollmill.operators import quality as Q
+from rollmill.operators import resample as RS
 from rollmill.operators.batch import sample_first_n
 from rollmill.operators.keyed import positions
 from rollmill.plans.catalog import query
@@ -414,6 +415,22 @@ def _(spark, sf):
     return _round(E.bootstrap_majority(_draws(spark, sf), GROUP, "pred", "score"), "mean", "std")
 
 
+@query("val_metrics_majority", views="")
+def _(spark, sf):
+    """Best, worst and majority of N by 1,000 resamples for every N, with the plain mean and deviation, by source."""
+    g = graded(spark, sf).withColumn("pred", A.extract_hash_answer(F.col("output")))
+    keys = ["data_source", "question_idx"]
+    each = RS.bootstrap_by_weights(g, keys, "score", vote="pred", names=("best", "worst", "mean", "maj"))
+    names = [c for c in each.columns if c not in (*keys, "n", "rounds")]
+    return each.groupBy("data_source", "n").agg(*[F.round(F.avg(c), 6).alias(c) for c in names], F.max("rounds").alias("rounds"), F.count(F.lit(1)).alias("prompts"))
+
+
+@query("bootstrap_every_n", views="")
+def _(spark, sf):
+    """Best and worst of N of a continuous score, for every N, by 1,000 resamples."""
+    return _round(RS.bootstrap_by_weights(ev(spark, sf), GROUP, "value"), "best_mean", "best_std", "worst_mean", "worst_std")
+
+
 @query("data_metrics", views="tok", oracle="""
 , t AS (SELECT uid, n, rewards[i] AS r, vals[i] AS v, vals[n - i + 1] AS a, vals[i] / 2 + rewards[i] AS ret FROM tok, unnest(range(1, n + 1)) u(i)),
 k AS (SELECT avg(a) AS advantages_mean, max(a) AS advantages_max, min(a) AS advantages_min, avg(ret) AS returns_mean, max(ret) AS returns_max, min(ret) AS returns_min,

@@ -225,7 +225,7 @@ def _(spark, sf):
 
 @query("grade_fail_to_zero", views="ev", oracle=STRICT_SCORE)
 def _(spark, sf):
-    return R.grade_batched(ev(spark, sf), _fragile, "output", "ground_truth", source="data_source", fail_to_zero=True).select("sample_id", "score")
+    return R.grade_batched(ev(spark, sf), _fragile, "output", "ground_truth", source="data_source", seconds=60.0).select("sample_id", "score")
 
 
 @query("register_reward_fn", views="ev", oracle=STRICT_SCORE)
@@ -245,14 +245,20 @@ def _(spark, sf):
 @query("reward_manager_choice", views="ev", oracle=STRICT + """
 , g AS (SELECT sample_id, response_length, CASE WHEN replace(ans, ',', '') = ground_truth::VARCHAR THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s FROM s),
 p AS (SELECT *, least(-(response_length - 300) / 100.0 * 1.0, 0)::DOUBLE AS pen FROM g)
-SELECT sample_id, 'naive' AS manager, s AS score, NULL::BOOLEAN AS overlong FROM p UNION ALL SELECT sample_id, 'dapo', round(s + pen, 6), pen < 0 FROM p""")
+SELECT sample_id, 'naive' AS manager, s AS score, NULL::BOOLEAN AS overlong FROM p UNION ALL SELECT sample_id, 'dapo', round(s + pen, 6), pen < 0 FROM p
+UNION ALL SELECT sample_id, m, s, NULL FROM p, (SELECT unnest(['prime', 'batch']) AS m)""")
 def _(spark, sf):
-    e = ev(spark, sf).select("sample_id", "response_length", "output", "ground_truth")
+    e = ev(spark, sf).select("sample_id", "data_source", "response_length", "output", "ground_truth")
+    names = {"solution": "output", "truth": "ground_truth"}
     score = G.grade_exact(F.col("output"), F.col("ground_truth"))
     plain = R.reward_manager(e, "naive", score)
     dapo = R.reward_manager(e, "dapo", score, length="response_length", max_length=400, buffer=100, factor=1.0)
     pick = lambda d, name, flag: d.select("sample_id", F.lit(name).alias("manager"), F.round("score", 6).alias("score"), flag.alias("overlong"))
-    return pick(plain, "naive", F.lit(None).cast("boolean")).unionByName(pick(dapo, "dapo", F.col("overlong")))
+    none = F.lit(None).cast("boolean")
+    both = pick(plain, "naive", none).unionByName(pick(dapo, "dapo", F.col("overlong")))
+    for name, rule in (("prime", _fragile), ("batch", _marker_score)):
+        both = both.unionByName(pick(R.reward_manager(e, name, rule, seconds=60.0, **names), name, none))
+    return both
 
 
 @query("reducers", views="ev", oracle="SELECT track, question_idx, round(max(value) - min(value), 6) AS spread FROM ev GROUP BY ALL")
