@@ -8,9 +8,11 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollmill.operators.keyed import attach_group_stats, running_sum
+
 
 def _difference_partition(lengths: list[int], k: int, equal_size: bool) -> list[int]:
     """Part number per item by repeated differencing of the two most uneven partial solutions."""
@@ -81,12 +83,15 @@ def seqlen_balance_greedy(
 
 
 def snake(df: DataFrame, keys: list[str], order: str, length: str, k: Column) -> DataFrame:
-    """Column ``part``: deal items to ``k`` parts by falling length, turning round at each end."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(length).desc(), order)) - 1
-    dealt = df.withColumn("_k", k).withColumn("_place", place)
+    """Column ``part``: deal items to ``k`` parts by falling length, turning round at each end.
+
+    An item's place follows from counts of even ranges of the lengths, so a batch of any size is spread over tasks.
+    """
+    falling = df.withColumn("_k", k).withColumn("_short", -F.col(length))
+    dealt = running_sum(falling, keys, ["_short", order], F.lit(1).cast("bigint"), "_place").withColumn("_place", F.col("_place") - 1)
     lap, at = F.expr("_place div _k"), F.pmod("_place", "_k")
     part = F.when(F.pmod(lap, F.lit(2)) == 0, at).otherwise(F.col("_k") - 1 - at)
-    return dealt.withColumn("part", part.cast("int")).drop("_k", "_place")
+    return dealt.withColumn("part", part.cast("int")).drop("_k", "_place", "_short")
 
 
 def micro_batch_by_tokens(df: DataFrame, keys: list[str], order: str, length: str, max_tokens: int) -> DataFrame:
@@ -95,10 +100,9 @@ def micro_batch_by_tokens(df: DataFrame, keys: list[str], order: str, length: st
     A sequence longer than the budget fails the job. Parts are balanced, so a part may pass the budget
     slightly, as with any balanced split into the smallest number of parts.
     """
-    w = Window.partitionBy(*keys)
     too_long = F.raise_error(F.lit(f"a sequence is longer than {max_tokens} tokens")).cast("bigint")
-    total = F.when(F.max(length).over(w) <= max_tokens, F.sum(length).over(w)).otherwise(too_long)
-    sized = df.withColumn("_parts", F.ceil(total / max_tokens).cast("int"))
+    total = F.when(F.max(length) <= max_tokens, F.sum(length)).otherwise(too_long)
+    sized = attach_group_stats(df, keys, F.ceil(total / max_tokens).cast("int").alias("_parts"), salt=[order])
     return snake(sized, keys, order, length, F.col("_parts")).drop("_parts")
 
 

@@ -199,13 +199,15 @@ def _(spark, sf):
 @query("table_fingerprint_compare", """
 SELECT 'same' AS pair, 'IDENTICAL' AS status, 0::BIGINT AS left_only, 0::BIGINT AS right_only
 UNION ALL SELECT 'changed', 'DIFFERENT', count(*), count(*) FROM events WHERE event_type = 'click'
-UNION ALL SELECT 'absent', 'MISSING', count(*), 0 FROM events""")
+UNION ALL SELECT 'absent', 'MISSING', count(*), 0 FROM events
+UNION ALL SELECT 'broken', 'ERROR', NULL, NULL""")
 def _(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", "value")
     changed = e.withColumn("value", F.when(F.col("event_type") == "click", F.col("value") + 1).otherwise(F.col("value")))
     pairs = {"same": (e, e.orderBy("value")), "changed": (e, changed), "absent": (e, None)}
     out = [S.compare_tables(a, b).withColumn("pair", F.lit(n)) for n, (a, b) in pairs.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    broken = S.compare_reads(spark, lambda: e, lambda: spark.read.parquet(f"{sf}/no-such-table.parquet")).withColumn("pair", F.lit("broken"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(broken)
 
 
 @query("table_fingerprint")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,11 +146,23 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_hash), F.lit(0)).alias("checksum"))
 
 
-def compare_tables(left: DataFrame | None, right: DataFrame | None) -> DataFrame:
+def differing_ranges(left: DataFrame, right: DataFrame, range_of: Column) -> DataFrame:
+    """Ranges (``_range``) whose row counts or checksums differ, or that one side lacks."""
+    def marks(df: DataFrame, name: str) -> DataFrame:
+        row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)")
+        return df.groupBy(range_of.alias("_range")).agg(F.struct(F.count(F.lit(1)).alias("rows"), F.sum(row_hash).alias("sum")).alias(name))
+
+    a, b = marks(left, "_a"), marks(right, "_b").withColumnRenamed("_range", "_of")
+    both = a.join(b, F.col("_range").eqNullSafe(F.col("_of")), "full_outer")
+    return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(F.when(F.col("_a").isNull(), F.col("_of")).otherwise(F.col("_range")).alias("_range"))
+
+
+def compare_tables(left: DataFrame | None, right: DataFrame | None, by: str | None = None, ranges: int = 1024) -> DataFrame:
     """One row: status IDENTICAL, DIFFERENT, MISSING or LOCAL_MISSING, and rows found on one side only.
 
-    Fingerprints settle equality; only where they differ are rows read again and matched against each other, multiplicities
-    included, to count the differences. Tables with other columns are DIFFERENT in all their rows.
+    Counts and checksums of ranges settle equality; only rows of ranges that differ are matched against each other, multiplicities
+    included. A range is a value of ``by`` (a partition column: then other folders are not read again), or one of ``ranges`` hash classes of
+    the row. Tables with other columns are DIFFERENT in all their rows.
     """
     some = left if left is not None else right
     if some is None:
@@ -164,14 +178,29 @@ def compare_tables(left: DataFrame | None, right: DataFrame | None) -> DataFrame
     if columns != sorted(right.columns):
         n = [d.agg(F.count(F.lit(1)).alias("_n")).scalar() for d in (left, right)]
         return left.sparkSession.range(1).select(F.lit("DIFFERENT").alias("status"), n[0].alias("left_only"), n[1].alias("right_only"))
-    marks = [table_fingerprint(d).select(F.struct("rows", "checksum")).scalar() for d in (left, right)]
-    left, right = (d.where(marks[0] != marks[1]) for d in (left, right))
-    a = left.select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    b = right.select(*columns).groupBy(*columns).agg((-F.count(F.lit(1))).alias("_n"))
-    net = a.unionByName(b).groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    names = [F.col(f"`{c}`") for c in columns]
+    range_of = F.col(f"`{by}`") if by else F.pmod(F.xxhash64(F.lit("range"), *names), F.lit(ranges))
+    other = differing_ranges(left, right, range_of)
+
+    def counted(df: DataFrame, sign: int) -> DataFrame:
+        rows = df.select(*names, range_of.alias("_here")).join(other, F.col("_here").eqNullSafe(F.col("_range")), "left_semi")
+        return rows.groupBy(*names).agg((sign * F.count(F.lit(1))).alias("_n"))
+
+    net = counted(left, 1).unionByName(counted(right, -1)).groupBy(*names).agg(F.sum("_n").alias("_n")).where("_n <> 0")
     counts = net.agg(
         F.coalesce(F.sum(F.when(F.col("_n") > 0, F.col("_n"))), F.lit(0)).alias("left_only"),
         F.coalesce(F.sum(F.when(F.col("_n") < 0, -F.col("_n"))), F.lit(0)).alias("right_only"),
     )
     same = (F.col("left_only") == 0) & (F.col("right_only") == 0)
     return counts.select(F.when(same, "IDENTICAL").otherwise("DIFFERENT").alias("status"), "left_only", "right_only")
+
+
+def compare_reads(
+    spark: SparkSession, left: Callable[[], DataFrame | None], right: Callable[[], DataFrame | None], by: str | None = None
+) -> DataFrame:
+    """As compare_tables, for two reads that may fail: then the status is ERROR and the counts are null. Runs at once, to see a failure."""
+    try:
+        found = tuple(compare_tables(left(), right(), by).first())
+    except (PySparkException, Py4JJavaError):
+        found = ("ERROR", None, None)
+    return spark.createDataFrame([found], "status string, left_only bigint, right_only bigint")

@@ -200,3 +200,33 @@ def test_one_target_per_run_equals_the_ordered_way(spark):
         want = rows(R.interpolate(series, asked, ["run"], "step", "y"), "run")
         assert rows(R.interpolate_once(series, asked, "run", "step", "y", "interpolated"), "run") == want
         assert rows(R.interpolate(series, asked, ["run"], "step", "y", steps=True), "run") == want
+
+
+def test_one_changed_row_is_one_range(spark, tmp_path):
+    from rollmill.sources import files as S
+
+    a = spark.range(5000).select("id", (F.col("id") % 20).alias("day"), F.lit(None).cast("string").alias("a b"))
+    b = a.withColumn("id", F.when(F.col("id") == 77, -1).otherwise(F.col("id")))
+    for name, df in (("a", a), ("b", b)):
+        df.write.partitionBy("day").parquet(f"{tmp_path}/{name}")
+    left, right = (spark.read.parquet(f"{tmp_path}/{n}") for n in "ab")
+    assert [r[0] for r in S.differing_ranges(left, right, F.col("day")).collect()] == [77 % 20]
+    assert tuple(S.compare_tables(left, right, by="day").first()) == ("DIFFERENT", 1, 1)
+    assert tuple(S.compare_tables(left, right).first()) == ("DIFFERENT", 1, 1)
+    assert tuple(S.compare_tables(left, left.unionByName(left.where("id = 3"))).first()) == ("DIFFERENT", 0, 1)
+    assert tuple(S.compare_tables(left, spark.read.parquet(f"{tmp_path}/a").orderBy("id"), by="day").first()) == ("IDENTICAL", 0, 0)
+    assert tuple(S.compare_reads(spark, lambda: left, lambda: spark.read.parquet(f"{tmp_path}/none")).first()) == ("ERROR", None, None)
+    failing = right.withColumn("id", F.when(F.col("id") == -1, F.raise_error(F.lit("unreadable")).cast("long")).otherwise(F.col("id")))
+    assert S.compare_reads(spark, lambda: left, lambda: failing).first()["status"] == "ERROR"
+
+
+def test_a_batch_is_dealt_without_a_window_over_it(spark):
+    from rollmill.operators import balance as L
+
+    df = spark.range(2000).select(F.lit("hot").alias("b"), "id", (F.col("id") * 37 % 90).alias("n"))
+    got = L.snake(df, ["b"], "id", "n", F.lit(7)).collect()
+    order = sorted(got, key=lambda r: (-r["n"], r["id"]))
+    assert [r["part"] for r in order] == [i % 7 if i // 7 % 2 == 0 else 6 - i % 7 for i in range(2000)]
+    parts = L.micro_batch_by_tokens(df, ["b"], "id", "n", 1000)
+    sums = [r["s"] for r in parts.groupBy("part").agg(F.sum("n").alias("s")).collect()]
+    assert len(sums) == -(-sum(r["n"] for r in got) // 1000) and max(sums) - min(sums) <= 90
