@@ -20,7 +20,7 @@ from rollmill.llm.substring import remove_repeats
 from rollmill.llm.suffix_dedup import remove_held_before
 from rollmill.llm.token_counts import count_tokens
 from rollmill.llm.toxicity import held_out, score_toxicity, train
-from rollmill.llm.url_filter import HostRule, judge_urls, with_canonical
+from rollmill.llm.url_filter import HostRule, is_junk, judge_urls, with_canonical
 
 #: Fixed values of the contract.
 NOTICES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -33,8 +33,6 @@ URL_RULES = (
     HostRule("net", "/", "block"), HostRule("example.net", "/en/", "allow"), HostRule("example.com", "/de/", "block"),
     HostRule("org", "/fr/", "allow"),
 )
-#: Host labels whose pages make up the URL list.
-LISTED_LABELS = ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,24 +54,25 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    labelled = F.exists(F.split("host", r"\."), lambda x: x.isin(*LISTED_LABELS))
-    listed = with_canonical(pages, "page_id", "url").where(labelled).select("canonical")
+    # The list: canonical URLs of pages whose html holds junk. It blocks every page that goes by such a URL.
+    listed = with_canonical(pages.where(is_junk(F.col("html"))), "page_id", "url").select("canonical")
     return judge_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 OP2_SQL = r"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
-a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
+WITH t AS (SELECT page_id, coalesce(url, '') AS url, regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') AS text FROM pages),
+u AS (SELECT page_id, url, 4 * (length(text) - length(translate(text, '#*$%|', ''))) > len(list_filter(string_split_regex(text, '[ \t-\r]+'), lambda x: x <> '')) AS junk FROM t),
+a AS (SELECT page_id, junk, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
 b AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, junk, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query FROM a),
 c AS (
-  SELECT page_id, host, path,
+  SELECT page_id, junk, host, path,
     CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') ||
       CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical
   FROM (SELECT *, list_sort(list_filter(string_split(query, '&'),
       lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND NOT starts_with(x, 'ref='))) AS kept FROM b)),
-listed AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), ['ads-track', 'casino-win', 'spam-farm', 'adult-x', 'cheap-pills', 'free-bets']) AND canonical IS NOT NULL),
+listed AS (SELECT DISTINCT canonical FROM c WHERE junk AND canonical IS NOT NULL),
 d AS (
   SELECT c.*, CASE
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'

@@ -37,6 +37,13 @@ def url_parts(url: Column) -> tuple[Column, Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path, query
 
 
+def is_junk(html: Column, per_word: float = 0.25) -> Column:
+    """Whether the text between the tags has more of ``#*$%|`` than ``per_word`` for each word; null and empty pages are no junk."""
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>", " ")
+    symbols = F.length(text) - F.length(F.translate(text, "#*$%|", ""))
+    return symbols > per_word * F.size(F.array_remove(F.split(text, r"[ \t-\r]+"), ""))
+
+
 def canonical_url(host: Column, path: Column, query: Column, dropped: Sequence[str] = ("utm_", "ref=")) -> Column:
     """Host without a leading www. or m., path without a trailing slash, other parameters in order; null for an empty host."""
     kept = F.array_join(

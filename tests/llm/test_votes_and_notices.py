@@ -112,3 +112,20 @@ def test_no_rows_leave_the_start_values(spark):
     model = fit_label_model(none)
     assert model.prior == 0.8 and model.probability((0,) * len(RULES)) == pytest.approx(0.8)
     assert none.select(model.posterior()).count() == 0 and F is not None
+
+
+def test_url_list_tells_what_urls_do_not(spark):
+    from check import compare, connect
+    from rollmill.llm.url_filter import is_junk
+
+    sf = "/root/testdata/sf0.01"
+    _, rows, problems = compare(spark, connect(sf), "op2_url_filter", Q.op2_url_filter, Q.ORACLES["op2_url_filter"], sf)
+    assert rows == 250 and not problems
+    got = Q.op2_url_filter(spark, sf).toPandas()
+    free = got[got["rule"].isna()]
+    assert 0 < free["listed"].sum() < len(free) / 2
+    # Hosts with listed pages hold others too, so no word of the host decides.
+    by_host = got.groupby("host")["listed"].agg(["sum", "size"])
+    assert ((by_host["sum"] > 0) & (by_host["sum"] < by_host["size"])).any()
+    pages = spark.createDataFrame([(None,), ("",), ("<p>a b</p>",), ("<p a='#####'>a b</p>",), ("<p>a# b*",)], "html string")
+    assert [r[0] for r in pages.select(is_junk(F.col("html"))).collect()] == [False, False, False, False, True]
