@@ -159,36 +159,57 @@ def _ragged(matrix: np.ndarray, lengths: np.ndarray) -> pd.Series:
 # inside aggregate() copies it at every step. These run on whole Arrow batches, one vector step per position.
 
 
-def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
-    """Backward sum R_t = r_t + gamma * R_{t+1}, cut where the mask is 0."""
+_WITH_MOMENTS = "values array<double>, n double, mean double, m2 double"
+
+
+def _with_moments(matrix: np.ndarray, mask: np.ndarray, lengths: np.ndarray) -> pd.DataFrame:
+    """The rows, and number, mean and squares around the mean of the unmasked entries of each."""
+    n = mask.sum(axis=1)
+    mean = (matrix * mask).sum(axis=1) / np.maximum(n, 1)
+    m2 = ((matrix - mean[:, None]) ** 2 * mask).sum(axis=1)
+    return pd.DataFrame({"values": _ragged(matrix, lengths), "n": n.astype(float), "mean": mean, "m2": m2})
 
-    @F.pandas_udf("array<double>")
-    def run(rewards: pd.Series, mask: pd.Series) -> pd.Series:
+
+def returns_with_moments(rewards: Column, mask: Column, gamma: float) -> Column:
+    """Backward sum R_t = r_t + gamma * R_{t+1}, cut where the mask is 0: a struct of the values and their unmasked moments."""
+
+    @F.pandas_udf(_WITH_MOMENTS)
+    def run(rewards: pd.Series, mask: pd.Series) -> pd.DataFrame:
         (r, m), lengths = _padded([rewards, mask])
         carry = np.zeros(len(r))
         for t in range(r.shape[1] - 1, -1, -1):
             total = r[:, t] + gamma * carry
             carry = total * m[:, t]
             r[:, t] = total
-        return _ragged(r, lengths)
+        return _with_moments(r, m, lengths)
 
     return run(rewards, mask)
 
 
-def gae_advantages(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantage estimate, before whitening; the value after the last token counts as 0."""
+def gae_with_moments(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
+    """Generalised advantage estimate, before whitening; the value after the last token counts as 0. A struct as in returns_with_moments."""
 
-    @F.pandas_udf("array<double>")
-    def run(rewards: pd.Series, values: pd.Series) -> pd.Series:
-        (r, v), lengths = _padded([rewards, values])
+    @F.pandas_udf(_WITH_MOMENTS)
+    def run(rewards: pd.Series, values: pd.Series, mask: pd.Series) -> pd.DataFrame:
+        (r, v, m), lengths = _padded([rewards, values, mask])
         carry, following = np.zeros(len(r)), np.zeros(len(r))
         out = np.zeros_like(r)
         for t in range(r.shape[1] - 1, -1, -1):
             carry = r[:, t] + gamma * following - v[:, t] + gamma * lam * carry
             out[:, t], following = carry, v[:, t]
-        return _ragged(out, lengths)
+        return _with_moments(out, m, lengths)
 
-    return run(rewards, values)
+    return run(rewards, values, mask)
+
+
+def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
+    """Backward sum R_t = r_t + gamma * R_{t+1}, cut where the mask is 0."""
+    return returns_with_moments(rewards, mask, gamma)["values"]
+
+
+def gae_advantages(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
+    """Generalised advantage estimate, before whitening."""
+    return gae_with_moments(rewards, values, ones_like(rewards), gamma, lam)["values"]
 
 
 def position_ids(mask: Column) -> Column:

@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollmill.functions.text import let
 from rollmill.functions.tokens import (
     array_sum,
     discounted_returns,
-    gae_advantages,
+    gae_with_moments,
     masked_sum,
+    returns_with_moments,
     squares,
 )
 from rollmill.operators.keyed import HOT_ROWS, attach_group_stats, running_sum, scalars
@@ -73,52 +73,31 @@ def adv_longest_correct(
     )
 
 
-def _moments(df: DataFrame, each: Column) -> Column:
-    """Number, mean and M2 (squares around the mean) of the whole table, as a scalar, from those of each row (a struct n, mean, m2).
-
-    One pass: rows are merged around the mean of one of them, so values of a large size and a small spread keep their variance.
-    """
-    rows = df.select(each.alias("_e")).where("_e.n > 0").select("_e.n", "_e.mean", "_e.m2")
-    pivot = F.coalesce(rows.limit(1).select("mean").scalar(), F.lit(0.0))
-    away = F.col("mean") - F.col("_pivot")
-    sums = rows.withColumn("_pivot", pivot).agg(
-        F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.sum(F.col("n") * away).alias("d"), F.sum(F.col("m2") + F.col("n") * away * away).alias("q"), F.max("_pivot").alias("p"))
+def _merged(rows: DataFrame) -> Column:
+    """Number, mean and M2 (squares around the mean) of a table, as a scalar, from sums n, d and q of each row around its ``_pivot``."""
+    sums = rows.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.sum("d").alias("d"), F.sum("q").alias("q"), F.max("_pivot").alias("p"))
     shift = F.try_divide("d", "n")
     return sums.select(F.struct("n", (F.col("p") + shift).alias("mean"), (F.col("q") - F.col("d") * shift).alias("m2"))).scalar()
 
 
-def array_moments(values: Column, mask: Column) -> Column:
-    """Struct (n, mean, m2) of the unmasked entries of one array."""
-    n = array_sum(mask).cast("double")
-    mean = F.try_divide(masked_sum(values, mask), n)
-    return let(F.struct(n.alias("n"), mean.alias("mean"), values.alias("v"), mask.alias("k")), lambda s: F.struct(
-        s["n"].alias("n"), s["mean"].alias("mean"), masked_sum(squares(F.transform(s["v"], lambda x: x - s["mean"])), s["k"]).alias("m2")))
-
+def _pivot(df: DataFrame, near: Column) -> Column:
+    """A value of the table's size, as a scalar: sums around it keep the variance of large values with a small spread."""
+    return F.coalesce(df.limit(16).select(near.alias("_near")).agg(F.max("_near")).scalar(), F.lit(0.0))
 
-def _welford(at: Column, value: Column, counted: Column) -> list[Column]:
-    """The fields n, mean and m2 of a fold's state after one more value."""
-    n = at["n"] + 1
-    mean = at["mean"] + (value - at["mean"]) / n
-    return [
-        F.when(counted, n).otherwise(at["n"]).alias("n"), F.when(counted, mean).otherwise(at["mean"]).alias("mean"),
-        F.when(counted, at["m2"] + (value - at["mean"]) * (value - mean)).otherwise(at["m2"]).alias("m2"),
-    ]
 
+def _moments(df: DataFrame, each: Column) -> Column:
+    """The table's moments in one pass, from those of each row (a struct n, mean, m2)."""
+    rows = df.withColumn("_pivot", _pivot(df, each["mean"])).select("_pivot", each.alias("_e")).where("_e.n > 0")
+    away = F.col("_e.mean") - F.col("_pivot")
+    return _merged(rows.select("_pivot", F.col("_e.n").alias("n"), (F.col("_e.n") * away).alias("d"), (F.col("_e.m2") + F.col("_e.n") * away * away).alias("q")))
 
-def _backward_moments(arrays: dict[str, Column], carried: list[str], step) -> Column:
-    """Moments of a backward recursion, by a fold with a state of fixed size; ``step`` gives the value, whether it counts, and what is carried."""
-    zero = lambda name: F.lit(0.0).alias(name)
-    start = F.struct(*[zero(c) for c in ("n", "mean", "m2", "value", *carried)])
-    zipped = F.reverse(F.arrays_zip(*[c.alias(name) for name, c in arrays.items()]))
-
-    def merge(at: Column, x: Column) -> Column:
-        value, counted, carry = step(at, x)
-        # The value is a field first, so that it is worked out once.
-        put = F.transform(F.array(F.struct(value.alias("value"))), lambda v: F.struct(
-            *_welford(at, v["value"], counted), v["value"].alias("value"), *[c(v["value"]).alias(name) for name, c in zip(carried, carry)]))
-        return F.get(put, F.lit(0))
 
-    return let(F.aggregate(zipped, start, merge), lambda s: F.struct(s["n"].alias("n"), s["mean"].alias("mean"), s["m2"].alias("m2")))
+def array_moments(df: DataFrame, values: str, mask: str) -> Column:
+    """Moments of all unmasked entries of a column of arrays, in one pass."""
+    m = F.col(mask)
+    away = F.transform(F.col(values), lambda x: x - F.col("_pivot"))
+    rows = df.withColumn("_pivot", _pivot(df, F.get(values, F.lit(0)).cast("double")))
+    return _merged(rows.select("_pivot", array_sum(m).alias("n"), masked_sum(away, m).alias("d"), masked_sum(squares(away), m).alias("q")))
 
 
 def _whiten(x: Column, m: Column, shift_mean: bool = True) -> Column:
@@ -137,10 +116,10 @@ def masked_whiten(
 ) -> DataFrame:
     """Whiten token arrays with the mean and variance of all unmasked tokens of the table.
 
-    Each row's own mean and squares around it are merged to scalars in one pass, which every task then reads. ``moments``, where given,
-    has them for the table already.
+    Sums around a value of the table give them in one pass, as scalars, which every task then reads. ``moments``, where given, has them
+    already.
     """
-    m = _moments(df, array_moments(F.col(values), F.col(mask))) if moments is None else moments
+    m = array_moments(df, values, mask) if moments is None else moments
     return df.withColumn("_m", m).withColumn(out, F.transform(values, lambda x: _whiten(x, F.col("_m"), shift_mean))).drop("_m")
 
 
@@ -149,26 +128,19 @@ def adv_gae(
 ) -> DataFrame:
     """Columns ``advantage`` (whitened) and ``returns`` (raw advantage plus value).
 
-    The table's moments come from a fold of fixed state, so the arrays are worked out in Python once.
+    One Python step gives a row's array together with its moments; it runs once for the table's moments and once for the rows.
     """
-    def step(at, x):
-        value = x["r"] + gamma * at["following"] - x["v"] + gamma * lam * at["value"]
-        return value, x["m"] > 0, [lambda _: x["v"]]
-
-    each = _backward_moments({"r": F.col(rewards), "v": F.col(values).cast("array<double>"), "m": F.col(mask)}, ["following"], step)
-    raw = df.withColumn("_raw", gae_advantages(F.col(rewards), F.col(values), gamma, lam))
+    each = gae_with_moments(F.col(rewards), F.col(values), F.col(mask), gamma, lam)
+    raw = df.withColumn("_raw", each["values"])
     white = masked_whiten(raw, "_raw", mask, out="advantage", moments=_moments(df, each))
     returns = F.zip_with(F.col("_raw"), F.col(values), lambda a, v: a + v)
     return white.withColumn("returns", returns).drop("_raw")
 
 
 def adv_rfpp(df: DataFrame, rewards: str, mask: str, *, gamma: float) -> DataFrame:
-    """Columns ``advantage`` (whitened, masked discounted return) and ``returns``; Python works out the arrays once."""
-    def step(at, x):
-        return x["r"] + gamma * at["carry"], x["m"] > 0, [lambda value: value * x["m"]]
-
-    each = _backward_moments({"r": F.col(rewards), "m": F.col(mask)}, ["carry"], step)
-    raw = df.withColumn("returns", discounted_returns(F.col(rewards), F.col(mask), gamma))
+    """Columns ``advantage`` (whitened, masked discounted return) and ``returns``; Python as in adv_gae."""
+    each = returns_with_moments(F.col(rewards), F.col(mask), gamma)
+    raw = df.withColumn("returns", each["values"])
     white = masked_whiten(raw, "returns", mask, out="advantage", moments=_moments(df, each))
     return white.withColumn("advantage", F.zip_with("advantage", mask, lambda a, m: a * m))
 
