@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollmill.llm.staging import written
+
 #: A block is eight 64-bit words; a key sets one bit in each.
 WORDS = 8
 BITS_PER_KEY = 12
@@ -94,9 +96,9 @@ def mark_listed(
     The filter is sized by the number of listed keys and never over max_blocks rows of 72 bytes (9 MB at the default), so it may
     be broadcast at any list size; a list beyond that only lets more rows through to the exact join. Rows that the filter
     rules out are done without a shuffle. The exact join is on the key and a salt of the row, so a key with a third of all rows
-    is spread over tasks; the list, not the rows, is repeated. Null keys are never listed; repeated list entries count once.
+    is spread over tasks; the list, not the rows, is repeated. The list is written once to the shared folder. Null keys are never listed; repeated list entries count once.
     """
-    keys = listed.select(F.col(listed_col).alias("_key")).where(F.col("_key").isNotNull()).distinct()
+    keys = written(listed.select(F.col(listed_col).alias("_key")).where(F.col("_key").isNotNull()).distinct(), "listed")
     n = keys.count()
     n_blocks = max(1, min(max_blocks, -(-n * BITS_PER_KEY // (64 * WORDS))))
     blocks = bloom_blocks(keys, "_key", n_blocks)
@@ -108,7 +110,8 @@ def mark_listed(
     out = probed.where(~F.col("_possible")).drop("_possible").withColumn("listed", F.lit(False))
     salted = keys.select(F.col("_key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_listed_salt"))
     near = probed.where("_possible").drop("_possible").withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), salt_col), F.lit(SALTS)).cast("int"))
-    exact = near.join(salted, (F.col(key_col) == F.col("_key")) & (F.col("_salt") == F.col("_listed_salt")), "left")
+    # Nothing but the filter is broadcast, however small the list.
+    exact = near.join(salted.hint("shuffle_hash"), (F.col(key_col) == F.col("_key")) & (F.col("_salt") == F.col("_listed_salt")), "left")
     return out.unionByName(exact.withColumn("listed", F.col("_key").isNotNull()).drop("_key", "_salt", "_listed_salt"))
 
 
