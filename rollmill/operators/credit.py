@@ -18,7 +18,7 @@ from rollmill.functions.tokens import (
     returns_with_moments,
     squares,
 )
-from rollmill.operators.keyed import HOT_ROWS, attach_group_stats, running_sum, scalars
+from rollmill.operators.keyed import HOT_ROWS, attach_group_stats, running_sum
 
 
 def adv_grpo(
