@@ -251,11 +251,13 @@ def kl_controller(
     The controller multiplies its value by one factor per update, so the order of updates does not matter and
     a product gives the result with map-side combine, factors of zero or below included.
     """
+    return df.groupBy(*keys).agg(*kl_updates(kl, n_steps, init=init, target=target, horizon=horizon))
+
+
+def kl_updates(kl: str, n_steps: Column, *, init: float, target: float, horizon: float) -> list[Column]:
+    """The controller as aggregates: ``kl_coef`` after all updates of a group, and their number."""
     error = F.greatest(F.least(F.col(kl) / target - 1, F.lit(0.2)), F.lit(-0.2))
-    return df.groupBy(*keys).agg(
-        (F.lit(init) * F.product(1 + error * n_steps / horizon)).alias("kl_coef"),
-        F.count(F.lit(1)).alias("updates"),
-    )
+    return [(F.lit(init) * F.product(1 + error * n_steps / horizon)).alias("kl_coef"), F.count(F.lit(1)).alias("updates")]
 
 
 def kl_trajectory(

@@ -49,22 +49,81 @@ def _(spark, sf):
     return out.select(_text(F.col("window.start")).alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
-@query("stream_replay_dedup", views="hist", oracle="""
-SELECT run_id, metric, step, row_id, value FROM hist QUALIFY row_number() OVER (PARTITION BY run_id, metric, step ORDER BY created_at DESC, row_id DESC) = 1""")
-def _(spark, sf):
-    h = _stream(spark, sf, "orders").select(
+def _stretches(keys, source, time, key, gap, what):
+    """SQL: the rows of ``source`` in stretches without a silence of ``gap`` days, and ``what`` of those the watermark has passed."""
+    us = 86_400_000_000 * gap
+    order = f"PARTITION BY {keys} ORDER BY epoch_us({time}), {key}"
+    return f"""
+g AS (SELECT *, CASE WHEN epoch_us({time}) - lag(epoch_us({time})) OVER ({order}) < {us} THEN 0 ELSE 1 END AS new FROM {source}),
+s AS (SELECT *, sum(new) OVER ({order} ROWS UNBOUNDED PRECEDING) AS s FROM g),
+o AS (SELECT {keys}, s, strftime(min({time}), '%Y-%m-%d %H:%M:%S') AS since, {what} FROM s GROUP BY {keys}, s
+  HAVING epoch_us(max({time})) + {us} <= (SELECT (epoch_us(max({time})) // 1000 - 3600000) * 1000 FROM {source}))
+"""
+
+
+def _ended(stream, *columns):
+    return R.run_available(stream, [], "append").select(*columns[:-1], _text(F.col("since")).alias("since"), *columns[-1])
+
+
+def _history(spark, sf):
+    return _stream(spark, sf, "orders").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("run_id"), (F.col("o_custkey") % 400).cast("int").alias("step"),
-        F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("metric"), F.col("o_totalprice").alias("value"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"), F.col("o_orderpriority").alias("metric"), F.col("o_totalprice").alias("value"),
     )
+
+
+@query("stream_replay_dedup", views="hist", oracle="," + _stretches(
+    "run_id, metric, step", "hist", "created_at", "row_id", 300, "arg_max(row_id, (created_at, row_id)) AS row_id, arg_max(value, (created_at, row_id)) AS value"
+) + "SELECT run_id, metric, step, since, row_id, value FROM o")
+def _(spark, sf):
+    ends = R.Ending("created_at", "300 days")
+    last = R.replay_keep_last(_history(spark, sf), ["run_id", "metric", "step"], ["created_at", "row_id"], ["row_id", "value"], ends=ends)
+    return _ended(last, "run_id", "metric", "step", ["row_id", "value"])
+
+
+@query("stream_replay_keep_first", "WITH" + _stretches(
+    "user_id, event_type", "events", "ts", "event_id", 5, "arg_min(event_id, (ts, event_id)) AS event_id, arg_min(value, (ts, event_id)) AS value"
+) + "SELECT user_id, event_type, since, event_id, value FROM o")
+def _(spark, sf):
+    ends = R.Ending("time", "5 days")
+    first = R.replay_keep_first(_events(spark, sf), ["user_id", "event_type"], ["time", "event_id"], ["event_id", "value"], ends=ends)
+    return _ended(first, "user_id", "event_type", ["event_id", "value"])
+
+
+@query("stream_group_complete", "WITH" + _stretches(
+    "user_id, event_type", "events", "ts", "event_id", 5, "count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std"
+) + "SELECT user_id, event_type, since, n, mean, std FROM o WHERE n >= 4")
+def _(spark, sf):
+    groups = R.complete_groups(_events(spark, sf), ["user_id", "event_type"], "value", 4, ends=R.Ending("time", "5 days"))
+    return _ended(groups, "user_id", "event_type", ["n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")])
+
+
+@query("stream_adaptive_kl", "WITH" + _stretches(
+    "user_id", "events", "ts", "event_id", 1,
+    "round(0.2 * exp(sum(ln(1 + least(greatest(value / 250.0 - 1, -0.2), 0.2) * 8 / 10000.0))), 6) AS kl_coef, count(*) AS updates"
+) + "SELECT user_id, since, kl_coef, updates FROM o")
+def _(spark, sf):
+    runs = R.adaptive_kl(
+        _events(spark, sf), ["user_id"], "value", F.lit(8), init=0.2, target=250.0, horizon=10000.0, ends=R.Ending("time", "1 day")
+    )
+    return _ended(runs, "user_id", [F.round("kl_coef", 6).alias("kl_coef"), "updates"])
+
+
+# The same without an end, on request: state for the life of the stream, one small row per key.
+
+
+@query("stream_replay_dedup_open", views="hist", oracle="""
+SELECT run_id, metric, step, row_id, value FROM hist QUALIFY row_number() OVER (PARTITION BY run_id, metric, step ORDER BY created_at DESC, row_id DESC) = 1""")
+def _(spark, sf):
     keys = ["run_id", "metric", "step"]
-    return R.run_available(R.replay_keep_last(h, keys, ["created_at", "row_id"], ["row_id", "value"]), keys)
+    return R.run_available(R.replay_keep_last(_history(spark, sf), keys, ["created_at", "row_id"], ["row_id", "value"], ends=None), keys)
 
 
-@query("stream_replay_keep_first", """
+@query("stream_replay_keep_first_open", """
 SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""")
 def _(spark, sf):
     keys = ["user_id", "event_type"]
-    return R.run_available(R.replay_keep_first(_events(spark, sf), keys, ["time", "event_id"], ["event_id", "value"]), keys)
+    return R.run_available(R.replay_keep_first(_events(spark, sf), keys, ["time", "event_id"], ["event_id", "value"], ends=None), keys)
 
 
 @query("stream_replay_drop_repeats", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
@@ -73,10 +132,10 @@ def _(spark, sf):
     return R.run_available(first, [], "append").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_group_complete", """
+@query("stream_group_complete_open", """
 SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY ALL HAVING count(*) >= 8""")
 def _(spark, sf):
-    groups = R.complete_groups(_stream(spark, sf, "events"), ["user_id", "event_type"], "value", 8)
+    groups = R.complete_groups(_stream(spark, sf, "events"), ["user_id", "event_type"], "value", 8, ends=None)
     out = R.run_available(groups, ["user_id", "event_type"])
     return out.select("user_id", "event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
@@ -95,10 +154,10 @@ def _(spark, sf):
     return R.run_available(groups, [], "append").withColumns({"mean": F.round("mean", 6), "opened": _text(F.col("opened"))})
 
 
-@query("stream_adaptive_kl", """
+@query("stream_adaptive_kl_open", """
 SELECT event_type, round(0.2 * exp(sum(ln(1 + least(greatest(value / 250.0 - 1, -0.2), 0.2) * 8 / 10000.0))), 6) AS kl_coef, count(*) AS updates FROM events GROUP BY event_type""")
 def _(spark, sf):
-    agg = R.adaptive_kl(_stream(spark, sf, "events"), ["event_type"], "value", F.lit(8), init=0.2, target=250.0, horizon=10000.0)
+    agg = R.adaptive_kl(_stream(spark, sf, "events"), ["event_type"], "value", F.lit(8), init=0.2, target=250.0, horizon=10000.0, ends=None)
     return R.run_available(agg, ["event_type"]).select("event_type", F.round("kl_coef", 6).alias("kl_coef"), "updates")
 
 

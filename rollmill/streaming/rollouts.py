@@ -6,6 +6,7 @@ State is kept as aggregates, never as buffered rows, so it stays small per key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from rollmill.operators.credit import kl_controller
+from rollmill.operators.credit import kl_updates
 from rollmill.session import scratch_dir
 
 
@@ -38,16 +39,45 @@ def step_metrics(df: DataFrame, time: str, value: str, keys: Sequence[str], leng
     )
 
 
-def replay_keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+class Ending(NamedTuple):
+    """When a key is over: it had no row for ``silence`` of its event time, and the watermark has passed that.
+
+    A key then gives its row, once (append mode), and its state goes. Should it speak again later, that is a new stretch with a row
+    of its own, told apart by ``since``. Rows later than ``late`` are dropped; rows without a time belong to no stretch.
+    """
+
+    time: str
+    silence: str
+    late: str = "1 hour"
+
+    def watermarked(self, df: DataFrame) -> DataFrame:
+        return df.withWatermark(self.time, self.late)
+
+    def stretch(self) -> Column:
+        return F.session_window(self.time, self.silence).alias("stretch")
+
+
+def _per_key(df: DataFrame, keys: Sequence[str], ends: Ending | None, *aggregates: Column) -> DataFrame:
+    """Aggregates per key: of each stretch of activity once it is over, or, without ends, running ones kept for the life of the stream."""
+    if ends is None:
+        return df.groupBy(*keys).agg(*aggregates)
+    return ends.watermarked(df).groupBy(ends.stretch(), *keys).agg(*aggregates).withColumn("since", F.col("stretch.start")).drop("stretch")
+
+
+def _since(ends: Ending | None) -> list[str]:
+    return ["since"] if ends else []
+
+
+def replay_keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], *, ends: Ending | None) -> DataFrame:
     """The newest values per key over replayed steps, as a running maximum."""
-    last = F.max_by(F.struct(*values), F.struct(*order))
-    return df.groupBy(*keys).agg(last.alias("_last")).select(*keys, *[F.col("_last")[v].alias(v) for v in values])
+    last = F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
+    return _per_key(df, keys, ends, last).select(*keys, *_since(ends), *[F.col("_last")[v].alias(v) for v in values])
 
 
-def replay_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+def replay_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], *, ends: Ending | None) -> DataFrame:
     """The earliest values per key in ``order``, as a running minimum; the order in which rows arrive does not matter."""
-    first = F.min_by(F.struct(*values), F.struct(*order))
-    return df.groupBy(*keys).agg(first.alias("_first")).select(*keys, *[F.col("_first")[v].alias(v) for v in values])
+    first = F.min_by(F.struct(*values), F.struct(*order)).alias("_first")
+    return _per_key(df, keys, ends, first).select(*keys, *_since(ends), *[F.col("_first")[v].alias(v) for v in values])
 
 
 def replay_drop_repeats(df: DataFrame, time: str, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
@@ -55,10 +85,10 @@ def replay_drop_repeats(df: DataFrame, time: str, keys: Sequence[str], late: str
     return df.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def complete_groups(df: DataFrame, keys: Sequence[str], score: str, expected: int) -> DataFrame:
-    """Mean and deviation of each prompt group, once all expected responses have arrived."""
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std")
+def complete_groups(df: DataFrame, keys: Sequence[str], score: str, expected: int, *, ends: Ending | None) -> DataFrame:
+    """Mean and deviation of each prompt group that got all expected responses: when it is over, or, without ends, as soon as they are there."""
+    return _per_key(
+        df, keys, ends, F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std")
     ).where(F.col("n") >= expected)
 
 
@@ -135,8 +165,11 @@ def complete_groups_with_timer(
     return grouped.withColumn("opened", F.timestamp_micros("opened"))
 
 
-def adaptive_kl(df: DataFrame, keys: Sequence[str], kl: str, n_steps: Column, *, init: float, target: float, horizon: float) -> DataFrame:
-    return kl_controller(df, list(keys), kl, n_steps, init=init, target=target, horizon=horizon)
+def adaptive_kl(
+    df: DataFrame, keys: Sequence[str], kl: str, n_steps: Column, *, init: float, target: float, horizon: float, ends: Ending | None
+) -> DataFrame:
+    """The coefficient of each run after its updates: when the run is over, or, without ends, after each update."""
+    return _per_key(df, keys, ends, *kl_updates(kl, n_steps, init=init, target=target, horizon=horizon))
 
 
 def session_activity(df: DataFrame, time: str, keys: Sequence[str], gap: str, late: str = "1 hour") -> DataFrame:

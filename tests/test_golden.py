@@ -354,10 +354,10 @@ def test_stream_forms_do_not_depend_on_batches(spark, tmp_path):
     schema = _three_days(spark, f"{tmp_path}/in", rows)
     forms = {
         "update": [
-            lambda s: (R.replay_keep_first(s, ["g"], ["time", "k"], ["k", "x"]), ["g"]),
-            lambda s: (R.replay_keep_last(s, ["g"], ["time", "k"], ["k", "x"]), ["g"]),
-            lambda s: (R.complete_groups(s, ["g"], "x", 8), ["g"]),
-            lambda s: (R.adaptive_kl(s, ["g"], "x", F.lit(8), init=0.2, target=2.0, horizon=1000.0), ["g"]),
+            lambda s: (R.replay_keep_first(s, ["g"], ["time", "k"], ["k", "x"], ends=None), ["g"]),
+            lambda s: (R.replay_keep_last(s, ["g"], ["time", "k"], ["k", "x"], ends=None), ["g"]),
+            lambda s: (R.complete_groups(s, ["g"], "x", 8, ends=None), ["g"]),
+            lambda s: (R.adaptive_kl(s, ["g"], "x", F.lit(8), init=0.2, target=2.0, horizon=1000.0, ends=None), ["g"]),
             lambda s: (R.step_metrics(s, "time", "x", ["g"], "3 hours"), ["window", "g"]),
         ],
         "append": [lambda s: (R.session_activity(s, "time", ["g"], "2 hours"), []), lambda s: (R.replay_drop_repeats(s.select("time", "g"), "time", ["g"], "90 days").select("g"), [])],
