@@ -31,6 +31,7 @@ PHRASE_SOURCES = [
     "numina_aops_forum", "numina_synthetic_math", "numina_amc_aime", "numina_synthetic_amc", "numina_cn_k12",
     "numina_olympiads",
 ]
+CODE_SOURCES = ["codecontests", "apps", "codeforces", "taco"]
 GEOMETRY_SOURCES = ["hiyouga/geometry3k"]
 
 FRACTION = r"^-?[0-9]+.?/0*[1-9][0-9]*.?$"
@@ -52,11 +53,21 @@ def grade_boxed_equiv(response: Column, truth: Column) -> Column:
     return apply(bind(extract_boxed_sql("arg.r", space_form=True), "a", f"CASE WHEN {right} THEN 1D ELSE 0D END"), r=response, t=truth)
 
 
-def grade_minerva(response: Column, truth: Column, window: int = 300) -> Column:
-    """Struct (score, acc, pred); the rule looks for the answer line in the closing ``window`` characters."""
-    both = f"named_struct('pred', {final_answer_sql('arg.line')}, 'truth', {final_answer_sql('arg.t')})"
-    graded = """named_struct('score', CASE WHEN n.pred = n.truth THEN 1D ELSE -1D END, 'acc', n.pred = n.truth, 'pred', n.pred)"""
-    return apply(bind(both, "n", graded), line=extract_answer_line(F.right(response, F.lit(window))), t=truth)
+def grade_minerva(response: Column, truth: Column, window: int = 300, *, boxed_truth: bool = False, strict_box: bool = False) -> Column:
+    """Struct (score, acc, pred); the rule looks for the answer line in the closing ``window`` characters.
+
+    boxed_truth: the truth is the content of its last box; a truth without a box is never met. strict_box: the strict box rule
+    decides instead, within the same closing characters, and compares with the truth as it stands.
+    """
+    closing = F.right(response, F.lit(window))
+    if strict_box:
+        told = grade_strict_box(closing, truth)
+        return F.struct(told["score"].alias("score"), (told["score"] > 0).alias("acc"), told["pred"].alias("pred"))
+    wanted = bind(extract_boxed_sql("arg.t"), "tb", final_answer_sql("tb")) if boxed_truth else final_answer_sql("arg.t")
+    both = f"named_struct('pred', {final_answer_sql('arg.line')}, 'truth', {wanted})"
+    right = "coalesce(n.pred = n.truth, false)" if boxed_truth else "n.pred = n.truth"
+    graded = f"""named_struct('score', CASE WHEN n.pred = n.truth THEN 1D ELSE -1D END, 'acc', {right}, 'pred', n.pred)"""
+    return apply(bind(both, "n", graded), line=extract_answer_line(closing), t=truth)
 
 
 def grade_strict_box(response: Column, truth: Column, window: int = 100) -> Column:
@@ -159,16 +170,21 @@ def grade_format_think_boxed(response: Column, truth: Column) -> Column:
     return 0.9 * acc + 0.1 * fmt
 
 
-def grade_dispatch(source: Column, response: Column, truth: Column) -> Column:
+def grade_dispatch(source: Column, response: Column, truth: Column, tests: Column | None = None) -> Column:
     """Route each row to the rule of its data source; an unknown source is an error.
 
-    Only the branch that applies is evaluated, so rows pay for their own rule alone.
+    Only the branch that applies is evaluated, so rows pay for their own rule alone. ``tests`` is the share of test cases that a
+    row's program passed, found elsewhere (see ``grade_with_tests``); sources of code take it, and 0 where it is null. Without
+    ``tests`` they count as unknown: nothing is run here.
     """
+    code = source.isin(CODE_SOURCES) if tests is not None else F.lit(False)
+    passed = F.coalesce(tests, F.lit(0.0)) if tests is not None else F.lit(None).cast("double")
     return (
         F.when(source.isin(HASH_SOURCES), grade_exact(response, truth))
         .when(source.isin(BOXED_SOURCES), grade_boxed_equiv(response, truth))
         .when(source.isin(MINERVA_SOURCES) | source.startswith(MINERVA_PREFIX), grade_minerva(response, truth)["score"])
         .when(source.isin(PHRASE_SOURCES), grade_answer_phrase(response, truth))
+        .when(code, passed)
         .when(source.isin(GEOMETRY_SOURCES), grade_format_think_boxed(response, truth))
         .otherwise(F.raise_error(F.concat(F.lit("no grading rule for data source "), source)).cast("double"))
     )

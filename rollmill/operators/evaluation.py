@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollmill.functions.grading import grade_dispatch
 from rollmill.functions.tokens import array_sum, masked_sum, squares
 from rollmill.operators.keyed import (
     attach_group_stats,
@@ -321,6 +322,19 @@ def testcase_score(df: DataFrame, keys: Sequence[str], test: str, passed: str, f
     return df.groupBy(*keys).agg(F.when(every, 1.0).otherwise(share).alias("score"), F.count(F.lit(1)).alias("n_tests"))
 
 
+def grade_with_tests(
+    df: DataFrame, results: DataFrame, keys: Sequence[str], *, source: str, response: str, truth: str, test: str, passed: str, first: int = 10
+) -> DataFrame:
+    """``df`` with ``score`` by the rule of each row's data source; programs are scored by their test results.
+
+    ``results`` holds one row per key and test case. They are counted per key before they meet ``df`` (``testcase_score``), so a
+    program with many cases costs one row in the join. A program without results scores 0; a row with a null key has none.
+    """
+    tested = testcase_score(results, keys, test, passed, first).select(*keys, F.col("score").alias("_tests"))
+    joined = df.join(tested, list(keys), "left")
+    return joined.withColumn("score", grade_dispatch(F.col(source), F.col(response), F.col(truth), F.col("_tests"))).drop("_tests")
+
+
 def timing_metrics(sections: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
     """Seconds and milliseconds per token by section; ``gen`` counts response tokens, the rest all tokens."""
     totals = tokens.groupBy(key).agg(F.sum("prompt_tokens").alias("_p"), F.sum("response_tokens").alias("_r"))

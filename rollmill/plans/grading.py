@@ -10,6 +10,8 @@ from rollmill.functions import grading as G
 from rollmill.functions import normalize as N
 from rollmill.functions import registry as R
 from rollmill.functions import text as X
+from rollmill.operators import evaluation as E
+from rollmill.operators.keyed import positions
 from rollmill.operators.prep import HASH_INSTRUCTION
 from rollmill.plans.catalog import query
 from rollmill.views import boxed, docs, ev, qa, table
@@ -102,6 +104,24 @@ def _(spark, sf):
     return g.select("sample_id", "g.score", "g.acc", "g.pred")
 
 
+@query("grade_minerva_options", views="boxed", oracle=BOX + r"""
+, l AS (SELECT sample_id, ans, truth, coalesce(regexp_extract_all(right(response, 300), '(?i)Answer\s*:\s*([^\n]+)', 1)[-1], '[INVALID]') AS a FROM b),
+p AS (SELECT sample_id, ans, truth, replace(replace(replace(string_split(a, '=')[-1], ' ', ''), 'units', ''), '$', '') AS p,
+   regexp_replace(truth, 'frac([^{])(.)', 'frac{\1}{\2}', 'g') AS t FROM l)
+SELECT sample_id, sample_id % 3 <> 0 AND p = t AS boxed_acc, CASE WHEN sample_id % 3 <> 0 AND p = t THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS boxed_score,
+  coalesce(ans = truth, false) AS strict_acc, CASE WHEN ans = truth THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS strict_score, ans AS strict_pred FROM p""")
+def _(spark, sf):
+    wrapped = F.when(F.col("sample_id") % 3 == 0, F.col("truth")).otherwise(F.concat(F.lit("so \\boxed{0} or \\boxed{"), "truth", F.lit("}, done")))
+    g = boxed(spark, sf).select(
+        "sample_id", G.grade_minerva(F.col("response"), wrapped, boxed_truth=True).alias("b"),
+        G.grade_minerva(F.col("response"), F.col("truth"), strict_box=True).alias("s"),
+    )
+    return g.select(
+        "sample_id", F.col("b.acc").alias("boxed_acc"), F.col("b.score").alias("boxed_score"),
+        F.col("s.acc").alias("strict_acc"), F.col("s.score").alias("strict_score"), F.col("s.pred").alias("strict_pred"),
+    )
+
+
 @query("grade_strict_box", views="boxed", oracle=BOX + "SELECT sample_id, CASE WHEN ans = truth THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score, ans AS pred FROM b")
 def _(spark, sf):
     g = boxed(spark, sf).select("sample_id", G.grade_strict_box(F.col("response"), F.col("truth")).alias("g"))
@@ -203,6 +223,40 @@ def _(spark, sf):
     )
 
 
+# Every rule, code by given test results: the events of a user are the test cases of that user's question.
+ALL_RULES = ["openai/gsm8k", "lighteval/MATH", "aime2024", "numina_olympiads", "hiyouga/geometry3k", "codecontests"]
+EVERY_RULE = BOX + EQUIV + r"""
+, m AS (SELECT *, (k % 10)::DOUBLE AS v, try_cast(truth AS DOUBLE) AS g FROM b JOIN e USING (sample_id)),
+a AS (SELECT sample_id, replace(replace(replace(coalesce(regexp_extract_all(response, '(?i)Answer\s*:\s*([^\n]+)', 1)[-1], '[INVALID]'), ' ', ''), 'units', ''), '$', '') AS said,
+        regexp_replace(replace(truth, ' ', ''), 'frac([^{])(.)', 'frac{\1}{\2}', 'g') AS want FROM boxed),
+r AS (SELECT user_id // 2 AS question_idx, row_number() OVER (PARTITION BY user_id // 2 ORDER BY event_id) - 1 AS test_id, event_type <> 'error' AND value > 5 AS passed FROM events WHERE user_id % 10 > 1),
+c AS (SELECT question_idx, CASE WHEN bool_and(passed) THEN 1.0::DOUBLE ELSE count(*) FILTER (test_id < 10 AND passed) / greatest(count(*) FILTER (test_id < 10), 1) END AS share FROM r GROUP BY question_idx)
+SELECT sample_id, round(CASE sample_id % 6 WHEN 0 THEN CASE WHEN truth = (k % 10)::VARCHAR THEN 1.0::DOUBLE ELSE 0 END
+  WHEN 1 THEN CASE WHEN p = t THEN 1.0::DOUBLE ELSE 0 END
+  WHEN 2 THEN CASE WHEN said = want THEN 1.0::DOUBLE ELSE -1 END
+  WHEN 3 THEN CASE WHEN v = g OR abs(v - g / 100) <= 1e-4 * greatest(v, g / 100) OR abs(v - g * 100) <= 1e-4 * greatest(v, g * 100) THEN 1.0::DOUBLE ELSE 0 END
+  WHEN 4 THEN 0.9 * CASE WHEN p = t THEN 1.0::DOUBLE ELSE 0 END + 0.1 * CASE WHEN regexp_full_match(response, '(?s)<think>.*</think>.*\\boxed\{.*\}.*') THEN 1.0::DOUBLE ELSE 0 END
+  ELSE coalesce(share, 0) END, 6) AS score FROM m JOIN a USING (sample_id) LEFT JOIN c USING (question_idx)"""
+
+
+@query("grade_dispatch_every_rule", views="boxed", oracle=EVERY_RULE)
+def _(spark, sf):
+    form, said = F.col("sample_id") % 6, (F.col("k") % 10).cast("string")
+    rows = boxed(spark, sf).withColumns({
+        "data_source": F.get(F.array(*map(F.lit, ALL_RULES)), form.cast("int")),
+        "response": F.when(form == 0, F.concat("response", F.lit("\n#### "), said))
+        .when(form == 3, F.concat(F.lit("We add. The Answer is x = "), said)).otherwise(F.col("response")),
+    })
+    e = table(spark, sf, "events").where("user_id % 10 > 1").select(
+        F.expr("user_id div 2").alias("question_idx"), "event_id", ((F.col("event_type") != "error") & (F.col("value") > 5)).alias("passed")
+    )
+    tests = positions(e, "event_id", "test_id", ["question_idx"])
+    graded = E.grade_with_tests(
+        rows, tests, ["question_idx"], source="data_source", response="response", truth="truth", test="test_id", passed="passed"
+    )
+    return graded.select("sample_id", F.round("score", 6).alias("score"))
+
+
 def _marker_score(data_source, solution, truth, extra):
     return pd.Series([float(s.split("#### ")[-1] == str(t)) if "#### " in s else 0.0 for s, t in zip(solution, truth)])
 

@@ -50,11 +50,11 @@ def _(spark, sf):
 
 
 def _stretches(keys, source, time, key, gap, what):
-    """SQL: the rows of ``source`` in stretches without a silence of ``gap`` days, and ``what`` of those the watermark has passed."""
+    """SQL: the rows of ``source`` in stretches without a silence of more than ``gap`` days, and ``what`` of those the watermark has passed."""
     us = 86_400_000_000 * gap
     order = f"PARTITION BY {keys} ORDER BY epoch_us({time}), {key}"
     return f"""
-g AS (SELECT *, CASE WHEN epoch_us({time}) - lag(epoch_us({time})) OVER ({order}) < {us} THEN 0 ELSE 1 END AS new FROM {source}),
+g AS (SELECT *, CASE WHEN epoch_us({time}) - lag(epoch_us({time})) OVER ({order}) <= {us} THEN 0 ELSE 1 END AS new FROM {source}),
 s AS (SELECT *, sum(new) OVER ({order} ROWS UNBOUNDED PRECEDING) AS s FROM g),
 o AS (SELECT {keys}, s, strftime(min({time}), '%Y-%m-%d %H:%M:%S') AS since, {what} FROM s GROUP BY {keys}, s
   HAVING epoch_us(max({time})) + {us} <= (SELECT (epoch_us(max({time})) // 1000 - 3600000) * 1000 FROM {source}))

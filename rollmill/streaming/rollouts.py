@@ -40,7 +40,7 @@ def step_metrics(df: DataFrame, time: str, value: str, keys: Sequence[str], leng
 
 
 class Ending(NamedTuple):
-    """When a key is over: it had no row for ``silence`` of its event time, and the watermark has passed that.
+    """When a key is over: it had no row for longer than ``silence`` of its event time, and the watermark has passed that.
 
     A key then gives its row, once (append mode), and its state goes. Should it speak again later, that is a new stretch with a row
     of its own, told apart by ``since``. Rows later than ``late`` are dropped; rows without a time belong to no stretch.
