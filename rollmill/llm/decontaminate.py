@@ -11,11 +11,10 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from rollmill.llm.arrays import ALNUM, LOWER, ragged, slices, text_bytes, word_hashes, words_of
+from rollmill.llm.arrays import ALNUM, LOWER, distinct, ragged, slices, text_bytes, word_hashes, words_of
 from rollmill.llm.staging import quoted, schema_of
 
-DEPTH = 4  # words in a sort key, 16 bits each
-MEETINGS = 1 << 20  # places and suffixes with a common key that are compared at a time, about
+MEETINGS = 1 << 20  # places and suffixes that match and are looked at together, about
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _WORD = ALNUM
 
@@ -27,49 +26,98 @@ def lowered_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np
     return word_hashes(data, starts, ends), first
 
 
-def sort_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word: a key that orders the suffix starting there by its first DEPTH words, and the end of its text."""
-    code = np.maximum(hashes >> np.uint64(48), np.uint64(1))
-    end = np.repeat(first[1:], np.diff(first))
-    at = np.arange(len(hashes))
-    key = code << np.uint64(48)
-    for j in range(1, min(DEPTH, len(code))):
-        inside = at[:-j] + j < end[:-j]
-        key[:-j] |= np.where(inside, code[j:], np.uint64(0)) << np.uint64(16 * (DEPTH - 1 - j))
-    return key, end
+def suffix_order(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """All places in the order of the words from there to the end of their text. Equal suffixes, of different texts, stand together.
 
+    codes: the texts one after the other, words as positive numbers, each text closed by a 0; first: where each begins. Places are
+    ordered by as many words as fit a key; those that tie are ordered by the rank of what follows, over twice as many words each
+    time, until no two differ that are still together. Only tied places are sorted again.
+    """
+    n = len(codes)
+    left = np.repeat(first[1:], np.diff(first)) - 1 - np.arange(n)  # words up to the end of the text
+    bits = int(codes.max(initial=1)).bit_length()
+    known = max(1, 62 // bits)
+    key = codes.copy()
+    for j in range(1, known):
+        key <<= bits
+        behind = max(n - j, 0)
+        key[:behind] |= np.where(left[:behind] >= j, codes[j:], 0)
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.ones(n, bool)
+    fresh[1:] = key[1:] != key[:-1]
+    del key
+    head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))  # of each slot: where its tied places begin
+    rank = np.empty(n, np.int64)
+    rank[order] = head
+    slots = np.arange(n)
+    while True:
+        alone = fresh & np.append(fresh[1:], True)
+        tied = ~alone & (left[order[slots]] >= known)  # places that share their end are equal
+        slots = slots[tied]
+        if not len(slots):
+            return order
+        places = order[slots]
+        key = rank[places] * n + rank[places + known]
+        sort = np.argsort(key)
+        key, places = key[sort], places[sort]
+        order[slots] = places
+        fresh = np.ones(len(slots), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        rank[places] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
+        known *= 2
 
-class Shard(NamedTuple):
-    """Word hashes of some texts and their suffix array.
 
-    Suffixes are ordered by their first DEPTH words (as 16-bit codes); a search narrows the range it needs by comparing whole
-    words there, so ties deeper down are settled only where a test suffix meets them.
-    """
+class Shard(NamedTuple):
+    """The words of some texts as codes, and their suffix array."""
 
-    hashes: np.ndarray
-    first: np.ndarray
-    end: np.ndarray
+    vocabulary: np.ndarray  # hashes of the distinct words, in order; a word's code is its number here, from 1
+    codes: np.ndarray  # all texts, each closed by a 0
+    first: np.ndarray  # where each text begins, and the end
     order: np.ndarray
-    keys: np.ndarray
+    opens: np.ndarray  # of each code: the first slot in the order whose place begins with it
 
     @classmethod
     def of(cls, offsets: np.ndarray, data: np.ndarray) -> Shard:
-        hashes, first = lowered_words(offsets, data)
-        key, end = sort_keys(hashes, first)
-        order = np.argsort(key)
-        return cls(hashes, first, end, order, key[order])
+        hashes, start = lowered_words(offsets, data)
+        vocabulary = distinct(hashes)
+        first = start + np.arange(len(start))
+        codes = np.zeros(int(first[-1]), np.int64)
+        inside = np.ones(len(codes), bool)
+        inside[first[1:] - 1] = False
+        codes[inside] = np.searchsorted(vocabulary, hashes) + 1
+        counts = np.bincount(codes, minlength=len(vocabulary) + 1)
+        return cls(vocabulary, codes, first, suffix_order(codes, first), np.concatenate([[0], np.cumsum(counts)]))
+
+    def codes_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Codes of words that may not stand in the texts (-1)."""
+        if not len(self.vocabulary):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at + 1, -1)
+
+    def bound(self, lo: np.ndarray, hi: np.ndarray, depth: int, code: np.ndarray) -> np.ndarray:
+        """By bisection: the first slot in [lo, hi), whose suffixes share ``depth`` words, with at least that code behind them."""
+        lo, hi = lo.copy(), hi.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            below = self.codes[self.order[mid] + depth] < code[open_]
+            lo[open_[below]] = mid[below] + 1
+            hi[open_[~below]] = mid[~below]
+            open_ = open_[lo[open_] < hi[open_]]
+        return lo
 
 
 class Items(NamedTuple):
-    """Test items as one array of word hashes with the suffixes that can open a window."""
+    """Test items as one array of word hashes with the suffixes that can hold a window."""
 
     hashes: np.ndarray
     starts: np.ndarray  # positions of the suffixes to search
     item: np.ndarray  # of each suffix: the item's number in names
     window: np.ndarray  # of each suffix: words that must match
     left: np.ndarray  # of each suffix: its words up to the item's end
-    low: np.ndarray
-    high: np.ndarray  # the range of sort keys
+    opening: np.ndarray  # of each suffix: whether it is the whole item
     names: list[str]
 
     @classmethod
@@ -80,15 +128,10 @@ class Items(NamedTuple):
         opened = np.where(n > 0, n - size + 1, 0)
         starts = ragged(first[:-1], opened)
         item = np.repeat(np.arange(len(n)), opened)
-        key, _ = sort_keys(hashes, first)
-        width = size[item]
-        free = np.maximum(DEPTH - width, 0).astype(np.uint64) * np.uint64(16)
-        mask = (np.uint64(1) << free) - np.uint64(1)
-        low = key[starts] & ~mask
         names = sorted(set(ids))
         number = {name: i for i, name in enumerate(names)}
-        return cls(hashes, starts, np.array([number[i] for i in ids], np.int64)[item] if len(ids) else item, width, first[1:][item] - starts,
-                   low, low | mask, names)
+        return cls(hashes, starts, np.array([number[i] for i in ids], np.int64)[item] if len(ids) else item, size[item],
+                   first[1:][item] - starts, starts == first[:-1][item], names)
 
 
 def each_block(blocks: list[Broadcast]) -> Iterator[Items]:
@@ -99,37 +142,62 @@ def each_block(blocks: list[Broadcast]) -> Iterator[Items]:
             vars(block).pop("_value", None)
 
 
-def search(shard: Shard, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All places where a window of an item begins: position in the shard, suffix number, words matched from there (the longest).
+class Met(NamedTuple):
+    """Places where windows of items begin: place, suffix, and the words matched from there.
+
+    ``length`` is the longest match where it can't be extended to the left. Elsewhere it is 0: the match that begins one word before
+    is longer, so following each of them to its end would only cost the square of a long match.
+    """
+
+    place: np.ndarray
+    suffix: np.ndarray
+    length: np.ndarray
+
 
-    They come in pieces, so items that open with the same words as each other and as many places in the shard need no more memory.
+def search(shard: Shard, items: Items) -> Iterator[Met]:
+    """All places where a window of an item begins. Every suffix of every item is looked up in the suffix array by bisection, one word
+    further each time, until its window is matched or the range is empty. (The last suffixes of an item, too short for a window, are left out.)
+
+    Places come in pieces, so items that open with the same words as each other and as many places in the shard need no more memory.
     """
-    lo = np.searchsorted(shard.keys, items.low, "left")
-    hi = np.searchsorted(shard.keys, items.high, "right")
-    some = np.flatnonzero(hi > lo)
-    met = np.cumsum(hi[some] - lo[some]) // MEETINGS
-    for part in np.split(some, np.flatnonzero(np.diff(met)) + 1):
+    codes = shard.codes_of(items.hashes)
+    some = np.flatnonzero(codes[items.starts] > 0)
+    lo, hi = (shard.opens[codes[items.starts[some]] + k] for k in (0, 1))
+    depth = 1
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(some):
+        done = items.window[some] <= depth
+        found.append((some[done], lo[done], hi[done]))
+        some, lo, hi = some[~done], lo[~done], hi[~done]
+        code = codes[items.starts[some] + depth]
+        going = code > 0
+        some, lo, hi, code = some[going], lo[going], hi[going], code[going]
+        lo, hi = shard.bound(lo, hi, depth, code), shard.bound(lo, hi, depth, code + 1)
+        going = lo < hi
+        some, lo, hi = some[going], lo[going], hi[going]
+        depth += 1
+    if not found:
+        return
+    some, lo, hi = (np.concatenate(x) for x in zip(*found))
+    met = np.cumsum(hi - lo) // MEETINGS
+    for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(met)) + 1):
         if len(part):
-            yield _matches(shard, items, part, lo[part], hi[part])
+            yield _followed(shard, items, codes, some[part], lo[part], hi[part])
 
 
-def _matches(shard: Shard, items: Items, suffixes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _followed(shard: Shard, items: Items, codes: np.ndarray, suffixes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Met:
     suffix = np.repeat(suffixes, hi - lo)
     place = shard.order[ragged(lo, hi - lo)]
-    fits = shard.end[place] - place >= items.window[suffix]
-    place, suffix = place[fits], suffix[fits]
-    length = np.zeros(len(place), np.int64)
-    active = np.arange(len(place))
-    most = np.minimum(shard.end[place] - place, items.left[suffix])
-    depth = 0
+    start = items.starts[suffix]
+    leading = items.opening[suffix] | (place == 0) | (shard.codes[place - 1] != codes[start - 1])
+    length = np.where(leading, items.window[suffix], 0)
+    active = np.flatnonzero(leading & (items.left[suffix] > length))
     while len(active):
-        same = shard.hashes[place[active] + depth] == items.hashes[items.starts[suffix[active]] + depth]
-        active = active[same]
-        depth += 1
-        length[active] = depth
-        active = active[most[active] > depth]
-    found = length >= items.window[suffix]
-    return place[found], suffix[found], length[found]
+        depth = length[active]
+        active = active[shard.codes[place[active] + depth] == codes[start[active] + depth]]
+        length[active] += 1
+        active = active[items.left[suffix[active]] > length[active]]
+    return Met(place, suffix, length)
 
 
 SCHEMA = ("n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, "
@@ -144,11 +212,11 @@ def find_contamination(
 
     Words are lower-cased (A-Z) runs of a-z, 0-9 and non-ASCII characters. A window is ``window`` consecutive words of an item; an
     item of fewer words, but not none, is one window. Documents are cut into shards of about shard_bytes of text (whole texts); a
-    shard's suffix array is searched by bisection for every suffix of every item that opens a window.
+    shard's suffix array, of whole suffixes, is searched by bisection for every suffix of every item that can hold a window.
 
     Columns: id, n_words, n_hit (words inside any occurrence), n_items, items (distinct ids as strings, sorted), items_sha256 (of
     the comma-joined ids), contaminated (n_hit > 0 and n_hit >= share * n_words), longest_match (words; 0 without a hit),
-    longest_at (its first word, from 0; the first such place) and longest_item.
+    longest_at (its first word, from 0; the first such place) and longest_item (of several there the least id, as a string).
 
     The items pass through the driver in blocks of about block_words words. Each is sent to the executors by itself, kept there on
     disk where memory is short, and read and searched in turn for every shard, so neither the driver nor a Python worker holds more
@@ -177,33 +245,31 @@ def find_contamination(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, shard_bytes):
             shard = Shard.of(*text_bytes(part.column(1)))
-            n, total = part.num_rows, len(shard.hashes)
+            n, total = part.num_rows, len(shard.codes)
             depth = np.zeros(total + 1, np.int64)
             met: list[set[str]] = [set() for _ in range(n)]
-            best = [(0, 0, "")] * n
+            best = [(0, 0, "")] * n  # minus the length, place, item: the least is wanted
             for known in each_block(blocks):
                 for place, suffix, length in search(shard, known):
                     width = known.window[suffix]
                     depth += np.bincount(place, minlength=total + 1) - np.bincount(place + width, minlength=total + 1)
                     doc = np.searchsorted(shard.first, place, "right") - 1
-                    pairs = np.unique(np.stack([doc, known.item[suffix]]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
-                    for d, i in pairs.T.tolist():
-                        met[d].add(known.names[i])
-                    order = np.lexsort((place, -length, doc))
-                    lead = order[np.unique(doc[order], return_index=True)[1]]
-                    for k in lead.tolist():
+                    item = known.item[suffix]
+                    for k in distinct(doc * len(known.names) + item).tolist():
+                        met[k // len(known.names)].add(known.names[k % len(known.names)])
+                    whole = np.flatnonzero(length)
+                    order = whole[np.lexsort((item[whole], place[whole], -length[whole], doc[whole]))]
+                    for k in order[np.unique(doc[order], return_index=True)[1]].tolist():
                         d = int(doc[k])
-                        at = int(place[k] - shard.first[d])
-                        if (length[k], -at) > (best[d][0], -best[d][1]):
-                            best[d] = (int(length[k]), at, known.names[known.item[suffix[k]]])
+                        best[d] = min(best[d], (-int(length[k]), int(place[k] - shard.first[d]), known.names[item[k]]))
             hit = np.concatenate([[0], np.cumsum(np.cumsum(depth[:total]) > 0)])
             n_hit = hit[shard.first[1:]] - hit[shard.first[:-1]]
-            n_words = np.diff(shard.first)
+            n_words = np.diff(shard.first) - 1
             listed = [sorted(m) for m in met]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(m) for m in met], pa.int64()),
                  pa.array(listed, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(m).encode()).hexdigest() for m in listed], pa.string()),
-                 pa.array((n_hit > 0) & (per_words * n_hit >= n_words)), pa.array([b[0] for b in best], pa.int64()),
+                 pa.array((n_hit > 0) & (per_words * n_hit >= n_words)), pa.array([-b[0] for b in best], pa.int64()),
                  pa.array([b[1] if b[0] else None for b in best], pa.int64()), pa.array([b[2] if b[0] else None for b in best], pa.string())],
                 [id_col, *(x.split()[0] for x in SCHEMA.split(", "))],
             )
