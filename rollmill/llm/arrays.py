@@ -76,13 +76,14 @@ class Powers:
 
 
 _POWERS = Powers(0x27BB2EE687B0B0FD)
+_OTHER_POWERS = Powers(0x9FB21C651E98DF25)
 
 
 class Spans:
     """64-bit hashes of the spans of a sequence of codes: equal spans hash alike wherever they stand."""
 
-    def __init__(self, codes: np.ndarray) -> None:
-        up, self.down = _POWERS.to(len(codes) + 1)
+    def __init__(self, codes: np.ndarray, powers: Powers = _POWERS) -> None:
+        up, self.down = powers.to(len(codes) + 1)
         self.total = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(codes * up[: len(codes)], dtype=np.uint64, out=self.total[1:])
 
@@ -95,6 +96,11 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return Spans(codes).hashes(starts, ends)
 
 
+def other_span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the same spans with another base, over codes mixed anew: with span_hashes, 128 bits."""
+    return Spans(mix(codes ^ _STEP), _OTHER_POWERS).hashes(starts, ends)
+
+
 def words_of(offsets: np.ndarray, data: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words (runs of word bytes within one text) and the index of the first word of each text."""
     n = len(data)

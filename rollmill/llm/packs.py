@@ -1,4 +1,4 @@
-"""Packs of documents and the exchange of 64-bit keys between them, shared by the operators that look for repeated passages.
+"""Packs of documents and the exchange of 64-bit or 128-bit keys between them, shared by the operators that look for repeated passages.
 
 A pack is one row that holds some documents (a bounded number of bytes, or one document), so that tasks work on flat arrays. Packs
 are written once, bucketed by their number: later passes join what they learnt about a pack without moving its texts.
@@ -98,13 +98,16 @@ def _dealt(keys: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(n_parts + 1))
 
 
-def sent(pack_no: int, keys: np.ndarray, n_parts: int, width: int) -> pa.RecordBatch | None:
-    """Rows (pack, part, keys) for a pack's distinct sorted keys, of which the low ``width`` bytes travel."""
+def sent(pack_no: int, keys: np.ndarray, n_parts: int, width: int, more: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """Rows (pack, part, keys) for a pack's distinct sorted keys, of which the low ``width`` bytes travel.
+
+    With ``more``, the second halves of keys of 128 bits, all 16 bytes do; keys are sorted by their first halves then.
+    """
     order, bounds = _dealt(keys, n_parts)
     used = np.flatnonzero(np.diff(bounds))
     if not len(used):
         return None
-    low = keys[order].astype(f"<u{width}")
+    low = keys[order].astype(f"<u{width}") if more is None else np.stack([keys[order], more[order]], axis=1).astype("<u8")
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(used), pack_no)), pa.array(used, pa.int32()), pa.array([low[bounds[p] : bounds[p + 1]].tobytes() for p in used], pa.binary())],
         ["pack", "part", "keys"],
@@ -125,6 +128,45 @@ def answered(keys: np.ndarray, n_parts: int, answers: list[dict] | None) -> np.n
     return out
 
 
+def pair_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """An order in which equal keys of two halves stand together. First halves decide unless some clash."""
+    order = np.argsort(first)
+    a, b = first[order], second[order]
+    clash = (a[1:] == a[:-1]) & (b[1:] != b[:-1])
+    return np.lexsort((second, first)) if clash.any() else order
+
+
+def distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys of two halves: one place of each distinct key, which of them each key is, and how often each occurs."""
+    order = pair_order(first, second)
+    a, b = first[order], second[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    number = np.cumsum(fresh) - 1
+    back = np.empty(len(order), np.int64)
+    back[order] = number
+    return order[fresh], back, np.bincount(number, minlength=int(fresh.sum()))
+
+
+def _shared_pairs(got: list[np.ndarray]) -> list[np.ndarray]:
+    """For the keys of several packs (n x 2, distinct within a pack): which of each another pack holds."""
+    everything = np.concatenate(got)
+    _, back, count = distinct_pairs(everything[:, 0], everything[:, 1])
+    return np.split(count[back] > 1, np.cumsum([len(k) for k in got])[:-1])
+
+
+def _shared(got: list[np.ndarray]) -> Iterator[np.ndarray]:
+    everything = np.concatenate(got)
+    everything.sort()
+    twice = distinct(everything[1:][everything[1:] == everything[:-1]])
+    for keys in got:
+        at = np.searchsorted(twice, keys)
+        hit = np.zeros(len(keys), bool)
+        inside = at < len(twice)
+        hit[inside] = twice[at[inside]] == keys[inside]
+        yield hit
+
+
 def shared_keys(rows: DataFrame, n_parts: int, width: int) -> DataFrame:
     """For rows (pack, part, keys): per pack, the answers (part, bits) which of its keys another pack has sent too."""
 
@@ -132,18 +174,12 @@ def shared_keys(rows: DataFrame, n_parts: int, width: int) -> DataFrame:
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
         for batch in batches:
             for pack_no, part, keys in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(part, []).append((pack_no, np.frombuffer(keys, f"<u{width}")))
+                flat = np.frombuffer(keys, f"<u{min(width, 8)}")
+                held.setdefault(part, []).append((pack_no, flat.reshape(-1, 2) if width == 16 else flat))
         while held:
             part, got = held.popitem()
-            everything = np.concatenate([k for _, k in got])
-            everything.sort()
-            twice = distinct(everything[1:][everything[1:] == everything[:-1]])
             packs, bits = [], []
-            for pack_no, keys in got:
-                at = np.searchsorted(twice, keys)
-                hit = np.zeros(len(keys), bool)
-                inside = at < len(twice)
-                hit[inside] = twice[at[inside]] == keys[inside]
+            for (pack_no, _), hit in zip(got, (_shared_pairs if width == 16 else _shared)([k for _, k in got])):
                 if hit.any():
                     packs.append(pack_no)
                     bits.append(np.packbits(hit).tobytes())

@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rollmill.llm.arrays import NOT_SPACE, covered, distinct, ragged, span_hashes, word_hashes, words_of
-from rollmill.llm.packs import SENT, answered, each_pack, pack, parts_for, per_pack, sent, shared_keys, with_answers
+from rollmill.llm.arrays import NOT_SPACE, covered, distinct, other_span_hashes, ragged, span_hashes, word_hashes, words_of
+from rollmill.llm.packs import SENT, answered, distinct_pairs, each_pack, pack, parts_for, per_pack, sent, shared_keys, with_answers
 from rollmill.llm.staging import schema_of, shuffle_parts, written
 
 
@@ -53,8 +53,9 @@ class Passages:
         # The reach may run over into the text before, whose own windows end earlier.
         return near[near <= self.last[np.searchsorted(self.first, near, "right") - 1]]
 
-    def window_keys(self, starts: np.ndarray) -> np.ndarray:
-        return span_hashes(self.codes, starts, starts + self.window)
+    def window_keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the windows' keys."""
+        return span_hashes(self.codes, starts, starts + self.window), other_span_hashes(self.codes, starts, starts + self.window)
 
 
 def _here(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,8 +72,8 @@ def remove_repeats(
     Words are runs without ASCII white space, unchanged; windows lie in one document, may recur in the same document, and are
     judged on the input. Any two equal windows share an anchor (window - period + 1 words) at one shift below the period at which
     both places fall on residues of a difference cover, so only those positions are hashed and exchanged. A recurring anchor then
-    extends: all windows that hold one are hashed in full and exchanged, and the recurring ones mark their words. Word sequences
-    are compared by 64-bit hashes.
+    extends: all windows that hold one are hashed in full and exchanged, and the recurring ones mark their words. Windows are
+    compared by 128 bits; anchors, which only find candidates, by 32 bits and their part.
 
     Columns: id, n_words, n_removed, kept_sha256 (kept words joined by one space), removed (runs of words: start, end) and on
     request kept_text: the text as it was between the removed runs, the parts joined by one space.
@@ -103,7 +104,9 @@ def remove_repeats(
         for batch in batches:
             for number, _, offsets, data, got in each_pack(batch):
                 p = Passages(offsets, data, window, period, cover)
-                rows = sent(number, distinct(p.window_keys(windows(p, got["anchors"]))), window_parts, 8)
+                first, second = p.window_keys(windows(p, got["anchors"]))
+                known = distinct_pairs(first, second)[0]
+                rows = sent(number, first[known], window_parts, 16, second[known])
                 if rows is not None:
                     yield rows
 
@@ -112,13 +115,14 @@ def remove_repeats(
             for _, ids, offsets, data, got in each_pack(batch):
                 p = Passages(offsets, data, window, period, cover)
                 starts = windows(p, got["anchors"])
-                known, back, twice = _here(p.window_keys(starts))
-                hit = starts[(twice | answered(known, window_parts, got["windows"]))[back]]
+                first, second = p.window_keys(starts)
+                known, back, count = distinct_pairs(first, second)
+                hit = starts[((count > 1) | answered(first[known], window_parts, got["windows"]))[back]]
                 yield _outcome(ids, offsets, data, p, covered(hit, window, len(p.codes)), id_col, with_text)
 
     anchors = written(per_pack(shared_keys(packs.mapInArrow(anchor_rows, SENT), anchor_parts, 4), "anchors"), "anchors")
     rows = with_answers(packs, anchors).mapInArrow(window_rows, SENT)
-    found = per_pack(shared_keys(rows, window_parts, 8), "windows")
+    found = per_pack(shared_keys(rows, window_parts, 16), "windows")
     schema = "n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long, end:long>>" + (", kept_text string" if with_text else "")
     return with_answers(packs, anchors, found).mapInArrow(cut, schema_of(id_col, docs.schema[id_col].dataType, schema))
 
