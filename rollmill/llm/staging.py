@@ -20,10 +20,10 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, compression: str = "zstd") -> DataFrame:
     """The table written to the shared folder and read again: its work is done once, and a lost executor costs a re-read only."""
     path = shared_path(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -88,6 +88,22 @@ def bloom_blocks(keys: DataFrame, key: str, n_blocks: int) -> DataFrame:
     )
 
 
+def _probed(rows: DataFrame, key_col: str, keys: DataFrame, key: str, n: int, max_blocks: int) -> tuple[DataFrame, Column]:
+    """The rows with the block of a filter of n keys that is theirs, and whether it may hold their key."""
+    n_blocks = max(1, min(max_blocks, -(-n * BITS_PER_KEY // (64 * WORDS))))
+    blocks = bloom_blocks(keys, key, n_blocks)
+    met = F.lit(True)
+    for i, b in enumerate(_bits(F.col(key_col))):
+        met = met & (F.col(f"w{i}").bitwiseAND(b) != 0)
+    return rows.withColumn("block", F.pmod(F.xxhash64(key_col), F.lit(n_blocks))).join(F.broadcast(blocks), "block", "left"), met
+
+
+def possibly_listed(rows: DataFrame, keys: DataFrame, key: str, n: int, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """The rows whose key is one of n, and few others. A column of the same name and type in both tables; no shuffle of the rows."""
+    probed, met = _probed(rows, key, keys, key, n, max_blocks)
+    return probed.where(met).select(*rows.columns)
+
+
 def mark_listed(
     rows: DataFrame, listed: DataFrame, *, key_col: str, listed_col: str, salt_col: str, max_blocks: int = MAX_BLOCKS,
 ) -> DataFrame:
@@ -100,12 +116,7 @@ def mark_listed(
     """
     keys = written(listed.select(F.col(listed_col).alias("_key")).where(F.col("_key").isNotNull()).distinct(), "listed")
     n = keys.count()
-    n_blocks = max(1, min(max_blocks, -(-n * BITS_PER_KEY // (64 * WORDS))))
-    blocks = bloom_blocks(keys, "_key", n_blocks)
-    met = F.lit(True)
-    for i, b in enumerate(_bits(F.col(key_col))):
-        met = met & (F.col(f"w{i}").bitwiseAND(b) != 0)
-    probed = rows.withColumn("block", F.pmod(F.xxhash64(key_col), F.lit(n_blocks))).join(F.broadcast(blocks), "block", "left")
+    probed, met = _probed(rows, key_col, keys, "_key", n, max_blocks)
     probed = probed.withColumn("_possible", F.coalesce(met & F.col(key_col).isNotNull(), F.lit(False))).drop("block", *[f"w{i}" for i in range(WORDS)])
     out = probed.where(~F.col("_possible")).drop("_possible").withColumn("listed", F.lit(False))
     salted = keys.select(F.col("_key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_listed_salt"))

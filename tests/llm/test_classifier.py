@@ -65,3 +65,36 @@ def test_scores_equal_a_plain_forward_pass(spark, corpus):
         assert got[i]["score"] == pytest.approx(score, abs=1e-4)
         limit = model.thresholds.get(["en", "de", None][i % 3], model.threshold)
         assert got[i]["flagged"] == (got[i]["score"] >= limit)
+
+
+def test_long_texts_are_learnt_from(spark):
+    rnd = random.Random(3)
+    texts = [" ".join([f"n{rnd.randint(0, 300)}" for _ in range(6000 if i % 3 == 0 else 60)] + ["vile", "scumbag"] * (i % 3 == 0)) for i in range(240)]
+    assert min(len(t) for t in texts[::3]) > 1 << 14
+    docs, labels = tables(spark, texts)
+    model = train(docs, labels)
+    assert model.constant is None
+    got = score_toxicity(docs, model).collect()
+    assert sum((r["score"] >= 0.5) == (r["doc_id"] % 3 == 0) for r in got) > 0.95 * len(got)
+
+
+def test_shards_learn_from_every_row_together(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    texts = [" ".join([f"n{rnd.randint(0, 400)}" for _ in range(rnd.randint(20, 80))] + [f"vile{i // 4 % 20}", "scumbag"] * (i % 4 == 0)) for i in range(1200)]
+    texts[0] = " ".join(["long"] * 5000 + ["scumbag"])
+    docs = spark.createDataFrame([(i, t, ["en", "de"][i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(len(texts))], "doc_id long, toxic int")
+    monkeypatch.setattr(TextCnn, "fit", lambda *_: pytest.fail("gathered"))
+    models = [train(d, labels, shard_rows=200) for d in (docs, docs.repartition(7))]
+    assert all((models[0].embed == m.embed).all() and m.scale == models[0].scale and m.thresholds == models[0].thresholds for m in models)
+    held = F.pmod(F.xxhash64(F.lit("kept"), "doc_id"), F.lit(5)) == 0
+    fitted = [r["doc_id"] for r in docs.where(~held).collect() if learnable(r["doc_id"])]
+    met = np.zeros(BUCKETS, int)
+    for i in fitted:
+        met[np.unique(buckets_of(texts[i]))] += 1
+    assert (models[0].known[1:] == (met[1:] >= 3)).all()
+    got = score_toxicity(docs, models[0]).collect()
+    assert sum((r["score"] >= 0.3) == (r["doc_id"] % 4 == 0) for r in got) > 0.98 * len(got)
+    assert sum(r["flagged"] == (r["doc_id"] % 4 == 0) for r in got) > 0.98 * len(got)
