@@ -63,16 +63,43 @@ def _generator(seed: int, label: str) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=int.from_bytes(hashlib.md5(f"{seed}:{label}".encode()).digest(), "little")))
 
 
+def extremes(value: np.ndarray, weight: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Largest and smallest of n draws in every round, without the draws between them.
+
+    A draw is the quantile of a uniform number, so the largest draw is that of the largest of n of them, which is the n-th root of
+    one; the others lie evenly below it, and the smallest of these follows likewise. Both have the joint chances that drawn rows have.
+    """
+    order = np.argsort(value, kind="stable")
+    upto = np.cumsum(weight[order])
+    high = np.exp(np.log1p(-rng.random(rounds)) / n)
+    low = high * -np.expm1(np.log1p(-rng.random(rounds)) / (n - 1)) if n > 1 else high
+    top, bottom = (np.minimum(np.searchsorted(upto, u * upto[-1], "right"), len(value) - 1) for u in (high, low))
+    return value[order[top]], value[order[bottom]]
+
+
+def drawn(share: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """How often each distinct row is drawn, by round. Few draws are made one by one; many by numpy's multinomial counts, a chain of
+    conditional binomials, one for each distinct row, whatever n is."""
+    if n > len(share):
+        return rng.multinomial(n, share, size=rounds)
+    picked = np.minimum(np.searchsorted(np.cumsum(share), rng.random((rounds, n)), "right"), len(share) - 1)
+    picked += len(share) * np.arange(rounds)[:, None]
+    return np.bincount(picked.ravel(), minlength=rounds * len(share)).reshape(rounds, -1)
+
+
 def resampled(
     value: np.ndarray, vote: np.ndarray, weight: np.ndarray, n: int, rounds: int, rng: np.random.Generator, statistics: Mapping[str, Statistic]
 ) -> dict[str, tuple[float, float]]:
-    """Mean and deviation over rounds of each statistic of n draws with replacement. Numpy's multinomial counts are a chain of
-    conditional binomials, one for each distinct row, whatever n is."""
+    """Mean and deviation over rounds of each statistic of n draws with replacement. Where only the extremes are asked for, only
+    they are drawn."""
+    if all(fn in (best, worst) for fn in statistics.values()):
+        top, bottom = extremes(value, weight, n, rounds, rng)
+        return {name: (float(x.mean()), float(x.std())) for name, fn in statistics.items() for x in [top if fn is best else bottom]}
     share = weight / weight.sum()
     got: dict[str, list[np.ndarray]] = {name: [] for name in statistics}
     step = max(1, CELLS // len(value))
     for at in range(0, rounds, step):
-        counts = rng.multinomial(n, share, size=min(step, rounds - at))
+        counts = drawn(share, n, min(step, rounds - at), rng)
         for name, fn in statistics.items():
             got[name].append(fn(counts, value, vote, rng))
     return {name: (float(x.mean()), float(x.std())) for name, parts in got.items() for x in [np.concatenate(parts)]}

@@ -44,6 +44,26 @@ def test_majority_of_every_n_equals_all_orders(spark):
         assert r["mean_mean"] == pytest.approx(np.mean(xs), abs=0.04) and r["mean_std"] == pytest.approx(np.std(xs) / n**0.5, abs=0.04)
 
 
+def test_extremes_have_the_chances_of_drawn_rows():
+    value, weight = np.array([3.0, -1.0, 7.0, 2.0]), np.array([4, 1, 2, 3])
+    for n in (1, 2, 3, 8, 100_000):
+        top, bottom = RS.extremes(value, weight, n, 200_000, np.random.default_rng(n))
+        for x in value:
+            assert np.mean(top <= x) == pytest.approx((weight[value <= x].sum() / 10) ** n, abs=0.005)
+            assert np.mean(bottom >= x) == pytest.approx((weight[value >= x].sum() / 10) ** n, abs=0.005)
+        assert np.mean((top <= 3) & (bottom >= 2)) == pytest.approx(0.7**n, abs=0.005)
+        counts = RS.drawn(weight / 10, n, 50_000, np.random.default_rng(n))
+        assert (counts.sum(axis=1) == n).all() and counts.mean(axis=0) == pytest.approx(n * weight / 10, rel=0.03)
+
+
+def test_extremes_of_many_distinct_values_are_not_drawn_row_by_row():
+    value, one = np.arange(200_000.0), np.ones(200_000, np.int64)
+    begin = time.time()
+    got = RS.resampled(value, one, one, 200_000, 1000, np.random.default_rng(1), {"best": RS.best, "worst": RS.worst})
+    assert time.time() - begin < 2  # a count for each row and round takes many times that
+    assert got["best"][0] > 199_990 and got["worst"][0] < 10
+
+
 def test_cost_follows_distinct_votes_and_partitions_change_nothing(spark):
     df = spark.range(300_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 5).cast("string").alias("v"))
     runs = [sorted(map(tuple, RS.bootstrap_by_weights(d, ["g"], "x", vote="v", names=("maj", "worst")).collect())) for d in (df, df.repartition(11))]
