@@ -8,7 +8,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,8 +94,80 @@ def complete_groups(df: DataFrame, keys: Sequence[str], score: str, expected: in
     ).where(F.col("n") >= expected)
 
 
+def _as_text(c: Column, kind: T.DataType) -> Column:
+    """A key as text: pandas turns whole numbers into floating ones where nulls stand among them."""
+    if isinstance(kind, T.TimestampType):
+        c = F.unix_micros(c)
+    return (F.base64(c) if isinstance(kind, T.BinaryType) else c.cast("string"))
+
+
+def _from_text(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(c.cast("long"))
+    return F.unbase64(c) if isinstance(kind, T.BinaryType) else c.cast(kind)
+
+
+def _packed(pdf: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(pdf, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blob: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(blob).read_pandas()
+
+
+def _advance(
+    open_: pd.DataFrame, rows: pd.DataFrame, keys: list[str], expected: int, patience_us: int, watermark: int
+) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows to give and the groups that stay open, after rows that the watermark has passed. All groups advance together.
+
+    A stretch is a group's rows without a silence of more than the patience. The open groups are stretches begun earlier.
+    """
+    m = len(open_)
+    every = pd.concat([open_[keys], rows[keys]], ignore_index=True)
+    group = every.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if len(every) else np.zeros(0, np.int64)
+    own = np.full(len(every), -1)  # the open stretch of a group
+    own[group[:m]] = np.arange(m)
+    rows = rows.assign(_group=group[m:], _at=m + np.arange(len(rows))).sort_values(["_group", "_us", "_tie"], kind="stable")
+    g, us, value = (rows[c].to_numpy() for c in ("_group", "_us", "_score"))
+    newest = open_["newest"].to_numpy(np.int64)
+    first = np.ones(len(g), bool)
+    first[1:] = g[1:] != g[:-1]
+    follows = ~first | (own[g] >= 0)
+    before = np.concatenate([[0], us[:-1]]) if len(us) else us
+    before = np.where(first & follows, newest[own[g]] if m else 0, before)
+    new = ~follows | (us - before > patience_us)
+    count = np.cumsum(new)
+    begin = np.flatnonzero(first)
+    earlier = np.repeat(count[begin] - new[begin], np.diff(np.append(begin, len(g))))
+    stretch = np.where(count > earlier, m + count - 1, own[g])
+    n_all = m + int(new.sum())
+    opened = np.concatenate([open_["opened"].to_numpy(np.int64), us[new]])
+    n0 = np.concatenate([open_["n"].to_numpy(np.int64), np.zeros(n_all - m, np.int64)])
+    total = np.concatenate([open_["total"].to_numpy(np.float64), np.zeros(n_all - m)])
+    newest = np.concatenate([newest, us[new]])
+    np.maximum.at(newest, stretch, us)
+    starts = np.ones(len(g), bool)
+    starts[1:] = stretch[1:] != stretch[:-1]
+    place = np.arange(len(g)) - np.maximum.accumulate(np.where(starts, np.arange(len(g)), 0))
+    taken = n0[stretch] + place < expected
+    n = n0 + np.bincount(stretch[taken], minlength=n_all)
+    np.add.at(total, stretch[taken], value[taken])  # one after the other, so that the cut into micro-batches tells nothing
+    closed = (newest + patience_us) // 1000 < watermark
+    over = np.flatnonzero(new & follows)
+    closed[np.where(first[over], own[g[over]], stretch[over - 1])] = True
+    complete = (n0 < expected) & (n == expected)
+    named = every.iloc[np.concatenate([np.arange(m), rows["_at"].to_numpy()[new]]).astype(np.int64)].reset_index(drop=True)
+    give = complete | (closed & (n < expected))
+    given = named[give].assign(opened=opened[give], n=n[give], mean=total[give] / n[give], complete=complete[give])
+    return given, named[~closed].assign(opened=opened[~closed], newest=newest[~closed], n=n[~closed], total=total[~closed])
+
+
 def complete_groups_with_timer(
-    df: DataFrame, keys: Sequence[str], time: str, tie: str, score: str, expected: int, *, patience_ms: int, late: str
+    df: DataFrame, keys: Sequence[str], time: str, tie: str, score: str, expected: int, *, patience_ms: int, late: str, slots: int = 1 << 12
 ) -> DataFrame:
     """One row per prompt group: its first ``expected`` responses, or, flagged, fewer once it was silent for too long.
 
@@ -102,67 +176,43 @@ def complete_groups_with_timer(
     been silent for ``patience_ms``; a group that speaks again after such a silence is a new one (column ``opened``).
 
     State per group is a count, a sum and two times, and the responses newer than the watermark. It is dropped after the silence.
+    Groups whose keys hash to one of ``slots`` share a state, and advance together as arrays: a Python call costs far more than a group.
+    A batch rewrites the slots it touches, so raise their number with that of groups open at a time. It is part of a checkpoint.
     """
-    key_fields = [df.schema[k] for k in keys]
+    names = [f"_key{i}" for i in range(len(keys))]
+    kinds = [df.schema[k].dataType for k in keys]
     out = T.StructType([
-        *key_fields, T.StructField("opened", T.LongType()), T.StructField("n", T.LongType()),
+        *[T.StructField(c, T.StringType()) for c in names], T.StructField("opened", T.LongType()), T.StructField("n", T.LongType()),
         T.StructField("mean", T.DoubleType()), T.StructField("complete", T.BooleanType()),
     ])
-    tie_type = df.schema[tie].dataType.simpleString()
-    state_type = f"opened bigint, newest bigint, n bigint, total double, at array<bigint>, ties array<{tie_type}>, scores array<double>"
     patience_us = patience_ms * 1000
+    columns = [*names, "_us", "_tie", "_score"]
+    nothing = pd.DataFrame({**{c: pd.Series(dtype=object) for c in names}, **{c: pd.Series(dtype="int64") for c in ("opened", "newest", "n")}, "total": pd.Series(dtype="float64")})
 
     def update(key, frames, state):
-        opened, newest, n, total, *held = state.get if state.exists else (0, 0, 0, 0.0, [], [], [])
-        waiting = list(zip(*held))
-        for pdf in frames:
-            waiting += zip(pdf["_us"].tolist(), pdf["_tie"].tolist(), pdf["_score"].tolist())
-        waiting.sort(key=lambda w: w[:2])
+        open_, waiting = map(_unpacked, state.get) if state.exists else (nothing, None)
+        new = [f for f in (waiting, *[pdf[columns] for pdf in frames]) if f is not None and len(f)]
         watermark = max(state.getCurrentWatermarkMs(), 0)
-        done = 0
-        rows = []
-
-        def close():
-            if 0 < n < expected:
-                rows.append((opened, n, total / n, False))
-
-        for us, _, value in waiting:
-            if us // 1000 >= watermark:
-                break
-            done += 1
-            if n and us - newest > patience_us:
-                close()
-                n, total = 0, 0.0
-            if not n:
-                opened = us
-            if n < expected:
-                n, total = n + 1, total + value
-                if n == expected:
-                    rows.append((opened, n, total / n, True))
-            newest = us
-        waiting = waiting[done:]
-        if n and (newest + patience_us) // 1000 < watermark:
-            close()
-            n, total = 0, 0.0
-        if n or waiting:
-            at, ties, scores = (list(c) for c in zip(*waiting)) if waiting else ([], [], [])
-            state.update((opened, newest, n, total, at, ties, scores))
-            due = [at[0] // 1000] if at else []
-            due += [(newest + patience_us) // 1000] if n else []
+        rows = pd.concat(new, ignore_index=True) if new else pd.DataFrame({c: nothing["opened"] for c in columns})
+        ready = (rows["_us"] // 1000 < watermark).to_numpy(bool)
+        given, open_ = _advance(open_, rows[ready], names, expected, patience_us, watermark)
+        waiting = rows[~ready]
+        if len(open_) or len(waiting):
+            state.update((_packed(open_), _packed(waiting)))
+            due = [int(x.min()) for x in (waiting["_us"] // 1000, (open_["newest"] + patience_us) // 1000) if len(x)]
             state.setTimeoutTimestamp(max(min(due), watermark + 1))
         elif state.exists:
             state.remove()
-        if rows:
-            table = pd.DataFrame(rows, columns=["opened", "n", "mean", "complete"])
-            for name, value in zip(keys, key):
-                table[name] = value
-            yield table[[f.name for f in out.fields]]
+        if len(given):
+            yield given
 
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots)).alias("_slot")
     narrow = df.withWatermark(time, late).select(
-        *keys, time, F.col(tie).alias("_tie"), F.col(score).cast("double").alias("_score"), F.unix_micros(time).alias("_us")
+        slot, *[_as_text(F.col(k), t).alias(c) for k, t, c in zip(keys, kinds, names)], time, F.col(tie).alias("_tie"),
+        F.col(score).cast("double").alias("_score"), F.unix_micros(time).alias("_us"),
     )
-    grouped = narrow.groupBy(*keys).applyInPandasWithState(update, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
-    return grouped.withColumn("opened", F.timestamp_micros("opened"))
+    grouped = narrow.groupBy("_slot").applyInPandasWithState(update, out, "open binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return grouped.select(*[_from_text(F.col(c), t).alias(k) for k, t, c in zip(keys, kinds, names)], F.timestamp_micros("opened").alias("opened"), "n", "mean", "complete")
 
 
 def adaptive_kl(
