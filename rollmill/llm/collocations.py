@@ -13,13 +13,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollmill.llm.arrays import LOWER, mix, slices, text_bytes, words_of
+from rollmill.llm.arrays import LOWER, mix, slices, text_bytes, word_hashes, words_of
 from rollmill.llm.staging import shuffle_parts, written
 
 #: Bytes of text whose phrases are counted together before they are sent, and suffix pointers sorted at a time.
 SLICE_BYTES, POINTERS = 8 << 20, 2 << 20
 #: Bytes of phrases in one part of the exchange, about.
 PART_BYTES = 16 << 20
+#: Bins in which the phrases of a part are weighed before they are sorted.
+BINS = 1 << 22
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _BREAK = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
@@ -180,6 +182,11 @@ def _merged(lines: list[bytes], counts: list[bytes], longest: int, least: int) -
     data = np.frombuffer(b"".join(map(unpack, lines)), np.uint8)
     weight = np.frombuffer(b"".join(map(unpack, counts)), "<i4").astype(np.int64)
     breaks = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
+    # Lines whose hashes meet in one bin weigh together at least what a phrase does: a line in a light bin is no use.
+    bins = (word_hashes(data, breaks[:-1], breaks[1:]) % np.uint64(BINS)).astype(np.int64)
+    heavy = np.bincount(bins, weight, BINS)[bins] >= least
+    data, weight = data[np.repeat(heavy, np.diff(breaks))], weight[heavy]
+    breaks = np.concatenate([[0], np.cumsum(np.diff(breaks)[heavy])])
     starts, ends, first = words_of(breaks, data, ~np.isin(np.arange(256), [10, 32]))
     codes, words = _coded(data, starts, ends)
     # Phrases of other lengths are other phrases, though one may begin another: the length is the first key.

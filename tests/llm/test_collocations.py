@@ -96,3 +96,20 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_query_equals_sql(spark):
     _, rows, problems = compare(spark, connect(SF), "op12_collocations", Q.op12_collocations, Q.OP12_SQL, SF)
     assert rows and not problems
+
+
+def test_rare_phrases_are_not_sorted(monkeypatch):
+    """Of a part's lines only those that may be frequent reach the sort; bins that many lines share change nothing."""
+    import zstandard
+
+    lines = [b"=en rare%d" % i for i in range(5000)] + [b"=en often", b"=en often here"] * 4 + [b"=en"]
+    weight = np.array([1] * 5000 + [3, 2] * 4 + [99], "<i4")
+    pack = zstandard.ZstdCompressor().compress
+    sent = [pack(b"".join(x + b"\n" for x in lines))], [pack(weight.tobytes())]
+    sorted_rows, plain = [], C.multikey_counts
+    monkeypatch.setattr(C, "multikey_counts", lambda keys, *a: (sorted_rows.append(len(keys)), plain(keys, *a))[1])
+    want = [("en", "", 0, 99), ("en", "often", 1, 12)]
+    for bins in (1 << 22, 1):
+        monkeypatch.setattr(C, "BINS", bins)
+        assert sorted(tuple(r.values()) for r in C._merged(*sent, 3, 10).to_pylist()) == want
+    assert sorted_rows[0] < 50 and sorted_rows[1] == len(lines)
