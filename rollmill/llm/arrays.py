@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+#: Elements of a flat array that are worked on at once where temporaries would outgrow the result.
+PIECE = 1 << 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -80,12 +82,20 @@ _OTHER_POWERS = Powers(0x9FB21C651E98DF25)
 
 
 class Spans:
-    """64-bit hashes of the spans of a sequence of codes: equal spans hash alike wherever they stand."""
+    """64-bit hashes of the spans of a sequence of codes: equal spans hash alike wherever they stand.
 
-    def __init__(self, codes: np.ndarray, powers: Powers = _POWERS) -> None:
+    With a table, codes are looked up in it, some at a time: codes of all bytes of a pack would take eight times its memory.
+    """
+
+    def __init__(self, codes: np.ndarray, powers: Powers = _POWERS, table: np.ndarray | None = None) -> None:
         up, self.down = powers.to(len(codes) + 1)
         self.total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[: len(codes)], dtype=np.uint64, out=self.total[1:])
+        for at in range(0, len(codes), PIECE):
+            some = codes[at : at + PIECE]
+            end = at + len(some)
+            some = (some if table is None else table[some]) * up[at:end]
+            np.cumsum(some, dtype=np.uint64, out=self.total[at + 1 : end + 1])
+            self.total[at + 1 : end + 1] += self.total[at]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         value = (self.total[ends] - self.total[starts]) * self.down[starts]
@@ -116,7 +126,7 @@ def words_of(offsets: np.ndarray, data: np.ndarray, word_byte: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = SLICE_BYTES) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = PIECE) -> np.ndarray:
     """A hash per word, computed over pieces of about ``limit`` bytes so that one huge text needs no huge temporaries."""
     out = np.empty(len(starts), np.uint64)
     at = 0
@@ -124,7 +134,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: i
         low = starts[at]
         upto = max(int(np.searchsorted(ends, low + limit, "right")), at + 1)
         high = ends[upto - 1]
-        out[at:upto] = span_hashes(_BYTE_CODE[data[low:high]], starts[at:upto] - low, ends[at:upto] - low)
+        out[at:upto] = Spans(data[low:high], table=_BYTE_CODE).hashes(starts[at:upto] - low, ends[at:upto] - low)
         at = upto
     return out
 
@@ -144,5 +154,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n positions lie in a window of the length that begins at one of the starts."""
-    depth = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + length, n), minlength=n + 1)
-    return np.cumsum(depth[:n]) > 0
+    return within(starts, np.minimum(starts + length, n), n)
+
+
+def within(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n positions lie in one of the spans (start, end)."""
+    depth = np.zeros(n + 1, np.int32)
+    np.add.at(depth, starts, 1)
+    np.add.at(depth, ends, -1)
+    return np.cumsum(depth[:n], out=depth[:n]) > 0

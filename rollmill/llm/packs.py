@@ -1,7 +1,8 @@
 """Packs of documents and the exchange of 64-bit or 128-bit keys between them, shared by the operators that look for repeated passages.
 
 A pack is one row that holds some documents (a bounded number of bytes, or one document), so that tasks work on flat arrays. Packs
-are written once, bucketed by their number: later passes join what they learnt about a pack without moving its texts.
+are written once, bucketed by their number: later passes join what they learnt about a pack without moving its texts. Texts stay
+compressed until a task comes to their pack: Spark reads, joins and hands over many packs at a time, Python opens one after the other.
 
 An exchange asks which keys of a pack also occur in another one. A pack sends each of its distinct keys once, to the partition
 that the key names, and gets back one bit for each. So a key with a third of all rows costs one entry per pack that holds it.
@@ -9,7 +10,6 @@ that the key names, and gets back one bit for each. So a key with a third of all
 
 from __future__ import annotations
 
-import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -24,6 +24,10 @@ from rollmill.llm.arrays import distinct, slices, text_bytes
 from rollmill.llm.staging import quoted, shared_path, shuffle_parts
 
 PACK_BYTES = 2 << 20
+#: Bytes of text that a task puts into one bucket before it goes on to the next.
+BUCKET_BYTES = 48 << 20
+#: Bytes of packs in one row group, about: a reader holds a row group, a writer too.
+GROUP_BYTES = 8 << 20
 #: Keys in one partition of an exchange, about.
 PART_KEYS = 1 << 20
 
@@ -40,51 +44,79 @@ def _bucket(x: np.ndarray, n: int) -> np.ndarray:
     return h.astype(np.int32).astype(np.int64) % n
 
 
-def _numbers(task: int, n_buckets: int) -> Iterator[int]:
-    """Numbers of a task's packs, all of one bucket."""
-    for at in itertools.count(task << 32, 16 * n_buckets):
-        some = np.arange(at, at + 16 * n_buckets)
-        yield from some[_bucket(some, n_buckets) == task % n_buckets].tolist()
+class _Numbers:
+    """Numbers of a task's packs, all of one bucket until the next turn."""
+
+    def __init__(self, task: int, n_buckets: int) -> None:
+        self.at, self.bucket, self.n, self.ready = task << 32, task % n_buckets, n_buckets, []
+
+    def turn(self) -> None:
+        self.bucket, self.ready = (self.bucket + 1) % self.n, []
+
+    def take(self) -> int:
+        while not self.ready:
+            some = np.arange(self.at, self.at + 16 * self.n)
+            self.at += 16 * self.n
+            self.ready = some[_bucket(some, self.n) == self.bucket].tolist()
+        return self.ready.pop(0)
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, purpose: str) -> tuple[DataFrame, int]:
-    """Packs (pack, ids, texts as binary) in a bucketed table below the shared folder, and the bytes of all texts.
+    """Packs (pack, size, ids, texts compressed) in a bucketed table below the shared folder, and the bytes of all texts.
 
-    A task's packs get numbers of one bucket, so that it writes one file. The catalogue forgets the table at once; its files stay.
+    A task's packs get numbers of one bucket, so that it writes one file; a task of more than BUCKET_BYTES goes on to the next bucket,
+    so that no later task gets all it has read. The catalogue forgets the table at once; its files stay.
     """
     spark = docs.sparkSession
     n_buckets = shuffle_parts(spark)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _numbers(TaskContext.get().partitionId(), n_buckets)
+        numbers, held = _Numbers(TaskContext.get().partitionId(), n_buckets), 0
         for part in slices(batches, "_text", PACK_BYTES):
             offsets, data = text_bytes(part.column(1))
-            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-            whole = pa.array([0, len(texts)], pa.int32())
+            if held + len(data) > BUCKET_BYTES:
+                numbers.turn()
+                held = 0
+            held += len(data)
+            whole = pa.array([0, part.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([next(numbers)], pa.int64()), pa.array([len(data)], pa.int64()), pa.ListArray.from_arrays(whole, part.column(0)),
-                 pa.ListArray.from_arrays(whole, texts.cast(pa.binary()))],
+                [pa.array([numbers.take()], pa.int64()), pa.array([len(data)], pa.int64()), pa.ListArray.from_arrays(whole, part.column(0)),
+                 pa.array([_closed(offsets, data)], pa.binary())],
                 ["pack", "size", "ids", "texts"],
             )
 
     d = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text"))
-    schema = StructType.fromDDL("pack long, size long, texts array<binary>").fields
+    schema = StructType.fromDDL("pack long, size long, texts binary").fields
     rows = d.mapInArrow(packed, StructType([*schema[:2], StructField("ids", ArrayType(docs.schema[id_col].dataType)), schema[2]]))
     name = f"{purpose}_{uuid.uuid4().hex}"
-    rows.write.bucketBy(n_buckets, "pack").option("compression", "zstd").option("path", shared_path(spark, purpose)).saveAsTable(name)
+    # By itself Parquet looks at the size of a row group after every hundred rows only.
+    groups = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4}
+    rows.write.bucketBy(n_buckets, "pack").options(compression="zstd", path=shared_path(spark, purpose), **groups).saveAsTable(name)
     packs = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return packs, packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
 
+def _closed(offsets: np.ndarray, data: np.ndarray) -> bytes:
+    """The ends of a pack's texts and their bytes, compressed."""
+    return pa.Codec("zstd", 3).compress(np.concatenate([offsets[1:].astype("<i8").view(np.uint8), data]), asbytes=True)
+
+
+def _opened(texts: pa.Buffer, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (n + 1) and bytes of a pack's n texts."""
+    raw = pa.Codec("zstd").decompress(texts, 8 * n + size)
+    return np.concatenate([[0], np.frombuffer(raw, "<i8", n)]), np.frombuffer(raw, np.uint8, size, 8 * n)
+
+
 def each_pack(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, dict]]:
     """Number, ids, offsets, bytes and the other columns of every pack in a batch."""
     names = batch.schema.names
     for i in range(batch.num_rows):
         row = batch.slice(i, 1)
-        offsets, data = text_bytes(row.column(names.index("texts")).flatten())
+        ids = row.column(names.index("ids")).flatten()
+        offsets, data = _opened(row.column(names.index("texts"))[0].as_buffer(), len(ids), row.column(names.index("size"))[0].as_py())
         rest = {n: row.column(k).to_pylist()[0] for k, n in enumerate(names) if n not in ("pack", "size", "ids", "texts")}
-        yield row.column(names.index("pack"))[0].as_py(), row.column(names.index("ids")).flatten(), offsets, data, rest
+        yield row.column(names.index("pack"))[0].as_py(), ids, offsets, data, rest
 
 
 def parts_for(keys: int, floor: int) -> int:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rollmill.llm.arrays import NOT_SPACE, covered, distinct, other_span_hashes, ragged, span_hashes, word_hashes, words_of
+from rollmill.llm.arrays import NOT_SPACE, covered, distinct, other_span_hashes, ragged, span_hashes, within, word_hashes, words_of
 from rollmill.llm.packs import SENT, answered, distinct_pairs, each_pack, pack, parts_for, per_pack, sent, shared_keys, with_answers
 from rollmill.llm.staging import schema_of, shuffle_parts, written
 
@@ -45,11 +45,8 @@ class Passages:
 
     def candidates(self, hit: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold a hit anchor."""
-        low = np.maximum(self.anchors[hit] - self.reach, 0)
-        depth = np.zeros(len(self.codes) + 1, np.int64)
-        np.add.at(depth, low, 1)
-        np.add.at(depth, self.anchors[hit] + 1, -1)
-        near = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+        at = self.anchors[hit]
+        near = np.flatnonzero(within(np.maximum(at - self.reach, 0), at + 1, len(self.codes)))
         # The reach may run over into the text before, whose own windows end earlier.
         return near[near <= self.last[np.searchsorted(self.first, near, "right") - 1]]
 
