@@ -154,7 +154,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n positions lie in a window of the length that begins at one of the starts."""
-    return within(starts, np.minimum(starts + length, n), n)
+    so_far = np.bincount(starts, minlength=n + 1)[:n]
+    np.cumsum(so_far, out=so_far)
+    out = so_far > 0
+    out[length:] = so_far[length:] > so_far[: max(n - length, 0)]
+    return out
 
 
 def within(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.llm.arrays import Spans, covered, distinct, mix, ragged
+from rollmill.llm.arrays import PIECE, Spans, covered, distinct, mix, ragged, within
 from rollmill.llm.packs import SENT, _dealt, answered, each_pack, pack, parts_for, per_pack, sent, shared_keys, with_answers
 from rollmill.llm.staging import shuffle_parts, written
 from rollmill.llm.substring import difference_cover
@@ -24,6 +24,8 @@ CUT_RULE = np.uint64(0x9E3779B97F4A7C15)
 SORT_SIZE = 1 << 17
 #: Contexts of one gram beyond which their strings are sorted one shift after the other.
 CROWD = 1 << 15
+#: Contexts whose strings or bits are spread out at once.
+CHUNK = 1 << 14
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -36,25 +38,28 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s.astype(np.int64) + 1, np.zeros(3, np.int64)])
-    one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
+    t = np.zeros(n + 3, np.int32)  # places and names fit 32 bits; only keys that are being compared take 64
+    t[:n] = s
+    t[:n] += 1
+    one, two, zero = (np.arange(k, n, 3, dtype=np.int32) for k in (1, 2, 0))
     if n % 3 == 1:  # a closing triple keeps the names of the residue 1 from running into those of 2
-        one = np.append(one, n)
+        one = np.append(one, np.int32(n))
     cover = np.concatenate([one, two])
     name = _names(t, cover)
     order = np.argsort(name, kind="stable") if name.max() + 1 == len(name) else suffix_array(name)
-    rank = np.zeros(n + 3, np.int64)
-    rank[cover[order]] = np.arange(1, len(cover) + 1)
+    rank = np.zeros(n + 3, np.int32)
+    rank[cover[order]] = np.arange(1, len(cover) + 1, dtype=np.int32)
     order = cover[order]
     order = order[order < n]
-    key = lambda at: (t[at] << 32) | rank[at + 1]
+    key = lambda at: (t[at].astype(np.int64) << 32) | rank[at + 1]
     zero = zero[np.argsort(key(zero))]
-    first, second = order[order % 3 == 1], order[order % 3 == 2]
-    pair = np.unique((t[:-1] << 32) | t[1:], return_inverse=True)[1]
-    key2 = lambda at: (pair[at].astype(np.int64) << 32) | rank[at + 2]
-    before = np.searchsorted(key(first), key(zero)) + np.searchsorted(key2(second), key2(zero))
-    out = np.empty(n, np.int64)
-    place = before + np.arange(len(zero))
+    second = order[order % 3 == 2]
+    place = np.searchsorted(key(order[order % 3 == 1]), key(zero)) + np.arange(len(zero))
+    both = np.concatenate([second, zero])
+    pair = np.unique(_two(t, both), return_inverse=True)[1]
+    key2 = (pair << 32) | rank[both + 2]
+    place += np.searchsorted(key2[: len(second)], key2[len(second) :])
+    out = np.empty(n, np.int32)
     taken = np.zeros(n, bool)
     taken[place] = True
     out[place] = zero
@@ -62,13 +67,18 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _two(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (t[at].astype(np.int64) << 32) | t[at + 1]
+
+
 def _names(t: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Ranks (equal for equal triples) of the triples at some positions."""
     top = int(t.max()).bit_length()
     if 3 * top <= 63:
-        return np.unique((t[at] << (2 * top)) | (t[at + 1] << top) | t[at + 2], return_inverse=True)[1]
-    pair = np.unique((t[at] << 32) | t[at + 1], return_inverse=True)[1]
-    return np.unique((pair.astype(np.int64) << 32) | t[at + 2], return_inverse=True)[1]
+        key = (t[at].astype(np.int64) << (2 * top)) | (t[at + 1].astype(np.int64) << top) | t[at + 2]
+    else:
+        key = (np.unique(_two(t, at), return_inverse=True)[1] << 32) | t[at + 2]
+    return np.unique(key, return_inverse=True)[1].astype(np.int32)
 
 
 class Texts:
@@ -80,8 +90,9 @@ class Texts:
         n = len(data)
         cut = np.zeros(n + 1, bool)
         if n >= 8:
-            words = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view(np.uint64).ravel()
-            cut[: n - 7] = (words * CUT_RULE) >> np.uint64(64 - BLOCK_BITS) == 0
+            for at in range(0, n - 7, PIECE):
+                words = np.lib.stride_tricks.sliding_window_view(data[at : at + PIECE + 7], 8).copy().view(np.uint64).ravel()
+                cut[at : at + len(words)] = (words * CUT_RULE) >> np.uint64(64 - BLOCK_BITS) == 0
         cut[offsets] = True
         self.blocks = np.flatnonzero(cut[:n])
         self.doc = np.searchsorted(offsets, self.blocks, "right") - 1
@@ -90,7 +101,7 @@ class Texts:
         #: The strings that start in a block lie in it and the length - 1 bytes behind it.
         self.stops = np.minimum(ends + length - 1, stop)
         self.ends = np.minimum(ends, stop - length + 1)  # behind the last string that starts in the block
-        self.spans = Spans(_CODE[data])
+        self.spans = Spans(data, table=_CODE)
         self.keys = self.spans.hashes(self.blocks, self.stops)
 
     def least(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,24 +119,19 @@ class Texts:
     def starts(self, blocks: np.ndarray) -> np.ndarray:
         """Where strings start in the given blocks."""
         use = blocks & (self.ends > self.blocks)
-        depth = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(depth, self.blocks[use], 1)
-        np.add.at(depth, self.ends[use], -1)
-        return np.cumsum(depth[:-1]) > 0
+        return within(self.blocks[use], self.ends[use], len(self.data))
 
     def anchors(self, gone: np.ndarray, period: int, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, documents and keys of the cover positions in blocks that are not gone; counted from the text's first byte."""
         size = self.length - period + 1
         live = ~gone & (self.ends > self.blocks)
-        depth = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(depth, self.blocks[live], 1)
-        np.add.at(depth, self.stops[live] - size + 1, -1)
+        inside = within(self.blocks[live], self.stops[live] - size + 1, len(self.data))
         sizes = np.diff(self.offsets)
         longest = int(sizes.max(initial=0))
         pattern = np.resize(cover, longest)
         covering = np.concatenate([pattern[:n] for n in sizes.tolist()]) if longest else pattern
-        at = np.flatnonzero((np.cumsum(depth[:-1]) > 0) & covering)
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at]
+        at = np.flatnonzero(inside & covering)
+        doc = (np.searchsorted(self.offsets, at, "right") - 1).astype(np.int32)
         return at, doc, self.spans.hashes(at, at + size)
 
     def minimizers(self, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +140,20 @@ class Texts:
         Of every such gram, the place, and how far the strings that chose it reach to either side.
         """
         size = self.length - span + 1
-        grams = np.flatnonzero(covered(starts, span, len(self.data)))
+        found = [self._chosen(starts[k : k + PIECE], span) for k in range(0, len(starts), PIECE)]
+        # Strings on both sides of a seam may have chosen one gram.
+        at, lows, highs = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+        place, back = np.unique(at, return_inverse=True)
+        low, high = np.full(len(place), NO_ID), np.zeros(len(place), np.int64)
+        np.minimum.at(low, back, lows)
+        np.maximum.at(high, back, highs)
+        return place, place - low, high + self.length - place - size
+
+    def _chosen(self, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The grams of some strings, and the first and last string that chose each."""
+        size = self.length - span + 1
+        first = int(starts[0])
+        grams = first + np.flatnonzero(covered(starts - first, span, int(starts[-1]) - first + span))
         hashed = self.spans.hashes(grams, grams + size)
         # Grams of a run of starts are consecutive, so a string's grams stand together in this list.
         best = np.arange(len(grams))
@@ -150,7 +169,7 @@ class Texts:
         low, high = np.full(len(place), NO_ID), np.zeros(len(place), np.int64)
         np.minimum.at(low, back, starts)
         np.maximum.at(high, back, starts)
-        return place, place - low, high + self.length - place - size
+        return place, low, high
 
 
 def _with_ids(pack_no: int, keys: np.ndarray, ids: np.ndarray, n_parts: int) -> pa.RecordBatch | None:
@@ -201,16 +220,20 @@ def _least_ids(contexts: np.ndarray, ids: np.ndarray, length: int, span: int) ->
     reach = span - 1
     n, width = len(contexts), contexts.shape[1] - 2
     left, right, body = contexts[:, 0].astype(int), contexts[:, 1].astype(int), contexts[:, 2:]
-    flat = np.zeros((n, width + 1), np.int64)
-    flat[:, :width] = body.astype(np.int64) + 1  # 0 closes a context
+    flat = np.zeros((n, width + 1), np.int16)
+    np.add(body, 1, out=flat[:, :width], dtype=np.int16)  # 0 closes a context
     column = np.arange(width + 1)
     used = (column >= (reach - left)[:, None]) & (column < (width - reach + right)[:, None])
     used[:, width] = True
     flat = flat[used]
-    row, start = np.nonzero(used)
+    sizes = used.sum(axis=1)
+    shift = (np.cumsum(sizes) - sizes - (reach - left)).astype(np.int32)  # from a context's starts to places in flat
+    del used
     begin = suffix_array(flat)
-    begin = begin[((start <= reach) & (start <= right[row]))[begin]]
-    row, start = row[begin], start[begin]
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)[begin]
+    start = begin - shift[row]
+    string = (start <= reach) & (start <= right[row])
+    begin, row, start = begin[string], row[string], start[string]
     raw = np.append(flat.astype(np.uint16).astype(np.uint8) - np.uint8(1), np.zeros(8, np.uint8))
     words = np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view(np.uint64).ravel()
     same = np.ones(max(len(begin) - 1, 0), bool)
@@ -224,26 +247,128 @@ def _least_ids(contexts: np.ndarray, ids: np.ndarray, length: int, span: int) ->
     return out
 
 
-def _least_by_shift(contexts: np.ndarray, ids: np.ndarray, length: int, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The same for crowded grams: per start, which contexts have a string there, and the least id that holds it.
+def _strings(contexts: np.ndarray, rows: np.ndarray, column: int, length: int) -> np.ndarray:
+    """Strings of some contexts from a column on, as words of 8 bytes."""
+    padded = np.zeros((len(rows), -(-length // 8) * 8), np.uint8)
+    padded[:, :length] = contexts[rows, column : column + length]
+    return padded.view(np.uint64)
+
+
+def _string_hashes(words: np.ndarray) -> np.ndarray:
+    return mix((mix(words) * _CODE[: words.shape[1]]).sum(axis=1, dtype=np.uint64))
+
+
+def _least_alike(contexts: np.ndarray, rows: np.ndarray, column: int, length: int, ids: np.ndarray) -> np.ndarray:
+    """For the string of every row the least id that holds it. A hash brings equal strings together, and neighbours of one hash are
+    compared byte for byte; strings of a hash that clashes are sorted. Strings are taken from their contexts some at a time."""
+    n = len(rows)
+    hashed = np.empty(n, np.uint64)
+    for k in range(0, n, CHUNK):
+        hashed[k : k + CHUNK] = _string_hashes(_strings(contexts, rows[k : k + CHUNK], column, length))
+    order = np.argsort(hashed, kind="stable")
+    hashed = hashed[order]
+    fresh = np.ones(n, bool)
+    fresh[1:] = hashed[1:] != hashed[:-1]
+    clash = set()
+    alike = np.flatnonzero(~fresh)
+    for k in range(0, len(alike), CHUNK):
+        at = alike[k : k + CHUNK]
+        other = (_strings(contexts, rows[order[at]], column, length) != _strings(contexts, rows[order[at - 1]], column, length)).any(axis=1)
+        clash.update(hashed[at[other]].tolist())
+    for h in clash:
+        low, high = (int(np.searchsorted(hashed, np.uint64(h), side)) for side in ("left", "right"))
+        words = _strings(contexts, rows[order[low:high]], column, length)
+        by_bytes = np.lexsort(words.T)
+        words = words[by_bytes]
+        order[low:high] = order[low:high][by_bytes]
+        fresh[low + 1 : high] = (words[1:] != words[:-1]).any(axis=1)
+    firsts = np.flatnonzero(fresh)
+    out = np.empty(n, np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(ids[order], firsts), np.diff(np.append(firsts, n)))
+    return out
+
 
-    Equal strings share the gram at the same shift, so the strings of one shift are sorted at a time, byte for byte, and adjacent
-    ones compared. Memory is one string a context, not all of a context's suffixes.
+def _least_by_shift(contexts: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same for a crowded gram and its contexts ``at``: per start, which of them have a string there, and the least id that holds it.
+
+    Equal strings share the gram at the same shift, so the strings of one shift are brought together at a time. Memory is some
+    numbers a context, neither all of its suffixes nor its strings.
     """
     reach = span - 1
-    left, right = contexts[:, 0].astype(int), contexts[:, 1].astype(int)
+    left, right = contexts[at, 0], contexts[at, 1]
     for start in range(span):
-        rows = np.flatnonzero((start >= reach - left) & (start <= right))
-        if len(rows) < 2:
-            continue
-        padded = np.zeros((len(rows), -(-length // 8) * 8), np.uint8)
-        padded[:, :length] = contexts[rows, 2 + start : 2 + start + length]
-        words = padded.view(np.uint64)
-        order = np.lexsort(words.T)
-        words, rows = words[order], rows[order]
-        firsts = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)]))
-        least = np.minimum.reduceat(ids[rows], firsts)
-        yield start, rows, np.repeat(least, np.diff(np.append(firsts, len(rows))))
+        rows = np.flatnonzero((left >= reach - start) & (right >= start))
+        if len(rows) > 1:
+            yield start, rows, _least_alike(contexts, at[rows], 2 + start, length, ids[rows])
+
+
+def sorted_lots(batches: Iterator[pa.RecordBatch], length: int, span: int) -> Iterator[pa.RecordBatch]:
+    """A task of ``sorted_shards``. Found bits are packed, and a context's temporaries are made for some contexts at a time."""
+    reach, size = span - 1, length - span + 1
+    width = 2 * reach + size + 2
+    weights = mix(np.arange(7, 7 + width, dtype=np.uint64))
+    held: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for pack_no, part, contexts, ids, places in zip(*(c.to_pylist() for c in batch.columns)):
+            one = np.frombuffer(contexts, np.uint8).reshape(-1, width), np.frombuffer(ids, "<i8"), np.frombuffer(places, "<i8")
+            held.setdefault(part, []).append((pack_no, *one))
+        del batch, contexts, ids, places, one
+    while held:
+        _, got = held.popitem()
+        numbers, *columns = zip(*got)
+        del got
+        bounds = np.cumsum([0, *(len(c) for c in columns[1])])
+        contexts, ids, places = (np.concatenate(columns.pop(0)) for _ in range(3))
+        gram, rest = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
+        for k in range(width):
+            if 2 + reach <= k < 2 + reach + size:
+                gram += contexts[:, k] * weights[k]
+            else:
+                rest += contexts[:, k] * weights[k]
+        # Like contexts are sorted once, for the least id; the others compare theirs with what it finds.
+        rest += mix(gram)
+        _, lead, back = np.unique(rest, return_index=True, return_inverse=True)
+        del rest
+        gram = gram[lead]
+        first = np.full(len(lead), NO_ID)
+        np.minimum.at(first, back, ids)
+        _, which, holders = np.unique(gram, return_inverse=True, return_counts=True)
+        calm = np.flatnonzero((holders[which] > 1) & (holders[which] <= CROWD))
+        crowded = np.flatnonzero(holders[which] > CROWD)
+        crowded = crowded[np.argsort(which[crowded], kind="stable")]
+        crowds = np.split(crowded, np.flatnonzero(np.diff(which[crowded])) + 1)
+        lot = mix(gram[calm]) % np.uint64(len(calm) * width // SORT_SIZE + 1)
+        by_lot = np.argsort(lot, kind="stable")
+        calm = calm[by_lot]
+        lots = np.split(calm, np.flatnonzero(np.diff(lot[by_lot])) + 1)
+        del gram, which, holders, lot, by_lot
+        # The rows of each distinct context stand together in this order.
+        back_order, spot = np.argsort(back, kind="stable"), np.zeros(len(lead), np.int64)
+        back_count = np.bincount(back, minlength=len(lead))
+        back_first = np.cumsum(back_count) - back_count
+        hit = np.zeros((len(ids), -(-span // 8)), np.uint8)
+        hit[first[back] < ids] = 255
+        for rows in lots:
+            if len(rows):
+                least = _least_ids(contexts[lead[rows]], first[rows], length, span)
+                spot[rows] = np.arange(len(rows))
+                of = back_order[ragged(back_first[rows], back_count[rows])]
+                for k in range(0, len(of), CHUNK):
+                    some = of[k : k + CHUNK]
+                    hit[some] |= np.packbits(least[spot[back[some]]] < ids[some, None], axis=1)
+        for rows in crowds:
+            for start, at, least in _least_by_shift(contexts, lead[rows], first[rows], length, span) if len(rows) else ():
+                of = back_order[ragged(back_first[rows[at]], back_count[rows[at]])]
+                of = of[np.repeat(least, back_count[rows[at]]) < ids[of]]
+                hit[of, start >> 3] |= np.uint8(128 >> (start & 7))
+        start = np.arange(span)
+        for pack_no, a, b in zip(numbers, bounds[:-1], bounds[1:]):
+            left, right = contexts[a:b, :1].astype(int), contexts[a:b, 1:2]
+            bits = np.unpackbits(hit[a:b], axis=1, count=span).astype(bool) & (start >= reach - left) & (start <= right)
+            own = np.flatnonzero(bits.any(axis=1))
+            if len(own):
+                found = [places[a + own].tobytes()], [np.packbits(bits[own]).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([pack_no], pa.int64()), *(pa.array(c, pa.binary()) for c in found)], ["pack", "places", "bits"])
 
 
 def sorted_shards(rows: DataFrame, n_parts: int, length: int, span: int) -> DataFrame:
@@ -251,61 +376,11 @@ def sorted_shards(rows: DataFrame, n_parts: int, length: int, span: int) -> Data
 
     Contexts of one gram are sorted together; a task sorts one lot of grams after the other, each of about SORT_SIZE suffixes.
     A gram that stands in one context only has none to be compared with; the strings around one that stands in more than CROWD
-    are sorted shift by shift. Places at which nothing was found are not answered.
+    are compared shift by shift. Places at which nothing was found are not answered.
     """
-    reach, size = span - 1, length - span + 1
-    width = 2 * reach + size + 2
-    weights = mix(np.arange(7, 7 + width, dtype=np.uint64))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for pack_no, part, contexts, ids, places in zip(*(c.to_pylist() for c in batch.columns)):
-                one = np.frombuffer(contexts, np.uint8).reshape(-1, width), np.frombuffer(ids, "<i8"), np.frombuffer(places, "<i8")
-                held.setdefault(part, []).append((pack_no, *one))
-        while held:
-            _, got = held.popitem()
-            numbers, *columns = zip(*got)
-            contexts, ids, places = (np.concatenate(c) for c in columns)
-            gram, rest = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
-            for k in range(width):
-                if 2 + reach <= k < 2 + reach + size:
-                    gram += contexts[:, k] * weights[k]
-                else:
-                    rest += contexts[:, k] * weights[k]
-            # Like contexts are sorted once, for the least id; the others compare theirs with what it finds.
-            _, lead, back = np.unique(mix(gram) + rest, return_index=True, return_inverse=True)
-            first = np.full(len(lead), NO_ID)
-            np.minimum.at(first, back, ids)
-            _, which, holders = np.unique(gram[lead], return_inverse=True, return_counts=True)
-            calm = np.flatnonzero((holders[which] > 1) & (holders[which] <= CROWD))
-            crowded = np.flatnonzero(holders[which] > CROWD)
-            lot = mix(gram[lead[calm]]) % np.uint64(len(calm) * width // SORT_SIZE + 1)
-            by_lot = np.argsort(lot, kind="stable")
-            calm = calm[by_lot]
-            # The rows of each distinct context stand together in this order.
-            back_order, spot = np.argsort(back, kind="stable"), np.zeros(len(lead), np.int64)
-            back_count = np.bincount(back, minlength=len(lead))
-            back_first = np.cumsum(back_count) - back_count
-            hit = np.repeat((first[back] < ids)[:, None], span, axis=1)
-            for rows in np.split(calm, np.flatnonzero(np.diff(lot[by_lot])) + 1):
-                if len(rows):
-                    least = _least_ids(contexts[lead[rows]], first[rows], length, span)
-                    spot[rows] = np.arange(len(rows))
-                    of = back_order[ragged(back_first[rows], back_count[rows])]
-                    hit[of] = least[spot[back[of]]] < ids[of, None]
-            for start, at, least in _least_by_shift(contexts[lead[crowded]], first[crowded], length, span):
-                lowest = first.copy()
-                lowest[crowded[at]] = least
-                hit[:, start] |= lowest[back] < ids
-            start = np.arange(span)
-            hit &= (start >= reach - contexts[:, :1].astype(int)) & (start <= contexts[:, 1:2])
-            ends = np.cumsum([len(c) for c in columns[1]])
-            for pack_no, end, n in zip(numbers, ends, np.diff(ends, prepend=0)):
-                own = np.flatnonzero(hit[end - n : end].any(axis=1)) + end - n
-                if len(own):
-                    found = [places[own].tobytes()], [np.packbits(hit[own]).tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([pack_no], pa.int64()), *(pa.array(c, pa.binary()) for c in found)], ["pack", "places", "bits"])
+        yield from sorted_lots(batches, length, span)
 
     found = rows.repartitionById(n_parts, F.col("part")).mapInArrow(sort, "pack long, places binary, bits binary")
     return found.groupBy("pack").agg(F.collect_list(F.struct("places", "bits")).alias("shards"))
